@@ -145,3 +145,22 @@ def fixed_binary(rows: np.ndarray) -> pa.Array:
     n, width = rows.shape
     offs = (np.arange(n + 1, dtype=np.int64) * width).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offs), pa.py_buffer(rows)])
+
+
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices start[0], start[0]+1, ... for ``size`` steps of each run, runs after one another."""
+    at = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - at, size)
+
+
+def gather_text(buf: np.ndarray, start: np.ndarray, size: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
+    """For each row its pieces buf[start : start+size], joined by one space; ``row`` ascends."""
+    last = np.ones(len(row), dtype=bool)
+    last[:-1] = row[1:] != row[:-1]
+    full = size + ~last
+    padded = np.append(buf, np.uint8(0x20))
+    body = padded[np.minimum(ragged(start, full), len(buf))]
+    ends = np.cumsum(full)
+    body[ends[~last] - 1] = 0x20
+    offs = np.concatenate(([0], np.cumsum(np.bincount(row, weights=full, minlength=rows).astype(np.int64))))
+    return pa.LargeStringArray.from_buffers(rows, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(body)))
