@@ -64,11 +64,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, rows: in
 
 
 class Words:
-    """Words of a slice: start, end (byte offsets), doc (row number) and counts by row."""
+    """Words of a slice: start, end (byte offsets), doc (row number) and counts by row.
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray):
+    ``letter`` tells for each byte whether it belongs to words (default: all but white space).
+    """
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, letter: np.ndarray | None = None):
         n = len(offs) - 1
-        inside = ~SPACE[buf]
+        inside = (~SPACE if letter is None else letter)[buf]
         before = np.zeros(len(buf), dtype=bool)
         before[1:] = inside[:-1]
         edge = offs[:-1]
