@@ -12,12 +12,15 @@ What keeps it bounded:
 
 * texts with the same word sequence are one node, found by a hash of it with
   partial aggregation, so copies never meet in a bucket;
-* only buckets with two nodes or more carry sketches on; a bucket of more than
-  ``TILE`` nodes is cut into tiles (pairs of hashed blocks), so that no task
-  holds a group, and no pair of it is left out;
-* a pair is looked at in its first common band only, and pairs that are nearly
-  certain links are reduced to a spanning forest of the tile, so a dense group
-  gives edges in proportion to its nodes;
+* only buckets with two nodes or more carry sketches on; a pair is looked at in
+  its first common band only;
+* a bucket of up to ``SMALL`` nodes gives its likely pairs, which are joined with
+  the full sets; the nodes of larger buckets bring their sets along, likely pairs
+  are verified on the spot unless verified links connect them already, and only
+  a spanning forest of verified links leaves, so that a dense group gives links
+  in proportion to its nodes;
+* a bucket of more than 2 x ``TILE`` nodes is cut into tiles (pairs of hashed
+  blocks), so that no task holds a group, and no pair of it is left out;
 * components come from label propagation with pointer jumping over the verified
   links, materialised in the shared folder.  Nothing is collected to the driver.
 
@@ -51,6 +54,8 @@ REGISTERS = ROWS * BANDS
 BASE, RATE = 1.1, 20.0
 #: Nodes in a tile's block.
 TILE = 256
+#: Nodes in a bucket whose pairs are verified by a join.
+SMALL = 8
 _MASK48 = np.uint64((1 << 48) - 1)
 _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(0, 2**32, REGISTERS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -150,8 +155,33 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(key[:, band]).view(np.int64).ravel()), batch.column("node")], names=["key", "node"])
 
 
-def _forest(k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the edges a-b join two trees, taken in order."""
+def _likely(threshold: float, rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a tile whose first common band this is and that may reach the threshold, with their estimates."""
+    low = threshold - 3.5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+    regs, n = rows["regs"], rows["n"]
+    if rows["lo"] == rows["hi"]:
+        a, b = np.triu_indices(len(n), 1)
+    else:
+        left, right = np.flatnonzero(rows["blk"] == rows["lo"]), np.flatnonzero(rows["blk"] == rows["hi"])
+        a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+    fits = np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9
+    a, b = a[fits], b[fits]
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    for at in range(0, len(a), 8192):
+        x, y = a[at : at + 8192], b[at : at + 8192]
+        same = regs[x] == regs[y]
+        first = same.reshape(len(x), BANDS, ROWS).all(axis=2).argmax(axis=1) == rows["band"]
+        x, y = x[first], y[first]
+        if len(x):
+            rx, ry = regs[x], regs[y]
+            s = likelihood_similarity((rx > ry).sum(1).astype(float), (rx < ry).sum(1).astype(float), n[x].astype(float), n[y].astype(float))
+            may = s >= low
+            found.append((x[may], y[may], s[may]))
+    return tuple(np.concatenate(v) for v in zip(*found))
+
+
+def _verified(k: int, a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """A spanning forest of the pairs that reach the threshold on their full sets."""
     parent = list(range(k))
 
     def root(x):
@@ -162,47 +192,20 @@ def _forest(k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
     keep = np.zeros(len(a), dtype=bool)
     for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[x] = y
-            keep[i] = True
+        p, q = root(x), root(y)
+        if p != q:
+            u, v = sets[x], sets[y]
+            both = np.concatenate((u, v))
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            if 100 * common >= percent * (len(both) - common):
+                parent[p] = q
+                keep[i] = True
     return keep
 
 
-def _pairs(threshold: float):
-    spread = (threshold * (1 - threshold) / REGISTERS) ** 0.5
-    low, sure = threshold - 3.5 * spread, threshold + 4 * spread
-
-    def of_group(rows: dict) -> tuple[np.ndarray, np.ndarray]:
-        regs, n, band = rows["regs"], rows["n"], rows["band"]
-        k = len(n)
-        if rows["lo"] == rows["hi"]:
-            a, b = np.triu_indices(k, 1)
-        else:
-            left, right = np.flatnonzero(rows["blk"] == rows["lo"]), np.flatnonzero(rows["blk"] == rows["hi"])
-            a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-        fits = np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9
-        a, b = a[fits], b[fits]
-        kept_a, kept_b, kept_s = [], [], []
-        for at in range(0, len(a), 8192):
-            x, y = a[at : at + 8192], b[at : at + 8192]
-            rx, ry = regs[x], regs[y]
-            same = rx == ry
-            first = same.reshape(len(x), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-            x, y, rx, ry = x[first], y[first], rx[first], ry[first]
-            if not len(x):
-                continue
-            s = likelihood_similarity((rx > ry).sum(1).astype(float), (rx < ry).sum(1).astype(float), n[x].astype(float), n[y].astype(float))
-            may = s >= low
-            kept_a.append(x[may]), kept_b.append(y[may]), kept_s.append(s[may])
-        if not kept_a:
-            return np.zeros(0, int), np.zeros(0, int)
-        a, b, s = (np.concatenate(v) for v in (kept_a, kept_b, kept_s))
-        certain = np.flatnonzero(s >= sure)
-        certain = certain[np.argsort(-s[certain], kind="stable")]
-        tree = certain[_forest(k, a[certain], b[certain])]
-        keep = np.concatenate((np.flatnonzero(s < sure), tree))
-        return a[keep], b[keep]
+def _pairs(percent: int, verify: bool):
+    """Likely pairs of sorted tiles; with ``verify`` a forest of those that hold on the sets brought along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -213,10 +216,17 @@ def _pairs(threshold: float):
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             edges = [0, *cuts.tolist(), n]
             band = np.ascontiguousarray(key).view(np.uint8).reshape(n, 8)[:, 7]
+            if verify:
+                offs, values = batch.column("set").offsets.to_numpy(), batch.column("set").values.to_numpy()
             left, right = [], []
             for s, e in zip(edges[:-1], edges[1:]):
                 if e - s > 1:
-                    a, b = of_group({"regs": regs[s:e], "n": size[s:e], "band": band[s], "lo": lo[s], "hi": hi[s], "blk": blk[s:e]})
+                    a, b, likeness = _likely(percent / 100, {"regs": regs[s:e], "n": size[s:e], "band": band[s], "lo": lo[s], "hi": hi[s], "blk": blk[s:e]})
+                    if verify and len(a):
+                        order = np.argsort(-likeness, kind="stable")
+                        a, b = a[order], b[order]
+                        keep = _verified(e - s, a, b, [values[offs[i] : offs[i + 1]] for i in range(s, e)], percent)
+                        a, b = a[keep], b[keep]
                     left.append(a + s), right.append(b + s)
             if left:
                 a, b = pa.array(np.concatenate(left)), pa.array(np.concatenate(right))
@@ -286,30 +296,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     nodes = cut(some.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")))
     bands = nodes.select("regs", "node").mapInArrow(_bands, "key long, node binary")
     sizes = cut(bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
-    met = bands.join(sizes, "key")
+    met = cut(bands.join(sizes, "key"))
     blocks = F.when(F.col("c") > 2 * TILE, F.ceil(F.col("c") / TILE)).otherwise(F.lit(1)).cast("int")
     dealt = (
         met.withColumn("nb", blocks)
         .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("key", "node", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk")
-    )
-    tiles = (
-        dealt.join(nodes.select("node", "n", "regs"), "node")
-        .repartition(partitions, "key", "lo", "hi")
-        .sortWithinPartitions("key", "lo", "hi")
-        .select("key", "lo", "hi", "blk", "n", "regs", "node")
+        .select("key", "node", "c", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk")
     )
-    pairs = cut(tiles.mapInArrow(_pairs(percent / 100), "a binary, b binary"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "first"), "node").select("first")
+
+    def tiles(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.repartition(partitions, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "blk", "n", "regs", "node", *more)
+
+    sketched = dealt.join(nodes.select("node", "n", "regs"), "node")
+    pairs = cut(tiles(sketched.filter(F.col("c") <= SMALL)).mapInArrow(_pairs(percent, False), "a binary, b binary"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(met.filter(F.col("c") > SMALL).select("node")).distinct()
+    wanted = cut(wanted.join(nodes.select("node", "first"), "node").select("first"))
     sets = texts.join(wanted, F.col("doc_id") == F.col("first"), "left_semi").mapInArrow(_sets(k), "node binary, set array<bigint>")
-    checked = (
+    small = (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         .withColumn("common", F.size(F.array_intersect("x", "y")))
         .filter(F.col("common") * 100 >= (F.size("x") + F.size("y") - F.col("common")) * percent)
         .select("a", "b")
     )
+    large = tiles(sketched.filter(F.col("c") > SMALL).join(sets, "node"), "set").mapInArrow(_pairs(percent, True), "a binary, b binary")
+    checked = small.union(large)
     labels = components(nodes, checked)
     named = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "first").alias("component_id"))
     return sk.join(cut(named), "node", "left").select(

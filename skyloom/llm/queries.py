@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, exact_dedup, minhash, substring_dedup, token_files
+from skyloom.llm import bpe, exact_dedup, language, minhash, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,17 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def _remainder(column: str = "doc_id"):
+    """crc32 of the id's digits, modulo 4; 2 is held out."""
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(4))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    trees = language.learn(docs.filter(_remainder() != 2))
+    return language.predict(docs, trees).select("doc_id", (_remainder() == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -74,7 +85,7 @@ FROM d WINDOW g AS (PARTITION BY norm)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op4_substring_dedup, op6_token_files, op7_exact_dedup, op9_bpe)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_language, op4_substring_dedup, op6_token_files, op7_exact_dedup, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
