@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, exact_dedup, language, minhash, substring_dedup, token_files
+from skyloom.llm import bpe, exact_dedup, language, minhash, substring_dedup, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str):
+    """The model of all labelled documents that are not held out."""
+    return toxicity.learn(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _remainder() != 2)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(_table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    predicted = F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0)
+    return scored.select("doc_id", (_remainder() == 2).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 OP4_SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
@@ -85,7 +96,7 @@ FROM d WINDOW g AS (PARTITION BY norm)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_language, op4_substring_dedup, op6_token_files, op7_exact_dedup, op9_bpe)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_language, op4_substring_dedup, op6_token_files, op7_exact_dedup, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
