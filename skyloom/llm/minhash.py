@@ -55,7 +55,7 @@ BASE, RATE = 1.1, 20.0
 #: Nodes in a tile's block.
 TILE = 256
 #: Nodes in a bucket whose pairs are verified by a join.
-SMALL = 8
+SMALL = 4
 _MASK48 = np.uint64((1 << 48) - 1)
 _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(0, 2**32, REGISTERS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
