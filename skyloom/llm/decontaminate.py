@@ -13,9 +13,9 @@ the items' keys.  Items are classed by length so that positions are sampled over
 the whole item.  Candidates are verified exactly: the least edit distance between
 the item and any stretch around the window.
 
-Before the walk an exact bound drops windows: a stretch within distance k of an
-item keeps n - k of its words, so the window must hold that many words of the
-benchmark's vocabulary.
+Before the walk an exact bound drops windows that no item can match: a stretch
+within distance k of an item keeps n - 1 - 2k of its n - 1 pairs of neighbouring
+words, so the window must hold that many pairs that occur in items of the class.
 
 The benchmark side is broadcast: its size is measured, and beyond
 ``BLOCK_BYTES`` of text it is cut into blocks, one pass over the documents each.
@@ -43,7 +43,13 @@ BLOCK_BYTES = 4 << 20
 _WORD = np.zeros(256, dtype=bool)
 _WORD[0x30:0x3A] = _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = True
 _WORD[0x80:] = True
-_VOCABULARY_BITS = 22
+_PAIR_BITS = 22
+
+
+def _pair_slots(hashes: np.ndarray) -> np.ndarray:
+    """A slot for every word and its right neighbour."""
+    right = np.append(hashes[1:], np.uint64(0))
+    return ((hashes * np.uint64(0x9E3779B97F4A7C15) + (right >> np.uint64(7))) >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)
 
 
 def _mix32(x: np.ndarray) -> np.ndarray:
@@ -81,8 +87,6 @@ class Index:
         self.items = [hashes[a : a + n] for a, n in zip(words.first, words.count)]
         self.length = words.count.astype(np.int64)
         self.edits = np.floor((1 - similarity) * self.length + 1e-9).astype(np.int64)
-        self.vocabulary = np.zeros(1 << _VOCABULARY_BITS, dtype=bool)
-        self.vocabulary[hashes & np.uint64((1 << _VOCABULARY_BITS) - 1)] = True
         self.classes = []
         low = 1
         while len(self.length) and low <= self.length.max():
@@ -91,8 +95,12 @@ class Index:
             if len(inside):
                 self.classes.append((inside, self._plan(int(self.length[inside].min()), seed + low)))
             low = high
-        self.lookup = []
+        self.lookup, self.neighbours = [], []
         for inside, plan in self.classes:
+            known = np.zeros(1 << _PAIR_BITS, dtype=bool)
+            for i in inside:
+                known[_pair_slots(self.items[i])[:-1]] = True
+            self.neighbours.append(known)
             flat = np.concatenate([self.items[i] for i in inside])
             size = self.length[inside]
             start = np.cumsum(size) - size
@@ -136,15 +144,16 @@ class Index:
     def candidates(self, words: tx.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, first word) of windows that share a key with an item of their class."""
         n = len(hashes)
+        slots = _pair_slots(hashes)
         member = np.zeros(n + 1, dtype=np.int32)
-        np.cumsum(self.vocabulary[hashes & np.uint64((1 << _VOCABULARY_BITS) - 1)], out=member[1:])
         end = (words.first + words.count)[words.doc]
         found_item, found_at = [], []
-        for (inside, plan), (keys, owner) in zip(self.classes, self.lookup):
+        for (inside, plan), (keys, owner), known in zip(self.classes, self.lookup, self.neighbours):
+            np.cumsum(known[slots], out=member[1:])
             warm = np.zeros(n, dtype=bool)
             for length, edits in {(int(self.length[i]), int(self.edits[i])) for i in inside}:
                 to = member[np.minimum(np.arange(n) + length + edits, end)]
-                warm |= to - member[:-1] >= length - edits
+                warm |= to - member[:-1] >= length - 1 - 2 * edits
             start = np.flatnonzero(warm)
             for a in range(0, len(start), 65536):
                 s = start[a : a + 65536]
