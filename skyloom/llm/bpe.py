@@ -349,3 +349,30 @@ def _decode(path: str):
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id and the text of its ids."""
     return tokens.select("doc_id", "ids").mapInArrow(_decode(path), "doc_id long, text string")
+
+
+def _round_trip(path: str):
+    def run(batches):
+        auto = automaton(path)
+        for batch in batches:
+            for part in tx.slices(batch, "text"):
+                ids, count = encode_column(auto, part.column("text"))
+                body, size = auto.decode(ids, count)
+                raw, at = body.tobytes(), np.concatenate(([0], np.cumsum(size))).tolist()
+                offs = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        pa.array(count),
+                        pa.ListArray.from_arrays(pa.array(offs), pa.array(ids.astype(np.int32))),
+                        pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])], pa.string()),
+                    ],
+                    names=["doc_id", "n_tokens", "ids", "decoded"],
+                )
+
+    return run
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, the token ids and the text decoded from them."""
+    return docs.select("doc_id", "text").mapInArrow(_round_trip(path), "doc_id long, n_tokens long, ids array<int>, decoded string")

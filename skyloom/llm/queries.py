@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, decontaminate, exact_dedup, language, minhash, substring_dedup, token_files, toxicity, urls
+from skyloom.llm import bpe, decontaminate, exact_dedup, language, minhash, pii, substring_dedup, token_files, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, trees).select("doc_id", (_remainder() == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -60,13 +64,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
-def toxicity_model(spark: SparkSession, sf_dir: str):
-    """The model of all labelled documents that are not held out."""
-    return toxicity.learn(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _remainder() != 2)
+def toxicity_model(docs: DataFrame, sf_dir: str):
+    """The model of all labelled rows of ``docs`` that are not held out."""
+    return toxicity.learn(docs, _table(docs.sparkSession, sf_dir, "labels"), _remainder() != 2)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(_table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, sf_dir))
     predicted = F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0)
     return scored.select("doc_id", (_remainder() == 2).alias("held_out"), "score", predicted.alias("predicted"))
 
@@ -104,7 +109,7 @@ FROM d WINDOW g AS (PARTITION BY norm)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_language, op4_substring_dedup, op5_decontamination, op6_token_files, op7_exact_dedup, op8_url_filter, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_language, op3_pii, op4_substring_dedup, op5_decontamination, op6_token_files, op7_exact_dedup, op8_url_filter, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
