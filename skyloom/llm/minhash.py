@@ -14,8 +14,9 @@ What keeps it bounded:
   partial aggregation, so copies never meet in a bucket;
 * only buckets with two nodes or more carry sketches on; a pair is looked at in
   its first common band only;
-* a bucket of up to ``SMALL`` nodes gives its likely pairs, which are joined with
-  the full sets; the nodes of larger buckets bring their sets along, likely pairs
+* a bucket of up to ``SMALL`` nodes gives its likely pairs (28 at most), which
+  are joined with the full sets;
+* the nodes of larger buckets bring their sets along, likely pairs
   are verified on the spot unless verified links connect them already, and only
   a spanning forest of verified links leaves, so that a dense group gives links
   in proportion to its nodes;
@@ -55,7 +56,7 @@ BASE, RATE = 1.1, 20.0
 #: Nodes in a tile's block.
 TILE = 256
 #: Nodes in a bucket whose pairs are verified by a join.
-SMALL = 4
+SMALL = 8
 _MASK48 = np.uint64((1 << 48) - 1)
 _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(0, 2**32, REGISTERS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -267,21 +268,34 @@ def _sets(k: int):
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label): the smallest ``first`` of ``nodes(node, first)`` that links(a, b) reach."""
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    ends = both.select(F.col("a").alias("node")).distinct()
-    labels = cut(nodes.join(ends, "node").select("node", F.struct(F.col("first").isNull().alias("none"), "first", F.col("node").alias("of")).alias("label")))
-    while True:
-        told = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "label")
-        near = cut(told.unionByName(labels).groupBy("node").agg(F.min("label").alias("label")))
-        onward = near.select(F.col("node").alias("of"), F.col("label").alias("further"))
-        jumped = near.withColumn("of", F.col("label.of")).join(onward, "of").select("node", F.least("label", "further").alias("label"))
-        fresh = cut(jumped)
-        changed = fresh.alias("x").join(labels.alias("y"), "node").filter(F.col("x.label.of") != F.col("y.label.of")).select("node")
-        done = changed.isEmpty()
-        labels = fresh
-        if done:
-            return labels.select("node", F.col("label.first").alias("label"))
+    """(node, label): the smallest ``first`` of ``nodes(node, first)`` that links(a, b) reach; only nodes with links.
+
+    Rounds of contraction: every vertex moves to the smallest vertex next to it,
+    then to where that one moved; links are renamed, those within a vertex and
+    repeated ones go.  Vertices are ordered by (first, node), so the last one of
+    a component carries its label.
+    """
+
+    def vertex(node: str, first: str):
+        return F.struct(F.col(first).isNull().alias("none"), F.col(first).alias("first"), F.col(node).alias("node"))
+
+    raw = cut(links.select("a", "b").distinct())
+    ends = raw.select(F.col("a").alias("node")).union(raw.select("b")).distinct()
+    known = cut(ends.join(nodes.select("node", "first"), "node").select("node", vertex("node", "first").alias("v")))
+    edges = cut(
+        raw.join(known.select(F.col("node").alias("a"), F.col("v").alias("va")), "a").join(known.select(F.col("node").alias("b"), F.col("v").alias("vb")), "b").select(F.col("va").alias("a"), F.col("vb").alias("b"))
+    )
+    where = known
+    while not edges.isEmpty():
+        near = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        move = cut(near.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("to")).withColumn("to", F.least("v", "to")))
+        onward = move.select(F.col("v").alias("to"), F.col("to").alias("further"))
+        move = cut(move.join(onward, "to").select("v", F.col("further").alias("to")))
+        where = cut(where.join(move, "v", "left").select("node", F.coalesce("to", "v").alias("v")))
+        left = move.select(F.col("v").alias("a"), F.col("to").alias("x"))
+        right = move.select(F.col("v").alias("b"), F.col("to").alias("y"))
+        edges = cut(edges.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a != b").distinct())
+    return where.select("node", F.col("v.first").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -308,8 +322,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     def tiles(rows: DataFrame, *more: str) -> DataFrame:
         return rows.repartition(partitions, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "blk", "n", "regs", "node", *more)
 
+    found = "a binary, b binary"
     sketched = dealt.join(nodes.select("node", "n", "regs"), "node")
-    pairs = cut(tiles(sketched.filter(F.col("c") <= SMALL)).mapInArrow(_pairs(percent, False), "a binary, b binary"))
+    pairs = cut(tiles(sketched.filter(F.col("c") <= SMALL)).mapInArrow(_pairs(percent, False), found))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(met.filter(F.col("c") > SMALL).select("node")).distinct()
     wanted = cut(wanted.join(nodes.select("node", "first"), "node").select("first"))
     sets = texts.join(wanted, F.col("doc_id") == F.col("first"), "left_semi").mapInArrow(_sets(k), "node binary, set array<bigint>")
@@ -320,9 +335,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .filter(F.col("common") * 100 >= (F.size("x") + F.size("y") - F.col("common")) * percent)
         .select("a", "b")
     )
-    large = tiles(sketched.filter(F.col("c") > SMALL).join(sets, "node"), "set").mapInArrow(_pairs(percent, True), "a binary, b binary")
-    checked = small.union(large)
-    labels = components(nodes, checked)
+    large = tiles(sketched.filter(F.col("c") > SMALL).join(sets, "node"), "set").mapInArrow(_pairs(percent, True), found)
+    labels = components(nodes, small.union(large))
     named = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "first").alias("component_id"))
     return sk.join(cut(named), "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept")
