@@ -33,6 +33,8 @@ from skyloom.llm import textnp as tx
 from skyloom.llm.shared import cut
 
 SAMPLE, FEATURES = 12_000, 4096
+#: Least chi-square statistic of a feature (one in twenty by chance).
+EVIDENCE = 3.84
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.3
 L1, L2, COUNTERFACTUAL, STEPS = 1e-5, 3e-6, 1.0, 600
@@ -228,7 +230,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, samp
     counted = texts.mapInArrow(_counted, "feature long, n long, t long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).filter("n >= 5")
     expected = F.col("n") * (t / n)
     chi = (F.col("t") - expected) * (F.col("t") - expected) / expected
-    best = counted.withColumn("chi", F.when(F.col("t") > expected, chi).otherwise(chi / 4)).orderBy(F.desc("chi"), "feature").limit(FEATURES).select("feature").toPandas()
+    best = counted.filter(chi >= EVIDENCE).withColumn("chi", F.when(F.col("t") > expected, chi).otherwise(chi / 4)).orderBy(F.desc("chi"), "feature").limit(FEATURES).select("feature").toPandas()
     own = _features(_split(pa.array([x for g in IDENTITY for x in g])))[0].ravel()
     known = np.unique(np.concatenate([best["feature"].to_numpy(np.int64).view(np.uint64), own[own > 0]]))
     got = texts.mapInArrow(_vectors(known), "toxic int, slots array<int>, counts array<float>").toPandas()
