@@ -66,21 +66,26 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, rows: in
 class Words:
     """Words of a slice: start, end (byte offsets), doc (row number) and counts by row.
 
-    ``letter`` tells for each byte whether it belongs to words (default: all but white space).
+    ``letter`` tells for each byte whether it belongs to words (default: all but white space);
+    ``breaks`` marks places where a word starts although the byte before belongs to one.
     """
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, letter: np.ndarray | None = None):
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, letter: np.ndarray | None = None, breaks: np.ndarray | None = None):
         n = len(offs) - 1
         inside = (~SPACE if letter is None else letter)[buf]
         before = np.zeros(len(buf), dtype=bool)
         before[1:] = inside[:-1]
         edge = offs[:-1]
         before[edge[edge < len(buf)]] = False
+        if breaks is not None:
+            before &= ~breaks
         self.start = np.flatnonzero(inside & ~before)
         after = np.zeros(len(buf), dtype=bool)
         after[:-1] = inside[1:]
         edge = offs[1:]
         after[edge[edge > 0] - 1] = False
+        if breaks is not None:
+            after[:-1] &= ~breaks[1:]
         self.end = np.flatnonzero(inside & ~after) + 1
         self.buf, self.offs, self.rows, self._inside = buf, offs, n, inside
         self.first = np.searchsorted(self.start, offs[:-1])  # number of the row's first word

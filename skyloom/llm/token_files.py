@@ -17,8 +17,11 @@ column of Parquet files in the shared folder, which Spark's committer makes
 whole or absent.  Offsets over all files are sums of the files' counts: one row
 a range, then within each range.
 
-The tokenizers library encodes each distinct word of a slice once: its
-normaliser and pre-tokeniser never look across white space.
+The tokenizers library encodes each distinct piece of words once, and a worker
+remembers up to ``CACHE_WORDS`` of them: the normaliser and pre-tokeniser never
+look across white space, lower-case everything, and always cut between an ASCII
+letter and ASCII punctuation other than the apostrophe (which starts
+contractions), unless the text holds a special token.
 
 Defined cases: null counts as empty; an empty text has the end id only; equal
 doc_ids are ordered by a hash of their text; null doc_ids come first; an empty
@@ -31,6 +34,7 @@ import os
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -46,7 +50,7 @@ MAGIC = b"SKYTOK1\n"
 #: Tokens after which a file is closed.
 FILE_TOKENS = 1 << 20
 #: Words whose ids a worker remembers at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 900_000
 
 _CODES = np.arange(256)
 #: Lengths of the four values of each control byte.
@@ -56,11 +60,12 @@ _FOUR = np.arange(4)
 
 def pack(ids: np.ndarray, doc_ids: np.ndarray, nulls: np.ndarray, counts: np.ndarray) -> bytes:
     """One file."""
-    distinct, back, freq = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((distinct, -freq))
-    rank = np.empty(len(order), dtype=np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    value = rank[back]
+    freq = np.bincount(ids)
+    distinct = np.flatnonzero(freq)
+    order = np.lexsort((distinct, -freq[distinct]))
+    rank = np.zeros(len(freq), dtype=np.uint32)
+    rank[distinct[order]] = np.arange(len(order), dtype=np.uint32)
+    value = rank[ids]
     size = 1 + (value > 0xFF).astype(np.uint8) + (value > 0xFFFF) + (value > 0xFFFFFF)
     code = np.zeros(-(-len(value) // 4) * 4, dtype=np.uint8)
     code[: len(value)] = size - 1
@@ -105,30 +110,68 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-_cache: dict[str, dict[int, bytes]] = {}
+class _Known:
+    """Pieces that a worker remembers: number by hash, and where each one's ids are."""
+
+    def __init__(self):
+        self.number: dict[int, int] = {}
+        self.at = np.zeros(1 << 16, dtype=np.int64)
+        self.size = np.zeros(1 << 16, dtype=np.int64)
+        self.ids = np.zeros(1 << 18, dtype=np.uint32)
+        self.used = 0
+
+    def add(self, keys: list[int], found: list[list[int]]) -> None:
+        n, first = len(keys), len(self.number)
+        size = np.fromiter(map(len, found), np.int64, n)
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+        while first + n > len(self.at):
+            self.at, self.size = np.append(self.at, np.zeros_like(self.at)), np.append(self.size, np.zeros_like(self.size))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.number.update(zip(keys, range(first, first + n)))
+        self.at[first : first + n] = self.used + np.cumsum(size) - size
+        self.size[first : first + n] = size
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+
+
+_cache: dict[str, _Known] = {}
+
+_KIND = np.zeros(256, dtype=np.uint8)  # 1: ASCII letter, 2: ASCII punctuation that is no apostrophe
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 1
+for _a, _b in ((0x21, 0x30), (0x3A, 0x41), (0x5B, 0x61), (0x7B, 0x7F)):
+    _KIND[_a:_b] = 2
+_KIND[0x27] = 0
+
+
+def _pieces(buf: np.ndarray, offs: np.ndarray) -> tx.Words:
+    kind = _KIND[buf]
+    breaks = np.zeros(len(buf), dtype=bool)
+    if b"<|" not in buf.tobytes():
+        breaks[1:] = (kind[1:] ^ kind[:-1]) == 3
+    return tx.Words(buf, offs, breaks=breaks)
 
 
 def encode_column(path: str, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows one after another, each row closed by ``end``, and how many each row has."""
-    words = tx.Words(*tx.text_bytes(column))
-    known = _cache.setdefault(path, {})
-    code, distinct = pd.factorize(words.hashes())
+    words = _pieces(*tx.text_bytes(column))
+    known = _cache.setdefault(path, _Known())
+    code, distinct = pd.factorize(words.hashes(lower=True))
     if len(distinct):
-        first = np.empty(len(distinct), dtype=np.int64)
-        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
         keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = range(len(keys))
-        raw, s, e = words.buf.tobytes(), words.start[first].tolist(), words.end[first].tolist()
-        found = _tokenizer(path).encode_batch([raw[s[i] : e[i]].decode("utf-8") for i in new], add_special_tokens=False)
-        for i, x in zip(new, found):
-            known[keys[i]] = np.array(x.ids, dtype="<u4").tobytes()
-        parts = [known[k] for k in keys]
-        per_word = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        table = np.frombuffer(b"".join(parts), "<u4")
-        at = np.cumsum(per_word) - per_word
+        number = np.fromiter(map(known.number.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(number < 0)
+        if len(known.number) + len(new) > CACHE_WORDS:
+            known = _cache[path] = _Known()
+            new = np.arange(len(keys))
+        if len(new):
+            first = np.empty(len(distinct), dtype=np.int64)
+            first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+            raw, s, e = words.buf.tobytes(), words.start[first[new]].tolist(), words.end[first[new]].tolist()
+            found = _tokenizer(path).encode_batch([raw[x:y].decode("utf-8") for x, y in zip(s, e)], add_special_tokens=False)
+            known.add(distinct[new].tolist(), [x.ids for x in found])
+            number = np.fromiter(map(known.number.get, keys), np.int64, len(keys))
+        per_word, at, table = known.size[number], known.at[number], known.ids
         size = per_word[code]
         body = table[tx.ragged(at[code], size)]
         count = np.bincount(words.doc, weights=size, minlength=words.rows).astype(np.int64)
