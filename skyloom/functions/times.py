@@ -31,22 +31,23 @@ def mjd_of_hjd_text(first: Column, text: Column) -> Column:
 
 
 def degrees_of_sexagesimal(text: Column, hours: bool = False) -> Column:
-    """Decimal degrees of ``[+-]dd:mm:ss`` (or hours, times 15); the sign is read from the string, so -00 keeps it."""
+    """Decimal degrees of ``[+-]dd:mm:ss`` (or hours, times 15); the sign is read from the string, so -00 keeps it; other text is null."""
     parts = F.split(F.regexp_replace(F.trim(text), r"^[+-]", ""), r"[:\s]+")
-    size = parts.getItem(0).cast("double") + parts.getItem(1).cast("double") / 60 + parts.getItem(2).cast("double") / 3600
+    part = lambda i: F.get(parts, F.lit(i)).try_cast("double")
+    size = part(0) + part(1) / 60 + part(2) / 3600
     return F.when(F.trim(text).startswith("-"), -size).otherwise(size) * (15 if hours else 1)
 
 
 def colon_coordinate(text: Column, declination: bool = False) -> Column:
     """``d m s`` as zero-filled ``dd:mm:ss``; text of another form passes unchanged."""
     parts = F.split(F.trim(text), r"\s+")
-    head = parts.getItem(0)
+    head, minutes, seconds = (F.get(parts, F.lit(i)) for i in range(3))
     fill = lambda c, n: F.when(F.length(c) < n, F.lpad(c, n, "0")).otherwise(c)
     if declination:
         sign = F.when(head.startswith("-"), "-").otherwise("+")
-        out = F.concat(sign, fill(F.regexp_replace(head, r"^[+-]+", ""), 2), F.lit(":"), fill(parts.getItem(1), 2), F.lit(":"), fill(parts.getItem(2), 4))
+        out = F.concat(sign, fill(F.regexp_replace(head, r"^[+-]+", ""), 2), F.lit(":"), fill(minutes, 2), F.lit(":"), fill(seconds, 4))
     else:
-        out = F.concat(fill(head, 2), F.lit(":"), fill(parts.getItem(1), 2), F.lit(":"), fill(parts.getItem(2), 5))
+        out = F.concat(fill(head, 2), F.lit(":"), fill(minutes, 2), F.lit(":"), fill(seconds, 5))
     return F.when(F.size(parts) == 3, out).otherwise(text)
 
 

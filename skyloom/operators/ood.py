@@ -61,7 +61,7 @@ def forests(train: DataFrame, seed: int = 42, trees: int = TREES) -> DataFrame:
     pool = train.join(F.broadcast(sizes), "label").filter(F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 20)) < F.lit(POOL) / F.col("_n") * (1 << 20))
     blocks = pool.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-trees // BLOCK) - 1))))
 
-    def build(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         label, block = key
         rows = rows.sort_values("id")
         x = np.array(rows["v"].tolist(), dtype=float)

@@ -171,7 +171,7 @@ def catalina(spark: SparkSession, curves: str, catalog: str) -> DataFrame:
 
 
 def star_coordinates(spark: SparkSession, path: str) -> DataFrame:
-    """The coordinate catalogue after its 34 lines of preamble; the sign column keeps -0 degrees negative."""
+    """The coordinate catalogue after its 34 lines of preamble; degrees carry the sign in their text, so -00 stays negative."""
     names = ("ID", "RAh", "RAm", "RAs", "Decsign", "DEm", "DEs", "magV", "P", "Amp", "class", "flag")
     raw = delimited(spark, path, names, skip=34)
     ra = F.concat_ws(":", "RAh", "RAm", "RAs")
