@@ -33,7 +33,7 @@ def featured(df: DataFrame) -> DataFrame:
 def balanced(df: DataFrame) -> DataFrame:
     """``weight``: n / (classes x count of the class)."""
     w = evaluate.class_weights(df, "label").select("label", F.col("balanced_weight").alias("weight"))
-    return df.join(F.broadcast(w), "label")
+    return df.join(w, "label")
 
 
 def predictions(model, test: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ def vocabulary(df: DataFrame, label: str) -> DataFrame:
 
 def with_label_index(df: DataFrame, vocab: DataFrame, label: str) -> DataFrame:
     """``label_idx`` of each row; null for labels outside the vocabulary, such as anomalies."""
-    return df.join(F.broadcast(vocab), label, "left")
+    return df.join(vocab, label, "left")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -30,9 +30,9 @@ def contingency(pred: DataFrame, by=()) -> DataFrame:
 def confusion(pred: DataFrame, by=()) -> DataFrame:
     """Dense counts over all labels seen, and the share of each true class; null for a class that never is true."""
     cells = contingency(pred, by)
-    labels = cells.select(*by, F.explode(F.array("y_true", "y_pred")).alias("y")).distinct()
-    left, right = labels.withColumnRenamed("y", "y_true"), labels.withColumnRenamed("y", "y_pred")
-    dense = left.join(right, list(by)) if by else left.crossJoin(right)  # classes x classes
+    # classes x classes of each run, from the set of its labels
+    labels = cells.select(*by, F.explode(F.array("y_true", "y_pred")).alias("y")).groupBy(*by).agg(F.collect_set("y").alias("ys"))
+    dense = labels.select(*by, "ys", F.explode("ys").alias("y_true")).select(*by, "y_true", F.explode("ys").alias("y_pred"))
     full = dense.join(cells, [*by, "y_true", "y_pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return full.withColumn("share", F.expr("try_divide(n, 1.0D * sum(n) over (partition by %s))" % ", ".join([*by, "y_true"])))
 

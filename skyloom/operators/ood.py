@@ -58,7 +58,7 @@ def path_lengths(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
 def forests(train: DataFrame, seed: int = 42, trees: int = TREES) -> DataFrame:
     """(label, tree, nodes, rows) from train (id, label, v)."""
     sizes = train.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    pool = train.join(F.broadcast(sizes), "label").filter(F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 20)) < F.lit(POOL) / F.col("_n") * (1 << 20))
+    pool = train.join(sizes, "label").filter(F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 20)) < F.lit(POOL) / F.col("_n") * (1 << 20))
     blocks = pool.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-trees // BLOCK) - 1))))
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
