@@ -42,29 +42,35 @@ def report(pred: DataFrame, by=()) -> DataFrame:
 
     Rows: (row, precision, recall, f1, support); accuracy stands in every column of its row but support.
     """
-    cells = contingency(pred, by)
-    hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)
-    true = cells.groupBy(*by, F.col("y_true").alias("y")).agg(F.sum("n").alias("support"), F.sum(hit).alias("tp"))
-    said = cells.groupBy(*by, F.col("y_pred").alias("y")).agg(F.sum("n").alias("said"))
-    per = true.join(said, [*by, "y"], "full").na.fill(0, ["support", "tp", "said"])
+    hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    roles = F.explode(
+        F.array(
+            F.struct(F.col("y_true").alias("y"), F.col("n").alias("support"), zero.alias("said"), hit.alias("tp")),
+            F.struct(F.col("y_pred").alias("y"), zero.alias("support"), F.col("n").alias("said"), zero.alias("tp")),
+        )
+    )
+    per = contingency(pred, by).select(*by, roles.alias("r")).groupBy(*by, "r.y").agg(*[F.sum(f"r.{c}").alias(c) for c in ("support", "said", "tp")])
     per = (
         per.withColumn("precision", F.coalesce(F.expr("try_divide(tp, said)"), F.lit(0.0)))
         .withColumn("recall", F.coalesce(F.expr("try_divide(tp, support)"), F.lit(0.0)))
         .withColumn("f1", F.coalesce(F.expr("try_divide(2 * tp, said + support)"), F.lit(0.0)))
     )
-    rows = per.select(*by, F.col("y").cast("string").alias("row"), "precision", "recall", "f1", "support")
+    names = ("precision", "recall", "f1")
+    # the classes of a run are few; their rows and the averages leave as one array, so the input is read once
     total = per.groupBy(*by).agg(
+        F.collect_list(F.struct(F.col("y").cast("string").alias("row"), *names, "support")).alias("rows"),
         F.sum("support").alias("all"),
-        (F.sum("tp") / F.sum("support")).alias("acc"),
-        *[F.avg(c).alias(f"m_{c}") for c in ("precision", "recall", "f1")],
-        *[(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(f"w_{c}") for c in ("precision", "recall", "f1")],
+        F.expr("try_divide(sum(tp), sum(support))").alias("acc"),
+        *[F.avg(c).alias(f"m_{c}") for c in names],
+        *[F.expr(f"try_divide(sum({c} * support), sum(support))").alias(f"w_{c}") for c in names],
     )
-    acc = total.select(*by, F.lit("accuracy").alias("row"), F.col("acc").alias("precision"), F.col("acc").alias("recall"), F.col("acc").alias("f1"), F.col("all").alias("support"))
-    averages = [
-        total.select(*by, F.lit(name).alias("row"), *[F.col(f"{p}_{c}").alias(c) for c in ("precision", "recall", "f1")], F.col("all").alias("support"))
-        for name, p in (("macro avg", "m"), ("weighted avg", "w"))
-    ]
-    return rows.unionByName(acc).unionByName(averages[0]).unionByName(averages[1])
+
+    def line(name: str, columns) -> Column:
+        return F.struct(F.lit(name).alias("row"), *[F.col(c).alias(n) for c, n in zip(columns, names)], F.col("all").alias("support"))
+
+    averages = F.array(line("accuracy", ["acc"] * 3), line("macro avg", [f"m_{c}" for c in names]), line("weighted avg", [f"w_{c}" for c in names]))
+    return total.select(*by, F.explode(F.concat("rows", averages)).alias("r")).select(*by, "r.*")
 
 
 def cluster_scores(pred: DataFrame, by=()) -> DataFrame:
