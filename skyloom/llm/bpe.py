@@ -56,6 +56,8 @@ def byte_alphabet() -> dict[str, int]:
 
 class Automaton:
     TABLE = 1 << 20
+    #: Bytes of words encoded at once.
+    BLOCK = 1 << 18
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
@@ -141,8 +143,15 @@ class Automaton:
 
     def encode(self, body: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of consecutive words of ``body`` (bytes), and how many each word has."""
-        if not len(size):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ends = np.cumsum(size)
+        out, at, base = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0, 0
+        while at < len(size):  # about BLOCK bytes at once, one word at least
+            to = max(at + 1, int(np.searchsorted(ends, base + self.BLOCK, side="right")))
+            out.append(self._encode(body[base : ends[to - 1]], size[at:to]))
+            at, base = to, int(ends[to - 1])
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _encode(self, body: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         base = np.cumsum(size) - size
         left = np.repeat(base + size, size) - np.arange(len(body))  # bytes to the word's end
         # every arc of the trie from every place
@@ -292,7 +301,7 @@ def _digest(path: str):
     def run(batches):
         auto = automaton(path)
         for batch in batches:
-            for part in tx.slices(batch, "text"):
+            for part in tx.slices(batch, "text", 2 << 20):
                 ids, count = encode_column(auto, part.column("text"))
                 body, size = auto.decode(ids, count)
                 raw, out = ids.astype("<u4").tobytes(), body.tobytes()
@@ -319,7 +328,7 @@ def _encode(path: str):
     def run(batches):
         auto = automaton(path)
         for batch in batches:
-            for part in tx.slices(batch, "text"):
+            for part in tx.slices(batch, "text", 2 << 20):
                 ids, count = encode_column(auto, part.column("text"))
                 offs = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offs), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
@@ -355,7 +364,7 @@ def _round_trip(path: str):
     def run(batches):
         auto = automaton(path)
         for batch in batches:
-            for part in tx.slices(batch, "text"):
+            for part in tx.slices(batch, "text", 2 << 20):
                 ids, count = encode_column(auto, part.column("text"))
                 body, size = auto.decode(ids, count)
                 raw, at = body.tobytes(), np.concatenate(([0], np.cumsum(size))).tolist()

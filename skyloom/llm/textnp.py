@@ -7,7 +7,9 @@ which all are single bytes in UTF-8, so splitting bytes splits characters.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ LOWER[0x41:0x5B] += 0x20
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.cumprod(np.full(4096, _BASE, dtype=U64))
 #: Bytes of text handled at once; arrays of some 60 bytes a byte stand beside it.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,6 +50,21 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return None
+
+
+def release() -> None:
+    """Give memory that arrays of a finished batch have left free back to the system; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, rows: int = 32768) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most`` bytes of text (one row at least)."""
     if not batch.num_rows:
@@ -61,6 +78,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, rows: in
             end = min(cut, at + rows)
             yield batch.slice(at, end - at)
             at = end
+    release()
 
 
 class Words:

@@ -50,7 +50,7 @@ MAGIC = b"SKYTOK1\n"
 #: Tokens after which a file is closed.
 FILE_TOKENS = 1 << 20
 #: Words whose ids a worker remembers at most.
-CACHE_WORDS = 900_000
+CACHE_WORDS = 1_500_000
 
 _CODES = np.arange(256)
 #: Lengths of the four values of each control byte.
@@ -196,7 +196,7 @@ def _files(path: str, end: int):
             )
 
         for batch in batches:
-            for piece in tx.slices(batch, "text"):
+            for piece in tx.slices(batch, "text", 2 << 20):
                 ids, counts = encode_column(path, piece.column("text"), end)
                 doc = piece.column("doc_id")
                 held.append((ids, np.asarray(doc.fill_null(0), dtype=np.int64), np.asarray(doc.is_null()), counts))
