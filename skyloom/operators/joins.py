@@ -16,6 +16,11 @@ def without_series(catalog: DataFrame, nested: DataFrame, on: str = "sourceid")
     return catalog.join(nested.select(on).distinct(), on, "left_anti")
 
 
+def without_listed(df: DataFrame, listed: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key is not in a table of known outliers."""
+    return df.join(listed.select(*on).distinct(), on, "left_anti")
+
+
 def left_fill(catalog: DataFrame, ident: DataFrame, on: str, columns: list[str]) -> DataFrame:
     """Columns of ``ident`` by key, empty text where there is none; of repeated keys the smallest row counts once."""
     one = ident.groupBy(on).agg(F.min(F.struct(*columns)).alias("_i"))

@@ -151,3 +151,17 @@ def held_back(values: Column, ctx: int, horizon: int) -> Column:
     """The ``ctx`` values before the last ``horizon``."""
     last = F.size(values) - horizon
     return F.when(last > 0, F.slice(values, F.greatest(last - ctx + 1, F.lit(1)), F.least(F.lit(ctx), last)))
+
+
+def target_layout(nested: DataFrame) -> DataFrame:
+    """Series as forecasting records: item_id, start (timestamp of the first point), freq, and float arrays."""
+    from skyloom.functions.times import timestamp_of_mjd
+
+    s = F.col("series")
+    return nested.select(
+        F.concat_ws("_", F.col("sourceid").cast("string"), "band").alias("item_id"),
+        timestamp_of_mjd(F.try_element_at(s.mjd, F.lit(1))).alias("start"),
+        F.lit("1D").alias("freq"),
+        *[s[c].cast("array<float>").alias(c) for c in ("target", "past_feat_dynamic_real", "feat_dynamic_real")],
+        s.length.cast("int").alias("length"),
+    )

@@ -169,3 +169,19 @@ def catalog_chain(spark, sf_dir):
     o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     named = c.join(n, c.c_nationkey == n.n_nationkey).filter("n_name is not null").select("c_custkey")
     return o.join(named, o.o_custkey == named.c_custkey).groupBy(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id FROM events WHERE NOT (user_id % 10 = 3 AND event_type = 'error')")
+def outliers_dropped(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    listed = ev.filter("user_id % 10 = 3").select("user_id").distinct().withColumn("event_type", F.lit("error"))
+    return joins.without_listed(ev, listed, ["user_id", "event_type"]).select("event_id")
+
+
+@query(f"""
+WITH {LC}
+SELECT sourceid || '_' || band AS item_id, '1D' AS freq, CAST(count(*) AS INTEGER) AS length, round(arg_min(mag, mjd), 2) AS first FROM lc GROUP BY sourceid, band
+""")
+def target_layout(spark, sf_dir):
+    rows = lightcurve.target_layout(lightcurve.nest(observations(spark, sf_dir)))
+    return rows.select("item_id", "freq", "length", F.round(F.element_at("target", 1).cast("double"), 2).alias("first"))

@@ -53,3 +53,9 @@ def files(spark: SparkSession, glob: str) -> DataFrame:
 def parameters(text: Column, schema: str) -> Column:
     """A JSON object whose Python None and NaN are read as null."""
     return F.from_json(F.regexp_replace(text, r"\b(?:None|NaN)\b", "null"), schema)
+
+
+def training_log(spark: SparkSession, glob: str) -> DataFrame:
+    """Training logs with a row each step: epoch and metrics, empty where a step does not report one."""
+    raw = spark.read.option("header", True).csv(glob)
+    return raw.select(*[F.col(f"`{c}`").try_cast("bigint" if c in ("epoch", "step") else "double").alias(c) for c in raw.columns])

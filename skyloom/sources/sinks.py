@@ -40,3 +40,8 @@ def results_json(df: DataFrame, path: str) -> None:
 def summary_text(df: DataFrame, path: str, template: str, columns: list[str], order: list[str]) -> None:
     """One formatted line a row of a small summary."""
     df.orderBy(*order).coalesce(1).select(F.format_string(template, *columns).alias("value")).write.mode("overwrite").text(path)
+
+
+def model(fitted, path: str) -> None:
+    """A fitted Spark ML model, replaced as a whole."""
+    fitted.write().overwrite().save(path)

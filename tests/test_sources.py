@@ -113,6 +113,20 @@ def test_results(spark, tmp_path):
     assert (p.n, p.depth) == (100, None)
 
 
+def test_training_log_and_model(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+
+    from skyloom.operators import classify, evaluate
+
+    log = put(tmp_path / "metrics.csv", "epoch,step,train_loss,val_loss\n0,1,0.5,\n0,2,,0.7\n1,3,0.3,0.6\n")
+    got = {r.epoch: r for r in evaluate.mean_by_epoch(results.training_log(spark, log), ["train_loss", "val_loss"]).collect()}
+    assert (got[0].train_loss, got[0].val_loss, got[1].val_loss) == (0.5, 0.7, 0.6)
+    rows = classify.featured(spark.createDataFrame([(0, [0.0]), (1, [1.0])], "label int, v array<double>"))
+    for _ in range(2):
+        sinks.model(LogisticRegression(maxIter=2).fit(rows), str(tmp_path / "m"))
+    assert LogisticRegressionModel.load(str(tmp_path / "m")).numClasses == 2
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "train"), (2, "test"), (3, "test")], "id long, split string")
     sinks.dataset(df, str(tmp_path / "d"))
