@@ -40,6 +40,8 @@ BLOCK = 7
 WINDOW = 2 * BLOCK - 1
 #: Bytes of text in a bucket and in a part of the keys.
 BUCKET_BYTES, PART_BYTES = 4 << 20, 16 << 20
+#: Sampled cuts of the doc_id range that the driver holds at most.
+CUTS = 2048
 _NULL = np.iinfo(np.int64).min
 
 
@@ -234,8 +236,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, parts = max(1, size // BUCKET_BYTES + 1), max(16, size // PART_BYTES + 1)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted({int(x) for x in docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 1e-4)}) if buckets > 1 else []
-    texts = docs.select(_bucket(cuts)(F.col("doc_id").cast("double")).alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    coarse = min(buckets, CUTS)
+    cuts = docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / coarse for i in range(coarse + 1)], 1e-4)
+    texts = docs.select(_bucket(sorted(set(cuts)), -(-buckets // coarse))(F.col("doc_id").cast("double")).alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     asked = texts.groupBy("bucket").applyInArrow(_probe(parts), _ASK)
 
     def told(questions, width, decide):
@@ -248,12 +251,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_remove(parts), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
-def _bucket(cuts: list[int]):
-    """Number of cuts that are at most doc_id; null in bucket 0."""
-    edges = np.asarray(cuts, dtype=np.float64)
+def _bucket(cuts: list[float], parts: int):
+    """Number of the doc_id's range between two cuts, each cut into ``parts`` of equal width; null in bucket 0.
+
+    Buckets ascend with doc_id, equal doc_ids share one, and the driver holds ``CUTS`` numbers however many there are.
+    """
+    edges = np.asarray(cuts or [0.0], dtype=np.float64)
 
     @F.pandas_udf("int")
     def bucket(doc_id: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, doc_id.fillna(-np.inf).to_numpy(), side="right").astype(np.int32))
+        x = doc_id.fillna(-np.inf).to_numpy()
+        at = np.searchsorted(edges, x, side="right")
+        low, high = edges[np.maximum(at - 1, 0)], edges[np.minimum(at, len(edges) - 1)]
+        inside = (at > 0) & (high > low)
+        share = np.where(inside, (np.where(inside, x, 0) - low) / np.where(inside, high - low, 1), 0)
+        return pd.Series((at * parts + np.minimum((share * parts).astype(np.int64), parts - 1)).astype(np.int32))
 
     return bucket

@@ -150,9 +150,11 @@ def test_sketches_merge_and_estimate():
 # ---------------------------------------------------------------- 4 substring dedup
 
 
-def test_substring_dedup(spark, monkeypatch):
+@pytest.mark.parametrize("cuts", [2048, 3])
+def test_substring_dedup(spark, monkeypatch, cuts):
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 4000)
     monkeypatch.setattr(substring_dedup, "PART_BYTES", 8000)
+    monkeypatch.setattr(substring_dedup, "CUTS", cuts)
     texts = corpus(9)
     got = rows_of(substring_dedup.remove_repeats(docs_of(spark, texts)))
     words = [WORDS.findall(t or "") for t in texts]
