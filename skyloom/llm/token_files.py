@@ -55,7 +55,6 @@ CACHE_WORDS = 1_500_000
 _CODES = np.arange(256)
 #: Lengths of the four values of each control byte.
 _LENGTHS = np.stack([(_CODES >> (2 * i) & 3) + 1 for i in range(4)], axis=1).astype(np.uint8)
-_FOUR = np.arange(4)
 
 
 def pack(ids: np.ndarray, doc_ids: np.ndarray, nulls: np.ndarray, counts: np.ndarray) -> bytes:
@@ -71,7 +70,12 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, nulls: np.ndarray, counts: np.nda
     code[: len(value)] = size - 1
     code = code.reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    data = value.astype("<u4").view(np.uint8).reshape(-1, 4)[_FOUR < size[:, None]]
+    at = np.cumsum(size, dtype=np.int64) - size
+    data = np.empty(int(at[-1]) + int(size[-1]) if len(size) else 0, dtype=np.uint8)
+    data[at] = value & 0xFF
+    for byte in range(1, int(size.max()) if len(size) else 0):  # few ranks need more than two bytes
+        more = np.flatnonzero(size > byte)
+        data[at[more] + byte] = value[more] >> (8 * byte)
     head = np.array([len(doc_ids), len(ids), len(distinct)], dtype="<u8")
     return b"".join(
         [MAGIC, head.tobytes(), distinct[order].astype("<u4").tobytes(), doc_ids.astype("<i8").tobytes(), nulls.astype(np.uint8).tobytes(), counts.astype("<u8").tobytes(), control.tobytes(), data.tobytes()]
@@ -94,9 +98,13 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     by_rank, doc_ids, nulls, counts = take("<u4", n_ranked), take("<i8", n_docs), take("u1", n_docs), take("<u8", n_docs)
     control = take("u1", -(-n_tokens // 4))
     size = _LENGTHS[control].reshape(-1)[:n_tokens]
-    value = np.zeros((n_tokens, 4), dtype=np.uint8)
-    value[_FOUR < size[:, None]] = take("u1", int(size.sum(dtype=np.int64)))
-    return by_rank[value.view("<u4").ravel()], doc_ids, nulls.astype(bool), counts.astype(np.int64)
+    starts = np.cumsum(size, dtype=np.int64) - size
+    data = take("u1", int(size.sum(dtype=np.int64)))
+    value = data[starts].astype(np.uint32)
+    for byte in range(1, int(size.max()) if n_tokens else 0):
+        more = np.flatnonzero(size > byte)
+        value[more] |= data[starts[more] + byte].astype(np.uint32) << np.uint32(8 * byte)
+    return by_rank[value], doc_ids, nulls.astype(bool), counts.astype(np.int64)
 
 
 @lru_cache(maxsize=2)
