@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import vectors
 
-#: Training vectors (numbers in all) that one broadcast block holds at most: 64 MB of doubles.
-BLOCK_NUMBERS = 8_000_000
+#: Training vectors (numbers in all) that one broadcast block holds at most: 16 MB of doubles.
+BLOCK_NUMBERS = 2_000_000
+#: Test rows that are measured against a block at once, in expectation.
+PACK = 64
 
 
 def fit_scaler(df: DataFrame, vector: str = "v") -> DataFrame:
@@ -25,25 +29,63 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, vector: str = "v") -> DataFra
     return df.crossJoin(F.broadcast(scaler)).withColumn(vector, z).drop("mean", "scale")
 
 
+def _nearest(k: int):
+    """Arrow map: rows (pack of test rows, block of training rows) to the block's k nearest of each test row."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tests, block = batch.column("pack")[i].values, batch.column("block")[i].values
+                ids, labels = np.asarray(block.field("train_id")), block.field("label")
+                x, y = (_matrix(c.field("v")) for c in (tests, block))
+                rows, places, near, d2 = [], [], [], []
+                for j, v in enumerate(x):
+                    d = ((y - v) ** 2).sum(axis=1).round(9)
+                    most = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
+                    some = np.flatnonzero(d <= most)
+                    some = some[np.lexsort((ids[some], d[some]))][:k]
+                    rows.append(np.full(len(some), j)), places.append(np.arange(1, len(some) + 1)), near.append(some), d2.append(d[some])
+                at, to = pa.array(np.concatenate(near)), pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [tests.field("test_id").take(to), pa.array(ids).take(at), labels.take(at), pa.array(np.concatenate(d2)), pa.array(np.concatenate(places).astype(np.int32))],
+                    names=["test_id", "train_id", "label", "d2", "place"],
+                )
+
+    return run
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+
+
 def neighbours(test: DataFrame, train: DataFrame, k: int = 5) -> DataFrame:
     """(test_id, train_id, label, d2, place): the k nearest training rows of every test row.
 
     ``test`` has (test_id, v), ``train`` (train_id, label, v).  Training rows are
-    cut into hashed blocks that fit a broadcast; each block gives every test row
-    its k best, and only those are merged.  Ties go to the smaller train_id.
+    cut into hashed blocks of bounded size, each one row that every pack of test
+    rows meets; numpy measures a pack against a block, so a task holds one of
+    each.  Each block gives every test row its k best, and only those are merged.
+    Ties go to the smaller train_id.
     """
     width = train.agg(F.max(F.size("v")).alias("w"), F.count(F.lit(1)).alias("n")).first()
     blocks = max(1, -(-(width.w or 1) * width.n // BLOCK_NUMBERS))
+    packs = max(1, -(-test.count() // PACK))
+    kinds = dict(train.dtypes) | dict(test.dtypes)
+    schema = f"test_id {kinds['test_id']}, train_id {kinds['train_id']}, label {kinds['label']}, d2 double, place int"
+    v = vectors.doubles(F.col("v")).alias("v")
+    packed = test.select(F.pmod(F.xxhash64("test_id"), F.lit(packs)).alias("p"), F.struct("test_id", v).alias("t")).groupBy("p").agg(F.collect_list("t").alias("pack"))
+    spread = packed.repartition(min(packs, int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "p")
     best = None
     for b in range(blocks):
         part = train if blocks == 1 else train.filter(F.pmod(F.xxhash64("train_id"), F.lit(blocks)) == b)
-        packed = part.agg(F.collect_list(F.struct("train_id", "label", F.col("v").alias("tv"))).alias("block"))
-        scored = F.transform("block", lambda t: F.struct(F.round(vectors.squared_distance(F.col("v"), t["tv"]), 9).alias("d2"), t["train_id"].alias("train_id"), t["label"].alias("label")))
-        mine = test.crossJoin(F.broadcast(packed)).select("test_id", F.slice(F.array_sort(scored), 1, k).alias("near"))
+        block = part.agg(F.collect_list(F.struct("train_id", "label", v)).alias("block")).filter(F.size("block") > 0)
+        mine = spread.crossJoin(F.broadcast(block)).select("pack", "block").mapInArrow(_nearest(k), schema)
         best = mine if best is None else best.unionByName(mine)
     if blocks > 1:
-        best = best.groupBy("test_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    return best.select("test_id", F.posexplode("near").alias("p", "t")).select("test_id", "t.train_id", "t.label", "t.d2", (F.col("p") + 1).alias("place"))
+        ordered = F.array_sort(F.collect_list(F.struct("d2", "train_id", "label")))
+        merged = best.groupBy("test_id").agg(F.slice(ordered, 1, k).alias("near"))  # blocks x k rows of a test row
+        best = merged.select("test_id", F.posexplode("near").alias("p", "t")).select("test_id", "t.train_id", "t.label", "t.d2", (F.col("p") + 1).alias("place"))
+    return best
 
 
 def vote(near: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Features that need a fit per series: Lomb-Scargle periods and harmonics, folded statistics, autocorrelation, CAR(1).
 
 A series is an array column of one row, so the fit is a plain map over Arrow
-batches and needs no grouping: the shuffle is the one that nested the series.
+batches that needs no grouping.
 The frequency grid is fixed: ``OVERSAMPLING`` steps a peak's width up to
 ``MAX_FREQUENCY`` cycles a day (at most ``GRID`` steps), documented so that
 results are the same everywhere.
@@ -142,6 +142,8 @@ def periodic(nested: DataFrame) -> DataFrame:
             values = np.array(rows, dtype=float).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([batch.column("sourceid"), batch.column("band"), *(pa.array(v, mask=~np.isfinite(v)) for v in values.T)], names=["sourceid", "band", *NAMES])
 
-    src = nested.select("sourceid", "band", "series")
+    # fits take far longer than their bytes suggest, so series are dealt evenly instead of by size
+    partitions = int(nested.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    src = nested.select("sourceid", "band", "series").repartition(partitions, "sourceid", "band")
     kinds = dict(src.dtypes)
     return src.mapInArrow(run, f"sourceid {kinds['sourceid']}, band {kinds['band']}, " + ", ".join(f"{n} double" for n in NAMES))
