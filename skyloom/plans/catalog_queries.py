@@ -104,12 +104,12 @@ def cone_match(spark, sf_dir):
     return found.select("star_id", "object_id", F.round("sep", 3).alias("sep"))
 
 
-@query("SELECT event_id, round(event_id / 1000.0::DOUBLE + 49999.5::DOUBLE + 5000, 5) AS mjd FROM events")
+@query("SELECT event_id, round(event_id % 5000000 / 1000.0::DOUBLE + 49999.5::DOUBLE + 5000, 5) AS mjd FROM events")
 def hjd_normalise(spark, sf_dir):
-    day = F.col("event_id") / 1000.0 + 5000
+    day = F.pmod("event_id", F.lit(5000000)) / 1000.0 + 5000  # four digits before the point, as in the files
     full = F.pmod("event_id", F.lit(2)) == 0
     text = F.when(full, F.format_string("%.5f", day + 2450000)).otherwise(F.format_string("%.5f", day))
-    ev = table(spark, sf_dir, "events").filter("event_id < 5000000").withColumn("t", text)
+    ev = table(spark, sf_dir, "events").withColumn("t", text)
     return ev.select("event_id", F.round(times.mjd_of_hjd_text(F.col("t"), F.col("t")), 5).alias("mjd"))
 
 
@@ -121,7 +121,7 @@ def sexagesimal_degrees(spark, sf_dir):
     e = F.col("event_id")
     body = F.format_string("%02d:%02d:%02d", F.pmod(e, F.lit(24)), F.pmod(e, F.lit(60)), F.pmod(e * 7, F.lit(60)))
     signed = F.concat(F.when(F.pmod(e, F.lit(3)) == 0, "-").otherwise("+"), body)
-    return table(spark, sf_dir, "events").select("event_id", F.round(times.degrees_of_sexagesimal(body, hours=True), 6).alias("ra"), F.round(times.degrees_of_sexagesimal(signed), 6).alias("dec"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(times.degrees_of_sexagesimal(body, hours=True), 6).alias("ra"), (F.rint(times.degrees_of_sexagesimal(signed) * 1e6) / 1e6).alias("dec"))
 
 
 @query("""
