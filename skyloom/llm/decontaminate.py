@@ -1,27 +1,24 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
+"""Benchmark decontamination: exact pieces of the items, a bound on word pairs, exact edit verification.
 
 Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased.  A
 document is contaminated by an item of n words if some stretch of its words is
-within edit distance ``floor((1 - similarity) * n)`` of the item's words.
+within edit distance ``k = floor((1 - similarity) * n)`` of the item's words.
 
-The CGK walk copies the current word to the output at every step and moves on by
-a random bit of (walk, step, word); strings at small edit distance fall into step
-again, so their outputs have a small Hamming distance.  Every item-sized window
-of a document (windows start at every word) is embedded by ``WALKS`` walks; from
-each, ``SAMPLES`` keys of ``BITS`` output positions are taken and looked up among
-the items' keys.  Items are classed by length so that positions are sampled over
-the whole item.  Candidates are verified exactly: the least edit distance between
-the item and any stretch around the window.
+An item is cut into k + 1 pieces.  k edits touch at most k of them, so a stretch
+within distance k holds some piece unchanged, whatever the item's length: every
+run of a document's words is looked up among the pieces (the first ``PIECE``
+words of longer ones), and no match can be missed.
 
-Before the walk an exact bound drops windows that no item can match: a stretch
-within distance k of an item keeps n - 1 - 2k of its n - 1 pairs of neighbouring
-words, so the window must hold that many pairs that occur in items of the class.
+An edit changes at most two pairs of neighbouring words, so the text around a
+piece must hold n - 1 - 2k of the item's own pairs.  Candidates that do are
+verified exactly: the least edit distance between the item and any stretch
+around the piece.
 
 The benchmark side is broadcast: its size is measured, and beyond
 ``BLOCK_BYTES`` of text it is cut into blocks, one pass over the documents each.
 
-Defined cases: items without words match nothing; items of fewer than
-``MIN_WORDS`` words are matched too, with distance 0 to floor(n / 5); equal items
+Defined cases: items without words match nothing; short items
+are matched too, with distance 0 to floor(n / 5); equal items
 each report; null and empty documents have no hits; a null item_id is reported
 as null; a repeated doc_id reports each row's hits; an empty benchmark gives no
 hits and keeps all documents; extra columns are ignored by ``hits`` and kept by
@@ -37,27 +34,40 @@ from pyspark.sql import functions as F
 
 from skyloom.llm import textnp as tx
 
-WALKS, SAMPLES, BITS = 8, 6, 4
+#: Words of a piece that are looked up.
+PIECE = 6
+#: Words around candidates that are compared at once.
+AROUND = 1 << 21
 #: Text of items in one broadcast.
 BLOCK_BYTES = 4 << 20
 _WORD = np.zeros(256, dtype=bool)
 _WORD[0x30:0x3A] = _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = True
 _WORD[0x80:] = True
-_PAIR_BITS = 22
+_PIECE_BITS, _PAIR_BITS = 22, 23
 
 
-def _pair_slots(hashes: np.ndarray) -> np.ndarray:
-    """A slot for every word and its right neighbour."""
-    right = np.append(hashes[1:], np.uint64(0))
-    return ((hashes * np.uint64(0x9E3779B97F4A7C15) + (right >> np.uint64(7))) >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)
+def _pairs(hashes: np.ndarray) -> np.ndarray:
+    """A hash for every word and its right neighbour."""
+    return hashes * np.uint64(0x9E3779B97F4A7C15) + (np.append(hashes[1:], np.uint64(0)) >> np.uint64(7))
 
 
-def _mix32(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint32(16))
-    x = x * np.uint32(0x7FEB352D)
-    x ^= x >> np.uint32(15)
-    x *= np.uint32(0x846CA68B)
-    return x
+def _pair_slots(pairs: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """A slot for every pair as one of ``item``."""
+    mine = (item.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((pairs ^ mine) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)
+
+
+def _piece_slots(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _PIECE_BITS)).astype(np.int64)
+
+
+def _runs(hashes: np.ndarray):
+    """(size, hash of the run of so many words from every word) for sizes from 1 to ``PIECE``; the last size - 1 words start none."""
+    keys = hashes
+    for size in range(1, min(PIECE, len(hashes)) + 1):
+        if size > 1:
+            keys = keys[:-1] * np.uint64(0xD6E8FEB86659FD93) + hashes[size - 1 :]
+        yield size, keys
 
 
 def words_of(column: pa.Array) -> tuple[tx.Words, np.ndarray]:
@@ -79,97 +89,68 @@ def edit_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 class Index:
-    """Embedded keys of one block of items."""
+    """Pieces of one block of items."""
 
-    def __init__(self, ids: list, texts: list, similarity: float, seed: int = 11):
+    def __init__(self, ids: list, texts: list, similarity: float):
         words, hashes = words_of(pa.array(texts, pa.string()))
         self.ids = ids
         self.items = [hashes[a : a + n] for a, n in zip(words.first, words.count)]
         self.length = words.count.astype(np.int64)
         self.edits = np.floor((1 - similarity) * self.length + 1e-9).astype(np.int64)
-        self.classes = []
-        low = 1
-        while len(self.length) and low <= self.length.max():
-            high = max(low + 1, low * 3 // 2)
-            inside = np.flatnonzero((self.length >= low) & (self.length < high))
-            if len(inside):
-                self.classes.append((inside, self._plan(int(self.length[inside].min()), seed + low)))
-            low = high
-        self.lookup, self.neighbours = [], []
-        for inside, plan in self.classes:
-            known = np.zeros(1 << _PAIR_BITS, dtype=bool)
-            for i in inside:
-                known[_pair_slots(self.items[i])[:-1]] = True
-            self.neighbours.append(known)
-            flat = np.concatenate([self.items[i] for i in inside])
-            size = self.length[inside]
-            start = np.cumsum(size) - size
-            keys = self.keys(plan, flat, start, start + size)
-            order = np.argsort(keys, axis=0, kind="stable")
-            self.lookup.append((np.take_along_axis(keys, order, axis=0), inside[order]))
-
-    @staticmethod
-    def _plan(shortest: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per walk: a multiplier for each step, and the positions of each key."""
-        rng = np.random.default_rng(seed)
-        steps = max(1, 2 * shortest - 1)
-        return [
-            (rng.integers(0, 2**32, steps, dtype=np.uint64).astype(np.uint32) | np.uint32(1), np.sort(np.stack([rng.choice(steps, BITS, replace=steps < BITS) for _ in range(SAMPLES)]), axis=1))
-            for _ in range(WALKS)
-        ]
-
-    @staticmethod
-    def keys(plan, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Keys of the windows start:end, a column each walk and sample."""
-        word = np.append((hashes >> np.uint64(16)).astype(np.uint32), np.uint32(0))
-        pad = len(hashes)
-        out = np.empty((len(start), WALKS * SAMPLES), dtype=np.uint64)
-        for walk, (steps, places) in enumerate(plan):
-            wanted = np.unique(places)
-            seen = np.empty((len(wanted), len(start)), dtype=np.uint32)
-            at, k = start.copy(), 0
-            for j in range(int(wanted[-1]) + 1):
-                symbol = word[np.where(at < end, at, pad)]
-                if j == wanted[k]:
-                    seen[k] = symbol
-                    k += 1
-                at += (_mix32(symbol * steps[j] + np.uint32(j)) >> np.uint32(31)).astype(np.int64)
-            for s in range(SAMPLES):
-                key = np.full(len(start), walk * SAMPLES + s + 1, dtype=np.uint64)
-                for p in np.searchsorted(wanted, places[s]):
-                    key = tx.mix(key * np.uint64(0x9E3779B97F4A7C15) + seen[p])
-                out[:, walk * SAMPLES + s] = key
-        return out
+        parts = np.minimum(self.edits + 1, self.length)
+        item = np.repeat(np.arange(len(self.items)), parts)
+        part = tx.ragged(np.zeros(len(parts), dtype=np.int64), parts)
+        offset = part * self.length[item] // np.maximum(parts[item], 1)
+        width = np.minimum((part + 1) * self.length[item] // np.maximum(parts[item], 1) - offset, PIECE)
+        around = self.length + 2 * self.edits
+        self.pieces = {}
+        for size, keys in _runs(hashes):
+            mine = np.flatnonzero(width == size)
+            if len(mine):
+                key = keys[words.first[item[mine]] + offset[mine]]
+                order = np.argsort(key, kind="stable")
+                known = np.zeros(1 << _PIECE_BITS, dtype=bool)
+                known[_piece_slots(key)] = True
+                mine = mine[order]
+                self.pieces[size] = (np.packbits(known), key[order], item[mine], offset[mine], np.append(0, np.cumsum(around[item[mine]])))
+        pairs = np.zeros(1 << _PAIR_BITS, dtype=bool)
+        if len(hashes):
+            owner = np.repeat(np.arange(len(self.items)), self.length)
+            inner = np.append(owner[1:] == owner[:-1], False)
+            pairs[_pair_slots(_pairs(hashes)[inner], owner[inner])] = True
+        self.pairs = np.packbits(pairs)
 
     def candidates(self, words: tx.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, first word) of windows that share a key with an item of their class."""
+        """(item, word) by item and place: a stretch that matches the item starts within its allowed edits of such a word."""
         n = len(hashes)
-        slots = _pair_slots(hashes)
-        member = np.zeros(n + 1, dtype=np.int32)
-        end = (words.first + words.count)[words.doc]
-        found_item, found_at = [], []
-        for (inside, plan), (keys, owner), known in zip(self.classes, self.lookup, self.neighbours):
-            np.cumsum(known[slots], out=member[1:])
-            warm = np.zeros(n, dtype=bool)
-            for length, edits in {(int(self.length[i]), int(self.edits[i])) for i in inside}:
-                to = member[np.minimum(np.arange(n) + length + edits, end)]
-                warm |= to - member[:-1] >= length - 1 - 2 * edits
-            start = np.flatnonzero(warm)
-            for a in range(0, len(start), 65536):
-                s = start[a : a + 65536]
-                mine = self.keys(plan, hashes, s, np.minimum(s + int(self.length[inside].max()), end[s]))
-                for c in range(keys.shape[1]):
-                    lo, hi = np.searchsorted(keys[:, c], mine[:, c]), np.searchsorted(keys[:, c], mine[:, c], side="right")
-                    some = np.flatnonzero(hi > lo)
-                    if len(some):
-                        size = hi[some] - lo[some]
-                        found_item.append(owner[tx.ragged(lo[some], size), c])
-                        found_at.append(np.repeat(s[some], size))
-        if not found_item:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pair = np.unique(np.stack([np.concatenate(found_item), np.concatenate(found_at)]), axis=1)
-        return pair[0], pair[1]
-
+        first, last = words.first[words.doc], (words.first + words.count)[words.doc]
+        pairs, own = _pairs(hashes), np.unpackbits(self.pairs).view(bool)
+        found = [np.zeros(0, dtype=np.int64)]
+        for size, keys in _runs(hashes):
+            if size not in self.pieces:
+                continue
+            known, piece, item, offset, around = self.pieces[size]
+            place = np.flatnonzero(np.unpackbits(known).view(bool)[_piece_slots(keys)])
+            place = place[place + size <= last[place]]
+            lo, hi = np.searchsorted(piece, keys[place]), np.searchsorted(piece, keys[place], side="right")
+            some = hi > lo
+            place, lo, hi = place[some], lo[some], hi[some]
+            work = np.cumsum(around[hi] - around[lo])
+            a = 0
+            while a < len(place):
+                b = max(a + 1, int(np.searchsorted(work, (work[a - 1] if a else 0) + AROUND, side="right")))
+                row = tx.ragged(lo[a:b], hi[a:b] - lo[a:b])
+                x = np.repeat(place[a:b], hi[a:b] - lo[a:b])
+                code = np.unique(item[row] * n + np.maximum(x - offset[row], first[x]))
+                it, at = code // n, code % n
+                start = np.maximum(at - self.edits[it], first[at])
+                width = np.minimum(at + self.length[it] + self.edits[it], last[at]) - start
+                held = own[_pair_slots(pairs[tx.ragged(start, width)], np.repeat(it, width))]
+                enough = np.add.reduceat(held, np.cumsum(width) - width, dtype=np.int64) >= self.length[it] - 1 - 2 * self.edits[it]
+                found.append(code[enough])
+                a = b
+        code = np.unique(np.concatenate(found))
+        return code // n, code % n
     def hits(self, column: pa.Array) -> list[tuple[int, int, int, int]]:
         """(row, item, least distance, word number where the stretch ends) of every contaminated row and item."""
         words, hashes = words_of(column)

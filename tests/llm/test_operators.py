@@ -288,6 +288,27 @@ def test_decontamination(spark):
     assert decontaminate.keep_clean(df, bench.filter("false")).count() == len(texts)
 
 
+@pytest.mark.parametrize("n", [1, 5, 9, 50, 120, 200, 400])
+def test_decontamination_at_the_threshold(n):
+    """Items with exactly floor(n / 5) substitutions, deletions and insertions are found at every length, at the exact distance."""
+    rng = random.Random(n)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [[rng.choice(vocab) for _ in range(n)] for _ in range(60)]
+    index = decontaminate.Index(list(range(60)), [" ".join(i) for i in items], 0.8)
+    texts = []
+    for item in items:
+        words = list(item)
+        for place in sorted(rng.sample(range(n), n // 5), reverse=True):
+            words[place : place + 1] = rng.choice([[], ["other"], ["more", words[place]]])
+        # some start or end the text, so a piece may lie before where the item would begin
+        before, after = rng.choice([0, 40]), rng.choice([0, 40])
+        texts.append(" ".join([rng.choice(vocab) for _ in range(before)] + words + [rng.choice(vocab) for _ in range(after)]))
+    got = {(row, item): d for row, item, d, _ in index.hits(pa.array(texts))}
+    for i, item in enumerate(items):
+        truth = decontaminate.edit_stretch(*(decontaminate.words_of(pa.array([t]))[1] for t in (" ".join(item), texts[i])))[0]
+        assert truth <= n // 5 and got[i, i] == truth
+
+
 def test_edit_stretch():
     rng = random.Random(1)
     for _ in range(200):
