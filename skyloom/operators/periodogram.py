@@ -3,8 +3,9 @@
 A series is an array column of one row, so the fit is a plain map over Arrow
 batches that needs no grouping.
 The frequency grid is fixed: ``OVERSAMPLING`` steps a peak's width up to
-``MAX_FREQUENCY`` cycles a day (at most ``GRID`` steps), documented so that
-results are the same everywhere.
+``MAX_FREQUENCY`` cycles a day, however long the series is.  Its steps are equal,
+so the sums over the points for all frequencies are products of two tables, of
+the first frequency of each block and of the steps in a block.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-OVERSAMPLING, MAX_FREQUENCY, GRID = 5, 10.0, 20000
+OVERSAMPLING, MAX_FREQUENCY = 5, 10.0
+#: Frequencies of a block, and blocks and points that are multiplied at once.
+BLOCK, BLOCKS, POINTS = 512, 512, 2048
 HARMONICS = 4
 FREQUENCIES = 3
 
@@ -27,23 +30,35 @@ NAMES = (
 def grid(t: np.ndarray) -> np.ndarray:
     span = t.max() - t.min()
     step = 1 / (OVERSAMPLING * span)
-    return step * np.arange(1, min(GRID, max(2, int(MAX_FREQUENCY / step))) + 1)
+    return step * np.arange(1, max(2, int(MAX_FREQUENCY / step)) + 1)
 
 
-def lomb_scargle(t: np.ndarray, y: np.ndarray, freqs: np.ndarray) -> np.ndarray:
-    """Standard normalised power at each frequency (0 to 1)."""
+def waves(t: np.ndarray, y: np.ndarray, freqs: np.ndarray) -> np.ndarray:
+    """Sum of y exp(2 pi i f t) over the points for each of ``freqs``, which have equal steps."""
+    step = freqs[1] - freqs[0] if len(freqs) > 1 else 0.0
+    head = freqs[::BLOCK]
+    out = np.zeros((len(head), BLOCK), dtype=complex)
+    for p in range(0, len(t), POINTS):
+        angle = 2j * np.pi * t[p : p + POINTS]
+        within = np.exp(np.outer(angle, step * np.arange(BLOCK)))
+        for b in range(0, len(head), BLOCKS):
+            out[b : b + BLOCKS] += (np.exp(np.outer(head[b : b + BLOCKS], angle)) * y[p : p + POINTS]) @ within
+    return out.ravel()[: len(freqs)]
+
+
+def lomb_scargle(t: np.ndarray, y: np.ndarray, freqs: np.ndarray, twice: np.ndarray | None = None) -> np.ndarray:
+    """Standard normalised power (0 to 1) at each of ``freqs``, which have equal steps; ``twice`` is ``waves`` of ones at the doubled frequencies."""
     y = y - y.mean()
     total = (y * y).sum()
     if total == 0:
         return np.zeros(len(freqs))
-    out = np.empty(len(freqs))
-    for a in range(0, len(freqs), 512):
-        w = 2 * np.pi * freqs[a : a + 512, None]
-        tau = np.arctan2(np.sin(2 * w * t).sum(1), np.cos(2 * w * t).sum(1))[:, None] / (2 * w)
-        c, s = np.cos(w * (t - tau)), np.sin(w * (t - tau))
-        cc, ss = (c * c).sum(1), (s * s).sum(1)
-        out[a : a + 512] = ((c @ y) ** 2 / np.where(cc > 0, cc, 1) + (s @ y) ** 2 / np.where(ss > 1e-12, ss, np.inf)) / total
-    return out
+    t = t - t.min()
+    if twice is None:
+        twice = waves(t, np.ones(len(t)), 2 * freqs)
+    # turned by the phase of ``twice``, the sums of squares are these and sine and cosine are orthogonal
+    cc, ss = (len(t) + abs(twice)) / 2, (len(t) - abs(twice)) / 2
+    turned = waves(t, y, freqs) * np.exp(-0.5j * np.angle(twice))
+    return (turned.real**2 / cc + turned.imag**2 / np.where(ss > 1e-12 * len(t), ss, np.inf)) / total
 
 
 def false_alarm(power: float, n: int, m: int) -> float:
@@ -52,13 +67,12 @@ def false_alarm(power: float, n: int, m: int) -> float:
     return float(1 - (1 - one) ** m)
 
 
-def harmonics(t: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
-    """Amplitudes and relative phases of the harmonics of successively removed frequencies."""
+def harmonics(t: np.ndarray, y: np.ndarray, freqs: np.ndarray, twice: np.ndarray, power: np.ndarray) -> tuple[list[float], list[float]]:
+    """Amplitudes and relative phases of the harmonics of successively removed frequencies; ``power`` is that of ``y``."""
     rest = y - y.mean()
     amplitude, phase = [], []
-    for _ in range(FREQUENCIES):
-        freqs = grid(t)
-        f = freqs[lomb_scargle(t, rest, freqs).argmax()]
+    for i in range(FREQUENCIES):
+        f = freqs[(lomb_scargle(t, rest, freqs, twice) if i else power).argmax()]
         angles = [2 * np.pi * f * j * t for j in range(1, HARMONICS + 1)]
         x = np.stack([np.ones_like(t), *[g(a) for a in angles for g in (np.sin, np.cos)]], axis=1)
         coef = np.linalg.lstsq(x, rest, rcond=None)[0]
@@ -111,12 +125,13 @@ def fit(t: np.ndarray, y: np.ndarray, e: np.ndarray) -> list[float]:
     if len(t) < 5 or t[-1] <= t[0] or y.std() == 0:
         return [float("nan")] * len(NAMES)
     freqs = grid(t)
-    power = lomb_scargle(t, y, freqs)
+    twice = waves(t - t.min(), np.ones(len(t)), 2 * freqs)
+    power = lomb_scargle(t, y, freqs, twice)
     period = 1 / freqs[power.argmax()]
     folded = y[np.argsort(np.mod(t, 2 * period), kind="stable")]
     n, s = len(y), y.std(ddof=1)
     walk = np.cumsum(folded - folded.mean()) / (n * s)
-    amplitude, phase = harmonics(t, y)
+    amplitude, phase = harmonics(t, y, freqs, twice, power)
     return [
         period,
         false_alarm(power.max(), n, len(freqs) // OVERSAMPLING),

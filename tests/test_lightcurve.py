@@ -177,3 +177,26 @@ def test_periods_of_a_sine(spark):
     assert got["s"].period_ls == pytest.approx(2.5, rel=0.02) and got["s"].period_fit < 1e-6
     assert got["s"].freq1_harmonics_amplitude_0 == pytest.approx(1, abs=0.05) and got["s"].freq1_harmonics_rel_phase_0 == pytest.approx(0, abs=1e-9)
     assert got["s"].psi_eta < 0.5 and got["s"].car_tau > 0 and got["short"].period_ls is None
+
+
+def test_short_period_in_a_long_series(spark):
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.uniform(50000, 53000, 300))
+    series = {("s", "g"): list(zip(t, 15 + np.sin(2 * np.pi * t / 0.2)))}
+    row = one(periodogram.periodic(lightcurve.nest(lc_of(spark, series))))
+    assert row.period_ls == pytest.approx(0.2, abs=1e-5) and row.freq1_harmonics_amplitude_0 == pytest.approx(1, abs=0.1)
+    assert periodogram.grid(t)[-1] == pytest.approx(periodogram.MAX_FREQUENCY, rel=1e-3)
+
+
+def test_power_is_that_of_a_fit():
+    """The power at each frequency is the share of squares that a sine and a cosine explain."""
+    rng = np.random.default_rng(6)
+    t, y = np.sort(rng.uniform(50000, 50040, 60)), rng.normal(size=60)
+    freqs = periodogram.grid(t)
+    power = periodogram.lomb_scargle(t, y, freqs)
+    z = y - y.mean()
+    for i in range(0, len(freqs), 37):
+        a = 2 * np.pi * freqs[i] * (t - t[0])
+        x = np.stack([np.sin(a), np.cos(a)], axis=1)
+        fitted = x @ np.linalg.lstsq(x, z, rcond=None)[0]
+        assert power[i] == pytest.approx((fitted**2).sum() / (z**2).sum(), abs=1e-9)
