@@ -1,5 +1,6 @@
 """Vectors, splits, neighbours, evaluation, clustering and models."""
 
+import inspect
 import itertools
 import math
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import vectors
 from skyloom.operators import classify, cluster, embed, evaluate, joins, knn, ood, splits
+from skyloom.plans import model_queries
 
 
 def test_time_average_ranks(spark):
@@ -190,3 +192,39 @@ def test_cone_match_against_brute_force(spark):
     want = {(s[0], o[0]) for s in stars for o in objects if sep(*s[1:], *o[1:]) <= 2}
     got = joins.cone_match(spark.createDataFrame(stars, "star_id long, ra double, dec double"), spark.createDataFrame(objects, "object_id long, ora double, odec double")).collect()
     assert len(got) == len(want) > 100 and {(r.star_id, r.object_id) for r in got} == want
+
+
+def test_registered_models_use_the_operators_settings(spark, monkeypatch):
+    """Only the parameters are looked at: fits are left out."""
+    seen = {}
+
+    def spy(module, name, answer):
+        shape = inspect.signature(getattr(module, name))
+
+        def call(*args, **kwargs):
+            bound = shape.bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen.setdefault(name, []).append(bound.arguments)
+            return answer(bound.arguments)
+
+        monkeypatch.setattr(module, name, call)
+
+    known = lambda a: a["test"].select("id", F.col("label").alias("y_true"), F.col("label").alias("y_pred"))
+    spy(classify, "forest", known)
+    spy(classify, "perceptron", known)
+    spy(ood, "forests", lambda a: a["train"])
+    monkeypatch.setattr(ood, "scores", lambda forest, rows: rows)
+    rows = spark.createDataFrame([(i, i % 2, [float(i)], s) for i, s in enumerate(["train", "validation", "test"] * 4)], "id long, label int, v array<double>, split string")
+    lc = spark.createDataFrame([(s, "gr"[b], 10 * s + k, float(k), float(k * s + b), 0.1) for s in range(5) for b in range(2) for k in range(1, 6)], "sourceid long, band string, obs_id long, mjd double, mag double, err double")
+    monkeypatch.setattr(model_queries, "embeddings", lambda *_: rows)
+    monkeypatch.setattr(model_queries, "observations", lambda *_: lc)
+    default = classify.DEFAULT_FOREST
+    for name in ("forest_report", "forest_seeds", "feature_forest_report", "perceptron_report", "isolation_scores", "feature_isolation_scores"):
+        getattr(model_queries, name)(spark, "")
+    assert len(seen["forest"]) == 5 and all({k: a[k] for k in default} == default for a in seen["forest"])
+    assert [a["hidden"] for a in seen["perceptron"]] == [(512, 256)]
+    assert [a["trees"] for a in seen["forests"]] == [ood.TREES] * 2
+    seen["forest"].clear()
+    monkeypatch.setattr(classify, "best_parameters", lambda scored: scored)
+    model_queries.forest_grid(spark, "")
+    assert [(a["trees"], a["depth"], a["leaf"]) for a in seen["forest"]] == list(itertools.product(*classify.GRID.values()))
