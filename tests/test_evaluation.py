@@ -146,6 +146,17 @@ def test_clusterings_find_blobs(spark):
         assert r.ari > 0.9 and r.f1 > 0.9
 
 
+def test_ward_in_rounds_is_exact(spark):
+    """Points without structure and some copies give the clusters of one merge after another, however few the driver links."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(260, 3))
+    x = np.vstack([x, x[:40], np.repeat(x[:1], 20, axis=0), [[50.0, 0, 0], [58.0, 0, 0]]])
+    truth = cluster.cut_tree(cluster.ward_merges(x, np.ones(len(x))), len(x), 9)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = [r.y_pred for r in cluster.ward(df, 9, points=20).orderBy("id").collect()]
+    assert len(got) == len(x) and len(set(zip(got, truth.tolist()))) == len(set(got)) == 9
+
+
 def test_classifiers_and_search(spark):
     df = splits.stratified(blobs(spark), "id", "label")
     train, val, test = (df.filter(F.col("split") == s) for s in ("train", "validation", "test"))
