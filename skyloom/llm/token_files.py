@@ -21,7 +21,9 @@ The tokenizers library encodes each distinct piece of words once, and a worker
 remembers up to ``CACHE_WORDS`` of them: the normaliser and pre-tokeniser never
 look across white space, lower-case everything, and always cut between an ASCII
 letter and ASCII punctuation other than the apostrophe (which starts
-contractions), unless the text holds a special token.
+contractions).  Special tokens are matched in the text as it stands, before any
+lower-casing, so slices that hold one are cut at white space only and their
+pieces are remembered apart, by their unchanged bytes.
 
 Defined cases: null counts as empty; an empty text has the end id only; equal
 doc_ids are ordered by a hash of their text; null doc_ids come first; an empty
@@ -152,19 +154,29 @@ for _a, _b in ((0x21, 0x30), (0x3A, 0x41), (0x5B, 0x61), (0x7B, 0x7F)):
 _KIND[0x27] = 0
 
 
-def _pieces(buf: np.ndarray, offs: np.ndarray) -> tx.Words:
+@lru_cache(maxsize=2)
+def _special(path: str) -> tuple[bytes, ...]:
+    return tuple(t.content.encode() for t in _tokenizer(path).get_added_tokens_decoder().values())
+
+
+def _pieces(path: str, buf: np.ndarray, offs: np.ndarray) -> tuple[tx.Words, np.ndarray]:
+    """Pieces that are encoded apart, and a hash for each; equal hashes have equal ids."""
+    raw = buf.tobytes()
+    if any(s in raw for s in _special(path)):
+        words = tx.Words(buf, offs)
+        return words, words.hashes(seed=1)
     kind = _KIND[buf]
     breaks = np.zeros(len(buf), dtype=bool)
-    if b"<|" not in buf.tobytes():
-        breaks[1:] = (kind[1:] ^ kind[:-1]) == 3
-    return tx.Words(buf, offs, breaks=breaks)
+    breaks[1:] = (kind[1:] ^ kind[:-1]) == 3
+    words = tx.Words(buf, offs, breaks=breaks)
+    return words, words.hashes(lower=True)
 
 
 def encode_column(path: str, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows one after another, each row closed by ``end``, and how many each row has."""
-    words = _pieces(*tx.text_bytes(column))
+    words, hashes = _pieces(path, *tx.text_bytes(column))
     known = _cache.setdefault(path, _Known())
-    code, distinct = pd.factorize(words.hashes(lower=True))
+    code, distinct = pd.factorize(hashes)
     if len(distinct):
         keys = distinct.tolist()
         number = np.fromiter(map(known.number.get, keys, repeat(-1)), np.int64, len(keys))

@@ -356,6 +356,24 @@ def test_token_files(spark):
     assert token_files.through_files(docs_of(spark, []), paths()[0]).count() == 0
 
 
+def test_special_tokens_in_any_case_and_order():
+    """What a worker remembers never depends on the texts that it met before."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(paths()[0])
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|StartOfText|>", "Don't", "a<|", "|>B", "x.Y", " ", "\n", "é"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) for _ in range(60)] + parts
+    for seed in range(6):
+        random.Random(seed).shuffle(texts)
+        token_files._cache.clear()
+        for size in (1, 7, len(texts)):
+            for a in range(0, len(texts), size):
+                ids, count = token_files.encode_column(paths()[0], pa.array(texts[a : a + size]), 2)
+                want = [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts[a : a + size]]
+                assert count.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_pack_round_trip():
     rng = np.random.default_rng(1)
     for n in (1, 3, 4, 5, 70000):
