@@ -1,21 +1,23 @@
 """Token ids in binary files.
 
-A file holds whole documents in ascending doc_id.  Its ids are replaced by their
-frequency rank within the file (the rank table is part of it) and written in
-byte-aligned variable length: a rank takes 1 to 4 little-endian data bytes, and
-the lengths of four ranks share one control byte in a separate stream.  Reading
-looks all control bytes up in a 256 x 4 table of lengths and scatters the data
-bytes at once.
-
-Layout (little-endian): 8 bytes magic; uint64 n_docs, n_tokens, n_ranked;
-uint32 id by rank; int64 doc_id, uint8 "doc_id is null" and uint64 token count
-by document; control bytes; data bytes.
-
-Documents are range-partitioned by doc_id.  A task closes a file when it has
-``FILE_TOKENS`` tokens, so memory follows the file; files travel as a binary
-column of Parquet files in the shared folder, which Spark's committer makes
-whole or absent.  Offsets over all files are sums of the files' counts: one row
-a range, then within each range.
+A file holds whole documents in ascending doc_id.  Ids are replaced by their
+frequency rank over the whole corpus and written in byte-aligned variable length:
+a rank takes 1 to 4 little-endian data bytes, and the lengths of four ranks share
+one control byte in a separate stream.  Reading looks all control bytes up in a
+256 x 4 table of lengths and scatters the data bytes at once.
+
+Layout (little-endian): 8 bytes magic; uint64 n_docs, n_tokens; int64 doc_id,
+uint8 "doc_id is null" and uint64 token count by document; control bytes; data
+bytes.  The rank table (id and count by rank) stands beside the files.
+
+Documents are range-partitioned by doc_id and tokenised once: drafts hold plain
+ids and each draft's counts of ids, whose sum (a row an id of the vocabulary) is
+ranked and broadcast to the tasks that write the files.  A task closes a draft
+when it has ``FILE_TOKENS`` tokens, so memory follows the file.  Files travel as a
+binary column of Parquet files in the shared folder: Spark's committer makes them
+whole or absent on any store, which writing bytes from tasks cannot; ``export``
+copies them to plain files for readers that map them.  Offsets over all files are
+sums of the files' counts: one row a range, then within each range.
 
 The tokenizers library encodes each distinct piece of words once, and a worker
 remembers up to ``CACHE_WORDS`` of them: the normaliser and pre-tokeniser never
@@ -48,7 +50,7 @@ from pyspark.sql import functions as F
 from skyloom.llm import textnp as tx
 from skyloom.llm.shared import shared_folder
 
-MAGIC = b"SKYTOK1\n"
+MAGIC = b"SKYTOK2\n"
 #: Tokens after which a file is closed.
 FILE_TOKENS = 1 << 20
 #: Words whose ids a worker remembers at most.
@@ -59,14 +61,9 @@ _CODES = np.arange(256)
 _LENGTHS = np.stack([(_CODES >> (2 * i) & 3) + 1 for i in range(4)], axis=1).astype(np.uint8)
 
 
-def pack(ids: np.ndarray, doc_ids: np.ndarray, nulls: np.ndarray, counts: np.ndarray) -> bytes:
-    """One file."""
-    freq = np.bincount(ids)
-    distinct = np.flatnonzero(freq)
-    order = np.lexsort((distinct, -freq[distinct]))
-    rank = np.zeros(len(freq), dtype=np.uint32)
-    rank[distinct[order]] = np.arange(len(order), dtype=np.uint32)
-    value = rank[ids]
+def pack(value: np.ndarray, doc_ids: np.ndarray, nulls: np.ndarray, counts: np.ndarray) -> bytes:
+    """One file of ranks."""
+    value = value.astype(np.uint32)
     size = 1 + (value > 0xFF).astype(np.uint8) + (value > 0xFFFF) + (value > 0xFFFFFF)
     code = np.zeros(-(-len(value) // 4) * 4, dtype=np.uint8)
     code[: len(value)] = size - 1
@@ -78,14 +75,12 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, nulls: np.ndarray, counts: np.nda
     for byte in range(1, int(size.max()) if len(size) else 0):  # few ranks need more than two bytes
         more = np.flatnonzero(size > byte)
         data[at[more] + byte] = value[more] >> (8 * byte)
-    head = np.array([len(doc_ids), len(ids), len(distinct)], dtype="<u8")
-    return b"".join(
-        [MAGIC, head.tobytes(), distinct[order].astype("<u4").tobytes(), doc_ids.astype("<i8").tobytes(), nulls.astype(np.uint8).tobytes(), counts.astype("<u8").tobytes(), control.tobytes(), data.tobytes()]
-    )
+    head = np.array([len(doc_ids), len(value)], dtype="<u8")
+    return b"".join([MAGIC, head.tobytes(), doc_ids.astype("<i8").tobytes(), nulls.astype(np.uint8).tobytes(), counts.astype("<u8").tobytes(), control.tobytes(), data.tobytes()])
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, doc_ids, nulls and counts of a file."""
+    """Ranks, doc_ids, nulls and counts of a file."""
     if blob[: len(MAGIC)] != MAGIC:
         raise ValueError("not a token file")
     at = len(MAGIC)
@@ -96,8 +91,8 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         at += out.nbytes
         return out
 
-    n_docs, n_tokens, n_ranked = (int(x) for x in take("<u8", 3))
-    by_rank, doc_ids, nulls, counts = take("<u4", n_ranked), take("<i8", n_docs), take("u1", n_docs), take("<u8", n_docs)
+    n_docs, n_tokens = (int(x) for x in take("<u8", 2))
+    doc_ids, nulls, counts = take("<i8", n_docs), take("u1", n_docs), take("<u8", n_docs)
     control = take("u1", -(-n_tokens // 4))
     size = _LENGTHS[control].reshape(-1)[:n_tokens]
     starts = np.cumsum(size, dtype=np.int64) - size
@@ -106,7 +101,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     for byte in range(1, int(size.max()) if n_tokens else 0):
         more = np.flatnonzero(size > byte)
         value[more] |= data[starts[more] + byte].astype(np.uint32) << np.uint32(8 * byte)
-    return by_rank[value], doc_ids, nulls.astype(bool), counts.astype(np.int64)
+    return value, doc_ids, nulls.astype(bool), counts.astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -203,16 +198,19 @@ def encode_column(path: str, column: pa.Array, end: int) -> tuple[np.ndarray, np
     return out, total
 
 
-def _files(path: str, end: int):
+def _drafts(path: str, end: int):
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
         held, tokens = [], 0
 
         def close():
             ids, docs, nulls, counts = (np.concatenate(v) for v in zip(*held))
-            blob = pack(ids, docs, nulls, counts)
+            times = np.bincount(ids)
+            known = np.flatnonzero(times)
+            one = lambda x, kind: pa.array([x], pa.list_(kind))
             return pa.RecordBatch.from_arrays(
-                [pa.array([part]), pa.array([seq]), pa.array([len(ids)]), pa.array([blob], pa.binary())], names=["part", "seq", "n_tokens", "file"]
+                [pa.array([part]), pa.array([seq]), pa.array([ids.astype("<u4").tobytes()], pa.binary()), one(docs, pa.int64()), one(nulls, pa.bool_()), one(counts, pa.int64()), one(known, pa.int64()), one(times[known], pa.int64())],
+                names=["part", "seq", "ids", "docs", "nulls", "counts", "known", "times"],
             )
 
         for batch in batches:
@@ -230,39 +228,94 @@ def _files(path: str, end: int):
     return run
 
 
+_DRAFT = "part long, seq long, ids binary, docs array<long>, nulls array<boolean>, counts array<long>, known array<long>, times array<long>"
+_FILE = "part long, seq long, n_tokens long, file binary"
+
+
+def _final(rank):
+    """Drafts to files, their ids by rank."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part, seq, ids = (batch.column(c)[i].as_py() for c in ("part", "seq", "ids"))
+                docs, nulls, counts = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("docs", "nulls", "counts"))
+                value = rank.value[np.frombuffer(ids, "<u4")]
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([seq]), pa.array([len(value)]), pa.array([pack(value, docs, nulls, counts)], pa.binary())], names=["part", "seq", "n_tokens", "file"])
+
+    return run
+
+
 def write_files(docs: DataFrame, tokenizer: str, folder: str, end: int = 2) -> None:
-    """Write the files of ``docs`` (doc_id, text) to ``folder``: (part, seq, n_tokens, file), ordered by part and seq."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Write ``folder``/files: (part, seq, n_tokens, file), ordered by part and seq, and ``folder``/ranks: (rank, id, n)."""
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(_files(tokenizer, end), "part long, seq long, n_tokens long, file binary").write.option("compression", "zstd").parquet(folder)
-
-
-def _read(batches):
-    for batch in batches:
-        for part, seq, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "file"))):
-            ids, doc_ids, nulls, counts = unpack(blob)
-            n = len(doc_ids)
-            raw = ids.astype("<u4").tobytes()
-            ends = np.cumsum(counts)
-            starts = ends - counts
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, part)), pa.array(np.full(n, seq)), pa.array(doc_ids, mask=nulls), pa.array(starts), pa.array(counts), pa.array(crc, pa.int64())],
-                names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"],
-            )
+    ordered.mapInArrow(_drafts(tokenizer, end), _DRAFT).write.option("compression", "zstd").parquet(f"{folder}/drafts")
+    drafts = spark.read.schema(_DRAFT).parquet(f"{folder}/drafts")
+    counted = drafts.select(F.explode(F.arrays_zip("known", "times")).alias("x")).groupBy(F.col("x.known").alias("id")).agg(F.sum("x.times").alias("n"))
+    order = counted.orderBy(F.desc("n"), "id").toPandas()  # a row an id of the vocabulary
+    ids = order["id"].to_numpy(np.int64)
+    spark.createDataFrame(order.assign(rank=range(len(order)))[["rank", "id", "n"]], "rank long, id long, n long").coalesce(1).write.parquet(f"{folder}/ranks")
+    rank = np.zeros(int(ids.max()) + 1 if len(ids) else 0, dtype=np.uint32)
+    rank[ids] = np.arange(len(ids), dtype=np.uint32)
+    drafts.select("part", "seq", "ids", "docs", "nulls", "counts").mapInArrow(_final(spark.sparkContext.broadcast(rank)), _FILE).write.option("compression", "zstd").parquet(f"{folder}/files")
+
+
+def _read(ids):
+    def run(batches):
+        for batch in batches:
+            for part, seq, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "file"))):
+                value, doc_ids, nulls, counts = unpack(blob)
+                n = len(doc_ids)
+                raw = ids.value[value].tobytes()
+                ends = np.cumsum(counts)
+                starts = ends - counts
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, part)), pa.array(np.full(n, seq)), pa.array(doc_ids, mask=nulls), pa.array(starts), pa.array(counts), pa.array(crc, pa.int64())],
+                    names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"],
+                )
+
+    return run
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document of the files: doc_id, start, n_tokens, ids_crc32."""
-    files = spark.read.schema("part long, seq long, n_tokens long, file binary").parquet(folder)
+    files = spark.read.schema(_FILE).parquet(f"{folder}/files")
+    ids = spark.read.schema("rank long, id long, n long").parquet(f"{folder}/ranks").orderBy("rank").select("id").toPandas()["id"]
+    ids = spark.sparkContext.broadcast(ids.to_numpy("<u4"))
     sizes = files.select("part", "seq", F.col("n_tokens").alias("size"))
     ranges = sizes.groupBy("part").agg(F.sum("size").alias("total"))
     before = ranges.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
     offsets = sizes.join(before, "part").select("part", "seq", (F.col("base") + F.sum("size").over(Window.partitionBy("part").orderBy("seq")) - F.col("size")).alias("offset"))
-    docs = files.select("part", "seq", "file").mapInArrow(_read, "part long, seq long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    docs = files.select("part", "seq", "file").mapInArrow(_read(ids), "part long, seq long, doc_id long, at long, n_tokens long, ids_crc32 long")
     return docs.join(offsets, ["part", "seq"]).select("doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def export(spark: SparkSession, folder: str, target: str) -> None:
+    """Copy the files to ``target``/<part>-<seq>.tok, a folder that every executor has mounted, and the ids by rank to ``target``/ranks.u4.
+
+    A file takes its name when it is whole, so a task that runs again writes the same file once more.
+    """
+
+    def put(name: str, blob: bytes) -> None:
+        own = os.path.join(target, f".{name}-{uuid.uuid4().hex}")
+        with open(own, "wb") as f:
+            f.write(blob)
+        os.replace(own, os.path.join(target, name))
+
+    def run(batches):
+        for batch in batches:
+            for part, seq, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "file"))):
+                put(f"{part:06d}-{seq:06d}.tok", blob)
+                yield pa.RecordBatch.from_arrays([pa.array([len(blob)])], names=["size"])
+
+    ids = spark.read.schema("rank long, id long, n long").parquet(f"{folder}/ranks").orderBy("rank").select("id").toPandas()["id"]
+    put("ranks.u4", ids.to_numpy("<u4").tobytes())
+    spark.read.schema(_FILE).parquet(f"{folder}/files").select("part", "seq", "file").mapInArrow(run, "size long").agg(F.sum("size")).collect()
+
+
 def through_files(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
     """Write ``docs`` to files in the shared folder and return their index read back."""
     spark = docs.sparkSession

@@ -356,6 +356,25 @@ def test_token_files(spark):
     assert token_files.through_files(docs_of(spark, []), paths()[0]).count() == 0
 
 
+def test_token_files_export(spark, tmp_path):
+    """Plain files hold the ids of the corpus by one rank, the most frequent id first."""
+    from tokenizers import Tokenizer
+
+    texts = ["the cat the dog the", None, "a zebra"] * 40
+    folder, target = str(tmp_path / "in"), tmp_path / "out"
+    target.mkdir()
+    token_files.write_files(docs_of(spark, texts), paths()[0], folder)
+    token_files.export(spark, folder, str(target))
+    by_rank = np.frombuffer((target / "ranks.u4").read_bytes(), "<u4")
+    tokenizer = Tokenizer.from_file(paths()[0])
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    files = sorted(target.glob("*.tok"))
+    got = np.concatenate([by_rank[token_files.unpack(f.read_bytes())[0]] for f in files])
+    assert got.tolist() == [i for w in want for i in w] and len(list(target.iterdir())) == len(files) + 1
+    flat, times = np.unique(np.concatenate(want), return_counts=True)
+    assert by_rank.tolist() == flat[np.lexsort((flat, -times))].tolist()
+
+
 def test_special_tokens_in_any_case_and_order():
     """What a worker remembers never depends on the texts that it met before."""
     from tokenizers import Tokenizer
