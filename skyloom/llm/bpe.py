@@ -1,19 +1,23 @@
 """BPE encoding and decoding with a tokenization automaton.
 
-The automaton's states are the last emitted token, its arcs are tokens.  It
-grows merge by merge: starting from single bytes, where every byte may follow
-every byte, the gadget of merge (a, b) -> c forbids arc b after a, lets c follow
-whatever a may follow, and lets follow c whatever may follow b.  Of all ways to
-cut a pre-split word into tokens exactly one is a path of the automaton, and it
-is the BPE encoding.
-
-Written out, arcs would be tokens x tokens.  ``Automaton.follows`` evaluates the
-gadgets in reverse for the arcs that occur - undoing the later merge of a pair
-until a forbidding gadget is met or single bytes are left - and keeps the
-outcome in a transition table, so encoding is table lookups: a byte trie lists
-the arcs that start at each place, the table says which may follow, and each
-place of a word keeps the one state that reaches it.  Decoding emits the arcs'
-labels.
+The automaton's arcs are tokens, and every arc of one token leads to one state.
+``compile_merges`` builds it merge by merge, starting from one state with a loop
+for every single byte.  The gadget of merge (a, b) -> c looks at the state that a
+leads to; if b leaves it, then c gets an arc wherever a has one, c leads to where
+b leads, and a leads from now on to a copy of its state without the arc b.  Of all
+ways to cut a pre-split word into tokens exactly one is a path of the automaton,
+and it is the BPE encoding.
+
+States are copied only when several tokens lead to them, and tokens that leave
+the same states share a column, so the finished transition table is one bit for
+each state and class of arcs.  It is compiled once on the driver, bounded by the
+vocabulary (50,000 tokens: some tens of MB), and broadcast.
+
+Encoding walks the table: from each place of a word the longest token of a byte
+trie that the state lets pass is taken, then shorter ones; a place from which no
+arc leads to the word's end is left for good, so the work follows the word's
+length.  All words of a slice walk at once; the last few, which may be very long,
+go on one by one.  Decoding emits the arcs' labels.
 
 Texts are cut where white space follows a character that is none; the pre-split
 pattern never crosses such a place, so each distinct piece of a slice is split
@@ -54,12 +58,46 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def compile_merges(tokens: int, singles: list[int], merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Successive gadgets (a, b, c): the state that each token leads to, each token's class of arcs, and the table of bits state x class."""
+    state, arcs = np.full(tokens, -1, dtype=np.int32), np.full(tokens, -1, dtype=np.int32)
+    state[singles] = arcs[singles] = 0
+    leads, leaves = [len(singles)], [len(singles)]  # tokens that share a state, a class
+    table = np.zeros((1024, 128), dtype=np.uint8)
+    table[0, 0] = 1
+    for a, b, c in merges:
+        p, q = int(state[a]), int(arcs[b])
+        if state[c] >= 0 or p < 0 or q < 0 or not table[p, q >> 3] >> (q & 7) & 1:
+            continue  # no path has this pair side by side
+        state[c] = state[b]
+        leads[state[c]] += 1
+        if leads[p] > 1:  # others lead here too: a gets a copy
+            if len(leads) == len(table):
+                table = np.vstack((table, np.zeros_like(table)))
+            table[len(leads)] = table[p]
+            leads[p] -= 1
+            p = state[a] = len(leads)
+            leads.append(1)
+        if leaves[q] > 1:  # other tokens are of this class: b gets its own
+            new = len(leaves)
+            if new == 8 * table.shape[1]:
+                table = np.hstack((table, np.zeros_like(table)))
+            rows = table[: len(leads)]
+            rows[:, new >> 3] |= (rows[:, q >> 3] >> np.uint8(q & 7) & np.uint8(1)) << np.uint8(new & 7)
+            leaves[q] -= 1
+            q = arcs[b] = new
+            leaves.append(1)
+        table[p, q >> 3] &= np.uint8(255 - (1 << (q & 7)))
+        arcs[c] = arcs[a]
+        leaves[arcs[c]] += 1
+    return state, arcs, table[: len(leads), : (len(leaves) + 7) // 8].copy()
+
+
 class Automaton:
-    TABLE = 1 << 20
-    #: Bytes of words encoded at once.
-    BLOCK = 1 << 18
+    #: Bytes of words encoded at once, and how many words are too few to walk together.
+    BLOCK, FEW = 1 << 18, 24
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, compiled: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
         spec = json.load(open(path, encoding="utf-8"))
         letters = byte_alphabet()
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -74,21 +112,12 @@ class Automaton:
         self.size = np.array([len(x) for x in labels])
         self.at = np.cumsum(self.size) - self.size
         self.label = np.frombuffer(b"".join(labels), np.uint8)
-        # The gadgets: what each token was merged from, and when (0: a single byte).
-        self.left, self.right, self.born = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        keys, ranks = [], []
-        for rank, pair in enumerate(merges, 1):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            a, b, c = vocab[a], vocab[b], vocab[a + b]
-            keys.append(a << 32 | b)
-            ranks.append(rank)
-            if not self.born[c]:
-                self.left[c], self.right[c], self.born[c] = a, b, rank
-        order = np.argsort(keys)
-        self._pair, self._rank = np.array(keys, np.int64)[order], np.array(ranks, np.int64)[order]
-        self._known = np.full(self.TABLE, -1, dtype=np.int64)
-        self._may = np.zeros(self.TABLE, dtype=bool)
-        self._trie([(x, i) for i, x in enumerate(labels) if x and i not in self.special.values()])
+        if compiled is None:
+            pairs = (x if isinstance(x, list) else x.split(" ") for x in merges)
+            single = [i for t, i in vocab.items() if len(t) == 1 and t not in self.special]
+            compiled = compile_merges(n, single, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
+        self.state, self.arcs, self.table = compiled
+        self._trie([(x, i) for i, x in enumerate(labels) if x and self.state[i] >= 0])
 
     def _trie(self, labels: list[tuple[bytes, int]]) -> None:
         nodes: list[dict[int, int]] = [{}]
@@ -101,6 +130,14 @@ class Automaton:
                     nodes.append({})
                     token.append(-1)
             token[at] = i
+        #: The longest token that is a beginning of each token; -1 for single bytes.
+        self.shorter = np.full(len(self.size), -1, dtype=np.int32)
+        for label, i in labels:
+            at, last = 0, -1
+            for b in label[:-1]:
+                at = nodes[at][b]
+                last = token[at] if token[at] >= 0 else last
+            self.shorter[i] = last
         inner = [k for k, x in enumerate(nodes) if x]
         self._row = np.zeros(len(nodes), dtype=np.int32)  # row 0 has no arcs
         self._row[inner] = np.arange(1, len(inner) + 1)
@@ -110,36 +147,9 @@ class Automaton:
         self._token = np.array(token, dtype=np.int32)
 
     def follows(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether arc y may follow arc x."""
-        key = x << 32 | y
-        slot = (tx.mix(key.astype(np.uint64)) & np.uint64(self.TABLE - 1)).astype(np.int64)
-        new = np.flatnonzero(self._known[slot] != key)
-        out = self._may[slot]
-        if len(new):
-            some, back = np.unique(key[new], return_inverse=True)
-            fresh = self._gadgets(some >> 32, some & 0xFFFFFFFF)
-            out[new] = fresh[back]
-            to = (tx.mix(some.astype(np.uint64)) & np.uint64(self.TABLE - 1)).astype(np.int64)
-            to, one = np.unique(to, return_index=True)
-            self._known[to], self._may[to] = some[one], fresh[one]
-        return out
-
-    def _gadgets(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        may = np.ones(len(x), dtype=bool)
-        live = np.arange(len(x))
-        limit = np.full(len(x), np.iinfo(np.int64).max)  # gadgets of this rank and later came after the pair could be
-        while len(live):
-            key = x << 32 | y
-            at = np.minimum(np.searchsorted(self._pair, key), len(self._pair) - 1)
-            barred = (self._pair[at] == key) & (self._rank[at] < limit)
-            may[live[barred]] = False
-            bx, by = self.born[x], self.born[y]
-            go = ~barred & ((bx > 0) | (by > 0))
-            live, x, y, bx, by = live[go], x[go], y[go], bx[go], by[go]
-            first = bx > by  # the later merge is undone first; of two equal ones the right one
-            limit = np.where(first, bx, by + 1)
-            x, y = np.where(first, self.right[x], x), np.where(first, y, self.left[y])
-        return may
+        """Whether arc y leaves the state that arc x leads to."""
+        q = self.arcs[y]
+        return (self.table[self.state[x], q >> 3] >> (q & 7).astype(np.uint8) & 1).astype(bool)
 
     def encode(self, body: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of consecutive words of ``body`` (bytes), and how many each word has."""
@@ -151,57 +161,111 @@ class Automaton:
             at, base = to, int(ends[to - 1])
         return tuple(np.concatenate(x) for x in zip(*out))
 
-    def _encode(self, body: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        base = np.cumsum(size) - size
-        left = np.repeat(base + size, size) - np.arange(len(body))  # bytes to the word's end
-        # every arc of the trie from every place
-        place, node = np.arange(len(body)), np.zeros(len(body), dtype=np.int32)
-        starts, ends, tokens = [], [], []
-        step = 0
-        while len(place):
-            node = self._next[self._row[node], body[place + step]]
+    def _longest(self, body: np.ndarray, place: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The longest token from each place that ends by ``end``."""
+        best = np.full(len(place), -1, dtype=np.int32)
+        who, node, step = np.arange(len(place)), np.zeros(len(place), dtype=np.int32), 0
+        while len(who):
+            node = self._next[self._row[node], body[place[who] + step]]
             step += 1
-            ok = node >= 0
-            place, node = place[ok], node[ok]
+            on = node >= 0
+            who, node = who[on], node[on]
             token = self._token[node]
             hit = token >= 0
-            starts.append(place[hit]), ends.append(np.full(hit.sum(), step)), tokens.append(token[hit])
-            more = left[place] > step
-            place, node = place[more], node[more]
-        start, end, token = np.concatenate(starts), np.concatenate(ends), np.concatenate(tokens).astype(np.int64)
-        end = start + end
-        word = np.repeat(base, size)[start] if len(start) else start
-        # states in the order of places within words; state[p]: the last token of the path that ends before place p of its word
-        rel = end - word
-        order = np.argsort(rel, kind="stable")
-        bounds = np.searchsorted(rel[order], np.arange(1, int(size.max()) + 2))
-        state = np.full(len(body), -1, dtype=np.int64)  # of the path that ends after this byte
-        for i in range(len(bounds) - 1):
-            arc = order[bounds[i] : bounds[i + 1]]
-            s, t = start[arc], token[arc]
-            at_start = s == word[arc]
-            before = state[np.maximum(s - 1, 0)]
-            can = at_start.copy()
-            rest = np.flatnonzero(~at_start & (before >= 0))
-            can[rest] = self.follows(before[rest], t[rest])
-            state[end[arc][can] - 1] = t[can]
-        # walk the one path back
+            best[who[hit]] = token[hit]
+            on = place[who] + step < end[who]
+            who, node = who[on], node[on]
+        return best
+
+    def _encode(self, body: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        end = np.cumsum(size)
+        base = end - size
+        into = np.full(len(body), -1, dtype=np.int32)  # the arc of the path that ends with this byte
+        left = np.zeros(len(body), dtype=bool)  # no path goes on after this byte
+        who, at, last = np.arange(len(size)), base.copy(), np.full(len(size), -1, dtype=np.int32)
+        arc = self._longest(body, at, end)
+        while len(who) > self.FEW:
+            to = at + self.size[arc]
+            may = (arc >= 0) & ~left[to - 1]
+            some = np.flatnonzero(may & (last >= 0))
+            may[some] = self.follows(last[some], arc[some])
+            go, stay = np.flatnonzero(may), np.flatnonzero(~may)
+            into[to[go] - 1] = arc[go]
+            at[go], last[go] = to[go], arc[go]
+            arc[stay] = np.where(arc[stay] >= 0, self.shorter[arc[stay]], -1)
+            back = stay[arc[stay] < 0]  # nothing leads on from here: undo the arc that led here
+            if len(back):
+                left[at[back] - 1] = True
+                undone = into[at[back] - 1]
+                at[back] -= self.size[undone]
+                last[back] = np.where(at[back] > base[who[back]], into[np.maximum(at[back] - 1, 0)], -1)
+                arc[back] = self.shorter[undone]
+            more = at[go] < end[who[go]]
+            arc[go[more]] = self._longest(body, at[go[more]], end[who[go[more]]])
+            alive = np.ones(len(who), dtype=bool)
+            alive[go[~more]] = False
+            who, at, last, arc = who[alive], at[alive], last[alive], arc[alive]
+        for w, p, x, y in zip(who.tolist(), at.tolist(), last.tolist(), arc.tolist()):
+            self._walk(body, into, left, int(base[w]), int(end[w]), p, x, y)
+        # read the one path back
         count = np.zeros(len(size), dtype=np.int64)
-        at, who = base + size, np.arange(len(size))
+        at, who = end.copy(), np.arange(len(size))
         back_who, back_token = [], []
-        while len(who):
-            t = state[at - 1]
+        while len(who) > self.FEW:
+            t = into[at - 1]
             back_who.append(who), back_token.append(t)
             count[who] += 1
             at = at - self.size[t]
             go = at > base[who]
             at, who = at[go], who[go]
+        tails = []  # of the last few words, whose first tokens are read one by one
+        for w, p in zip(who.tolist(), at.tolist()):
+            tail, first = [], int(base[w])
+            while p > first:
+                tail.append(int(into[p - 1]))
+                p -= int(self.size[tail[-1]])
+            tails.append(tail)
+        read = count.copy()
+        count[who] += np.array([len(t) for t in tails], dtype=np.int64)
         first = np.cumsum(count) - count
         out = np.empty(int(count.sum()), dtype=np.int64)
         for i, (w, t) in enumerate(zip(back_who, back_token)):
             out[first[w] + count[w] - 1 - i] = t
+        for w, tail in zip(who.tolist(), tails):
+            out[first[w] : first[w] + count[w] - read[w]] = tail[::-1]
         return out, count
 
+    def _walk(self, body: np.ndarray, into: np.ndarray, left: np.ndarray, base: int, end: int, at: int, last: int, arc: int) -> None:
+        """The rest of one word's walk."""
+        raw = body[at:end].tobytes()
+        origin, row, step, token = at, self._row, self._next, self._token
+        size, shorter, state, arcs, table = self.size, self.shorter, self.state, self.arcs, self.table
+        while True:
+            if arc >= 0:
+                to = at + int(size[arc])
+                q = int(arcs[arc])
+                if not left[to - 1] and (last < 0 or int(table[state[last], q >> 3]) >> (q & 7) & 1):
+                    into[to - 1] = arc
+                    if to == end:
+                        return
+                    at, last, arc, node, p = to, arc, -1, 0, to
+                    while p < end:
+                        node = int(step[row[node], raw[p - origin] if p >= origin else body[p]])
+                        if node < 0:
+                            break
+                        if token[node] >= 0:
+                            arc = int(token[node])
+                        p += 1
+                    continue
+                arc = int(shorter[arc])
+                if arc >= 0:
+                    continue
+            left[at - 1] = True
+            undone = int(into[at - 1])
+            at -= int(size[undone])
+            last = int(into[at - 1]) if at > base else -1
+            arc = int(shorter[undone])
+
     def decode(self, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes that the arcs of consecutive runs of ids emit, and how many each run has."""
         body = self.label[tx.ragged(self.at[ids], self.size[ids])]
@@ -215,6 +279,23 @@ def automaton(path: str) -> Automaton:
     return Automaton(path)
 
 
+_built: dict[str, Automaton] = {}
+
+
+def _shared(docs: DataFrame, path: str):
+    """A function that gives the automaton on a worker: its table is compiled here and broadcast, labels and trie are read there."""
+    auto = automaton(path)
+    tables = docs.sparkSession.sparkContext.broadcast((auto.state, auto.arcs, auto.table))
+
+    return lambda: _ready(path, tables)
+
+
+def _ready(path: str, tables) -> Automaton:
+    if path not in _built:
+        _built[path] = Automaton(path, tables.value)
+    return _built[path]
+
+
 @lru_cache(maxsize=1)
 def _splitter():
     return regex.compile(PATTERN)
@@ -297,9 +378,9 @@ def encode_column(auto: Automaton, column: pa.Array) -> tuple[np.ndarray, np.nda
     return out, np.bincount(np.array(row), weights=total, minlength=len(column)).astype(np.int64)
 
 
-def _digest(path: str):
+def _digest(get):
     def run(batches):
-        auto = automaton(path)
+        auto = get()
         for batch in batches:
             for part in tx.slices(batch, "text", 2 << 20):
                 ids, count = encode_column(auto, part.column("text"))
@@ -321,12 +402,12 @@ def _digest(path: str):
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return docs.select("doc_id", "text").mapInArrow(_digest(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(_digest(_shared(docs, path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _encode(path: str):
+def _encode(get):
     def run(batches):
-        auto = automaton(path)
+        auto = get()
         for batch in batches:
             for part in tx.slices(batch, "text", 2 << 20):
                 ids, count = encode_column(auto, part.column("text"))
@@ -338,12 +419,12 @@ def _encode(path: str):
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and its token ids."""
-    return docs.select("doc_id", "text").mapInArrow(_encode(path), "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(_encode(_shared(docs, path)), "doc_id long, ids array<int>")
 
 
-def _decode(path: str):
+def _decode(get):
     def run(batches):
-        auto = automaton(path)
+        auto = get()
         for batch in batches:
             if batch.num_rows:
                 col = batch.column("ids").fill_null([])
@@ -357,12 +438,12 @@ def _decode(path: str):
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id and the text of its ids."""
-    return tokens.select("doc_id", "ids").mapInArrow(_decode(path), "doc_id long, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(_decode(_shared(tokens, path)), "doc_id long, text string")
 
 
-def _round_trip(path: str):
+def _round_trip(get):
     def run(batches):
-        auto = automaton(path)
+        auto = get()
         for batch in batches:
             for part in tx.slices(batch, "text", 2 << 20):
                 ids, count = encode_column(auto, part.column("text"))
@@ -384,4 +465,4 @@ def _round_trip(path: str):
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, the token ids and the text decoded from them."""
-    return docs.select("doc_id", "text").mapInArrow(_round_trip(path), "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(_round_trip(_shared(docs, path)), "doc_id long, n_tokens long, ids array<int>, decoded string")

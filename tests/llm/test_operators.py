@@ -418,6 +418,58 @@ def test_bpe_matches_library(spark):
         assert back[i].text == decoded and got[i].decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
 
 
+def naive_bpe(word, merges):
+    """Apply the merge of the lowest rank at its leftmost place until none is left."""
+    parts, rank = list(word), {m: i for i, m in enumerate(merges)}
+    while True:
+        pairs = [(rank[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in rank]
+        if not pairs:
+            return parts
+        best = min(pairs)[0]
+        i = 0
+        while i < len(parts) - 1:
+            if rank.get((parts[i], parts[i + 1])) == best:
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            i += 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_automaton_accepts_the_encoding_only(tmp_path, seed):
+    """Of all cuttings of every short word into tokens, exactly the BPE encoding is a path of the compiled automaton."""
+    import itertools
+    import json
+
+    rng = random.Random(seed)
+    tokens, merges = list("abc"), []
+    for _ in range(14):
+        pair = rng.choice(tokens), rng.choice(tokens)
+        if len("".join(pair)) <= 5 and "".join(pair) not in tokens:
+            merges.append(pair)
+            tokens.append("".join(pair))
+    path = tmp_path / "t.json"
+    vocab = {t: i for i, t in enumerate(tokens)}
+    path.write_text(json.dumps({"model": {"vocab": vocab, "merges": [" ".join(m) for m in merges]}}))
+    auto = bpe.Automaton(str(path))
+    words = ["".join(w) for n in range(1, 8) for w in itertools.product("abc", repeat=n)]
+
+    def cuttings(word):
+        if not word:
+            yield []
+        for t in tokens:
+            if word.startswith(t):
+                yield from ([t, *rest] for rest in cuttings(word[len(t) :]))
+
+    for word in words[:1500]:
+        want = naive_bpe(word, merges)
+        paths = [c for c in cuttings(word) if all(auto.state[vocab[x]] >= 0 for x in c) and auto.follows(np.array([vocab[x] for x in c[:-1]], dtype=int), np.array([vocab[x] for x in c[1:]], dtype=int)).all()]
+        assert paths == [want], word
+    for few in (0, 24, 10**6):  # walking together, mixed, and one by one
+        auto.FEW = few
+        ids, count = auto.encode(np.frombuffer("".join(words).encode(), np.uint8), np.array([len(w) for w in words]))
+        got = np.split(ids, np.cumsum(count)[:-1])
+        assert [[tokens[i] for i in x] for x in got] == [naive_bpe(w, merges) for w in words]
+
+
 # ---------------------------------------------------------------- 8 urls
 
 
