@@ -185,7 +185,7 @@ class Automaton:
         who, at, last = np.arange(len(size)), base.copy(), np.full(len(size), -1, dtype=np.int32)
         arc = self._longest(body, at, end)
         while len(who) > self.FEW:
-            to = at + self.size[arc]
+            to = np.where(arc >= 0, at + self.size[arc], at)
             may = (arc >= 0) & ~left[to - 1]
             some = np.flatnonzero(may & (last >= 0))
             may[some] = self.follows(last[some], arc[some])
