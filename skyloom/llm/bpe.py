@@ -47,8 +47,15 @@ from skyloom.llm import textnp as tx
 _S = r"\x09-\x0D\x20\x85\xA0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+# Classes of bytes for the pattern: white space, letter, digit, other, and what only the regular expression tells.
+_WHITE, _ALPHA, _DIGIT, _OTHER, _ASK, _CONTINUED = range(6)
+_CLASS = np.full(256, _ASK, dtype=np.uint8)
+_CLASS[:0x80] = _OTHER
+_CLASS[0x09:0x0E] = _CLASS[0x20] = _WHITE
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _CLASS[0xC3] = _ALPHA  # 0xC3 begins the letters U+00C0 to U+00FF
+_CLASS[0x27] = _ASK  # an apostrophe may start a contraction
+_CLASS[0x80:0xC0] = _CONTINUED
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -301,7 +308,7 @@ def _splitter():
     return regex.compile(PATTERN)
 
 
-def _pieces(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pieces(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Start of every piece: the row's start, and white space after a character that surely is none."""
     n = len(buf)
     cut = np.zeros(n + 1, dtype=bool)
@@ -313,7 +320,51 @@ def _pieces(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         unsure = (p1 >= 0x80) & ((p2 == 0xC2) | ((p3 >= 0xE1) & (p3 <= 0xE3)))
         cut[1:n] |= tx.SPACE[buf[1:]] & ~tx.SPACE[p1] & ~unsure
     start = np.flatnonzero(cut)
-    return start[start < n], np.flatnonzero(cut)
+    return start[start < n]
+
+
+_power = _inverse = np.ones(1, dtype=np.uint64)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of an odd number and of its inverse modulo 2^64."""
+    global _power, _inverse
+    if len(_power) < n:
+        more = max(n, 2 * len(_power)) - 1
+        base = 0x9E3779B97F4A7C15
+        _power, _inverse = (np.concatenate(([np.uint64(1)], np.cumprod(np.full(more, x, dtype=np.uint64)))) for x in (base, pow(base, -1, 1 << 64)))
+    return _power, _inverse
+
+
+def _words(body: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pattern's words start in consecutive pieces, and the number of each piece's first word.
+
+    A piece has white space at its start only.  Where all its characters are of
+    known classes, its words are the runs of one class, and one space belongs to the
+    run after it; the regular expression splits the others.
+    """
+    base = np.cumsum(size) - size
+    kind = _CLASS[body]
+    on = np.flatnonzero(kind == _CONTINUED)
+    known = (body[on - 1] == 0xC3) & (body[on] != 0x97) & (body[on] != 0xB7)  # the signs of product and quotient are no letters
+    kind[on] = np.where(known, _ALPHA, _ASK)
+    cut = np.ones(len(body), dtype=bool)
+    cut[1:] = kind[1:] != kind[:-1]
+    cut[base] = True
+    second = base[size > 1] + 1
+    ask = np.add.reduceat(kind == _ASK, base, dtype=np.int64) > 0
+    ask[np.flatnonzero(size > 1)[(kind[second - 1] == _WHITE) & (kind[second] == _WHITE)]] = True
+    cut[second[body[second - 1] == 0x20]] = False
+    some = np.flatnonzero(ask)
+    if len(some):
+        cut[tx.ragged(base[some], size[some])] = False
+        split, raw, starts = _splitter().findall, body.tobytes(), []
+        for at, n in zip(base[some].tolist(), size[some].tolist()):
+            for w in split(raw[at : at + n].decode("utf-8")):
+                starts.append(at)
+                at += len(w) if w.isascii() else len(w.encode("utf-8"))
+        cut[starts] = True
+    return cut, (np.cumsum(cut) - 1)[base]
 
 
 def encode_rows(auto: Automaton, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -321,32 +372,20 @@ def encode_rows(auto: Automaton, buf: np.ndarray, offs: np.ndarray) -> tuple[np.
     rows = len(offs) - 1
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(rows, np.int64)
-    start, edges = _pieces(buf, offs)
-    size = np.diff(np.append(start, len(buf)))
-    power = tx._POWERS[(np.arange(len(buf)) - np.repeat(start, size)) & 4095]
-    key = tx.mix(np.add.reduceat((buf.astype(np.uint64) + np.uint64(1)) * power, start) + size.astype(np.uint64))
+    start = _pieces(buf, offs)
+    end = np.append(start[1:], len(buf))
+    power, inverse = _powers(len(buf) + 1)
+    total = np.zeros(len(buf) + 1, dtype=np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=total[1:])
+    key = tx.mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
     code, _ = pd.factorize(key)
     one = np.empty(code.max() + 1, dtype=np.int64)
     one[code[::-1]] = np.arange(len(code) - 1, -1, -1)  # the first piece of each code
-    s, n = start[one], size[one]
+    s, n = start[one], (end - start)[one]
     body = buf[tx.ragged(s, n)]
-    base = np.cumsum(n) - n
-    # one space and ASCII letters only: the piece is one word of the pattern
-    letters = np.add.reduceat(_LETTER[body].astype(np.int64), base)
-    plain = (letters == n) | ((letters == n - 1) & (body[base] == 0x20))
-    sizes = np.ones(len(n), dtype=np.int64)
-    split = _splitter().findall
-    raw = body.tobytes()
-    parts: list[list[int]] = []
-    for i in np.flatnonzero(~plain).tolist():
-        text = raw[base[i] : base[i] + n[i]].decode("utf-8")
-        parts.append([len(x) for x in split(text)] if text.isascii() else [len(x.encode("utf-8")) for x in split(text)])
-    sizes[~plain] = [len(p) for p in parts]
-    word = np.empty(int(sizes.sum()), dtype=np.int64)
-    first = np.cumsum(sizes) - sizes
-    word[first[plain]] = n[plain]
-    if parts:
-        word[tx.ragged(first[~plain], sizes[~plain])] = np.concatenate([np.asarray(p, dtype=np.int64) for p in parts])
+    cut, first = _words(body, n)
+    edge = np.flatnonzero(cut)
+    word = np.diff(np.append(edge, len(body)))
     ids, count = auto.encode(body, word)
     per_piece = np.add.reduceat(count, first)
     at = np.cumsum(per_piece) - per_piece

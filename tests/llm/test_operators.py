@@ -338,7 +338,7 @@ def paths():
 def odd_texts():
     rng = random.Random(3)
     out = [None, "", " ", "  a", "it's  we'll", "x<|endoftext|> y.z", "日本語 テスト　x", "\r\n\t a \x85 b", "🙂🙂", "aaaaaaaa", "Σς É"]
-    alpha = "abC  \n.,'stl1é\xa0à–ñ　日<|$"
+    alpha = "abC  \n.,'stl1é\xa0à–ñ　日<|$×÷ÿÀ²_\x1c"
     return out + ["".join(rng.choice(alpha) for _ in range(rng.randrange(1, 60))) for _ in range(400)] + ["ab " * 60000]
 
 
