@@ -1,18 +1,20 @@
 """Exact deduplication by content sort.
 
-Rows are dealt by ``repartitionByRange`` (Spark samples the splitters) on the
-first bytes of the normalised text and a hash that breaks ties between texts
-with the same beginning, so splitters stay small however long the texts are.
-Each range is sorted by Spark's external sort with the whole normalised text in
-the key, which places equal texts side by side, and the window operator walks
-the range and compares neighbouring texts in full; the smallest doc_id of a run
-stays.
-
-One text may make up a third of the table.  Texts whose 64-bit hash occurs more
-than ``rows / (8 x partitions)`` times get a salt of doc_id in the range key and
-so spread over many ranges; there are at most ``8 x partitions`` of those, which
-bounds the broadcast that holds them.  Their copies are also pre-aggregated by
-whole text (partial aggregation before the shuffle) to find the row that stays.
+The input is scanned once: each text's normalised form, its 64-bit hash and its
+SHA-256 go to a Parquet table in the shared folder, of which later steps read the
+columns they need.  Rows are then dealt by ``repartitionByRange`` (Spark samples
+the splitters) on the first characters of the normalised text and the hash, which
+breaks ties between texts with the same beginning, so splitters stay small however
+long the texts are.  Each range is sorted by Spark's external sort with the whole
+normalised text in the key, which places equal texts side by side, and the window
+operator walks the range and compares neighbouring texts in full; the smallest
+doc_id of a run stays.
+
+One text may make up a third of the table.  Texts with more than
+``rows / (8 x partitions)`` copies, of which there are at most ``8 x partitions``,
+get a salt of doc_id in the range key and so spread over many ranges.  Their
+smallest doc_id and their number come from a partial aggregation of hash and
+SHA-256; it is written as a table, whose measured size tells Spark how to join.
 
 Only DataFrame functions are used.
 
@@ -25,62 +27,64 @@ extra columns pass through (names starting with ``__dx_`` are reserved).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from skyloom.llm.shared import written
+
 #: Characters of normalised text in the range key.
 PREFIX = 48
 #: A text with more than rows / (HEAVY x partitions) copies is salted.
 HEAVY = 8
 
 
-def normalised(text: Column) -> Column:
-    """Null as empty; each run of space and 0x09-0x0D as one space (single spaces need no change)."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
+def normalised(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """``docs`` with ``name``: null as empty, and each run of space and 0x09-0x0D as one space.
+
+    Plain replacements do it for texts that are left without two spaces in a row; only the others need the regular expression.
+    """
+    spaced = F.coalesce(F.col(text), F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    one = F.when(F.contains(F.col(name), F.lit("  ")), F.regexp_replace(name, " {2,}", " ")).otherwise(F.col(name))
+    return docs.withColumn(name, spaced).withColumn(name, one)
 
 
-def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with ``__dx_keep`` (doc_id that stays), ``__dx_size``, ``__dx_first`` (this row stays) and ``__dx_norm``."""
+def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all of them by default) with ``__dx_keep`` (doc_id that stays), ``__dx_size``, ``__dx_first`` (this row stays) and ``__dx_sha``."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    norm = normalised(F.col(text))
-    keyed = docs.withColumn("__dx_hash", F.xxhash64(norm))
-    threshold = max(1, docs.select(F.lit(1)).count() // (HEAVY * partitions))
-    heavy = keyed.groupBy("__dx_hash").agg(F.count(F.lit(1)).alias("__dx_n")).filter(F.col("__dx_n") > threshold).select("__dx_hash", F.lit(True).alias("__dx_heavy"))
-    marked = keyed.join(F.broadcast(heavy), "__dx_hash", "left")
-    totals = (
-        marked.filter("__dx_heavy")
-        .select("__dx_hash", norm.alias("__dx_norm"), F.col(doc_id).alias("__dx_id"))
-        .groupBy("__dx_hash", "__dx_norm")
-        .agg(F.min("__dx_id").alias("__dx_all_keep"), F.count(F.lit(1)).alias("__dx_all_size"))
-        .select("__dx_hash", F.sha2("__dx_norm", 256).alias("__dx_sha"), "__dx_all_keep", "__dx_all_size")
-    )
-    salted = marked.withColumn("__dx_salt", F.when(F.col("__dx_heavy"), F.pmod(F.xxhash64(doc_id), F.lit(4 * partitions))).otherwise(F.lit(0)).cast("int"))
-    ranged = (
-        salted.withColumn("__dx_prefix", F.substring(norm, 1, PREFIX))
-        .repartitionByRange(partitions, "__dx_prefix", "__dx_hash", "__dx_salt")
-        .withColumn("__dx_norm", norm)
-    )
+    carry = docs.columns if carry is None else carry
+    rows = Observation()
+    hashed = normalised(docs, text, "__dx_norm").withColumn("__dx_hash", F.xxhash64("__dx_norm")).withColumn("__dx_sha", F.sha2("__dx_norm", 256)).observe(rows, F.count(F.lit(1)).alias("n"))
+    if text in carry:  # a text that is normalised as it stands is stored once
+        hashed = hashed.withColumn("__dx_norm", F.when(~F.col("__dx_norm").eqNullSafe(F.col(text)), F.col("__dx_norm")))
+    table = written(hashed.select(*[f"`{c}`" for c in carry], "__dx_norm", "__dx_hash", "__dx_sha"))
+    counted = table.groupBy("__dx_hash", "__dx_sha").agg(F.min(doc_id).alias("__dx_all_keep"), F.count(F.lit(1)).alias("__dx_all_size"))
+    heavy = written(counted.filter(F.col("__dx_all_size") > max(1, rows.get["n"] // (HEAVY * partitions))))
+    marked = table.join(heavy, ["__dx_hash", "__dx_sha"], "left")
+    if text in carry:
+        marked = marked.withColumn("__dx_norm", F.coalesce("__dx_norm", F.col(text)))
+    salt = F.when(F.col("__dx_all_size").isNotNull(), F.pmod(F.xxhash64(doc_id), F.lit(4 * partitions))).otherwise(F.lit(0)).cast("int")
+    ranged = marked.withColumn("__dx_salt", salt).withColumn("__dx_prefix", F.substring("__dx_norm", 1, PREFIX)).repartitionByRange(partitions, "__dx_prefix", "__dx_hash", "__dx_salt")
     run = Window.partitionBy("__dx_prefix", "__dx_hash", "__dx_salt", "__dx_norm")
     ordered = run.orderBy(F.col(doc_id).asc_nulls_last())
     walked = (
         ranged.withColumn("__dx_place", F.row_number().over(ordered))
         .withColumn("__dx_run_keep", F.first(doc_id).over(ordered))
         .withColumn("__dx_run_size", F.count(F.lit(1)).over(run))
-        .withColumn("__dx_sha", F.sha2("__dx_norm", 256))
     )
-    joined = walked.join(F.broadcast(totals), ["__dx_hash", "__dx_sha"], "left")
-    keep = F.when(F.col("__dx_heavy"), F.col("__dx_all_keep")).otherwise(F.col("__dx_run_keep"))
+    keep = F.when(F.col("__dx_all_size").isNotNull(), F.col("__dx_all_keep")).otherwise(F.col("__dx_run_keep"))
     return (
-        joined.withColumn("__dx_keep", keep)
-        .withColumn("__dx_size", F.when(F.col("__dx_heavy"), F.col("__dx_all_size")).otherwise(F.col("__dx_run_size")))
+        walked.withColumn("__dx_keep", keep)
+        .withColumn("__dx_size", F.coalesce("__dx_all_size", "__dx_run_size"))
         .withColumn("__dx_first", (F.col("__dx_place") == 1) & F.col("__dx_keep").eqNullSafe(F.col(doc_id)))
     )
 
 
 def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    return decide(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select(
+    return decide(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), carry=["doc_id"]).select(
         "doc_id",
         F.col("__dx_keep").alias("keep_id"),
         F.col("__dx_size").alias("group_size"),
