@@ -209,7 +209,7 @@ def _drafts(path: str, end: int):
             known = np.flatnonzero(times)
             one = lambda x, kind: pa.array([x], pa.list_(kind))
             return pa.RecordBatch.from_arrays(
-                [pa.array([part]), pa.array([seq]), pa.array([ids.astype("<u4").tobytes()], pa.binary()), one(docs, pa.int64()), one(nulls, pa.bool_()), one(counts, pa.int64()), one(known, pa.int64()), one(times[known], pa.int64())],
+                [pa.array([part]), pa.array([seq]), pa.array([ids.astype("<u2" if known[-1] < 1 << 16 else "<u4").tobytes()], pa.binary()), one(docs, pa.int64()), one(nulls, pa.bool_()), one(counts, pa.int64()), one(known, pa.int64()), one(times[known], pa.int64())],
                 names=["part", "seq", "ids", "docs", "nulls", "counts", "known", "times"],
             )
 
@@ -240,7 +240,7 @@ def _final(rank):
             for i in range(batch.num_rows):
                 part, seq, ids = (batch.column(c)[i].as_py() for c in ("part", "seq", "ids"))
                 docs, nulls, counts = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("docs", "nulls", "counts"))
-                value = rank.value[np.frombuffer(ids, "<u4")]
+                value = rank.value[np.frombuffer(ids, "<u2" if len(ids) == 2 * counts.sum() else "<u4")]
                 yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([seq]), pa.array([len(value)]), pa.array([pack(value, docs, nulls, counts)], pa.binary())], names=["part", "seq", "n_tokens", "file"])
 
     return run
@@ -251,7 +251,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end: int = 2) -> N
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(_drafts(tokenizer, end), _DRAFT).write.option("compression", "zstd").parquet(f"{folder}/drafts")
+    ordered.mapInArrow(_drafts(tokenizer, end), _DRAFT).write.option("compression", "none").parquet(f"{folder}/drafts")
     drafts = spark.read.schema(_DRAFT).parquet(f"{folder}/drafts")
     counted = drafts.select(F.explode(F.arrays_zip("known", "times")).alias("x")).groupBy(F.col("x.known").alias("id")).agg(F.sum("x.times").alias("n"))
     order = counted.orderBy(F.desc("n"), "id").toPandas()  # a row an id of the vocabulary
@@ -259,7 +259,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end: int = 2) -> N
     spark.createDataFrame(order.assign(rank=range(len(order)))[["rank", "id", "n"]], "rank long, id long, n long").coalesce(1).write.parquet(f"{folder}/ranks")
     rank = np.zeros(int(ids.max()) + 1 if len(ids) else 0, dtype=np.uint32)
     rank[ids] = np.arange(len(ids), dtype=np.uint32)
-    drafts.select("part", "seq", "ids", "docs", "nulls", "counts").mapInArrow(_final(spark.sparkContext.broadcast(rank)), _FILE).write.option("compression", "zstd").parquet(f"{folder}/files")
+    drafts.select("part", "seq", "ids", "docs", "nulls", "counts").mapInArrow(_final(spark.sparkContext.broadcast(rank)), _FILE).write.option("compression", "none").parquet(f"{folder}/files")
 
 
 def _read(ids):
