@@ -477,6 +477,10 @@ def test_urls(spark):
     cases = [
         (None, "", "", None, "allow"),
         ("no scheme", "", "", None, "allow"),
+        ("no scheme casino", "", "", None, "block"),
+        ("https://a.com/fr?x=cheap&y=deals", "a.com", "/fr", None, "allow"),
+        ("https://a.com/fr?x=cheap-deals-best-free", "a.com", "/fr", None, "block"),
+        ("https://É.com/Poker\npoker", "É.com", "/Poker\npoker", None, "block"),
         ("http://A.Example.COM/en/7?x#y", "a.example.com", "/en/7", "example.com/en/7", "allow"),
         ("http://example.com/en/8", "example.com", "/en/8", "com/en/", "block"),
         ("http://myexample.com/fr/1", "myexample.com", "/fr/1", None, "allow"),
@@ -495,6 +499,34 @@ def test_urls(spark):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict)
 
 
+def test_url_vocabulary_table(spark, monkeypatch):
+    """Thousands of terms in several blocks against a direct count; weights, boundaries, repeated and null terms."""
+    monkeypatch.setattr(urls, "BLOCK_TERMS", 700)
+    rng = random.Random(14)
+    letters = "abcde1-é"
+    terms = {"".join(rng.choice(letters) for _ in range(rng.randrange(2, 6))): (rng.random() < 0.1, rng.choice([0.25, 0.5, 1.0]), rng.random() < 0.7) for _ in range(3000)}
+    pages = ["".join(rng.choice(letters + "./ABC") for _ in range(rng.randrange(0, 60))) for _ in range(300)] + [None, ""]
+    rows = [(t, *x) for t, x in terms.items()]
+    extra = [(None, True, 1.0, True), ("", True, 1.0, True), (rows[0][0].upper(), False, 0.1, True)]
+    df = spark.createDataFrame([(i, u and f"x://{u}") for i, u in enumerate(pages)], "page_id long, url string")
+    got = rows_of(urls.judge(df, (), spark.createDataFrame(rows + extra, urls.TERMS), hits=3, weight=1.5), "page_id")
+    for i, u in enumerate(pages):
+        low = (u or "").translate(LOW)
+        alnum = lambda c: c.isascii() and c.isalnum()
+        hit = set()
+        for t, (_, _, whole) in terms.items():
+            for m in re.finditer(f"(?={re.escape(t)})", low):
+                a, b = m.start(), m.start() + len(t)
+                if not whole or not ((a and alnum(low[a - 1])) or (b < len(low) and alnum(low[b]))):
+                    hit.add(t)
+        strict = sum(terms[t][0] for t in hit)
+        soft = [terms[t][1] for t in hit if not terms[t][0]]
+        assert (got[i].strict_hits, got[i].soft_hits, got[i].soft_weight) == (strict, len(soft), sum(soft)), u
+        assert got[i].verdict == ("block" if strict or (len(soft) >= 3 and sum(soft) >= 1.5) else "allow")
+    none = urls.judge(df, (), spark.createDataFrame([], urls.TERMS))
+    assert {r.verdict for r in none.collect()} == {"allow"} and urls.judge(df.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- 10 toxicity
 
 
