@@ -1,24 +1,28 @@
 """Language identification with prediction by partial matching.
 
-Each language has a variable-order context tree over the bytes of words: the
-counts of every byte after every context of up to ``ORDER`` bytes, contexts
-starting at the space before the word.  Code lengths follow escape method C: a
+Each language has a variable-order context tree over bytes: the counts of every
+byte after every context of up to ``ORDER`` bytes.  Words are joined by one space
+and A-Z lower-cased; a text starts after spaces and ends with one, and contexts
+reach across the space into the word before.  Code lengths follow escape method C: a
 context that knows the byte charges ``n / (total + distinct)``, one that does not
 charges its escape ``distinct / (total + distinct)`` and passes on to the next
 shorter context; below order 0 all bytes are alike.  Statistics are frozen after
-training, so the code length of a word is the same everywhere and a text's
-length is the sum of its words'; the language with the shortest code wins.
-
-Trees are learnt from a bounded sample of labelled rows (about ``SAMPLE`` whole
-documents, chosen by a hash of doc_id); counting runs on the executors, and only
-the counts (at most the sample's distinct n-grams) reach the driver.  All code
-lengths of known n-grams are resolved into one table, in which each distinct
-word of a slice is looked up once.
-
-Defined cases: a null text and one without a letter are ``und`` with score 0; a
-language that the sample does not hold cannot be predicted; ties take the
-alphabetically first language; without any training row all are ``und``; extra
-columns are ignored.
+training, so the code length of a word after the same two bytes is the same
+everywhere and a text's length is the sum of its words'; the language with the
+shortest code wins.
+
+Trees are learnt from a bounded sample of whole labelled documents of every
+language, chosen by a hash of doc_id: in expectation at most ``SAMPLE`` documents
+and ``SAMPLE_BYTES`` of text of each, and all of a rare language.  Counting runs on
+the executors, and only the counts (at most the sample's distinct n-grams) reach
+the driver.  All code lengths of known n-grams are resolved into one table, in
+which each distinct word of a slice, with the end of the word before, is looked up once.
+
+Defined cases: a null text and one without a letter are ``und`` with score 0; ties
+take the alphabetically first language; labelled rows without text or lang are
+left out; a repeated doc_id is learnt from with all its rows or none; without any
+training row all are ``und``; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -32,39 +36,46 @@ from pyspark.sql import functions as F
 from skyloom.llm import textnp as tx
 
 ORDER = 3
-#: Labelled documents to learn from, in expectation.
-SAMPLE = 4000
+#: Labelled documents of a language to learn from, and bytes of their text, in expectation.
+SAMPLE, SAMPLE_BYTES = 1500, 4 << 20
 #: Weight of code lengths in the posterior of the score.
 _LN2 = np.log(2.0)
 
 
 def _unique_words(words: tx.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the distinct words, each as space, word, space; their sizes; and each word's number."""
-    code, distinct = pd.factorize(words.hashes(lower=True))
-    if not len(distinct):
-        return np.zeros(0, np.uint8), np.zeros(0, np.int64), code
+    """Bytes of the distinct words, each as the ``ORDER`` bytes before it, word, space; their sizes; and each word's number."""
+    size = words.end - words.start
+    last = tx.LOWER[words.buf[words.end - 1]] if len(words) else np.zeros(0, np.uint8)
+    second = np.where(size > 1, tx.LOWER[words.buf[np.maximum(words.end - 2, 0)]], np.uint8(0x20)) if len(words) else last
+    before = np.full((ORDER, len(words)), 0x20, dtype=np.uint8)  # the last one is the space
+    inner = words.pos > 0
+    for row, byte in ((ORDER - 2, last), (ORDER - 3, second)):
+        before[row, 1:] = np.where(inner[1:], byte[:-1], np.uint8(0x20))
+    end = before[ORDER - 3].astype(np.uint64) << np.uint64(8) | before[ORDER - 2]
+    code, distinct = pd.factorize(tx.mix(words.hashes(lower=True) ^ (end * np.uint64(0xD6E8FEB86659FD93))))
     first = np.empty(len(distinct), dtype=np.int64)
     first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-    size = (words.end - words.start)[first]
-    full = size + 2
+    size = size[first]
+    full = size + ORDER + 1
     body = np.full(int(full.sum()), 0x20, dtype=np.uint8)
-    body[tx.ragged(np.cumsum(full) - full + 1, size)] = tx.LOWER[words.buf[tx.ragged(words.start[first], size)]]
+    base = np.cumsum(full) - full
+    for i in range(ORDER):
+        body[base + i] = before[i, first]
+    body[tx.ragged(base + ORDER, size)] = tx.LOWER[words.buf[tx.ragged(words.start[first], size)]]
     return body, full, code
 
 
 def _grams(body: np.ndarray, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every coded byte (all but each word's first) its keys by order, -1 where the word is too short; and its word."""
+    """For every coded byte (the word and the space after it) its keys by order, and its word."""
     base = np.repeat(np.cumsum(full) - full, full)
-    at = np.flatnonzero(np.arange(len(body)) > base)
+    at = np.flatnonzero(np.arange(len(body)) >= base + ORDER)
     big = body.astype(np.int64)
-    out = np.full((ORDER + 1, len(at)), -1, dtype=np.int64)
     key = big[at]
-    out[0] = key
+    out = [key]
     for k in range(1, ORDER + 1):
-        has = at - k >= base[at]
-        key = key | np.where(has, big[np.maximum(at - k, 0)], 0) << (8 * k)
-        out[k] = np.where(has, key | (k << 40), -1)
-    return out, np.repeat(np.arange(len(full)), full)[at]
+        key = key | big[at - k] << (8 * k)
+        out.append(key | (k << 40))
+    return np.stack(out), np.repeat(np.arange(len(full)), full)[at]
 
 
 def _counts(batches):
@@ -78,9 +89,8 @@ def _counts(batches):
                 grams, word = _grams(body, full)
                 times = np.bincount(code, minlength=len(full))[word]
                 for k in range(ORDER + 1):
-                    ok = grams[k] >= 0
-                    keys, back = np.unique(grams[k][ok], return_inverse=True)
-                    n = np.bincount(back, weights=times[ok], minlength=len(keys)).astype(np.int64)
+                    keys, back = np.unique(grams[k], return_inverse=True)
+                    n = np.bincount(back, weights=times, minlength=len(keys)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["lang", "gram", "n"])
 
 
@@ -104,15 +114,14 @@ class Trees:
             total, kinds = np.zeros((len(ctx), n)), np.zeros((len(ctx), n))
             np.add.at(total, (cback, of[here]), times[here])
             np.add.at(kinds, (cback, of[here]), 1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+            log = lambda x, y: np.log2(np.divide(x, y, out=np.ones_like(x), where=x > 0))  # noqa: E731; 0 where x is
+            escape = -log(kinds, total + kinds)
             keys, back = np.unique(gram[here], return_inverse=True)
             seen = np.zeros((len(keys), n))
             np.add.at(seen, (back, of[here]), times[here])
             place = np.searchsorted(ctx, keys & ~np.int64(0xFF))
             lower = self._lower(keys, k) if len(keys) else np.zeros((0, n))
-            with np.errstate(divide="ignore"):
-                bits = np.where(seen > 0, -np.log2(seen / (total + kinds)[place]), escape[place] + lower)
+            bits = np.where(seen > 0, -log(seen, (total + kinds)[place]), escape[place] + lower)
             self.keys.append(keys), self.bits.append(bits.astype(np.float32))
             self.contexts.append(ctx), self.escape.append(escape.astype(np.float32))
 
@@ -153,23 +162,21 @@ class Trees:
             return out
         body, full, code = _unique_words(words)
         grams, word = _grams(body, full)
-        have = (grams >= 0).sum(axis=0) - 1  # the longest context of each byte
-        bits = np.empty((grams.shape[1], len(self.langs)), dtype=np.float32)
-        for k in range(ORDER + 1):
-            some = np.flatnonzero(have == k)
-            bits[some] = self.lengths(grams[k][some], k)
+        bits = self.lengths(grams[ORDER], ORDER)
         for i in range(len(self.langs)):
             per_word = np.bincount(word, weights=bits[:, i], minlength=len(full))
             out[:, i] = np.bincount(words.doc, weights=per_word[code], minlength=words.rows)
         return out
 
 
-def learn(rows: DataFrame, sample: int = SAMPLE) -> Trees | None:
-    """Trees from about ``sample`` rows (doc_id, text, lang) with text and lang."""
+def learn(rows: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Trees | None:
+    """Trees from about ``sample`` rows (doc_id, text, lang) with text of every lang, and ``sample_bytes`` of text."""
     rows = rows.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    n = rows.select("lang").count()
-    share = min(1.0, sample / max(n, 1))
-    picked = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    stock = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row a language
+    if not stock:
+        return None
+    share = F.create_map(*[F.lit(x) for r in stock for x in (r["lang"], int(min(1.0, sample / r["n"], sample_bytes / max(r["bytes"], 1)) * (1 << 20)))])
+    picked = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 20)) < F.element_at(share, F.col("lang")))
     counts = picked.select("text", "lang").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return Trees(counts) if len(counts) else None
 

@@ -197,7 +197,7 @@ def test_code_lengths_are_a_distribution():
     text = pa.array(["abab abac"])
     body, full, code = language._unique_words(textnp.Words(*textnp.text_bytes(text)))
     grams, word = language._grams(body, full)
-    rows = [("x", int(g), 1) for k in range(language.ORDER + 1) for g in grams[k][grams[k] >= 0]]
+    rows = [("x", int(g), 1) for k in range(language.ORDER + 1) for g in grams[k]]
     trees = language.Trees(pd.DataFrame(rows, columns=["lang", "gram", "n"]).groupby(["lang", "gram"], as_index=False).sum())
     context = (ord("a") << 8) | (1 << 40)
     bits = trees.lengths(np.array([context | b for b in range(256)]), 1)[:, 0]
@@ -205,6 +205,54 @@ def test_code_lengths_are_a_distribution():
     assert bits[ord("b")] < bits[ord("q")]
 
 
+def brute_code_length(text, trained):
+    """Bits of ``text`` by direct prediction by partial matching with escape method C, from strings of training texts."""
+    k, flat = language.ORDER, lambda t: (" " * language.ORDER + " ".join(WORDS.findall(t.translate(LOW))) + " ").encode()
+    counts = defaultdict(lambda: defaultdict(int))
+    for t in map(flat, trained):
+        for i in range(k, len(t)):
+            for n in range(k + 1):
+                counts[t[i - n : i]][t[i]] += 1
+    bits, t = 0.0, flat(text)
+    for i in range(k, len(t)):
+        for n in range(k, -1, -1):
+            seen = counts.get(t[i - n : i])
+            if not seen:
+                continue
+            whole = sum(seen.values()) + len(seen)
+            if t[i] in seen:
+                bits -= np.log2(seen[t[i]] / whole)
+                break
+            bits -= np.log2(len(seen) / whole)
+        else:
+            bits += np.log2(257)
+    return bits
+
+
+def test_code_lengths_match_direct_ppm(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 5)))
+    texts = {lang: [(rng.choice([" ", "\n", "  "])).join(word() for _ in range(rng.randrange(1, 30))) for _ in range(8)] for lang in ("x", "y", "z")}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, some in texts.items() for t in some)]
+    trees = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    probes = [word(), "Abc a b  cd", "zzz q", "a", "", "éé dé\tabcd"] + [" ".join(word() for _ in range(20)) for _ in range(10)]
+    bits = trees.rows(pa.array(probes))
+    for i, p in enumerate(probes):
+        for j, lang in enumerate(trees.langs):
+            assert bits[i, j] == pytest.approx(brute_code_length(p, texts[lang]) if p else 0, rel=1e-4), (p, lang)
+
+
+def test_rare_language_is_learnt(spark):
+    """Three rows among thousands are all learnt from, and ties and repeated rows have one answer."""
+    rows = [(i, f"the house of the river {i % 7}", "en") for i in range(4000)] + [(9000 + i, "ñandú guaraní mbya porã", "gn") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = language.learn(df, sample=50)
+    got = language.predict(spark.createDataFrame([(1, "porã mbya"), (1, "porã mbya"), (2, "the river")], "doc_id long, text string"), trees).collect()
+    assert trees.langs == ["en", "gn"] and sorted((r.doc_id, r.lang_pred) for r in got) == [(1, "gn"), (1, "gn"), (2, "en")]
+    twin = language.learn(df.filter("lang = 'gn'").unionByName(df.filter("lang = 'gn'").withColumn("lang", F.lit("aa"))))
+    assert {r.lang_pred for r in language.predict(df.filter("lang = 'gn'"), twin).collect()} == {"aa"}
+
+
 # ---------------------------------------------------------------- 3 personal data
 
 
