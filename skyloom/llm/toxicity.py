@@ -4,9 +4,10 @@ Features of a document are its distinct words and their beginnings of 4 to 8
 bytes (words are runs of letters, A-Z lower-cased), counted over distinct words.
 A logistic model is trained in numpy on a bounded sample of labelled rows.  For
 every labelled sentence the identity terms it names are swapped for the other
-terms of their group (each pair is swapped once besides, so that terms absent
-from the sample are tied too), and the squared change of the score's logit is
-penalised: naming a group must not move the score.
+terms of their group and for a neutral word without weight (each pair is swapped
+once besides, so that terms absent from the sample are tied too), and the squared
+change of the score's logit is penalised: neither which group a sentence names nor
+that it names one may move the score.
 
 Training is bounded: about ``SAMPLE`` labelled rows (whole texts, chosen by a
 hash of doc_id), of whose features the ``FEATURES`` with the largest signed
@@ -186,6 +187,7 @@ def train(known: np.ndarray, toxic: np.ndarray, offs: np.ndarray, slots: np.ndar
     # counterfactual sentences: term a swapped for b changes exactly these features
     swaps = []
     for group in _identity(known):
+        group = [*group, np.zeros(0, dtype=np.int64)]  # the neutral word
         named = [len(np.unique(row[np.isin(slots, s[:1])])) if len(s) else 0 for s in group]
         for i, a in enumerate(group):
             for j, b in enumerate(group):
@@ -215,15 +217,16 @@ def train(known: np.ndarray, toxic: np.ndarray, offs: np.ndarray, slots: np.ndar
     return Model(known, w, bias)
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -> Model | None:
-    """A model from about ``sample`` rows of labels (doc_id, toxic) for which ``usable`` holds, and their documents."""
+def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: int = SAMPLE, penalty: float = COUNTERFACTUAL) -> Model | None:
+    """A model from about ``sample`` rows of labels (doc_id, toxic) for which ``usable`` holds, and their documents; ``penalty`` 0 leaves the swaps out."""
     rows = labels.filter("doc_id is not null and toxic is not null")
     if usable is not None:
         rows = rows.filter(usable)
     rows = rows.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     share = min(1.0, sample / max(rows.count(), 1))
     picked = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * sample)
-    texts = cut(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text").repartition(12))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, but costly ones
+    texts = cut(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text").repartition(partitions))
     n, t = texts.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n or not t or t == n:
         return None
@@ -241,6 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, samp
         np.concatenate(([0], np.cumsum(size))),
         np.concatenate(got["slots"].to_numpy()).astype(np.int64),
         np.concatenate(got["counts"].to_numpy()).astype(np.float64),
+        penalty=penalty,
     )
 
 

@@ -600,21 +600,62 @@ def test_toxicity(spark):
     assert all(0 <= got[i].score < 0.5 for i in (900, 901, 902))
     # swapping an identity term moves the score less than without the penalty
     pair = pa.array(["the muslim walk", "the christian walk"])
-    free = np.abs(np.diff(_without_penalty(docs, labels).logits(pair)))[0]
+    free = np.abs(np.diff(toxicity.learn(docs, labels, F.col("doc_id") % 3 != 0, penalty=0.0).logits(pair)))[0]
     assert np.abs(np.diff(model.logits(pair)))[0] < max(0.5 * free, 1e-6) + 1e-9
     assert toxicity.keep_clean(docs, model).count() == 303
     assert toxicity.learn(docs, labels.filter("false")) is None
 
 
-def _without_penalty(docs, labels):
-    import skyloom.llm.toxicity as t
-
-    train = t.train
-    t.train = lambda *a, **k: train(*a, **{**k, "penalty": 0.0})
-    try:
-        return t.learn(docs, labels)
-    finally:
-        t.train = train
+def biased_corpus(spark, seed=21):
+    """Abuse names some groups far more often than neutral text does; held-out neutral and abusive sentences are built of other words."""
+    rng = random.Random(seed)
+    plain = [f"{a}{b}" for a in ("riv", "hou", "wal", "gar", "tra", "sch", "mar", "pen") for b in ("er", "se", "den", "ket", "cil", "in")]
+    abuse = ["idiot", "moron", "scum", "vermin"]
+    targets, groups = ["muslim", "gay", "immigrants", "jewish", "black", "women"], [t for g in toxicity.IDENTITY for t in g]
+    rows, labels = [], []
+    for i in range(1500):
+        words = [rng.choice(plain) for _ in range(12)]
+        bad = rng.random() < 0.3
+        if bad:
+            words += [rng.choice(abuse)] if rng.random() < 0.7 else []
+            words += [rng.choice(targets)] if rng.random() < 0.6 else []
+        elif rng.random() < 0.04:
+            words.append(rng.choice(groups))
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(bad)))
+    neutral = [" ".join(rng.sample([*rng.choices(plain, k=10), g], 11)) for g in targets for _ in range(30)]
+    bad = [" ".join(rng.sample([*rng.choices(plain, k=10), rng.choice(abuse)], 11)) for _ in range(100)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), neutral, bad
+
+
+def test_counterfactual_penalty_lowers_false_positives(spark):
+    """On held-out neutral sentences that name a group, the swaps' penalty lowers false positives; abuse is still found."""
+    docs, labels, neutral, bad = biased_corpus(spark)
+    rates = {}
+    for penalty in (toxicity.COUNTERFACTUAL, 0.0):
+        model = toxicity.learn(docs, labels, penalty=penalty)
+        flagged = lambda texts: (1 / (1 + np.exp(-model.logits(pa.array(texts)))) >= toxicity.THRESHOLD).mean()  # noqa: B023, E731
+        rates[penalty] = flagged(neutral), flagged(bad)
+    print("share of neutral sentences flagged, of abuse found: with penalty", rates[toxicity.COUNTERFACTUAL], "without", rates[0.0])
+    assert rates[toxicity.COUNTERFACTUAL][0] <= 0.5 * rates[0.0][0] and rates[0.0][0] > 0.3
+    assert rates[toxicity.COUNTERFACTUAL][1] >= 0.9
+
+
+def test_toxicity_scores_match_direct_sums(spark):
+    """A text's logit is the bias and what each of its distinct words adds, however rows are cut into batches; nulls, long and repeated texts included."""
+    docs, labels = toxic_corpus(spark)
+    model = toxicity.learn(docs, labels)
+    rng = random.Random(22)
+    vocab = ["idiot", "Idiots", "moron", "scum", "river", "women", "muslim", "é", "idiotic", "x1y", "house"]
+    texts = [None, "", "123 ..."] + [rng.choice([" ", ", ", "1"]).join(rng.choice(vocab) for _ in range(rng.randrange(1, 12))) for _ in range(80)] + ["scum river " * 30000] * 2
+    words = [{w.translate(LOW) for w in re.findall(r"[A-Za-z\x80-\U0010ffff]+", t or "")} for t in texts]
+    one = {w: model.logits(pa.array([w]))[0] - model.bias for some in words for w in some}
+    want = [1 / (1 + np.exp(-model.bias - sum(one[w] for w in some))) for some in words]
+    got = rows_of(toxicity.score(docs_of(spark, texts), model))
+    assert [got[i].score for i in range(len(texts))] == pytest.approx(want, abs=1e-9)
+    kept = toxicity.keep_clean(docs_of(spark, texts), model)
+    assert kept.columns == docs_of(spark, []).columns and {r.doc_id for r in kept.collect()} == {i for i, w in enumerate(want) if w < toxicity.THRESHOLD}
 
 
 # ---------------------------------------------------------------- all
