@@ -16,15 +16,24 @@ What keeps it bounded:
   its first common band only;
 * a bucket of up to ``SMALL`` nodes gives its likely pairs (28 at most), which
   are joined with the full sets;
-* the nodes of larger buckets bring their sets along, likely pairs
-  are verified on the spot unless verified links connect them already, and only
-  a spanning forest of verified links leaves, so that a dense group gives links
-  in proportion to its nodes;
-* a bucket of more than 2 x ``TILE`` nodes is cut into tiles (pairs of hashed
-  blocks), so that no task holds a group, and no pair of it is left out;
+* the nodes of larger buckets, up to ``LARGE``, bring their sets along, likely
+  pairs are verified on the spot unless verified links connect them already, and
+  only a spanning forest of verified links leaves, so that a dense group gives
+  links in proportion to its nodes;
+* beyond ``LARGE`` no bucket is paired with itself.  Every node brings its set once,
+  to the first such bucket that it is in, and is compared with the bucket's
+  leaders (about ``LEADERS``, the same ones in all bands), so a family of n near
+  copies sends rows in proportion to n.  After all links so far are contracted,
+  a bucket whose nodes are of one component is done; in any other, each pair
+  between different components is still looked at, with sketches alone: the nodes
+  outside the bucket's largest component against all, tile by tile, and likely
+  pairs are then joined with the full sets.  No link between components is lost;
 * components come from label propagation with pointer jumping over the verified
   links, materialised in the shared folder.  Nothing is collected to the driver.
 
+Shingles are compared by 55-bit hashes; two of a text's n shingles have the same
+one with a chance of n^2 / 2^56.
+
 With 7 registers a band and 32 bands a pair of similarity 0.8 is missed with
 probability 3e-4, one of 0.85 with 2e-5.
 
@@ -42,8 +51,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import textnp as tx
@@ -55,9 +65,14 @@ REGISTERS = ROWS * BANDS
 BASE, RATE = 1.1, 20.0
 #: Nodes in a tile's block.
 TILE = 256
-#: Nodes in a bucket whose pairs are verified by a join.
-SMALL = 8
-_MASK48 = np.uint64((1 << 48) - 1)
+#: Nodes in a bucket whose pairs are verified by a join, and in one that is a tile of its own.
+SMALL, LARGE = 8, 512
+#: Nodes that the others of a bucket beyond ``LARGE`` are compared with first, in expectation.
+LEADERS = 16
+#: Rows of a slice, and the bits of a shingle that are left beside a row's number.
+_ROWS = 512
+_BITS = np.uint64(55)
+_MASK = np.uint64((1 << 55) - 1)
 _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(0, 2**32, REGISTERS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint64).astype(np.uint32)
@@ -66,12 +81,12 @@ _CHUNK = 16384
 
 
 def _distinct(words: tx.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingles (48 bits) of all rows, and how many each row has."""
+    """Sorted distinct shingles (55 bits) of at most ``_ROWS`` rows, and how many each row has."""
     hashes, at = tx.windows(words, words.hashes(lower=True), k, short=True)
-    key = np.sort((words.doc[at].astype(np.uint64) << np.uint64(48)) | (hashes & _MASK48))
+    key = np.sort((words.doc[at].astype(np.uint64) << _BITS) | (hashes & _MASK))
     if len(key):
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-    return key & _MASK48, np.bincount((key >> np.uint64(48)).astype(np.int64), minlength=words.rows)
+    return key & _MASK, np.bincount((key >> _BITS).astype(np.int64), minlength=words.rows)
 
 
 def sketch(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -129,14 +144,14 @@ def likelihood_similarity(larger: np.ndarray, smaller: np.ndarray, n_u: np.ndarr
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.slices(batch, "text"):
+            for part in tx.slices(batch, "text", rows=_ROWS):
                 words = tx.Words(*tx.text_bytes(part.column("text")))
                 elements, counts = _distinct(words, k)
                 hashes = words.hashes(lower=True)
                 node = np.stack([tx.row_hashes(words, hashes, s) for s in (1, 2)], axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts.astype(np.int64)), tx.fixed_binary(node.view(np.uint8).reshape(-1, 16)), tx.fixed_binary(sketch(elements, counts))],
-                    names=["doc_id", "n_shingles", "node", "regs"],
+                    [part.column("doc_id"), part.column("row"), pa.array(counts.astype(np.int64)), tx.fixed_binary(node.view(np.uint8).reshape(-1, 16)), tx.fixed_binary(sketch(elements, counts))],
+                    names=["doc_id", "row", "n_shingles", "node", "regs"],
                 )
 
     return run
@@ -157,21 +172,26 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _likely(threshold: float, rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a tile whose first common band this is and that may reach the threshold, with their estimates."""
+    """Pairs of a tile whose first common band this is and that may reach the threshold, with their estimates.
+
+    Rows of side 1, where there are any, meet those of side 0; otherwise all meet.  Nodes of one ``root`` are connected already.
+    """
     low = threshold - 3.5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
-    regs, n = rows["regs"], rows["n"]
-    if rows["lo"] == rows["hi"]:
+    regs, n, root = rows["regs"], rows["n"], rows["root"]
+    if not rows["side"].any():
         a, b = np.triu_indices(len(n), 1)
     else:
-        left, right = np.flatnonzero(rows["blk"] == rows["lo"]), np.flatnonzero(rows["blk"] == rows["hi"])
+        left, right = np.flatnonzero(rows["side"] == 1), np.flatnonzero(rows["side"] == 0)
         a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+    apart = root[a] != root[b]
+    a, b = a[apart], b[apart]
     fits = np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9
     a, b = a[fits], b[fits]
     found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
     for at in range(0, len(a), 8192):
         x, y = a[at : at + 8192], b[at : at + 8192]
         same = regs[x] == regs[y]
-        first = same.reshape(len(x), BANDS, ROWS).all(axis=2).argmax(axis=1) == rows["band"]
+        first = same.reshape(len(x), BANDS, ROWS).all(axis=2).argmax(axis=1) == rows["band"] if rows["first"] else np.ones(len(x), dtype=bool)
         x, y = x[first], y[first]
         if len(x):
             rx, ry = regs[x], regs[y]
@@ -181,9 +201,9 @@ def _likely(threshold: float, rows: dict) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(v) for v in zip(*found))
 
 
-def _verified(k: int, a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """A spanning forest of the pairs that reach the threshold on their full sets."""
-    parent = list(range(k))
+def _verified(node: np.ndarray, a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """A spanning forest of the pairs that reach the threshold on their full sets; rows of one ``node`` are one vertex."""
+    parent = {x: x for x in node.tolist()}
 
     def root(x):
         while parent[x] != x:
@@ -193,7 +213,7 @@ def _verified(k: int, a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], perc
 
     keep = np.zeros(len(a), dtype=bool)
     for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        p, q = root(x), root(y)
+        p, q = root(int(node[x])), root(int(node[y]))
         if p != q:
             u, v = sets[x], sets[y]
             both = np.concatenate((u, v))
@@ -205,16 +225,20 @@ def _verified(k: int, a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], perc
     return keep
 
 
-def _pairs(percent: int, verify: bool):
-    """Likely pairs of sorted tiles; with ``verify`` a forest of those that hold on the sets brought along."""
+def _pairs(percent: int, verify: bool, first: bool = True):
+    """Likely pairs of sorted tiles; with ``verify`` a forest of those that hold on the sets brought along.
+
+    ``first``: only pairs that have no common band before the tile's own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in _whole_groups(batches, held):
             n = batch.num_rows
             regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint8).reshape(n, REGISTERS)
-            key, lo, hi, blk, size = (batch.column(c).to_numpy() for c in ("key", "lo", "hi", "blk", "n"))
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            key, tile, side, size = (batch.column(c).to_numpy() for c in ("key", "tile", "side", "n"))
+            root = pd.factorize(np.array(batch.column("root").to_pylist(), dtype=object))[0]
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1
             edges = [0, *cuts.tolist(), n]
             band = np.ascontiguousarray(key).view(np.uint8).reshape(n, 8)[:, 7]
             if verify:
@@ -222,11 +246,11 @@ def _pairs(percent: int, verify: bool):
             left, right = [], []
             for s, e in zip(edges[:-1], edges[1:]):
                 if e - s > 1:
-                    a, b, likeness = _likely(percent / 100, {"regs": regs[s:e], "n": size[s:e], "band": band[s], "lo": lo[s], "hi": hi[s], "blk": blk[s:e]})
+                    a, b, likeness = _likely(percent / 100, {"regs": regs[s:e], "n": size[s:e], "root": root[s:e], "band": band[s], "side": side[s:e], "first": first})
                     if verify and len(a):
                         order = np.argsort(-likeness, kind="stable")
                         a, b = a[order], b[order]
-                        keep = _verified(e - s, a, b, [values[offs[i] : offs[i + 1]] for i in range(s, e)], percent)
+                        keep = _verified(root[s:e], a, b, [values[offs[i] : offs[i + 1]] for i in range(s, e)], percent)
                         a, b = a[keep], b[keep]
                     left.append(a + s), right.append(b + s)
             if left:
@@ -237,14 +261,14 @@ def _pairs(percent: int, verify: bool):
 
 
 def _whole_groups(batches, held):
-    """Regroup sorted batches so that a (key, lo, hi) run is never cut; a run has 2 x TILE rows or so."""
+    """Regroup sorted batches so that a (key, tile) run is never cut; a run has 2 x TILE rows or so."""
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([*held, batch]).combine_chunks()
         held.clear()
-        key, lo, hi = (table.column(c).to_numpy() for c in ("key", "lo", "hi"))
-        cuts = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+        key, tile = (table.column(c).to_numpy() for c in ("key", "tile"))
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1
         at = int(cuts[-1]) if len(cuts) else 0
         if at:
             yield from table.slice(0, at).combine_chunks().to_batches()
@@ -256,7 +280,7 @@ def _whole_groups(batches, held):
 def _sets(k: int):
     def run(batches):
         for batch in batches:
-            for part in tx.slices(batch, "text"):
+            for part in tx.slices(batch, "text", rows=_ROWS):
                 words = tx.Words(*tx.text_bytes(part.column("text")))
                 elements, counts = _distinct(words, k)
                 offs = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
@@ -268,7 +292,7 @@ def _sets(k: int):
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label): the smallest ``first`` of ``nodes(node, first)`` that links(a, b) reach; only nodes with links.
+    """(node, label, root): the smallest ``first`` of ``nodes(node, first)`` that links(a, b) reach, and its node; only nodes with links.
 
     Rounds of contraction: every vertex moves to the smallest vertex next to it,
     then to where that one moved; links are renamed, those within a vertex and
@@ -295,55 +319,103 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         left = move.select(F.col("v").alias("a"), F.col("to").alias("x"))
         right = move.select(F.col("v").alias("b"), F.col("to").alias("y"))
         edges = cut(edges.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a != b").distinct())
-    return where.select("node", F.col("v.first").alias("label"))
+    return where.select("node", F.col("v.first").alias("label"), F.col("v.node").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def _block(salt: str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), blocks).cast("int")
 
-    Documents are linked where 100 x intersection >= ``percent`` x union.
-    """
+
+def _every(blocks: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))
+
+
+def leader_tiles(large: DataFrame) -> DataFrame:
+    """(key, tile, side, node): of the buckets large(key, node, c), every node once, in the first of its buckets, beside that bucket's leaders."""
+    firsts = cut(large.groupBy("node").agg(F.min("key").alias("key")))  # the highest byte of a key is its band
+    tiles = firsts.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("nb"))
+    members = firsts.join(tiles, "key").select("key", _block("tile", F.col("nb")).alias("tile"), F.lit(0).alias("side"), "node")
+    leaders = large.filter(F.shiftrightunsigned(F.xxhash64("node", F.lit("leader")), 33) * F.col("c") < LEADERS * float(1 << 31))
+    copies = leaders.select("key", "node").join(tiles, "key").select("key", _every(F.col("nb")).alias("tile"), F.lit(1).alias("side"), "node")
+    return members.union(copies)
+
+
+def residual_tiles(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, tile, side, node, root): nodes outside the largest component of their bucket (side 1) against all of it, in tiles."""
+    tagged = cut(large.join(labels.select("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    kinds = tagged.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    blocks = lambda n: F.ceil(n / TILE).cast("int")
+    mixed = kinds.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    rows = tagged.join(cut(mixed.select("key", "top", blocks(F.col("all") - F.col("most")).alias("nr"), blocks(F.col("all")).alias("nd"))), "key")
+    rest = rows.filter("root <> top").withColumn("i", _block("rest", F.col("nr"))).withColumn("j", _every(F.col("nd"))).withColumn("side", F.lit(1))
+    whole = rows.withColumn("j", _block("all", F.col("nd"))).withColumn("i", _every(F.col("nr"))).withColumn("side", F.lit(0))
+    return rest.unionByName(whole).select("key", (F.col("i").cast("long") * F.col("nd") + F.col("j")).alias("tile"), "side", "node", "root")
+
+
+def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, row, n_shingles, component_id, kept); ``row`` is a hash of the text."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select("doc_id", "text")
-    sk = cut(texts.mapInArrow(_sketches(k), "doc_id long, n_shingles long, node binary, regs binary"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
+    sk = cut(texts.mapInArrow(_sketches(k), "doc_id long, row long, n_shingles long, node binary, regs binary"))
     some = sk.filter("n_shingles > 0")
     nodes = cut(some.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")))
     bands = nodes.select("regs", "node").mapInArrow(_bands, "key long, node binary")
     sizes = cut(bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
     met = cut(bands.join(sizes, "key"))
-    blocks = F.when(F.col("c") > 2 * TILE, F.ceil(F.col("c") / TILE)).otherwise(F.lit(1)).cast("int")
-    dealt = (
-        met.withColumn("nb", blocks)
-        .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("key", "node", "c", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk")
-    )
+    found = "a binary, b binary"
 
-    def tiles(rows: DataFrame, *more: str) -> DataFrame:
-        return rows.repartition(partitions, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "blk", "n", "regs", "node", *more)
+    def tiles(dealt: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """Tiles of (key, tile, side, node, root) with sketches, and sets where given, sorted."""
+        rows = dealt.join(nodes.select("node", "n", "regs"), "node")
+        rows = rows if sets is None else rows.join(sets, "node")
+        columns = ["key", "tile", "side", "n", "regs", "node", "root"] + ([] if sets is None else ["set"])
+        return rows.repartition(partitions, "key", "tile").sortWithinPartitions("key", "tile").select(*columns)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(node, set) of the wanted nodes, each from one of its texts."""
+        first = cut(wanted.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", "first"))
+        read = texts.join(first.select("first"), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").mapInArrow(_sets(k), "node binary, set array<bigint>")
+        return read.join(first.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        common = joined.withColumn("common", F.size(F.array_intersect("x", "y")))
+        return common.filter(F.col("common") * 100 >= (F.size("x") + F.size("y") - F.col("common")) * percent).select("a", "b")
+
+    flat = met.select("key", F.lit(0).alias("tile"), F.lit(0).alias("side"), "node", F.col("node").alias("root"), "c")
+    pairs = cut(tiles(flat.filter(F.col("c") <= SMALL).drop("c")).mapInArrow(_pairs(percent, False), found))
+    ends = lambda p: p.select(F.col("a").alias("node")).union(p.select("b"))
+    sets = sets_of(ends(pairs).union(met.filter(F.col("c") > SMALL).select("node")))
+    middle = flat.filter((F.col("c") > SMALL) & (F.col("c") <= LARGE)).drop("c")
+    links = verified(pairs, sets).union(tiles(middle, sets).mapInArrow(_pairs(percent, True), found))
+    large = met.filter(F.col("c") > LARGE)
+    dense = not sizes.filter(F.col("c") > LARGE).isEmpty()
+    if dense:
+        stars = leader_tiles(large).withColumn("root", F.col("node"))
+        links = cut(links.union(tiles(stars, sets).mapInArrow(_pairs(percent, True, first=False), found)))
+    labels = components(nodes, links)
+    if dense:
+        more = cut(tiles(residual_tiles(large, labels)).mapInArrow(_pairs(percent, False), found).distinct())
+        if not more.isEmpty():
+            labels = components(nodes, links.union(verified(more, sets_of(ends(more)))))
+    named = cut(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "first").alias("component_id")))
+    component = F.coalesce("component_id", "doc_id")
+    return sk.join(named, "node", "left").select("doc_id", "row", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
-    found = "a binary, b binary"
-    sketched = dealt.join(nodes.select("node", "n", "regs"), "node")
-    pairs = cut(tiles(sketched.filter(F.col("c") <= SMALL)).mapInArrow(_pairs(percent, False), found))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(met.filter(F.col("c") > SMALL).select("node")).distinct()
-    wanted = cut(wanted.join(nodes.select("node", "first"), "node").select("first"))
-    sets = texts.join(wanted, F.col("doc_id") == F.col("first"), "left_semi").mapInArrow(_sets(k), "node binary, set array<bigint>")
-    small = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        .withColumn("common", F.size(F.array_intersect("x", "y")))
-        .filter(F.col("common") * 100 >= (F.size("x") + F.size("y") - F.col("common")) * percent)
-        .select("a", "b")
-    )
-    large = tiles(sketched.filter(F.col("c") > SMALL).join(sets, "node"), "set").mapInArrow(_pairs(percent, True), found)
-    labels = components(nodes, small.union(large))
-    named = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "first").alias("component_id"))
-    return sk.join(cut(named), "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept")
-    )
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked where 100 x intersection >= ``percent`` x union.
+    """
+    return _labelled(docs, k, percent).drop("row")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group; groups as in near_duplicates."""
-    dropped = near_duplicates(docs, k, percent).filter("not kept").select(F.col("doc_id").alias("__md_id"))
-    return docs.join(dropped, F.col("doc_id") == F.col("__md_id"), "left_anti")
+    """The rows of ``docs`` whose doc_id is the smallest of its group; groups as in near_duplicates.
+
+    A row is told by doc_id and text, so of a repeated or null doc_id only the rows go whose own text is a copy.
+    """
+    dropped = _labelled(docs, k, percent).filter("not kept").select("doc_id", "row").distinct().alias("dropped")
+    same = F.col("docs.doc_id").eqNullSafe(F.col("dropped.doc_id")) & (F.xxhash64("docs.text") == F.col("dropped.row"))
+    return docs.alias("docs").join(dropped, same, "left_anti")

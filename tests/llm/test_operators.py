@@ -113,20 +113,42 @@ def test_near_duplicates(spark, k):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(sets[i]), comp[i], comp[i] == i)
 
 
-def test_near_dense_group_in_tiles(spark, monkeypatch):
-    """A group larger than a tile, whose members are near copies of each other: nothing is lost."""
-    monkeypatch.setattr(minhash, "TILE", 8)
-    monkeypatch.setattr(minhash, "SMALL", 2)
-    rng = random.Random(5)
-    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+def near_copies(n, seed, length=150, most=8):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(500)}" for _ in range(length)]
     texts = []
-    for i in range(60):
+    for _ in range(n):
         words = list(base)
-        for _ in range(rng.randrange(0, 8)):
+        for _ in range(rng.randrange(0, most)):
             words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
         texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("large", [4, 16])
+def test_near_dense_groups(spark, monkeypatch, large):
+    """Groups far beyond a tile, with members below the threshold of each other, beside a family that shares half its text: nothing is lost."""
+    monkeypatch.setattr(minhash, "TILE", 8)
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(minhash, "LARGE", large)
+    monkeypatch.setattr(minhash, "LEADERS", 2)
+    half = near_copies(1, 5)[0].split()
+    other = [" ".join(half[:110] + t.split()[:40]) for t in near_copies(20, 6)]
+    texts = near_copies(60, 5) + other + near_copies(30, 7, most=14)
     got = rows_of(minhash.near_duplicates(docs_of(spark, texts), 4))
-    assert [got[i].component_id for i in range(60)] == brute_components(texts, 4, 80)[1]
+    assert [got[i].component_id for i in range(len(texts))] == brute_components(texts, 4, 80)[1]
+
+
+def test_near_dense_family_sends_rows_in_proportion(spark):
+    """A family of n near copies that all share every band: rows sent grow as n, not as its square."""
+    sent = {}
+    for n in (2000, 8000):
+        large = spark.range(n).select(F.explode(F.sequence(F.lit(0), F.lit(31))).alias("band"), F.col("id").cast("string").cast("binary").alias("node")).select((F.col("band").cast("long") * (1 << 56)).alias("key"), "node", F.lit(n).alias("c"))
+        one = large.select("node").distinct().withColumn("root", F.lit(b"0")).filter("node <> cast('7' as binary)")
+        sent[n] = minhash.leader_tiles(large).count(), minhash.residual_tiles(large, one).count()
+    assert sent[8000][0] <= 4.4 * sent[2000][0] and sent[2000][0] < 2 * 2000
+    assert sent[8000][1] <= 4.4 * sent[2000][1]
+    assert minhash.residual_tiles(large, large.select("node").distinct().withColumn("root", F.lit(b"0"))).count() == 0
 
 
 def test_near_keep_one_and_null_ids(spark):
@@ -134,6 +156,9 @@ def test_near_keep_one_and_null_ids(spark):
     out = minhash.near_duplicates(df, 5).collect()
     assert sorted((r.component_id, r.kept) for r in out) == [(7, False), (7, True), (7, True), (9, True)]
     assert minhash.keep_one(df).columns == df.columns
+    # only the copy goes of a doc_id with two texts, and of rows without doc_id
+    df = docs_of(spark, ["a b c d e f g h", "A b c d e f g h", "clean text of its own", "a b c d e f g h", "another clean text"], [1, 2, 2, None, None]).withColumn("__md_id", F.lit(1)).withColumn("row", F.lit(2))
+    assert sorted(r.text for r in minhash.keep_one(df).collect()) == ["a b c d e f g h", "another clean text", "clean text of its own"]
 
 
 def test_sketches_merge_and_estimate():
