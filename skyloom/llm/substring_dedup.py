@@ -6,19 +6,28 @@ window that covers it also starts in a document with a smaller doc_id.
 1. *Index and probe.*  The blocks of ``BLOCK`` words at positions 0, BLOCK,
    2 x BLOCK ... of every document are the anchors, and every rolling window of
    BLOCK words probes them.  As WINDOW = 2 x BLOCK - 1, a window always holds a
-   whole anchor of the document that it stands in, so a repeat cannot miss.
-2. *Extend.*  Around hits, runs of consecutive hits grow to the maximal repeats:
-   each window that holds a hit is compared, by a 64-bit hash of all its words,
-   with the windows of other documents.
-
-Documents are grouped into buckets of ascending doc_id ranges.  A bucket sends
-each distinct key once, however often it occurs there, so a passage in a third
-of all documents costs an entry a bucket; the answer is one bit a key, in the
-order of the question: whether the key is live (an anchor in this or an earlier
-bucket and a probe in another document), or whether an earlier bucket has the
-window.  Within its bucket each key's smallest doc_id is known on the spot.
-
-Bucket and part counts follow the text's bytes, not the number of executors.
+   whole anchor of the document that it stands in, so a repeat cannot miss.  This
+   step is a filter: 32-bit keys may give hits too many, never too few.
+2. *Extend.*  A hit grows to the left and right word by word: of the windows that
+   hold a hit, those with the same words are one class, and runs of windows whose
+   class has a smaller doc_id are the maximal repeats.
+
+Documents are dealt into buckets by a hash of doc_id and text, so a bucket has
+``BUCKET_BYTES`` of text in expectation however doc_ids, sources or copies are
+distributed, and only one very long text can make it larger.  Within a bucket,
+windows are classed by comparing their words.  A bucket then sends each class
+once, however often it occurs there, with the smallest doc_id that has it, to the
+part that its key belongs to: a passage in a third of all documents costs an entry
+a bucket.  The answer is one bit a class, in the order of the question: whether
+another bucket has it in a document with a smaller doc_id.
+
+Across buckets classes are the same if two independent 64-bit hashes of all their
+words are: among 10^13 windows, any two are mistaken with a chance of 10^-13.  The
+words themselves stay at home; with them, all contexts of a frequent line would
+meet in one group.
+
+Bucket and part counts follow the text's bytes, not the number of executors, and
+nothing but that sum reaches the driver.
 
 Defined cases: null or empty text has no words, removes nothing and keeps the
 empty text; rows that repeat a doc_id are one document for "smaller" and each
@@ -29,7 +38,6 @@ empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,19 +46,23 @@ from skyloom.llm import textnp as tx
 
 BLOCK = 7
 WINDOW = 2 * BLOCK - 1
-#: Bytes of text in a bucket and in a part of the keys.
+#: Bytes of text in a bucket and in a part of the keys, in expectation.
 BUCKET_BYTES, PART_BYTES = 4 << 20, 16 << 20
-#: Sampled cuts of the doc_id range that the driver holds at most.
-CUTS = 2048
-_NULL = np.iinfo(np.int64).min
+_NULL, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def _read(table: pa.Table):
+    """Words, their hashes and doc_ids of a bucket, its rows in an order that does not depend on how they came."""
     table = table.combine_chunks()
+    doc = np.asarray(table.column("doc_id").fill_null(int(_NULL)), dtype=np.int64)
     words = tx.Words(*tx.text_bytes(table.column("text")))
-    ids = table.column("doc_id")
-    doc = np.asarray(ids.fill_null(int(_NULL)), dtype=np.int64)
-    return words, words.hashes(), doc
+    hashes = words.hashes()
+    order = np.lexsort((tx.row_hashes(words, hashes, 1), doc))
+    if (order[1:] < order[:-1]).any():
+        table, doc = table.take(pa.array(order)).combine_chunks(), doc[order]
+        words = tx.Words(*tx.text_bytes(table.column("text")))
+        hashes = words.hashes()
+    return table, words, hashes, doc
 
 
 def _keys(words: tx.Words, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,33 +76,7 @@ def _part(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
-def _by_part(key: np.ndarray, parts: int):
-    """Distinct keys sorted by part and key, with each part's bounds, and every key's place among them."""
-    distinct, back = np.unique(key, return_inverse=True)
-    order = np.lexsort((distinct, _part(distinct, parts)))
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    distinct = distinct[order]
-    return distinct, np.searchsorted(_part(distinct, parts), np.arange(parts + 1)), place[back]
-
-
-def _least_most(place: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, _NULL)
-    np.minimum.at(least, place, doc)
-    np.maximum.at(most, place, doc)
-    return least, most
-
-
-def _asks(bucket: int, rows: list[tuple[int, bytes, bytes]]) -> pa.Table:
-    part, keys, flags = zip(*rows) if rows else ((), (), ())
-    return pa.table({"part": pa.array(part, pa.int32()), "bucket": pa.array([bucket] * len(part), pa.int32()), "keys": pa.array(keys, pa.binary()), "flags": pa.array(flags, pa.binary())})
-
-
-_ASK = "part int, bucket int, keys binary, flags binary"
-_ANSWER = "bucket int, part int, bits binary"
-
-
-def _short(words: tx.Words, hashes: np.ndarray, parts: int):
+def _blocks(words: tx.Words, hashes: np.ndarray, parts: int):
     """Block keys of a bucket in the order of its questions: 32 bits within a part."""
     key, at = _keys(words, hashes, BLOCK)
     part = _part(key, parts)
@@ -99,69 +85,102 @@ def _short(words: tx.Words, hashes: np.ndarray, parts: int):
     return distinct, np.searchsorted((distinct >> np.uint64(33)).astype(np.int64), np.arange(parts + 1)), place, at
 
 
+def _table(bucket: int, rows: list[tuple]) -> pa.Table:
+    part, *data = zip(*rows) if rows else ((), (), (), ())
+    return pa.table({"part": pa.array(part, pa.int32()), "bucket": pa.array([bucket] * len(part), pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip(("keys", "more", "docs"), data)}})
+
+
+_ASK = "part int, bucket int, keys binary, more binary, docs binary"
+_ANSWER = "bucket int, part int, bits binary"
+
+
 def _probe(parts: int):
-    """Ask whether the block keys of a bucket are live; flag 1: an anchor here, flag 2: live within the bucket."""
+    """Ask whether the block keys of a bucket are live; flag 1: an anchor here, flag 2: also in another document here."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        words, hashes, doc = _read(table)
-        distinct, bounds, place, at = _short(words, hashes, parts)
+        _, words, hashes, doc = _read(table)
+        distinct, bounds, place, at = _blocks(words, hashes, parts)
         anchor = words.pos[at] % BLOCK == 0
         of = doc[words.doc[at]]
-        least, _ = _least_most(place[anchor], of[anchor], len(distinct))
-        _, most = _least_most(place, of, len(distinct))
         here = np.zeros(len(distinct), dtype=bool)
         here[place[anchor]] = True
+        least, most = np.full(len(distinct), _MOST), np.full(len(distinct), _NULL)
+        np.minimum.at(least, place, of)
+        np.maximum.at(most, place, of)
         flags = here.astype(np.uint8) | ((here & (least < most)).astype(np.uint8) << 1)
         low = (distinct & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        rows = [(p, low[a:b].tobytes(), flags[a:b].tobytes()) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
-        return _asks(key[0].as_py(), rows)
+        return _table(key[0].as_py(), [(p, low[a:b].tobytes(), flags[a:b].tobytes(), b"") for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a])
 
     return run
 
 
-def _answers(width: type, decide):
-    """Answer the questions of a part: ``decide(place, bucket, flags, n)`` gives a bit for each key asked."""
+def _answers(decide):
+    """Answer the questions of a part: ``decide`` gives the bits of each of its rows (bucket, keys, more, docs)."""
 
-    def of_part(part: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: r[0])
-        keys = [np.frombuffer(r[1], width) for r in rows]
-        size = np.array([len(k) for k in keys])
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        bits = decide(place, np.repeat(np.array([r[0] for r in rows], dtype=np.int64), size), np.frombuffer(b"".join(r[2] for r in rows), np.uint8), len(distinct))
-        cuts = np.cumsum(size) - size
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([np.packbits(bits[a : a + s]).tobytes() for a, s in zip(cuts, size)], pa.binary())],
-            names=["bucket", "part", "bits"],
-        )
+    def of_part(part: int, rows: list[tuple]) -> pa.RecordBatch:
+        bits = decide(rows)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())], names=["bucket", "part", "bits"])
 
     def run(batches):
         part, rows = None, []
         for batch in batches:
-            for p, b, k, f in zip(*(batch.column(c).to_pylist() for c in ("part", "bucket", "keys", "flags"))):
+            for p, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "bucket", "keys", "more", "docs"))):
                 if p != part and rows:
                     yield of_part(part, rows)
                     rows = []
                 part = p
-                rows.append((b, k, f))
+                rows.append(row)
         if rows:
             yield of_part(part, rows)
 
     return run
 
 
-def _live(place, bucket, flags, n):
-    """Live keys: an anchor in a bucket and a probe in a later one, or both within one bucket."""
-    first, _ = _least_most(place[flags & 1 == 1], bucket[flags & 1 == 1], n)
-    _, last = _least_most(place, bucket, n)
-    live = first < last
-    live[place[flags & 2 == 2]] = True
-    return live[place]
+def _cut(flat: np.ndarray, size: list[int]) -> list[np.ndarray]:
+    return np.split(flat, np.cumsum(size)[:-1])
+
+
+def _live(rows: list[tuple]) -> list[np.ndarray]:
+    """Live keys: an anchor somewhere, and another bucket or another document of the same bucket that has the key."""
+    keys = [np.frombuffer(r[1], np.uint32) for r in rows]
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    flags = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+    anchor, inner = np.zeros(len(distinct), dtype=bool), np.zeros(len(distinct), dtype=bool)
+    anchor[place[flags & 1 == 1]] = True
+    inner[place[flags & 2 == 2]] = True
+    live = inner | (anchor & (np.bincount(place, minlength=len(distinct)) > 1))  # a bucket names a key once
+    return _cut(live[place], [len(k) for k in keys])
+
 
+def _smaller(rows: list[tuple]) -> list[np.ndarray]:
+    """Classes that another bucket has in a document with a smaller doc_id."""
+    keys, other = (np.frombuffer(b"".join(r[i] for r in rows), np.uint64) for i in (1, 2))
+    size = [len(r[1]) // 8 for r in rows]
+    docs = np.concatenate([_unpack_docs(r[3], n) for r, n in zip(rows, size)])
+    order = np.argsort(keys, kind="stable")
+    near = keys[order][1:] == keys[order][:-1]
+    if (near & (other[order][1:] != other[order][:-1])).any():
+        order = np.lexsort((other, keys))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (keys[order][1:] != keys[order][:-1]) | (other[order][1:] != other[order][:-1])
+    least = np.minimum.reduceat(docs[order], np.flatnonzero(new))
+    out = np.empty(len(order), dtype=bool)
+    out[order] = least[np.cumsum(new) - 1] < docs[order]
+    return _cut(out, size)
 
-def _earlier(place, bucket, flags, n):
-    """Windows that an earlier bucket has too."""
-    first, _ = _least_most(place, bucket, n)
-    return first[place] < bucket
+
+def _pack_docs(docs: np.ndarray) -> bytes:
+    """Ascending doc_ids as distinct ones and their numbers."""
+    first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
+    return docs[first].tobytes() + np.diff(np.append(first, len(docs))).astype(np.uint32).tobytes()
+
+
+def _unpack_docs(data: bytes, n: int) -> np.ndarray:
+    k = len(data) // 12
+    docs = np.repeat(np.frombuffer(data, np.int64, k), np.frombuffer(data, np.uint32, k, 8 * k))
+    if len(docs) != n:
+        raise ValueError("doc_ids do not match the keys")
+    return docs
 
 
 def _bits(answer: pa.Table, bounds: np.ndarray) -> np.ndarray:
@@ -172,46 +191,83 @@ def _bits(answer: pa.Table, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(table: pa.Table, answer: pa.Table, parts: int):
-    """Windows of the bucket that hold a live block."""
-    words, hashes, doc = _read(table)
-    _, bounds, place, at = _short(words, hashes, parts)
+def _candidates(words: tx.Words, hashes: np.ndarray, answer: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of the bucket that hold a live block: their hashes and first words."""
+    _, bounds, place, at = _blocks(words, hashes, parts)
     live = np.zeros(len(words) + 1, dtype=np.int64)
     if len(at):
         live[at + 1] = _bits(answer, bounds)[place]
     live = np.cumsum(live)
     key, first = _keys(words, hashes, WINDOW)
     holds = live[first + BLOCK] > live[first]
-    key, first = key[holds], first[holds]
-    return words, doc, key, first
+    return key[holds], first[holds]
+
+
+def _classes(code: np.ndarray, key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each window, the same for windows of the same words only, and the first window of each number.
+
+    Windows are brought side by side by their hash and compared word by word.
+    """
+
+    def compared(order: np.ndarray) -> np.ndarray:
+        a, b = first[order][1:], first[order][:-1]
+        same = np.ones(len(a), dtype=bool)
+        for j in range(WINDOW):
+            same &= code[a + j] == code[b + j]
+        return same
+
+    order = np.argsort(key, kind="stable")
+    same = compared(order)
+    if (same != (key[order][1:] == key[order][:-1])).any():  # two windows have one hash
+        order = np.lexsort([code[first + j] for j in range(WINDOW)])
+        same = compared(order)
+    new = np.append(True, ~same)
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
+
+
+def _asked(words: tx.Words, hashes: np.ndarray, doc: np.ndarray, key: np.ndarray, first: np.ndarray, parts: int):
+    """Classes of the candidates, the smallest doc_id of each, and the order of their questions with each part's bounds."""
+    number, one = _classes(tx.word_codes(words, hashes), key, first)
+    least = doc[words.doc[first[one]]]  # rows ascend with doc_id, and the first window of a class stands first
+    part = _part(key[one], parts)
+    order = np.lexsort((key[one], least, part))
+    return number, one, least, order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
 def _extend(parts: int):
-    """Ask for the windows around hits."""
+    """Ask for the classes of windows around hits."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, answer: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _asks(0, [])
-        _, _, hashes, _ = _candidates(table, answer, parts)
-        distinct, bounds, _ = _by_part(hashes, parts)
-        return _asks(key[0].as_py(), [(p, distinct[a:b].tobytes(), b"") for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a])
+            return _table(0, [])
+        _, words, hashes, doc = _read(table)
+        keys, first = _candidates(words, hashes, answer, parts)
+        if not len(first):
+            return _table(0, [])
+        _, one, least, order, bounds = _asked(words, hashes, doc, keys, first, parts)
+        one = one[order]
+        other, at = tx.windows(words, tx.other_hashes(words), WINDOW)
+        keys, other, docs = keys[one], other[np.searchsorted(at, first[one])], least[order]
+        return _table(key[0].as_py(), [(p, keys[a:b].tobytes(), other[a:b].tobytes(), _pack_docs(docs[a:b])) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a])
 
     return run
 
 
 def _remove(parts: int):
-    """Drop covered words; ``answer`` holds the live bits (stage 0) and the window bits (stage 1)."""
+    """Drop covered words; ``answer`` holds the live bits (stage 0) and the classes' bits (stage 1)."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, answer: pa.Table) -> pa.Table:
         stage = answer.column("stage").to_numpy()
-        words, doc, hashes, first = _candidates(table, answer.filter(pa.array(stage == 0)), parts)
+        table, words, hashes, doc = _read(table)
+        keys, first = _candidates(words, hashes, answer.filter(pa.array(stage == 0)), parts)
         covered = np.zeros(len(words), dtype=bool)
         if len(first):
-            distinct, bounds, place = _by_part(hashes, parts)
-            earlier = _bits(answer.filter(pa.array(stage == 1)), bounds)
-            of = doc[words.doc[first]]
-            least, _ = _least_most(place, of, len(distinct))
-            start = first[earlier[place] | (least[place] < of)]
+            number, _, least, order, bounds = _asked(words, hashes, doc, keys, first, parts)
+            elsewhere = np.empty(len(order), dtype=bool)
+            elsewhere[order] = _bits(answer.filter(pa.array(stage == 1)), bounds)
+            start = first[elsewhere[number] | (least[number] < doc[words.doc[first]])]
             step = np.zeros(len(words) + 1, dtype=np.int64)
             np.add.at(step, start, 1)
             np.add.at(step, start + WINDOW, -1)
@@ -236,35 +292,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, parts = max(1, size // BUCKET_BYTES + 1), max(16, size // PART_BYTES + 1)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    coarse = min(buckets, CUTS)
-    cuts = docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / coarse for i in range(coarse + 1)], 1e-4)
-    texts = docs.select(_bucket(sorted(set(cuts)), -(-buckets // coarse))(F.col("doc_id").cast("double")).alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     asked = texts.groupBy("bucket").applyInArrow(_probe(parts), _ASK)
 
-    def told(questions, width, decide):
-        return questions.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_answers(width, decide), _ANSWER)
+    def told(questions, decide):
+        return questions.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_answers(decide), _ANSWER)
 
-    live = told(asked, np.uint32, _live)
+    live = told(asked, _live)
     windows = texts.groupBy("bucket").cogroup(live.groupBy("bucket")).applyInArrow(_extend(parts), _ASK)
-    earlier = told(windows, np.uint64, _earlier)
-    answers = live.withColumn("stage", F.lit(0)).unionByName(earlier.withColumn("stage", F.lit(1)))
+    smaller = told(windows, _smaller)
+    answers = live.withColumn("stage", F.lit(0)).unionByName(smaller.withColumn("stage", F.lit(1)))
     return texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_remove(parts), "doc_id long, n_words long, n_removed long, kept_text string")
-
-
-def _bucket(cuts: list[float], parts: int):
-    """Number of the doc_id's range between two cuts, each cut into ``parts`` of equal width; null in bucket 0.
-
-    Buckets ascend with doc_id, equal doc_ids share one, and the driver holds ``CUTS`` numbers however many there are.
-    """
-    edges = np.asarray(cuts or [0.0], dtype=np.float64)
-
-    @F.pandas_udf("int")
-    def bucket(doc_id: pd.Series) -> pd.Series:
-        x = doc_id.fillna(-np.inf).to_numpy()
-        at = np.searchsorted(edges, x, side="right")
-        low, high = edges[np.maximum(at - 1, 0)], edges[np.minimum(at, len(edges) - 1)]
-        inside = (at > 0) & (high > low)
-        share = np.where(inside, (np.where(inside, x, 0) - low) / np.where(inside, high - low, 1), 0)
-        return pd.Series((at * parts + np.minimum((share * parts).astype(np.int64), parts - 1)).astype(np.int32))
-
-    return bucket

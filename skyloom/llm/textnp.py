@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -23,6 +24,7 @@ LOWER[0x41:0x5B] += 0x20
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.cumprod(np.full(4096, _BASE, dtype=U64))
+_OTHER_POWERS = np.cumprod(np.full(4096, 0xA0761D6478BD642F, dtype=U64))
 #: Bytes of text handled at once; arrays of some 60 bytes a byte stand beside it.
 SLICE_BYTES = 1 << 20
 
@@ -114,8 +116,8 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, lower: bool = False, seed: int = 0, powers: np.ndarray = _POWERS) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; other ``powers`` give an independent one."""
         if not len(self.start):
             return np.zeros(0, U64)
         body = self.buf[self._inside]
@@ -124,7 +126,7 @@ class Words:
         size = self.end - self.start
         at = np.cumsum(size) - size
         rel = np.arange(len(body)) - np.repeat(at, size)
-        terms = (body.astype(U64) + U64(1 + seed)) * _POWERS[rel & 4095]
+        terms = (body.astype(U64) + U64(1 + seed)) * powers[rel & 4095]
         return mix(np.add.reduceat(terms, at) + size.astype(U64))
 
 
@@ -150,6 +152,25 @@ def windows(words: Words, hashes: np.ndarray, k: int, short: bool = False) -> tu
     return mix(out), at
 
 
+def other_hashes(words: Words) -> np.ndarray:
+    """A hash of each word that does not depend on ``hashes``: both agree for two words with a chance of 2^-128."""
+    return words.hashes(powers=_OTHER_POWERS)
+
+
+def word_codes(words: Words, hashes: np.ndarray) -> np.ndarray:
+    """A number for each word, the same for the same bytes only: words of one hash are compared with the first of them."""
+    code, _ = pd.factorize(hashes)
+    if not len(code):
+        return code
+    first = np.empty(int(code.max()) + 1, dtype=np.int64)
+    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    like, size = first[code], words.end - words.start
+    if (size == size[like]).all() and (words.buf[ragged(words.start, size)] == words.buf[ragged(words.start[like], size)]).all():
+        return code
+    raw = words.buf.tobytes()  # two words have one hash
+    return pd.factorize(np.array([raw[a:b] for a, b in zip(words.start.tolist(), words.end.tolist())], dtype=object))[0]
+
+
 def row_hashes(words: Words, hashes: np.ndarray, seed: int) -> np.ndarray:
     """A hash of each row's whole word sequence; 0 for rows without words."""
     out = np.zeros(words.rows, U64)

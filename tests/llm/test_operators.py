@@ -175,25 +175,59 @@ def test_sketches_merge_and_estimate():
 # ---------------------------------------------------------------- 4 substring dedup
 
 
-@pytest.mark.parametrize("cuts", [2048, 3])
-def test_substring_dedup(spark, monkeypatch, cuts):
-    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 4000)
-    monkeypatch.setattr(substring_dedup, "PART_BYTES", 8000)
-    monkeypatch.setattr(substring_dedup, "CUTS", cuts)
-    texts = corpus(9)
-    got = rows_of(substring_dedup.remove_repeats(docs_of(spark, texts)))
+def check_repeats(spark, texts, ids):
+    """The operator against every window's smallest doc_id; rows are told by their text where a doc_id repeats."""
+    got = substring_dedup.remove_repeats(docs_of(spark, texts, ids)).collect()
     words = [WORDS.findall(t or "") for t in texts]
     first = {}
-    for i, w in enumerate(words):
+    for i, w in zip(ids, words):
         for s in range(len(w) - 12):
-            first.setdefault(tuple(w[s : s + 13]), i)
-    for i, w in enumerate(words):
+            key = tuple(w[s : s + 13])
+            first[key] = min(first.get(key, np.inf), -np.inf if i is None else i)
+    want = []
+    for i, w in zip(ids, words):
         gone = set()
         for s in range(len(w) - 12):
-            if first[tuple(w[s : s + 13])] < i:
+            if first[tuple(w[s : s + 13])] < (-np.inf if i is None else i):
                 gone.update(range(s, s + 13))
-        assert got[i].n_words == len(w) and got[i].n_removed == len(gone)
-        assert got[i].kept_text == " ".join(x for j, x in enumerate(w) if j not in gone)
+        want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept_text)) for r in got)
+
+
+@pytest.mark.parametrize("kind", ["plain", "shards", "repeated and null", "all one"])
+def test_substring_dedup(spark, monkeypatch, kind):
+    """Ids in a row, ids with a shard in their high bits, repeated and null ids, and one id for all rows."""
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(substring_dedup, "PART_BYTES", 8000)
+    texts = corpus(9)
+    n = len(texts)
+    ids = {"plain": list(range(n)), "shards": [(i * 7 % 5 << 40) + i for i in range(n)], "repeated and null": [None if i % 9 == 4 else i % 17 for i in range(n)], "all one": [3] * n}[kind]
+    check_repeats(spark, texts, ids)
+
+
+def test_substring_buckets_follow_bytes(spark):
+    """Buckets have about the same bytes although ids cluster in shards and a third of the rows is one source's copy."""
+    from pyspark.sql.functions import octet_length, pmod, xxhash64
+
+    rng = random.Random(23)
+    texts = ["the same text " * 30 if i % 3 == 0 else "x" * rng.randrange(1, 1200) for i in range(6000)]
+    df = docs_of(spark, texts, [(i % 4 << 40) + i // 4 for i in range(6000)])
+    size = [r.b for r in df.groupBy(pmod(xxhash64("doc_id", "text"), F.lit(20))).agg(F.sum(octet_length("text")).alias("b")).collect()]
+    assert len(size) == 20 and max(size) < 1.4 * sum(size) / 20
+
+
+def test_substring_equal_hashes(monkeypatch):
+    """Where hashes collide, words decide: every word and window gets the same hash here."""
+    texts = pa.array(["a b c d e f g h i j k l m n", "b c d e f g h i j k l m n o", "a b c d e f g h i j k l m n", "z y x w v u t s r q p o n m"])
+    words = textnp.Words(*textnp.text_bytes(texts))
+    code = textnp.word_codes(words, np.zeros(len(words), np.uint64))
+    raw = [w for t in texts.to_pylist() for w in t.split()]
+    assert all((code[i] == code[j]) == (raw[i] == raw[j]) for i in range(len(raw)) for j in range(len(raw)))
+    _, first = textnp.windows(words, words.hashes(), 13)
+    number, one = substring_dedup._classes(code, np.zeros(len(first), np.uint64), first)
+    window = [tuple(raw[f : f + 13]) for f in first]
+    assert all((number[i] == number[j]) == (window[i] == window[j]) for i in range(len(window)) for j in range(len(window)))
+    assert [window[o] for o in one] == [window[list(number).index(c)] for c in range(len(one))]
 
 
 # ---------------------------------------------------------------- 2 language
