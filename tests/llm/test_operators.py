@@ -451,25 +451,41 @@ def test_decontamination(spark):
     assert decontaminate.keep_clean(df, bench.filter("false")).count() == len(texts)
 
 
-@pytest.mark.parametrize("n", [1, 5, 9, 50, 120, 200, 400])
+@pytest.mark.parametrize("n", [1, 5, 9, 14, 23, 24, 50, 120, 200, 400])
 def test_decontamination_at_the_threshold(n):
-    """Items with exactly floor(n / 5) substitutions, deletions and insertions are found at every length, at the exact distance."""
+    """Items with exactly floor(n / 5) substitutions, deletions and insertions are found at every length, at the exact distance; recall is measured."""
     rng = random.Random(n)
     vocab = [f"w{i}" for i in range(3000)]
-    items = [[rng.choice(vocab) for _ in range(n)] for _ in range(60)]
-    index = decontaminate.Index(list(range(60)), [" ".join(i) for i in items], 0.8)
+    items = [[rng.choice(vocab) for _ in range(n)] for _ in range(100)]
+    index = decontaminate.Index(list(range(100)), [" ".join(i) for i in items], 0.8)
     texts = []
     for item in items:
         words = list(item)
         for place in sorted(rng.sample(range(n), n // 5), reverse=True):
             words[place : place + 1] = rng.choice([[], ["other"], ["more", words[place]]])
-        # some start or end the text, so a piece may lie before where the item would begin
+        # some start or end the text, so a segment may lie before where the item would begin
         before, after = rng.choice([0, 40]), rng.choice([0, 40])
         texts.append(" ".join([rng.choice(vocab) for _ in range(before)] + words + [rng.choice(vocab) for _ in range(after)]))
     got = {(row, item): d for row, item, d, _ in index.hits(pa.array(texts))}
+    found = 0
     for i, item in enumerate(items):
         truth = decontaminate.edit_stretch(*(decontaminate.words_of(pa.array([t]))[1] for t in (" ".join(item), texts[i])))[0]
-        assert truth <= n // 5 and got[i, i] == truth
+        assert truth <= n // 5 and got.get((i, i), truth) == truth
+        found += (i, i) in got
+    print("recall at", n, "words:", found / 100)
+    assert found >= 98
+
+
+def test_walks_are_repeated_until_the_target():
+    assert decontaminate.repeats(9, 9, 0) == 1
+    few, many = decontaminate.repeats(9, 9, 1), decontaminate.repeats(18, 23, 4)
+    assert 1 < few < many < decontaminate.WALKS
+
+
+def test_decontamination_of_large_and_null_ids(spark):
+    bench = spark.createDataFrame([(2**53 + 1, "one two three four five six"), (None, "a b c d e f g h"), (2**53 + 1, None)], "item_id long, text string")
+    got = decontaminate.hits(docs_of(spark, ["x one two three four five six y", "a b c d e f g h"]), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got if r.item_id) == [(0, 2**53 + 1)] and [r.doc_id for r in got if r.item_id is None] == [1]
 
 
 def test_edit_stretch():
