@@ -261,22 +261,21 @@ def with_remarks(catalog: DataFrame, remarks: DataFrame) -> DataFrame:
     return catalog.join(told, "sourceid", "left").withColumn("remarks", both).drop("_more")
 
 
-def ogle_light_curves(spark: SparkSession, glob: str) -> DataFrame:
-    """Observations of all files ``.../<band>/<id>.dat``: sourceid, band, mjd, mag, err, obs_id.
+def ogle_light_curves(spark: SparkSession, glob: str, layout: str = r"([^/]+)/([^/]+)\.[^./]+$") -> DataFrame:
+    """Observations of all files ``.../<band>/<id>.dat``: sourceid, band, mjd, mag, err, obs_id; ``layout`` finds band and id in a path.
 
-    The length of a file's first time tells how its times are written; one
-    length for each (id, band) is read from the file itself, so no file is opened alone.
+    The length of a file's first time tells how all its times are written.  The
+    first line is the one of the first block that its task reads first, so files
+    are read split by split and none is opened alone.
     """
     parts = F.split(F.trim("value"), r"\s+")
-    raw = spark.read.text(glob).select("value", F.col("_metadata.file_path").alias("p")).filter(F.trim("value") != "")
-    rows = raw.select(
-        F.regexp_extract("p", r"([^/]+)\.[^./]+$", 1).alias("sourceid"),
-        F.regexp_extract("p", r"([^/]+)/[^/]+$", 1).alias("band"),
-        F.get(parts, F.lit(0)).alias("time"),
-        F.get(parts, F.lit(1)).cast("double").alias("mag"),
-        F.get(parts, F.lit(2)).cast("double").alias("err"),
+    raw = spark.read.text(glob).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")).filter(F.trim("value") != "")
+    rows = raw.select("path", F.get(parts, F.lit(0)).alias("time"), F.get(parts, F.lit(1)).cast("double").alias("mag"), F.get(parts, F.lit(2)).cast("double").alias("err"))
+    ordered = raw.select("path", F.get(parts, F.lit(0)).alias("time"), F.struct("block", F.monotonically_increasing_id()).alias("place"))
+    first = ordered.groupBy("path").agg(F.min_by("time", "place").alias("first"))
+    return rows.join(first, "path").select(
+        F.regexp_extract("path", layout, 2).alias("sourceid"), F.regexp_extract("path", layout, 1).alias("band"), times.mjd_of_hjd_text(F.col("first"), F.col("time")).alias("mjd"), "mag", "err", F.xxhash64("mag", "err").alias("obs_id")
     )
-    return rows.withColumn("mjd", times.mjd_of_hjd_text(F.col("time"), F.col("time"))).withColumn("obs_id", F.xxhash64("mag", "err")).drop("time")
 
 
 def macho_shards(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The folder of a file; of one of Spark's partition folders its value.
+PARENT = r"([^/=]+)/[^/]+$"
 RUN = r"^(.+?)_(test|all)_(?:c([01])|(concat|avg|[a-z]))_std([01])_p([0-9.]+)_seed([0-9]+)$"
 
 
@@ -31,23 +33,40 @@ def clustering_logs(spark: SparkSession, glob: str) -> DataFrame:
     """(run, split, method, ari, nmi, f1) of every result line in the logs."""
     number = r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
     pattern = rf"(\w+)\s*(?:→|->)\s*(K-Means|Ward)\s+ARI={number},\s*NMI={number},\s*F1={number}"
-    raw = spark.read.text(glob).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("run")).filter(F.col("value").rlike(pattern))
+    raw = spark.read.text(glob).select("value", F.regexp_extract(F.col("_metadata.file_path"), PARENT, 1).alias("run")).filter(F.col("value").rlike(pattern))
     part = lambda i: F.regexp_extract("value", pattern, i)
     return raw.select("run", part(1).alias("split"), part(2).alias("method"), *[part(i).cast("double").alias(c) for i, c in ((3, "ari"), (4, "nmi"), (5, "f1"))])
 
 
+def _records(spark: SparkSession, glob: str) -> DataFrame:
+    """(path, names, cells) of every line after a file's own header; a file is one row of one task, as its header holds for all of it.
+
+    Cells may be quoted, but not hold line breaks; empty cells are null.
+    """
+    lines = F.split(F.regexp_replace("value", r"(\r?\n)+$", ""), r"\r?\n")
+
+    def cells(line: Column) -> Column:
+        bare = lambda c: F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"')
+        return F.transform(F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.nullif(bare(c), F.lit("")))
+
+    files = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), lines.alias("lines"))
+    records = files.select("path", cells(F.col("lines")[0]).alias("names"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
+    return records.filter("line <> ''").select("path", "names", cells(F.col("line")).alias("cells"))
+
+
 def reports(spark: SparkSession, glob: str) -> DataFrame:
-    """Long form (run, file, row, metric, value) of report files whose first column names the row; columns are matched by name."""
-    raw = spark.read.option("header", True).csv(glob).select("*", F.col("_metadata.file_path").alias("_path"))
-    first = raw.columns[0]
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").try_cast("double").alias("value")) for c in raw.columns[1:-1]]))
-    return raw.select(F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1).alias("run"), F.regexp_extract("_path", r"([^/]+)$", 1).alias("file"), F.col(f"`{first}`").alias("row"), cells.alias("c")).select("run", "file", "row", "c.*")
+    """Long form (run, file, row, metric, value) of report files whose first column names the row; every file's columns are matched by its own header."""
+    raw = _records(spark, glob)
+    pair = F.explode(F.slice(F.arrays_zip("names", "cells"), 2, F.size("names")))
+    return raw.select(F.regexp_extract("path", PARENT, 1).alias("run"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("cells")[0].alias("row"), pair.alias("c")).select(
+        "run", "file", "row", F.col("c.names").alias("metric"), F.col("c.cells").try_cast("double").alias("value")
+    )
 
 
 def files(spark: SparkSession, glob: str) -> DataFrame:
     """(folder, name, size) of files; contents are not read."""
     raw = spark.read.format("binaryFile").load(glob).select("path", "length")
-    return raw.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"))
+    return raw.select(F.regexp_extract("path", PARENT, 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"))
 
 
 def parameters(text: Column, schema: str) -> Column:
@@ -56,6 +75,8 @@ def parameters(text: Column, schema: str) -> Column:
 
 
 def training_log(spark: SparkSession, glob: str) -> DataFrame:
-    """Training logs with a row each step: epoch and metrics, empty where a step does not report one."""
-    raw = spark.read.option("header", True).csv(glob)
-    return raw.select(*[F.col(f"`{c}`").try_cast("bigint" if c in ("epoch", "step") else "double").alias(c) for c in raw.columns])
+    """Training logs with a row each step: epoch and metrics by each file's own header, null where a step or file does not report one."""
+    raw = _records(spark, glob)
+    names = sorted(r.n for r in raw.select(F.explode("names").alias("n")).filter("n is not null").distinct().collect())  # a few metrics
+    cell = lambda c: F.get("cells", (F.array_position("names", c) - 1).cast("int"))
+    return raw.select(*[cell(c).try_cast("bigint" if c in ("epoch", "step") else "double").alias(c) for c in names])

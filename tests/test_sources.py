@@ -81,10 +81,24 @@ def test_remarks(spark, tmp_path):
 
 
 def test_light_curve_files(spark, tmp_path):
-    put(tmp_path / "phot" / "I" / "star1.dat", "2455000.12345 15.1 0.01\n")
-    put(tmp_path / "phot_ogle4" / "V" / "star1.dat", "5000.1234 16.1 0.02\n5001.1234 16.2 0.02\n")
-    rows = sorted((r.sourceid, r.band, round(r.mjd, 4), r.mag) for r in catalogs.ogle_light_curves(spark, str(tmp_path / "*phot*" / "*" / "*.dat")).collect())
-    assert rows == [("star1", "I", 54999.6234, 15.1), ("star1", "V", 54999.6234, 16.1), ("star1", "V", 55000.6234, 16.2)] or rows[0][2] == pytest.approx(54999.62345, abs=1e-3)
+    put(tmp_path / "phot" / "I" / "star1.dat", "2455000.12345 15.1 0.01\n2455001.5 15.2 0.01\n2455001.1234 15.3 0.01\n")
+    put(tmp_path / "phot_ogle4" / "V" / "star1.dat", "5000.1234 16.1 0.02\n5001.5 16.2 0.02\n")
+    put(tmp_path / "phot_ogle4" / "V" / "star2.dat", "\n5000.12345 17.1 0.02\n")
+    rows = {(r.sourceid, r.band, r.mag): r.mjd for r in catalogs.ogle_light_curves(spark, str(tmp_path / "*phot*" / "*" / "*.dat")).collect()}
+    want = {("star1", "I", 15.1): 54999.62345, ("star1", "I", 15.2): 55001.0, ("star1", "I", 15.3): 55000.6234, ("star1", "V", 16.1): 54999.6234, ("star1", "V", 16.2): 55001.0, ("star2", "V", 17.1): 54999.62345}
+    assert rows == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
+def test_long_light_curve_file_in_several_splits(spark, tmp_path):
+    """The first line counts although other splits of the file are read by other tasks, or earlier."""
+    put(tmp_path / "I" / "s.dat", "2455000.12345 1 0\n" + "".join(f"{2455001 + i}.5 {i} 0\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = catalogs.ogle_light_curves(spark, str(tmp_path / "*" / "*.dat"))
+        assert got.rdd.getNumPartitions() > 1 and got.agg(F.min("mjd"), F.max("mjd"), F.count("*")).first()[:] == (pytest.approx(54999.62345), 58000.0, 3001)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_coordinates_shards_and_collections(spark, tmp_path):
@@ -107,6 +121,10 @@ def test_results(spark, tmp_path):
     put(tmp_path / "e_concat_seed42" / "report.csv", ",precision,recall\n0,0.5,0.25\naccuracy,0.9,0.9\n")
     rep = results.reports(spark, str(tmp_path / "*" / "report.csv"))
     assert {(r.row, r.metric, r.value) for r in rep.collect()} >= {("0", "recall", 0.25), ("accuracy", "precision", 0.9)}
+    put(tmp_path / "e_concat_seed100" / "report.csv", ',recall,precision,"a, b"\n"0",0.125,0.75,1\naccuracy,,0.8,\n')
+    both = {(r.run, r.row, r.metric): r.value for r in results.reports(spark, str(tmp_path / "*" / "report.csv")).collect()}
+    assert both[("e_concat_seed100", "0", "recall")] == 0.125 and both[("e_concat_seed100", "0", "precision")] == 0.75 and both[("e_concat_seed100", "0", "a, b")] == 1
+    assert both[("e_concat_seed42", "0", "recall")] == 0.25 and both[("e_concat_seed100", "accuracy", "recall")] is None and len(both) == 10
     assert rep.select(results.embedding_name(F.col("run")).alias("e")).first().e == "e"
     assert results.files(spark, str(tmp_path / "*" / "report.csv")).first().name == "report.csv"
     p = spark.createDataFrame([('{"n": 100, "depth": None}',)], "t string").select(results.parameters(F.col("t"), "n int, depth int").alias("p")).first().p
@@ -121,6 +139,10 @@ def test_training_log_and_model(spark, tmp_path):
     log = put(tmp_path / "metrics.csv", "epoch,step,train_loss,val_loss\n0,1,0.5,\n0,2,,0.7\n1,3,0.3,0.6\n")
     got = {r.epoch: r for r in evaluate.mean_by_epoch(results.training_log(spark, log), ["train_loss", "val_loss"]).collect()}
     assert (got[0].train_loss, got[0].val_loss, got[1].val_loss) == (0.5, 0.7, 0.6)
+    put(tmp_path / "logs" / "a.csv", "epoch,train_loss,val_loss\n0,0.5,0.25\n")
+    put(tmp_path / "logs" / "b.csv", "val_loss,epoch,lr\n0.75,1,0.1\n")
+    got = {r.epoch: r for r in results.training_log(spark, str(tmp_path / "logs" / "*.csv")).collect()}
+    assert (got[0].val_loss, got[0].lr, got[1].val_loss, got[1].train_loss, got[1].lr) == (0.25, None, 0.75, None, 0.1)
     rows = classify.featured(spark.createDataFrame([(0, [0.0]), (1, [1.0])], "label int, v array<double>"))
     for _ in range(2):
         sinks.model(LogisticRegression(maxIter=2).fit(rows), str(tmp_path / "m"))
