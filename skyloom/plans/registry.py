@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from skyloom.plans import catalog_queries, evaluation_queries, lightcurve_queries, model_queries, vector_queries  # noqa: F401
+    from skyloom.plans import catalog_queries, evaluation_queries, lightcurve_queries, model_queries, reader_queries, vector_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
