@@ -323,19 +323,6 @@ def _pieces(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return start[start < n]
 
 
-_power = _inverse = np.ones(1, dtype=np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least ``n`` powers of an odd number and of its inverse modulo 2^64."""
-    global _power, _inverse
-    if len(_power) < n:
-        more = max(n, 2 * len(_power)) - 1
-        base = 0x9E3779B97F4A7C15
-        _power, _inverse = (np.concatenate(([np.uint64(1)], np.cumprod(np.full(more, x, dtype=np.uint64)))) for x in (base, pow(base, -1, 1 << 64)))
-    return _power, _inverse
-
-
 def _words(body: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the pattern's words start in consecutive pieces, and the number of each piece's first word.
 
@@ -374,7 +361,7 @@ def encode_rows(auto: Automaton, buf: np.ndarray, offs: np.ndarray) -> tuple[np.
         return np.zeros(0, np.int64), np.zeros(rows, np.int64)
     start = _pieces(buf, offs)
     end = np.append(start[1:], len(buf))
-    power, inverse = _powers(len(buf) + 1)
+    power, inverse = tx.powers(tx.BASE, len(buf) + 1)
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=total[1:])
     key = tx.mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))

@@ -52,17 +52,16 @@ _NULL, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def _read(table: pa.Table):
-    """Words, their hashes and doc_ids of a bucket, its rows in an order that does not depend on how they came."""
+    """The bucket, its words, their hashes and doc_ids; its rows in an order that does not depend on how they came."""
     table = table.combine_chunks()
     doc = np.asarray(table.column("doc_id").fill_null(int(_NULL)), dtype=np.int64)
-    words = tx.Words(*tx.text_bytes(table.column("text")))
-    hashes = words.hashes()
-    order = np.lexsort((tx.row_hashes(words, hashes, 1), doc))
-    if (order[1:] < order[:-1]).any():
-        table, doc = table.take(pa.array(order)).combine_chunks(), doc[order]
+    order = np.argsort(doc, kind="stable")
+    if (doc[order][1:] == doc[order][:-1]).any():  # rows of one doc_id by their text
         words = tx.Words(*tx.text_bytes(table.column("text")))
-        hashes = words.hashes()
-    return table, words, hashes, doc
+        order = np.lexsort((tx.row_hashes(words, words.hashes(), 1), doc))
+    table, doc = table.take(pa.array(order)).combine_chunks(), doc[order]
+    words = tx.Words(*tx.text_bytes(table.column("text")))
+    return table, words, words.hashes(), doc
 
 
 def _keys(words: tx.Words, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,18 +208,22 @@ def _classes(code: np.ndarray, key: np.ndarray, first: np.ndarray) -> tuple[np.n
     Windows are brought side by side by their hash and compared word by word.
     """
 
-    def compared(order: np.ndarray) -> np.ndarray:
-        a, b = first[order][1:], first[order][:-1]
+    def compared(order: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Which of ``some`` places in ``order`` have the words of the place before."""
+        a, b = first[order[some]], first[order[some - 1]]
         same = np.ones(len(a), dtype=bool)
         for j in range(WINDOW):
             same &= code[a + j] == code[b + j]
         return same
 
     order = np.argsort(key, kind="stable")
-    same = compared(order)
-    if (same != (key[order][1:] == key[order][:-1])).any():  # two windows have one hash
+    some = np.flatnonzero(key[order][1:] == key[order][:-1]) + 1
+    if not compared(order, some).all():  # two windows have one hash
         order = np.lexsort([code[first + j] for j in range(WINDOW)])
-        same = compared(order)
+        some = np.arange(1, len(order))
+        some = some[compared(order, some)]
+    same = np.zeros(len(order) - 1, dtype=bool)
+    same[some - 1] = True
     new = np.append(True, ~same)
     number = np.empty(len(order), dtype=np.int64)
     number[order] = np.cumsum(new) - 1
@@ -248,8 +251,7 @@ def _extend(parts: int):
             return _table(0, [])
         _, one, least, order, bounds = _asked(words, hashes, doc, keys, first, parts)
         one = one[order]
-        other, at = tx.windows(words, tx.other_hashes(words), WINDOW)
-        keys, other, docs = keys[one], other[np.searchsorted(at, first[one])], least[order]
+        keys, other, docs = keys[one], tx.window_at(tx.other_hashes(words), first[one], WINDOW), least[order]
         return _table(key[0].as_py(), [(p, keys[a:b].tobytes(), other[a:b].tobytes(), _pack_docs(docs[a:b])) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a])
 
     return run

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,9 +22,12 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = np.cumprod(np.full(4096, _BASE, dtype=U64))
-_OTHER_POWERS = np.cumprod(np.full(4096, 0xA0761D6478BD642F, dtype=U64))
+#: Base of the hashes of words.
+BASE = 0x9E3779B97F4A7C15
+_POWERS = np.cumprod(np.full(4096, BASE, dtype=U64))
+_OTHER_BASE = 0xA0761D6478BD642F
+#: Bytes of words that are hashed at once, so that the arrays stay in the processor's cache.
+_HASHED = 1 << 17
 #: Bytes of text handled at once; arrays of some 60 bytes a byte stand beside it.
 SLICE_BYTES = 1 << 20
 
@@ -39,6 +42,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the odd ``base`` and of its inverse modulo 2^64."""
+    if base not in _powers or len(_powers[base][0]) < n:
+        ones = [np.full(max(n, _HASHED), x, dtype=U64) for x in (base, pow(base, -1, 1 << 64))]
+        for x in ones:
+            x[0] = 1
+        _powers[base] = tuple(np.cumprod(x, dtype=U64) for x in ones)
+    return _powers[base]
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n+1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -116,18 +132,35 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self, lower: bool = False, seed: int = 0, powers: np.ndarray = _POWERS) -> np.ndarray:
-        """A 64-bit hash of each word's bytes; other ``powers`` give an independent one."""
-        if not len(self.start):
-            return np.zeros(0, U64)
-        body = self.buf[self._inside]
-        if lower:
-            body = LOWER[body]
-        size = self.end - self.start
-        at = np.cumsum(size) - size
-        rel = np.arange(len(body)) - np.repeat(at, size)
-        terms = (body.astype(U64) + U64(1 + seed)) * powers[rel & 4095]
-        return mix(np.add.reduceat(terms, at) + size.astype(U64))
+    @cached_property
+    def left(self) -> np.ndarray:
+        """Words from each one to its row's end, itself included."""
+        return np.repeat(self.count, self.count) - self.pos
+
+    def hashes(self, lower: bool = False, seed: int = 0, base: int = BASE) -> np.ndarray:
+        """A 64-bit hash of each word's bytes: a polynomial in ``base``, from sums over all bytes before each place."""
+        out = np.zeros(len(self.start), dtype=U64)
+        code = (LOWER if lower else np.arange(256)).astype(U64) + U64(1 + seed)
+        i = 0
+        while i < len(out):  # about _HASHED bytes at once, one word at least
+            a = self.start[i]
+            j = max(i + 1, int(np.searchsorted(self.end, a + _HASHED, side="right")))
+            b = self.end[j - 1]
+            power, inverse = powers(base, b - a)
+            total = np.zeros(b - a + 1, dtype=U64)
+            np.cumsum(code[self.buf[a:b]] * power[: b - a], out=total[1:])
+            s = self.start[i:j] - a
+            out[i:j] = (total[self.end[i:j] - a] - total[s]) * inverse[s]
+            i = j
+        return mix(out + (self.end - self.start).astype(U64))
+
+
+def window_at(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k words from each of ``at`` on."""
+    out = hashes[at] * _POWERS[0]
+    for j in range(1, k):
+        out += hashes[at + j] * _POWERS[j]
+    return mix(out)
 
 
 def windows(words: Words, hashes: np.ndarray, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -135,26 +168,26 @@ def windows(words: Words, hashes: np.ndarray, k: int, short: bool = False) -> tu
 
     With ``short`` a row of fewer words has its whole sequence as one window.
     """
-    n = len(hashes)
-    left = np.repeat(words.count, words.count) - words.pos  # words from here to the row's end
-    keep = left >= k
-    if short:
-        keep |= words.pos == 0
-    at = np.flatnonzero(keep)
-    out = hashes[at] * _POWERS[0]
-    if not short:
-        for j in range(1, k):
-            out += hashes[at + j] * _POWERS[j]
-        return mix(out), at
-    for j in range(1, k):
-        has = left[at] > j
-        out += np.where(has, hashes[np.minimum(at + j, n - 1)], U64(0)) * _POWERS[j]
-    return mix(out), at
+    n, full = len(hashes), np.flatnonzero(words.left >= k)
+    rolled = np.zeros(max(n - k + 1, 0), dtype=U64)
+    for j in range(k if len(rolled) else 0):
+        rolled += hashes[j : n - k + 1 + j] * _POWERS[j]
+    out = mix(rolled[full])
+    if not short or not (words.count[words.count > 0] < k).any():
+        return out, full
+    few = np.flatnonzero((words.pos == 0) & (words.left < k))
+    part = np.zeros(len(few), dtype=U64)
+    for j in range(k - 1):
+        has = words.left[few] > j
+        part[has] += hashes[few[has] + j] * _POWERS[j]
+    at = np.concatenate((full, few))
+    order = np.argsort(at, kind="stable")
+    return np.concatenate((out, mix(part)))[order], at[order]
 
 
 def other_hashes(words: Words) -> np.ndarray:
     """A hash of each word that does not depend on ``hashes``: both agree for two words with a chance of 2^-128."""
-    return words.hashes(powers=_OTHER_POWERS)
+    return words.hashes(base=_OTHER_BASE)
 
 
 def word_codes(words: Words, hashes: np.ndarray) -> np.ndarray:
@@ -164,8 +197,21 @@ def word_codes(words: Words, hashes: np.ndarray) -> np.ndarray:
         return code
     first = np.empty(int(code.max()) + 1, dtype=np.int64)
     first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-    like, size = first[code], words.end - words.start
-    if (size == size[like]).all() and (words.buf[ragged(words.start, size)] == words.buf[ragged(words.start[like], size)]).all():
+    like = first[code]
+    again = np.flatnonzero(like != np.arange(len(code)))
+    x, y = words.start[again], words.start[like[again]]
+    size = words.end[again] - x
+    same = bool((size == words.end[like[again]] - y).all())
+    padded = np.append(words.buf, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    at, last = 0, U64(0xFFFFFFFFFFFFFFFF)
+    while same and len(x):  # eight bytes at once
+        rest = np.minimum(size - at, 8)
+        same = not ((eight[x + at] ^ eight[y + at]) & (last >> (U64(8) * (8 - rest).astype(U64)))).any()
+        at += 8
+        on = size > at
+        x, y, size = x[on], y[on], size[on]
+    if same:
         return code
     raw = words.buf.tobytes()  # two words have one hash
     return pd.factorize(np.array([raw[a:b] for a, b in zip(words.start.tolist(), words.end.tolist())], dtype=object))[0]
