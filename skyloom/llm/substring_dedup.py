@@ -295,10 +295,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     buckets, parts = max(1, size // BUCKET_BYTES + 1), max(16, size // PART_BYTES + 1)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.repartition(max(partitions, buckets // 2), "bucket")  # tasks stay small however few partitions the session has
     asked = texts.groupBy("bucket").applyInArrow(_probe(parts), _ASK)
 
     def told(questions, decide):
-        return questions.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_answers(decide), _ANSWER)
+        return questions.repartition(max(partitions, parts // 2), "part").sortWithinPartitions("part").mapInArrow(_answers(decide), _ANSWER)
 
     live = told(asked, _live)
     windows = texts.groupBy("bucket").cogroup(live.groupBy("bucket")).applyInArrow(_extend(parts), _ASK)
