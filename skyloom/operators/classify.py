@@ -1,25 +1,42 @@
-"""Classifiers on (v, label) with Spark ML, a fixed validation fold, and several seeds.
+"""Classifiers on (v, label), a fixed validation fold, and several seeds.
 
-Spark's forest takes depths up to 30 (no unlimited one) and splits on binned
-values; its perceptron has no dropout, class weights or Adam, so it approximates
-that model.
+Forests and regressions are Spark ML's.  Its forest takes depths up to 30 (no
+unlimited one), splits on binned values and has no least size of a node that may be
+split; ``split`` is replaced by children of at least half of it, so that no smaller
+node is ever split.
+
+The perceptron is trained in numpy: its loss is weighted by class, its hidden layers
+have dropout, its steps are Adam's, and it stops early by the validation loss.  Rows
+are dealt to at most ``WORKERS`` partitions; in every epoch each takes one pass over
+its rows in batches from the common weights, and the weights are averaged by rows.
 """
 
 from __future__ import annotations
 
+import json
+import pickle
+import re
 from functools import reduce
 from itertools import product
 
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.operators import evaluate
+from skyloom.operators import evaluate, knn
+from skyloom.sources import scratch
 
 #: Parameters that are used where no search is asked for.
-DEFAULT_FOREST = {"trees": 200, "depth": 20, "leaf": 1}
-GRID = {"trees": (100, 200, 500), "depth": (10, 20, 30, None), "leaf": (1, 2, 5)}
+DEFAULT_FOREST = {"trees": 200, "depth": 20, "split": 2}
+GRID = {"trees": (100, 200, 500), "depth": (10, 20, 30, None), "split": (2, 5, 10)}
+# The names that parameter files give to those of a forest.
+PARAMETER_NAMES = {"n_estimators": "trees", "max_depth": "depth", "min_samples_split": "split", "min_samples_leaf": "leaf"}
+#: Partitions of the perceptron's training rows at most; each sends its weights to the driver once an epoch.
+WORKERS = 32
 
 
 def seeds(base: int = 42) -> list[int]:
@@ -48,23 +65,34 @@ def logistic(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:
     return predictions(model, test)
 
 
-def forest(train: DataFrame, test: DataFrame, trees: int = 200, depth: int | None = 20, leaf: int = 1, seed: int = 42) -> DataFrame:
-    model = RandomForestClassifier(numTrees=trees, maxDepth=min(depth or 30, 30), minInstancesPerNode=leaf, seed=seed, featureSubsetStrategy="sqrt").fit(featured(train))
+def forest(train: DataFrame, test: DataFrame, trees: int = 200, depth: int | None = 20, split: int = 2, leaf: int = 1, seed: int = 42) -> DataFrame:
+    model = RandomForestClassifier(numTrees=trees, maxDepth=min(depth or 30, 30), minInstancesPerNode=max(leaf, -(-split // 2)), seed=seed, featureSubsetStrategy="sqrt").fit(featured(train))
     return predictions(model, test)
 
 
+def given_parameters(text: str | None) -> dict:
+    """Parameters of ``forest`` from JSON in which None may stand for null; the default without text.  Names that are not known fail."""
+    if not text:
+        return dict(DEFAULT_FOREST)
+    given = json.loads(re.sub(r"\bNone\b", "null", text))
+    unknown = set(given) - set(PARAMETER_NAMES)
+    if unknown:
+        raise ValueError(f"unknown parameters: {sorted(unknown)}; known: {sorted(PARAMETER_NAMES)}")
+    return {**DEFAULT_FOREST, **{PARAMETER_NAMES[k]: v for k, v in given.items()}}
+
+
 def grid_search(train: DataFrame, validation: DataFrame, grid: dict = GRID, seed: int = 42) -> DataFrame:
-    """(trees, depth, leaf, f1): macro F1 on the validation rows of every combination.  Each fit is distributed."""
+    """(trees, depth, split, f1): macro F1 on the validation rows of every combination.  Each fit is distributed."""
     out = []
-    for trees, depth, leaf in product(*grid.values()):
-        f1 = evaluate.report(forest(train, validation, trees, depth, leaf, seed)).filter("row = 'macro avg'")
-        out.append(f1.select(F.lit(trees).alias("trees"), F.lit(depth or 30).alias("depth"), F.lit(leaf).alias("leaf"), "f1"))
+    for trees, depth, split in product(*grid.values()):
+        f1 = evaluate.report(forest(train, validation, trees, depth, split, seed=seed)).filter("row = 'macro avg'")
+        out.append(f1.select(F.lit(trees).alias("trees"), F.lit(depth or 30).alias("depth"), F.lit(split).alias("split"), "f1"))
     return reduce(DataFrame.unionByName, out)
 
 
 def best_parameters(scored: DataFrame) -> DataFrame:
-    """The combination with the largest F1, the smaller forest on ties."""
-    return scored.agg(F.max_by(F.struct("trees", "depth", "leaf", "f1"), F.struct("f1", -F.col("trees"), -F.col("depth"))).alias("b")).select("b.*")
+    """The combination with the largest F1; on ties the smaller forest, then the less deep one, then the larger nodes."""
+    return scored.agg(F.max_by(F.struct("trees", "depth", "split", "f1"), F.struct("f1", -F.col("trees"), -F.col("depth"), "split")).alias("b")).select("b.*")
 
 
 def several_seeds(fit, base: int = 42) -> DataFrame:
@@ -72,11 +100,135 @@ def several_seeds(fit, base: int = 42) -> DataFrame:
     return reduce(DataFrame.unionByName, [fit(s).withColumn("seed", F.lit(s)) for s in seeds(base)])
 
 
-def perceptron(train: DataFrame, test: DataFrame, hidden=(512, 256), seed: int = 42, steps: int = 60) -> DataFrame:
-    rows = featured(train)
-    width, classes = rows.agg(F.max(F.size("v")), F.max("label")).first()
-    model = MultilayerPerceptronClassifier(layers=[width, *hidden, int(classes) + 1], seed=seed, maxIter=steps).fit(rows)
-    return predictions(model, test)
+def standardised(train: DataFrame, *others: DataFrame) -> list[DataFrame]:
+    """The frames with ``v`` scaled by the training rows."""
+    scaler = knn.fit_scaler(train)
+    return [knn.apply_scaler(df, scaler) for df in (train, *others)]
+
+
+class Layers:
+    """Weights of a perceptron with rectified hidden layers."""
+
+    def __init__(self, widths: list[int], seed: int):
+        rng = np.random.default_rng(seed)
+        self.w = [rng.uniform(-1, 1, (a, b)) / np.sqrt(a) for a, b in zip(widths[:-1], widths[1:])]
+        self.b = [rng.uniform(-1, 1, b) / np.sqrt(a) for a, b in zip(widths[:-1], widths[1:])]
+
+    def all(self) -> list[np.ndarray]:
+        return self.w + self.b
+
+    def forward(self, x: np.ndarray, dropout: float = 0.0, rng: np.random.Generator | None = None):
+        """Scores of the classes, and what each layer was given."""
+        seen = [x]
+        for w, b in zip(self.w[:-1], self.b[:-1]):
+            x = np.maximum(x @ w + b, 0)
+            if dropout:
+                x = x * (rng.random(x.shape) >= dropout) / (1 - dropout)
+            seen.append(x)
+        return x @ self.w[-1] + self.b[-1], seen
+
+    def loss(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+        """Sum of the weighted cross entropies, and of the weights."""
+        z, _ = self.forward(x)
+        z = z - z.max(axis=1, keepdims=True)
+        return float((weight[y] * (np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y])).sum()), float(weight[y].sum())
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, dropout: float, rng: np.random.Generator) -> list[np.ndarray]:
+        """Of the weighted mean cross entropy, in the order of ``all``."""
+        z, seen = self.forward(x, dropout, rng)
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        d = z / z.sum(axis=1, keepdims=True)
+        d[np.arange(len(y)), y] -= 1
+        d *= (weight[y] / weight[y].sum())[:, None]
+        gw, gb = [], []
+        for w, x in zip(self.w[::-1], seen[::-1]):
+            gw.append(x.T @ d), gb.append(d.sum(axis=0))
+            d = (d @ w.T) * (x > 0) / (1 - dropout)
+        return gw[::-1] + gb[::-1]
+
+
+def _pass(shared, weight: np.ndarray, batch: int, rate: float, dropout: float, seed: int):
+    """One pass of Adam over a partition: its rows, weights and Adam's moments."""
+
+    def run(frames):
+        rows = [f for f in frames if len(f)]
+        if not rows:
+            return
+        x = np.concatenate([np.array(f["v"].tolist(), dtype=float) for f in rows])
+        y = np.concatenate([f["label"].to_numpy(int) for f in rows])
+        net, moments, step = pickle.loads(pickle.dumps(shared.value))
+        rng = np.random.default_rng([seed, step, TaskContext.get().partitionId()])
+        order = rng.permutation(len(y))
+        for a in range(0, len(y), batch):
+            some = order[a : a + batch]
+            step += 1
+            for p, g, (m, v) in zip(net.all(), net.gradients(x[some], y[some], weight, dropout, rng), moments):
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        yield pd.DataFrame({"n": [len(y)], "state": [pickle.dumps((net, moments, step))]})
+
+    return run
+
+
+def _average(states: list[tuple[int, bytes]]):
+    """The state of all partitions: means by rows."""
+    total = sum(n for n, _ in states)
+    net, moments, step = None, None, 0
+    for n, blob in states:
+        other, more, steps = pickle.loads(blob)
+        step = max(step, steps)
+        if net is None:
+            net, moments = other, more
+            for x in [*net.all(), *(a for pair in moments for a in pair)]:
+                x *= n / total
+        else:
+            for x, y in zip([*net.all(), *(a for pair in moments for a in pair)], [*other.all(), *(a for pair in more for a in pair)]):
+                x += y * (n / total)
+    return net, moments, step
+
+
+def perceptron(
+    train: DataFrame, validation: DataFrame, test: DataFrame, hidden=(1024, 512, 256), dropout: float = 0.0, rate: float = 1e-3, batch: int = 1024, epochs: int = 100, patience: int = 3, weighted: bool = True, seed: int = 42
+) -> DataFrame:
+    """Predictions of the perceptron that has the least validation loss; training ends ``patience`` epochs after it."""
+    spark = train.sparkSession
+    width, classes = train.agg(F.max(F.size("v")), F.max("label").cast("int")).first()
+    counts = {r["label"]: r["balanced_weight"] for r in evaluate.class_weights(train, "label").collect()}
+    weight = np.array([counts.get(c, 0.0) if weighted else 1.0 for c in range(classes + 1)])
+    rows = scratch.written(train.select("label", "v").repartition(min(WORKERS, max(1, -(-train.count() // (4 * batch))))), "perceptron")
+    held = scratch.written(validation.select("label", "v"), "perceptron")
+    net = Layers([width, *hidden, classes + 1], seed)
+    state = (net, [(np.zeros_like(p), np.zeros_like(p)) for p in net.all()], 0)
+    best, waited = (np.inf, net), 0
+    for epoch in range(epochs):
+        shared = spark.sparkContext.broadcast(state)
+        got = rows.mapInPandas(_pass(shared, weight, batch, rate, dropout, seed + epoch), "n long, state binary").collect()  # a row a partition
+        shared.destroy()
+        state = _average([(r["n"], r["state"]) for r in got])
+        model = spark.sparkContext.broadcast(state[0])
+
+        def losses(frames, model=model):
+            for f in frames:
+                if len(f):
+                    total, n = model.value.loss(np.array(f["v"].tolist(), dtype=float), f["label"].to_numpy(int), weight)
+                    yield pd.DataFrame({"loss": [total], "weight": [n]})
+
+        loss = held.mapInPandas(losses, "loss double, weight double").agg(F.sum("loss") / F.sum("weight")).first()[0]
+        if loss is None or loss < best[0]:
+            best, waited = (np.inf if loss is None else loss, state[0]), 0
+        else:
+            waited += 1
+            if waited >= patience:
+                break
+    model = spark.sparkContext.broadcast(best[1])
+
+    def predict(frames):
+        for f in frames:
+            if len(f):
+                yield pd.DataFrame({"id": f["id"], "y_true": f["label"].astype("int32"), "y_pred": model.value.forward(np.array(f["v"].tolist(), dtype=float))[0].argmax(axis=1).astype("int32")})
+
+    return test.select("id", "label", "v").mapInPandas(predict, f"id {dict(test.dtypes)['id']}, y_true int, y_pred int")
 
 
 def capped(train: DataFrame, most: int, id_column: str = "id") -> DataFrame:

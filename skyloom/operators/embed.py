@@ -35,9 +35,9 @@ def embed(df: DataFrame, key: str, inputs: str, loader: Callable[[], Callable[[n
 
 
 def random_embedding(df: DataFrame, key: str, width: int, seed: int = 42) -> DataFrame:
-    """``embedding`` of uniform numbers in [-1, 1) that depend on key, place and seed only."""
-    value = lambda i: (F.pmod(F.xxhash64(F.col(key).cast("string"), i, F.lit(seed)), F.lit(1 << 30)) / (1 << 29) - 1).cast("float")
-    return df.withColumn("embedding", F.transform(F.sequence(F.lit(1), F.lit(width)), value))
+    """``embedding`` of uniform numbers in [-1, 1) that depend on key, place and seed only: the first 32 bits of an md5."""
+    bits = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), i.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double")
+    return df.withColumn("embedding", F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: (bits(i) / float(1 << 31) - 1).cast("float")))
 
 
 def shapes(df: DataFrame, column: str) -> DataFrame:

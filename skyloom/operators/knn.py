@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -9,18 +11,36 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import vectors
 
-#: Training vectors (numbers in all) that one broadcast block holds at most: 16 MB of doubles.
+#: Numbers of the training vectors that one block holds at most: 16 MB of doubles.
 BLOCK_NUMBERS = 2_000_000
 #: Test rows that are measured against a block at once, in expectation.
 PACK = 64
 
 
-def fit_scaler(df: DataFrame, vector: str = "v") -> DataFrame:
-    """One row: arrays ``mean`` and ``scale`` by dimension; population deviation, 1 where it is 0.  Partial sums by dimension, one small shuffle."""
+def scaler_state(df: DataFrame, vector: str = "v") -> DataFrame:
+    """(d, n, m, m2) by dimension: count, mean and sum of squared deviations.  Partial sums by dimension, one small shuffle."""
     long = df.select(F.posexplode(vectors.doubles(F.col(vector))).alias("d", "x"))
-    per = long.groupBy("d").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    ordered = F.array_sort(F.collect_list(F.struct("d", "m", "s")))
-    return per.agg(ordered.alias("p")).select(F.col("p.m").alias("mean"), F.transform("p.s", lambda s: F.when(s == 0, 1.0).otherwise(s)).alias("scale"))
+    return long.groupBy("d").agg(F.count("x").alias("n"), F.avg("x").alias("m"), (F.var_pop("x") * F.count("x")).alias("m2"))
+
+
+def merged(*states: DataFrame) -> DataFrame:
+    """The state of all rows from the states of parts of them, such as batches that came one after another."""
+    every = reduce(DataFrame.unionByName, states)
+    total = every.groupBy("d").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("m"))
+    parts = every.select("d", F.col("n").alias("_n"), F.col("m").alias("_m"), F.col("m2").alias("_m2"))
+    apart = F.col("_m2") + F.col("_n") * (F.col("_m") - F.col("m")) * (F.col("_m") - F.col("m"))
+    return parts.join(total, "d").groupBy("d", "n", "m").agg(F.sum(apart).alias("m2"))
+
+
+def scaler_of(state: DataFrame) -> DataFrame:
+    """One row: arrays ``mean`` and ``scale`` by dimension; population deviation, 1 where it is 0."""
+    ordered = F.array_sort(F.collect_list(F.struct("d", "m", F.sqrt(F.col("m2") / F.col("n")).alias("s"))))
+    return state.agg(ordered.alias("p")).select(F.col("p.m").alias("mean"), F.transform("p.s", lambda s: F.when(s == 0, 1.0).otherwise(s)).alias("scale"))
+
+
+def fit_scaler(df: DataFrame, vector: str = "v") -> DataFrame:
+    """The scaler of all rows of ``df``."""
+    return scaler_of(scaler_state(df, vector))
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, vector: str = "v") -> DataFrame:
@@ -30,24 +50,29 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, vector: str = "v") -> DataFra
 
 
 def _nearest(k: int):
-    """Arrow map: rows (pack of test rows, block of training rows) to the block's k nearest of each test row."""
+    """Arrow map: rows (pack of test rows, block of training rows) to the block's k nearest of each test row.
+
+    One matrix product gives all distances of a pack; those near the k-th are taken again exactly, so that ties are ties.
+    """
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 tests, block = batch.column("pack")[i].values, batch.column("block")[i].values
-                ids, labels = np.asarray(block.field("train_id")), block.field("label")
+                ids = np.asarray(block.field("train_id"))
                 x, y = (_matrix(c.field("v")) for c in (tests, block))
-                rows, places, near, d2 = [], [], [], []
-                for j, v in enumerate(x):
-                    d = ((y - v) ** 2).sum(axis=1).round(9)
-                    most = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
-                    some = np.flatnonzero(d <= most)
-                    some = some[np.lexsort((ids[some], d[some]))][:k]
-                    rows.append(np.full(len(some), j)), places.append(np.arange(1, len(some) + 1)), near.append(some), d2.append(d[some])
-                at, to = pa.array(np.concatenate(near)), pa.array(np.concatenate(rows))
+                far = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)
+                rough = far - 2 * (x @ y.T)
+                most = np.partition(rough, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+                row, near = np.nonzero(rough <= most[:, None] + 1e-9 + 1e-12 * far.max())
+                d = ((y[near] - x[row]) ** 2).sum(axis=1).round(9)
+                order = np.lexsort((ids[near], d, row))
+                row, near, d = row[order], near[order], d[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row) + 1
+                some = place <= k
+                to, at = pa.array(row[some]), pa.array(near[some])
                 yield pa.RecordBatch.from_arrays(
-                    [tests.field("test_id").take(to), pa.array(ids).take(at), labels.take(at), pa.array(np.concatenate(d2)), pa.array(np.concatenate(places).astype(np.int32))],
+                    [tests.field("test_id").take(to), pa.array(ids).take(at), block.field("label").take(at), pa.array(d[some]), pa.array(place[some].astype(np.int32))],
                     names=["test_id", "train_id", "label", "d2", "place"],
                 )
 
@@ -62,29 +87,29 @@ def neighbours(test: DataFrame, train: DataFrame, k: int = 5) -> DataFrame:
     """(test_id, train_id, label, d2, place): the k nearest training rows of every test row.
 
     ``test`` has (test_id, v), ``train`` (train_id, label, v).  Training rows are
-    cut into hashed blocks of bounded size, each one row that every pack of test
-    rows meets; numpy measures a pack against a block, so a task holds one of
-    each.  Each block gives every test row its k best, and only those are merged.
-    Ties go to the smaller train_id.
+    cut into hashed blocks of bounded size and test rows into packs; every pack
+    meets every block, as rows of one join on the block's number (a copy of a block
+    for each of ``groups`` of packs, so that few blocks still make many tasks).
+    Each block gives every test row its k best, and only those are merged.  Ties go
+    to the smaller train_id.
     """
-    width = train.agg(F.max(F.size("v")).alias("w"), F.count(F.lit(1)).alias("n")).first()
-    blocks = max(1, -(-(width.w or 1) * width.n // BLOCK_NUMBERS))
+    spark = test.sparkSession
+    size = train.agg(F.max(F.size("v")).alias("w"), F.count(F.lit(1)).alias("n")).first()
+    blocks = max(1, -(-(size.w or 1) * size.n // BLOCK_NUMBERS))
     packs = max(1, -(-test.count() // PACK))
+    groups = max(1, min(packs, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
     kinds = dict(train.dtypes) | dict(test.dtypes)
     schema = f"test_id {kinds['test_id']}, train_id {kinds['train_id']}, label {kinds['label']}, d2 double, place int"
     v = vectors.doubles(F.col("v")).alias("v")
-    packed = test.select(F.pmod(F.xxhash64("test_id"), F.lit(packs)).alias("p"), F.struct("test_id", v).alias("t")).groupBy("p").agg(F.collect_list("t").alias("pack"))
-    spread = packed.repartition(min(packs, int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "p")
-    best = None
-    for b in range(blocks):
-        part = train if blocks == 1 else train.filter(F.pmod(F.xxhash64("train_id"), F.lit(blocks)) == b)
-        block = part.agg(F.collect_list(F.struct("train_id", "label", v)).alias("block")).filter(F.size("block") > 0)
-        mine = spread.crossJoin(F.broadcast(block)).select("pack", "block").mapInArrow(_nearest(k), schema)
-        best = mine if best is None else best.unionByName(mine)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    packed = test.select(F.pmod(F.xxhash64("test_id"), F.lit(packs)).cast("int").alias("p"), F.struct("test_id", v).alias("t")).groupBy("p").agg(F.collect_list("t").alias("pack"))
+    dealt = packed.select(F.pmod("p", F.lit(groups)).alias("g"), every(blocks).alias("b"), "pack")
+    block = train.select(F.pmod(F.xxhash64("train_id"), F.lit(blocks)).cast("int").alias("b"), F.struct("train_id", "label", v).alias("t")).groupBy("b").agg(F.collect_list("t").alias("block"))
+    best = dealt.join(block.select("b", "block", every(groups).alias("g")), ["b", "g"]).select("pack", "block").mapInArrow(_nearest(k), schema)
     if blocks > 1:
         ordered = F.array_sort(F.collect_list(F.struct("d2", "train_id", "label")))
-        merged = best.groupBy("test_id").agg(F.slice(ordered, 1, k).alias("near"))  # blocks x k rows of a test row
-        best = merged.select("test_id", F.posexplode("near").alias("p", "t")).select("test_id", "t.train_id", "t.label", "t.d2", (F.col("p") + 1).alias("place"))
+        merged_best = best.groupBy("test_id").agg(F.slice(ordered, 1, k).alias("near"))  # blocks x k rows of a test row
+        best = merged_best.select("test_id", F.posexplode("near").alias("p", "t")).select("test_id", "t.train_id", "t.label", "t.d2", (F.col("p") + 1).alias("place"))
     return best
 
 

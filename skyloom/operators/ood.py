@@ -8,6 +8,8 @@ bounded by these parameters and broadcast for scoring.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,14 +67,15 @@ def forests(train: DataFrame, seed: int = 42, trees: int = TREES) -> DataFrame:
         label, block = key
         rows = rows.sort_values("id")
         x = np.array(rows["v"].tolist(), dtype=float)
-        rng = np.random.default_rng([seed, int(label), int(block)])
+        rng = np.random.default_rng([seed, zlib.crc32(str(label).encode()), int(block)])
         out = []
         for t in range(block * BLOCK, min((block + 1) * BLOCK, trees)):
             some = x[rng.permutation(len(x))[:SUBSAMPLE]]
             out.append((label, t, grow(some, rng).ravel().tolist(), len(some)))
         return pd.DataFrame(out, columns=["label", "tree", "nodes", "rows"])
 
-    return blocks.select("id", "label", "v", "block").groupBy("label", "block").applyInPandas(build, "label int, tree int, nodes array<double>, rows int")
+    kind = dict(train.dtypes)["label"]
+    return blocks.select("id", "label", "v", "block").groupBy("label", "block").applyInPandas(build, f"label {kind}, tree int, nodes array<double>, rows int")
 
 
 def scores(forest: DataFrame, rows: DataFrame) -> DataFrame:
@@ -92,9 +95,10 @@ def scores(forest: DataFrame, rows: DataFrame) -> DataFrame:
                 expected = float(_average_path(max(n for _, n in mine)))
                 yield pd.DataFrame({"id": part["id"], "label": label, "score": 0.5 - 2.0 ** (-depth / max(expected, 1e-9))})
 
-    return rows.select("id", "v").mapInPandas(run, "id long, label int, score double")
+    kinds = {**dict(rows.dtypes), "label": dict(forest.dtypes)["label"]}
+    return rows.select("id", "v").mapInPandas(run, f"id {kinds['id']}, label {kinds['label']}, score double")
 
 
-def by_class(long: DataFrame, labels: list[int]) -> DataFrame:
+def by_class(long: DataFrame, labels: list) -> DataFrame:
     """One column ``class_<label>`` for each class model."""
     return long.groupBy("id").agg(*[F.max(F.when(F.col("label") == c, F.col("score"))).alias(f"class_{c}") for c in labels])

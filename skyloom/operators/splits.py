@@ -18,26 +18,32 @@ def _named(place: Column, n: Column, test: float, validation: float) -> Column:
     return F.when(place <= tests, "test").when(place <= tests + vals, "validation").otherwise("train")
 
 
+def _placed(df: DataFrame, by: list[str], id_column: str, seed: int) -> DataFrame:
+    """``df`` with ``_place``, counted from 1 in the order of the key within ``by``, and ``_n``, the rows of ``by``.
+
+    A rank over a whole class would need one task.  The first three hex digits of
+    the order key form 4,096 buckets; their sizes are summed, and places within a
+    bucket are counted by a window of that bucket.
+    """
+    keyed = df.withColumn("_key", order_key(id_column, seed)).withColumn("_bucket", F.substring("_key", 1, 3))
+    sizes = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*by).orderBy("_bucket")) - F.col("_size")
+    total = sizes.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_bucket").alias("_b"), before.alias("_before"), F.sum("_size").over(Window.partitionBy(*by)).alias("_n"))
+    same = F.col("_bucket") == F.col("_b")
+    for c in by:  # rows without a class are a class
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    within = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_key", id_column))
+    return keyed.join(total, same).withColumn("_place", F.col("_before") + within).drop("_key", "_bucket", "_b", "_before", *[f"_{c}" for c in by])
+
+
 def stratified(df: DataFrame, id_column: str, label: str, seed: int = 42, test: float = 0.2, validation: float = 0.125) -> DataFrame:
     """``split`` with exact quotas in every class."""
-    w = Window.partitionBy(label)
-    place = F.row_number().over(w.orderBy(order_key(id_column, seed), id_column))
-    return df.withColumn("split", _named(place, F.count(F.lit(1)).over(w), test, validation))
-
+    return _placed(df, [label], id_column, seed).withColumn("split", _named(F.col("_place"), F.col("_n"), test, validation)).drop("_place", "_n")
 
-def random(df: DataFrame, id_column: str, seed: int = 42, test: float = 0.2, validation: float = 0.125, buckets: int = 4096) -> DataFrame:
-    """``split`` with exact quotas over the whole table.
 
-    A rank over all rows would need one task.  The first three hex digits of the
-    order key form ``buckets``; their sizes (4,096 rows at most) are summed, and
-    places within a bucket are counted by a window of that bucket.
-    """
-    keyed = df.withColumn("_key", order_key(id_column, seed)).withColumn("_bucket", F.substring("_key", 1, 3))
-    sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    over = Window.orderBy("_bucket")
-    total = sizes.withColumn("_before", F.sum("_size").over(over) - F.col("_size")).withColumn("_n", F.sum("_size").over(Window.partitionBy()))
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", id_column))
-    return keyed.join(F.broadcast(total), "_bucket").withColumn("split", _named(place, F.col("_n"), test, validation)).drop("_key", "_bucket", "_size", "_before", "_n")
+def random(df: DataFrame, id_column: str, seed: int = 42, test: float = 0.2, validation: float = 0.125) -> DataFrame:
+    """``split`` with exact quotas over the whole table."""
+    return _placed(df, [], id_column, seed).withColumn("split", _named(F.col("_place"), F.col("_n"), test, validation)).drop("_place", "_n")
 
 
 def select_splits(df: DataFrame, wanted, known=("train", "validation", "test", "anom")) -> DataFrame:

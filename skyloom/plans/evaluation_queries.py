@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyloom.functions import times
-from skyloom.operators import evaluate, knn, splits
+from skyloom.operators import classify, evaluate, knn, splits
 from skyloom.plans.inputs import SPLIT, embeddings, rounded, table
 from skyloom.plans.registry import query
 
@@ -66,23 +66,28 @@ def dense_counts(spark, sf_dir):
     return dense.join(counts, ["user_id", "event_type"], "left").na.fill(0, ["n"])
 
 
-def _scaled(spark, sf_dir):
+def _test_and_train(spark, sf_dir):
+    """(test_id, v) and (train_id, label, v), scaled by the training rows."""
     es = embeddings(spark, sf_dir)
-    return knn.apply_scaler(es, knn.fit_scaler(es.filter("split = 'train'")))
+    train, test = classify.standardised(es.filter("split = 'train'"), es.filter("split = 'test'"))
+    return test.select(F.col("id").alias("test_id"), "v"), train.select(F.col("id").alias("train_id"), "label", "v")
 
 
 def predictions(spark, sf_dir):
     """(id, y_true, y_pred) of the test split by its five nearest training rows."""
-    es = embeddings(spark, sf_dir)
-    test = es.filter("split = 'test'").select(F.col("id").alias("test_id"), "v")
-    train = es.filter("split = 'train'").select(F.col("id").alias("train_id"), "label", "v")
-    got = knn.vote(knn.neighbours(test, train))
-    return es.select("id", F.col("label").alias("y_true")).join(got.withColumnRenamed("test_id", "id"), "id")
+    got = knn.vote(knn.neighbours(*_test_and_train(spark, sf_dir)))
+    return embeddings(spark, sf_dir).select("id", F.col("label").alias("y_true")).join(got.withColumnRenamed("test_id", "id"), "id")
 
 
-PRED = f"""{SPLIT}, d AS (
+PRED = f"""{SPLIT}, l AS (SELECT id, split, unnest(range(0, len(v))) AS i, unnest(v) AS x FROM es), f AS (
+  SELECT i, avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS s FROM l WHERE split = 'train' GROUP BY i
+), z AS (
+  SELECT id, list((x - m) / s ORDER BY i) AS v FROM l JOIN f USING (i) GROUP BY id
+), zs AS (
+  SELECT es.id, es.label, es.split, z.v FROM es JOIN z USING (id)
+), d AS (
   SELECT t.id AS test_id, t.label AS y_true, r.id AS train_id, r.label, round(list_sum(list_transform(list_zip(t.v, r.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9) AS d2
-  FROM es t JOIN es r ON t.split = 'test' AND r.split = 'train'
+  FROM zs t JOIN zs r ON t.split = 'test' AND r.split = 'train'
 ), near AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY d2, train_id) AS place FROM d) WHERE place <= 5
 ), votes AS (
@@ -99,8 +104,7 @@ def knn_predict(spark, sf_dir):
 
 @query(f"WITH {PRED} SELECT test_id, train_id, label, round(d2, 6) AS d2, place FROM near")
 def knn_neighbours(spark, sf_dir):
-    es = embeddings(spark, sf_dir)
-    near = knn.neighbours(es.filter("split = 'test'").select(F.col("id").alias("test_id"), "v"), es.filter("split = 'train'").select(F.col("id").alias("train_id"), "label", "v"))
+    near = knn.neighbours(*_test_and_train(spark, sf_dir))
     return near.select("test_id", "train_id", "label", F.round("d2", 6).alias("d2"), F.col("place").cast("bigint").alias("place"))
 
 
@@ -219,12 +223,15 @@ def argmax_label(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", evaluate.best_label({"a": e[0], "b": e[1], "c": e[2]}).alias("best"))
 
 
-@query(f"""
-WITH {_RUNS} SELECT arg_max(embedding, value) AS embedding, round(max(value), 6) AS value FROM r
+@query("""
+WITH g AS (SELECT CAST(user_id % 3 * 100 + 100 AS INTEGER) AS trees, CAST(event_id % 4 * 5 + 5 AS INTEGER) AS depth, CAST(event_id % 3 * 4 + 2 AS INTEGER) AS split, round(avg(value) / 500, 2) AS f1 FROM events GROUP BY ALL)
+SELECT trees, depth, split, f1 FROM g ORDER BY f1 DESC, trees, depth, split DESC LIMIT 1
 """)
 def best_of_grid(spark, sf_dir):
-    best = _runs(spark, sf_dir).agg(F.max_by(F.struct("embedding", "value"), "value").alias("b"))
-    return best.select("b.embedding", F.round("b.value", 6).alias("value"))
+    """The best row of a search, ties broken towards the smaller forest."""
+    part = lambda c, n: F.pmod(c, F.lit(n)).cast("int")
+    keys = [(part("user_id", 3) * 100 + 100).alias("trees"), (part("event_id", 4) * 5 + 5).alias("depth"), (part("event_id", 3) * 4 + 2).alias("split")]
+    return classify.best_parameters(table(spark, sf_dir, "events").groupBy(*keys).agg(F.round(F.avg("value") / 500, 2).alias("f1")))
 
 
 @query("SELECT event_id, user_id, value FROM events ORDER BY user_id, value DESC, event_id LIMIT 50")

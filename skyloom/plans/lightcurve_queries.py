@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skyloom.functions import times
 from skyloom.operators import features, lightcurve, periodogram
 from skyloom.plans.inputs import LC, PREPARED, observations, rounded, table
-from skyloom.plans.registry import query
+from skyloom.plans.registry import query, sql_of
 
 KEY = ["sourceid", "band"]
 
@@ -184,17 +184,15 @@ def lc_zscore_leftpad(spark, sf_dir):
 
 @query(f"""
 WITH {LC}
-SELECT sourceid, band, count(*) AS length, round(arg_min(mag, mjd), 6) AS first_mag, round(arg_max(mag, mjd), 6) AS last_mag, round(min(mjd), 6) AS first_dt FROM lc GROUP BY sourceid, band
+SELECT sourceid, band, row_number() OVER t - 1 AS pos, count(*) OVER (PARTITION BY sourceid, band) AS length, round(mjd, 6) AS mjd, mag, round(err, 6) AS err, round(mjd - coalesce(lag(mjd) OVER t, 0), 6) AS dt
+FROM lc WINDOW t AS (PARTITION BY sourceid, band ORDER BY mjd, obs_id)
 """)
 def lc_nest(spark, sf_dir):
-    s = lightcurve.nest(observations(spark, sf_dir))
-    return s.select(
-        *KEY,
-        F.col("series.length").alias("length"),
-        F.round(F.element_at("series.target", 1), 6).alias("first_mag"),
-        F.round(F.element_at("series.target", -1), 6).alias("last_mag"),
-        F.round(F.element_at("series.feat_dynamic_real", 1), 6).alias("first_dt"),
-    )
+    """Every element of every array of the nested series."""
+    s = lightcurve.nest(observations(spark, sf_dir)).select(*KEY, "series.*")
+    each = s.select(*KEY, "length", F.posexplode(F.arrays_zip("mjd", "target", "past_feat_dynamic_real", "feat_dynamic_real")).alias("pos", "o"))
+    six = lambda c: F.round(c, 6)
+    return each.select(*KEY, F.col("pos").cast("bigint").alias("pos"), F.col("length").cast("bigint").alias("length"), six("o.mjd").alias("mjd"), F.col("o.target").alias("mag"), six("o.past_feat_dynamic_real").alias("err"), six("o.feat_dynamic_real").alias("dt"))
 
 
 @query(f"""
@@ -271,9 +269,15 @@ def lc_mjd_round_trip(spark, sf_dir):
     return ev.select("event_id", F.when(same, F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")).alias("micros"))
 
 
-@query()
+_FAMILIES = ("lc_basic_features", "lc_moments", "lc_weighted_features", "lc_linear_trend", "lc_con_pairslope", "lc_otsu", "lc_anderson_darling")
+
+
+@query("SELECT * FROM (%s) AS f0 %s WHERE n > 4" % (sql_of(_FAMILIES[0]), " ".join(f"LEFT JOIN ({sql_of(name)}) AS f{i} USING (sourceid, band)" for i, name in enumerate(_FAMILIES[1:], 1))))
 def lc_all_statistical(spark, sf_dir):
-    return features.all_statistical(observations(spark, sf_dir))
+    """All families with one exchange of the observations."""
+    out = features.all_statistical(observations(spark, sf_dir))
+    digits = lambda c: 2 if c == "fit_chi2" else 4 if c.startswith(("fit_", "trend_", "otsu_std")) else 6
+    return out.select(*KEY, *[F.round(c, digits(c)).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes[2:]])
 
 
 @query()

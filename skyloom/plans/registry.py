@@ -23,6 +23,11 @@ def query(sql: str | None = None):
     return put
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _sql[name]
+
+
 def _load() -> None:
     from skyloom.plans import catalog_queries, evaluation_queries, lightcurve_queries, model_queries, reader_queries, vector_queries  # noqa: F401
 

@@ -77,25 +77,40 @@ def emb_dot_and_distance(spark, sf_dir):
     return e.join(n, "vec_id").select("vec_id", F.round(vectors.dot(F.col("embedding"), F.col("next")), 6).alias("dot"), F.round(vectors.squared_distance(F.col("embedding"), F.col("next")), 6).alias("d2"))
 
 
-@query("SELECT 64 AS t, 1 AS d, count(*) AS n FROM embeddings")
+@query("SELECT CAST(vec_id % 7 + 1 AS INTEGER) AS t, CAST(vec_id % 3 + 1 AS INTEGER) AS d, count(*) AS n FROM embeddings GROUP BY ALL")
 def emb_shapes(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda x: F.array(x)).alias("steps"))
-    return embed.shapes(e, "steps")
+    """Nested arrays whose sizes differ by row."""
+    inner = F.slice(F.col("embedding"), F.lit(1), (F.pmod("vec_id", F.lit(3)) + 1).cast("int"))
+    steps = F.transform(F.sequence(F.lit(0), F.pmod("vec_id", F.lit(7)).cast("int")), lambda i: inner)
+    return embed.shapes(table(spark, sf_dir, "embeddings").select(steps.alias("steps")), "steps")
 
 
-@query()
+@query("""
+WITH e AS (SELECT vec_id, unnest(range(1, 17)) AS i FROM embeddings)
+SELECT vec_id, i - 1 AS dim, round(CAST(CAST(concat('0x', substr(md5(concat(vec_id, '|', i, '|42')), 1, 8)) AS BIGINT) / 2147483648.0::DOUBLE - 1 AS FLOAT)::DOUBLE, 6) AS x FROM e
+""")
 def emb_random_control(spark, sf_dir):
-    return embed.random_embedding(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", 16)
+    return _long(embed.random_embedding(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", 16), F.col("embedding").cast("array<double>"))
+
+
+#: A stand-in model: a projection of each step of 8 numbers to 4.
+_PROJECTION = [[((i * 5 + j * 3) % 17 - 8) / 8 for j in range(4)] for i in range(8)]
 
 
-@query()
+@query(f"""
+WITH {E64}, w AS (SELECT i, j, CAST((i * 5 + j * 3) % 17 - 8 AS DOUBLE) / 8 AS w FROM (SELECT unnest(range(0, 8)) AS i) CROSS JOIN (SELECT unnest(range(0, 4)) AS j))
+SELECT vec_id, e.i // 8 AS step, j AS dim, round(CAST(sum(x * w) AS FLOAT)::DOUBLE, 6) AS x FROM e JOIN w ON w.i = e.i % 8 GROUP BY ALL
+""")
 def emb_model_map(spark, sf_dir):
-    """A stand-in model (fixed projection of each step) through the Arrow map that a pretrained one would use."""
-    import numpy as np
+    """A fixed projection of each step through the Arrow map that a pretrained model would use."""
 
     def loader():
-        w = np.random.default_rng(0).normal(size=(8, 4)).astype(np.float32)
-        return lambda x: x @ w
+        import numpy as np
+
+        w = np.array(_PROJECTION)
+        return lambda x: x.astype(np.float64) @ w
 
     e = table(spark, sf_dir, "embeddings").select("vec_id", vectors.reshape(F.col("embedding"), 8).alias("window"))
-    return embed.embed(e, "vec_id", "window", loader, 4)
+    out = embed.embed(e, "vec_id", "window", loader, 4).select("vec_id", F.posexplode("embedding").alias("step", "v"))
+    long = out.select("vec_id", F.col("step").cast("bigint").alias("step"), F.posexplode("v").alias("dim", "x"))
+    return long.select("vec_id", "step", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("x").cast("double"), 6).alias("x"))

@@ -160,13 +160,107 @@ def test_ward_in_rounds_is_exact(spark):
 def test_classifiers_and_search(spark):
     df = splits.stratified(blobs(spark), "id", "label")
     train, val, test = (df.filter(F.col("split") == s) for s in ("train", "validation", "test"))
-    for pred in (classify.logistic(train, test), classify.forest(train, test, 10, 5), classify.perceptron(train, test, (8,))):
+    for pred in (classify.logistic(train, test), classify.forest(train, test, 10, 5), classify.perceptron(train, val, test, (16, 8), dropout=0.2, rate=0.02, batch=16, epochs=15)):
         assert {r.row: r for r in evaluate.report(pred).collect()}["accuracy"].f1 > 0.9
-    best = classify.best_parameters(classify.grid_search(train, val, {"trees": (5, 3), "depth": (3, None), "leaf": (1,)})).first()
-    assert best.trees in (3, 5) and best.f1 > 0.8
+    best = classify.best_parameters(classify.grid_search(train, val, {"trees": (5, 3), "depth": (3, None), "split": (2, 9)})).first()
+    assert best.trees in (3, 5) and best.split in (2, 9) and best.f1 > 0.8
     assert classify.seeds(42) == [42, 100, 200]
 
 
+def test_no_node_below_the_least_size_is_split(spark):
+    """``split``: every node that has children holds at least so many rows."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    rng = np.random.default_rng(7)
+    rows = spark.createDataFrame([(i, int(rng.integers(0, 2)), rng.normal(size=3).tolist()) for i in range(200)], "id long, label int, v array<double>")
+    model = RandomForestClassifier(numTrees=5, maxDepth=20, minInstancesPerNode=-(-11 // 2), seed=1).fit(classify.featured(rows))
+
+    def sizes(node):
+        if node.numDescendants() > 0:
+            yield node.impurityStats().count()
+            yield from sizes(node.leftChild())
+            yield from sizes(node.rightChild())
+
+    least = [n for tree in model._java_obj.trees() for n in sizes(tree.rootNode())]
+    assert least and min(least) >= 11
+
+
+def test_given_parameters():
+    assert classify.given_parameters(None) == classify.DEFAULT_FOREST
+    assert classify.given_parameters('{"n_estimators": 500, "max_depth": None}') == {"trees": 500, "depth": None, "split": 2}
+    with pytest.raises(ValueError, match="unknown parameters"):
+        classify.given_parameters('{"criterion": "gini"}')
+    with pytest.raises(ValueError):
+        classify.given_parameters("{n_estimators: 5")
+
+
+def test_perceptron_gradients_and_weights(spark):
+    """Backpropagation of the weighted loss agrees with finite differences; averages of equal states change nothing; rare classes count."""
+    import pickle
+
+    rng = np.random.default_rng(0)
+    net, weight = classify.Layers([5, 7, 4, 3], 1), np.array([0.5, 1.0, 2.5])
+    x, y = rng.normal(size=(12, 5)), rng.integers(0, 3, 12)
+    grads = net.gradients(x, y, weight, 0.0, rng)
+    mean = lambda: np.divide(*net.loss(x, y, weight))
+    for p, g in zip(net.all(), grads):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        values = []
+        for d in (1e-5, -1e-5):
+            p[at] += d
+            values.append(mean())
+            p[at] -= d
+        assert (values[0] - values[1]) / 2e-5 == pytest.approx(g[at], rel=1e-4)
+    state = (net, [(np.ones_like(p), np.ones_like(p)) for p in net.all()], 4)
+    same = classify._average([(3, pickle.dumps(state)), (9, pickle.dumps(state))])
+    assert all(np.allclose(a, b) for a, b in zip(same[0].all(), net.all())) and same[2] == 4
+    rows = [(i, int(i % 20 == 0), [float(rng.normal() + 1.2 * (i % 20 == 0))]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, label int, v array<double>")
+    recall = {}
+    for weighted in (True, False):
+        pred = classify.perceptron(df, df, df, (8,), rate=0.02, batch=64, epochs=12, weighted=weighted).collect()
+        recall[weighted] = np.mean([r.y_pred for r in pred if r.y_true == 1])
+    assert recall[True] > recall[False] + 0.2
+
+
+def test_scaler_of_parts_is_that_of_all_rows(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(5, 3, size=(90, 3))
+    x[:, 2] = 4.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    parts = [knn.scaler_state(df.filter(f"id % 3 = {i}")) for i in range(3)]
+    got, want = knn.scaler_of(knn.merged(knn.merged(*parts[:2]), parts[2])).first(), knn.fit_scaler(df).first()
+    assert got.mean == pytest.approx(x.mean(0)) and got.scale == pytest.approx([*x.std(0)[:2], 1.0]) and want.mean == pytest.approx(got.mean) and want.scale == pytest.approx(got.scale)
+
+
+def test_stratified_split_counts_classes_without_one_task_each(spark):
+    """Exact quotas in a class of two thirds of the rows, in a class of one row, and among rows without a class."""
+    rows = [(i, "big" if i % 3 else ("small" if i else "one") if i % 6 else None) for i in range(1, 3000)] + [(0, "one")]
+    df = spark.createDataFrame(rows, "id long, label string")
+    got = splits.stratified(df, "id", "label")
+    assert got.columns == ["id", "label", "split"] and got.count() == len(rows)
+    for label, n in ((r.label, r.n) for r in df.groupBy("label").agg(F.count("*").alias("n")).collect()):
+        counts = {r.split: r.n for r in got.filter(F.col("label").eqNullSafe(label)).groupBy("split").agg(F.count("*").alias("n")).collect()}
+        test = math.ceil(n * 0.2)
+        assert counts.get("test", 0) == test and counts.get("validation", 0) == math.ceil((n - test) * 0.125) and sum(counts.values()) == n
+    assert "partitionBy(label)" not in got._jdf.queryExecution().toString()
+
+
+def test_cut_height_gives_the_clusters(spark):
+    rng = np.random.default_rng(3)
+    merges = cluster.ward_merges(rng.normal(size=(30, 2)), np.ones(30))
+    for k in (1, 2, 7, 30):
+        assert 30 - (merges[:, 2] < cluster.cut_height(merges, k)).sum() == k
+
+
+def test_isolation_forests_of_named_classes(spark):
+    rng = np.random.default_rng(1)
+    train = spark.createDataFrame([(f"s{i}", "RRab" if i % 2 else "EW", (rng.normal(size=2) + 20 * (i % 2)).tolist()) for i in range(200)], "id string, label string, v array<double>")
+    test = spark.createDataFrame([("near EW", [0.0, 0.0]), ("near RRab", [20.0, 20.0])], "id string, v array<double>")
+    got = {(r.id, r.label): r.score for r in ood.scores(ood.forests(train, trees=20), test).collect()}
+    assert got["near EW", "EW"] > got["near EW", "RRab"] and got["near RRab", "RRab"] > got["near RRab", "EW"]
+
+
 def test_isolation_forest_ranks_outliers_low(spark):
     rng = np.random.default_rng(1)
     rows = [(i, 0, rng.normal(size=2).tolist()) for i in range(300)]
@@ -223,6 +317,7 @@ def test_registered_models_use_the_operators_settings(spark, monkeypatch):
     known = lambda a: a["test"].select("id", F.col("label").alias("y_true"), F.col("label").alias("y_pred"))
     spy(classify, "forest", known)
     spy(classify, "perceptron", known)
+    monkeypatch.setattr(classify, "standardised", lambda *frames: list(frames))
     spy(ood, "forests", lambda a: a["train"])
     monkeypatch.setattr(ood, "scores", lambda forest, rows: rows)
     rows = spark.createDataFrame([(i, i % 2, [float(i)], s) for i, s in enumerate(["train", "validation", "test"] * 4)], "id long, label int, v array<double>, split string")
@@ -233,9 +328,9 @@ def test_registered_models_use_the_operators_settings(spark, monkeypatch):
     for name in ("forest_report", "forest_seeds", "feature_forest_report", "perceptron_report", "isolation_scores", "feature_isolation_scores"):
         getattr(model_queries, name)(spark, "")
     assert len(seen["forest"]) == 5 and all({k: a[k] for k in default} == default for a in seen["forest"])
-    assert [a["hidden"] for a in seen["perceptron"]] == [(512, 256)]
+    assert [(a["hidden"], a["rate"], a["batch"], a["patience"], a["weighted"]) for a in seen["perceptron"]] == [((1024, 512, 256), 1e-3, 1024, 3, True)]
     assert [a["trees"] for a in seen["forests"]] == [ood.TREES] * 2
     seen["forest"].clear()
     monkeypatch.setattr(classify, "best_parameters", lambda scored: scored)
     model_queries.forest_grid(spark, "")
-    assert [(a["trees"], a["depth"], a["leaf"]) for a in seen["forest"]] == list(itertools.product(*classify.GRID.values()))
+    assert [(a["trees"], a["depth"], a["split"]) for a in seen["forest"]] == list(itertools.product(*classify.GRID.values()))
