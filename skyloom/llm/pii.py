@@ -301,79 +301,86 @@ class Network:
         for b in ("bf", "bb"):
             self.p[b][h : 2 * h] = 1  # remember at first
 
-    def _run(self, x, wx, wh, b, keep: bool):
+    def _both(self, name: str) -> np.ndarray:
+        """A parameter of both directions."""
+        return np.stack((self.p[f"{name}f"], self.p[f"{name}b"]))
+
+    def _run(self, x, keep: bool):
+        """Outputs of both directions side by side: direction, time, batch; the second one reads backwards."""
         t, n = x.shape
-        h = c = np.zeros((n, HIDDEN), dtype=np.float32)
-        out, kept = np.empty((t, n, HIDDEN), dtype=np.float32), []
+        wx, wh, b = self._both("x"), self._both("h"), self._both("b")
+        given = np.stack((wx[0][x], wx[1][x[::-1]]), axis=1) + b[:, None]
+        h = c = np.zeros((2, n, HIDDEN), dtype=wh.dtype)
+        out, kept = np.empty((t, 2, n, HIDDEN), dtype=wh.dtype), []
         for i in range(t):
-            z = wx[x[i]] + h @ wh + b
-            gates = _sigmoid(z[:, : 3 * HIDDEN])
-            g = np.tanh(z[:, 3 * HIDDEN :])
+            z = given[i] + h @ wh
+            gates = _sigmoid(z[..., : 3 * HIDDEN])
+            g = np.tanh(z[..., 3 * HIDDEN :])
             before = c
-            c = gates[:, HIDDEN : 2 * HIDDEN] * before + gates[:, :HIDDEN] * g
+            c = gates[..., HIDDEN : 2 * HIDDEN] * before + gates[..., :HIDDEN] * g
             tc = np.tanh(c)
             if keep:
                 kept.append((h, before, gates, g, tc))
-            h = gates[:, 2 * HIDDEN :] * tc
+            h = gates[..., 2 * HIDDEN :] * tc
             out[i] = h
         return out, kept
 
-    def _back(self, x, wh, kept, dout):
-        gx = np.zeros((CLASSES, 4 * HIDDEN), dtype=np.float32)
-        gh, gb = np.zeros_like(wh), np.zeros(4 * HIDDEN, dtype=np.float32)
-        dh = dc = np.zeros((x.shape[1], HIDDEN), dtype=np.float32)
-        for i in range(len(kept) - 1, -1, -1):
-            h, before, gates, g, tc = kept[i]
-            i_, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
+    def _back(self, x, kept, dout) -> dict:
+        t, n = x.shape
+        wh = self._both("h")
+        back = wh.transpose(0, 2, 1)
+        every = np.empty((t, 2, n, 4 * HIDDEN), dtype=wh.dtype)
+        dh = dc = np.zeros((2, n, HIDDEN), dtype=wh.dtype)
+        for i in range(t - 1, -1, -1):
+            _, before, gates, g, tc = kept[i]
+            i_, f, o = gates[..., :HIDDEN], gates[..., HIDDEN : 2 * HIDDEN], gates[..., 2 * HIDDEN :]
             d = dout[i] + dh
             dc = dc + d * o * (1 - tc * tc)
-            dz = np.concatenate((dc * g * i_ * (1 - i_), dc * before * f * (1 - f), d * tc * o * (1 - o), dc * i_ * (1 - g * g)), axis=1)
-            np.add.at(gx, x[i], dz)
-            gh += h.T @ dz
-            gb += dz.sum(axis=0)
-            dh, dc = dz @ wh.T, dc * f
-        return gx, gh, gb
+            dz = every[i]
+            dz[..., :HIDDEN], dz[..., HIDDEN : 2 * HIDDEN] = dc * g * i_, dc * before * f
+            dz[..., 2 * HIDDEN : 3 * HIDDEN], dz[..., 3 * HIDDEN :] = d * tc * o, dc * i_ * (1 - g * g)
+            dz[..., : 3 * HIDDEN] *= 1 - gates
+            dh, dc = dz @ back, dc * f
+        grads = {}
+        for k, (name, read) in enumerate((("f", x), ("b", x[::-1]))):
+            flat = every[:, k].reshape(t * n, -1)
+            kind = (read.reshape(-1, 1) == np.arange(CLASSES)).astype(wh.dtype)
+            grads |= {f"x{name}": kind.T @ flat, f"h{name}": np.concatenate([step[0][k] for step in kept]).T @ flat, f"b{name}": flat.sum(axis=0)}
+        return grads
 
     def emissions(self, x, keep=False):
-        p = self.p
-        f, kf = self._run(x, p["xf"], p["hf"], p["bf"], keep)
-        b, kb = self._run(x[::-1], p["xb"], p["hb"], p["bb"], keep)
-        both = np.concatenate((f, b[::-1]), axis=2)
-        return both @ p["out"] + p["bias"], both, kf, kb
+        out, kept = self._run(x, keep)
+        both = np.concatenate((out[:, 0], out[::-1, 1]), axis=2)
+        return both @ self.p["out"] + self.p["bias"], both, kept
 
     def gradients(self, x, y):
         """Loss of label sequences and gradients of all parameters."""
         p = self.p
-        e, both, kf, kb = self.emissions(x, keep=True)
+        e, both, kept = self.emissions(x, keep=True)
         t, n, _ = e.shape
-        trans = p["trans"] + _BARRED
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[0] = e[0] + _FIRST
-        for i in range(1, t):
-            s = alpha[i - 1][:, :, None] + trans
-            m = s.max(axis=1)
-            alpha[i] = m + np.log(np.exp(s - m[:, None]).sum(axis=1)) + e[i]
-        for i in range(t - 2, -1, -1):
-            s = trans[None] + (e[i + 1] + beta[i + 1])[:, None, :]
-            m = s.max(axis=2)
-            beta[i] = m + np.log(np.exp(s - m[:, :, None]).sum(axis=2))
-        m = alpha[-1].max(axis=1)
-        logz = m + np.log(np.exp(alpha[-1] - m[:, None]).sum(axis=1))
-        grid = np.arange(n)
-        gold = sum(e[i][grid, y[i]] for i in range(t)) + sum(trans[y[i - 1], y[i]] for i in range(1, t))
-        de = np.exp(alpha + beta - logz[None, :, None])
-        gt = np.zeros_like(trans)
-        for i in range(1, t):
-            gt += np.exp(alpha[i - 1][:, :, None] + trans + (e[i] + beta[i])[:, None, :] - logz[:, None, None]).sum(axis=0)
-            np.add.at(gt, (y[i - 1], y[i]), -1)
+        # forward and backward sums, scaled to one at every step
+        step, top = np.exp(p["trans"] + _BARRED).astype(e.dtype), e.max(axis=2, keepdims=True)
+        here = np.exp(e - top)
+        alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((t, n, 1), dtype=e.dtype)
+        alpha[0] = here[0] * np.exp(_FIRST)
         for i in range(t):
-            de[i][grid, y[i]] -= 1
+            if i:
+                alpha[i] = (alpha[i - 1] @ step) * here[i]
+            scale[i] = alpha[i].sum(axis=1, keepdims=True)
+            alpha[i] /= scale[i]
+        here /= scale
+        for i in range(t - 2, -1, -1):
+            beta[i] = (here[i + 1] * beta[i + 1]) @ step.T
+        gold = np.take_along_axis(e, y[:, :, None], axis=2).sum() + (p["trans"] + _BARRED)[y[:-1], y[1:]].sum()
+        loss = float(np.log(scale).sum() + top.sum() - gold) / (n * t)
+        de = alpha * beta
+        np.put_along_axis(de, y[:, :, None], np.take_along_axis(de, y[:, :, None], axis=2) - 1, axis=2)
+        gt = step * (alpha[:-1].reshape(-1, LABELS).T @ (here[1:] * beta[1:]).reshape(-1, LABELS))
+        gt = gt - np.bincount((y[:-1] * LABELS + y[1:]).ravel(), minlength=LABELS * LABELS).reshape(LABELS, LABELS)
         de /= n * t
         dboth = de @ p["out"].T
-        gxf, ghf, gbf = self._back(x, p["hf"], kf, dboth[:, :, :HIDDEN])
-        gxb, ghb, gbb = self._back(x[::-1], p["hb"], kb, dboth[::-1, :, HIDDEN:])
-        grads = {"xf": gxf, "hf": ghf, "bf": gbf, "xb": gxb, "hb": ghb, "bb": gbb, "out": np.einsum("tnh,tnl->hl", both, de), "bias": de.sum(axis=(0, 1)), "trans": gt / (n * t)}
-        return float((logz - gold).mean() / t), grads
+        dout = np.stack((dboth[:, :, :HIDDEN], dboth[::-1, :, HIDDEN:]), axis=1)
+        return loss, {**self._back(x, kept, dout), "out": both.reshape(t * n, -1).T @ de.reshape(t * n, -1), "bias": de.sum(axis=(0, 1)), "trans": gt / (n * t)}
 
     def decode(self, x) -> np.ndarray:
         """Likeliest labels of every window, time x batch."""
