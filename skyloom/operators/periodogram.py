@@ -100,24 +100,25 @@ def autocorrelation_length(y: np.ndarray) -> float:
 def car1(t: np.ndarray, y: np.ndarray, e: np.ndarray) -> tuple[float, float, float]:
     """sigma, tau and mean of a continuous first-order autoregression, by likelihood over a grid of tau that is refined twice."""
     m = y.mean()
-    z, dt = y - m, np.diff(t)
+    z, dt, noise = y - m, np.diff(t), e[1:] ** 2
 
-    def negative(tau: float) -> tuple[float, float]:
-        a = np.exp(-dt / tau)
-        noise = e[1:] ** 2
+    def negative(taus: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Negative log likelihoods, and the variances that they have, of ``taus``."""
+        a = np.exp(-dt / taus[:, None])
         gap = 1 - a * a
-        innovation = z[1:] - a * z[:-1]
-        var = max(((innovation**2) / np.maximum(gap, 1e-12)).mean(), 1e-12)
-        total = var * gap + noise
-        return float(0.5 * (np.log(total) + innovation**2 / total).sum()), var
+        square = (z[1:] - a * z[:-1]) ** 2
+        var = np.maximum((square / np.maximum(gap, 1e-12)).mean(axis=1), 1e-12)
+        total = var[:, None] * gap + noise
+        return 0.5 * (np.log(total) + square / total).sum(axis=1), var
 
     taus = np.geomspace(max(dt.min(), 1e-3) / 2, max(t[-1] - t[0], 1e-2), 40)
+    some = max(1, POINTS * BLOCK // max(len(dt), 1))  # so many at once
     for _ in range(3):
-        best = min(range(len(taus)), key=lambda i: negative(taus[i])[0])
-        tau = taus[best]
+        values, var = (np.concatenate(x) for x in zip(*(negative(taus[i : i + some]) for i in range(0, len(taus), some))))
+        best = int(values.argmin())
+        tau, spread = taus[best], var[best]
         taus = np.geomspace(taus[max(best - 1, 0)], taus[min(best + 1, len(taus) - 1)], 20)
-    var = negative(tau)[1]
-    return float(np.sqrt(2 * var / tau)), float(tau), float(m / tau)
+    return float(np.sqrt(2 * spread / tau)), float(tau), float(m / tau)
 
 
 def fit(t: np.ndarray, y: np.ndarray, e: np.ndarray) -> list[float]:
@@ -150,10 +151,10 @@ def periodic(nested: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             s = batch.column("series")
-            rows = [
-                fit(*(np.array(x if x is not None else [], dtype=float) for x in (r["mjd"], r["target"], r["past_feat_dynamic_real"])))
-                for r in s.to_pylist()
-            ]
+            lists = [s.field(c) for c in ("mjd", "target", "past_feat_dynamic_real")]
+            flat = [np.asarray(x.flatten(), dtype=float) for x in lists]
+            cuts = [np.concatenate(([0], np.cumsum(np.asarray(x.value_lengths().fill_null(0))))) for x in lists]
+            rows = [fit(*(v[c[i] : c[i + 1]] for v, c in zip(flat, cuts))) for i in range(batch.num_rows)]
             values = np.array(rows, dtype=float).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([batch.column("sourceid"), batch.column("band"), *(pa.array(v, mask=~np.isfinite(v)) for v in values.T)], names=["sourceid", "band", *NAMES])
 
