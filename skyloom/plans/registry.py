@@ -29,7 +29,7 @@ def sql_of(name: str) -> str:
 
 
 def _load() -> None:
-    from skyloom.plans import catalog_queries, evaluation_queries, lightcurve_queries, model_queries, reader_queries, vector_queries  # noqa: F401
+    from skyloom.plans import catalog_queries, evaluation_queries, lightcurve_queries, model_queries, reader_queries, sink_queries, vector_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
