@@ -804,5 +804,7 @@ def test_empty_tables(spark):
         exact_dedup.exact_groups(empty),
         bpe.digests(empty, paths()[1]),
         toxicity.score(empty, None),
+        token_files.through_files(empty, paths()[0]),
+        urls.judge(spark.createDataFrame([], "page_id long, url string, host string, rule string")),
     ]
     assert [df.count() for df in outputs] == [0] * len(outputs)

@@ -49,3 +49,24 @@ def test_stages_keep_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, node string, row long, key string, bucket int, part int, label int, score double, toxic int, kept boolean"
+
+
+def clashing(spark, texts):
+    """Documents with columns whose names the operators use inside."""
+    return spark.createDataFrame([(1000 + i, t, "en", "s", None, "n", 1, "k", 1, 2, 3, 0.5, 1, True) for i, t in enumerate(texts)], CLASHING)
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = clashing(spark, [None, "", "one two three four five six seven", "one two three four five six  seven", "ONE two three four five six seven eight"])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        empty = stage(spark, docs.limit(0), sf_dir)
+        assert empty.columns == docs.columns and empty.count() == 0, name
+        got = stage(spark, docs, sf_dir)
+        assert got.columns == docs.columns and got.count() >= 2, name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs.limit(0), sf_dir).count() == 0 and last(spark, docs, sf_dir).count() == 5
