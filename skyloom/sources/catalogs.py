@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import times
@@ -101,13 +101,18 @@ def period_columns(n: int) -> list[str]:
 def _lines(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
     """Lines with their number in the file, less the first ``skip``.
 
-    Numbers need a whole file in one task, so only preambles take this way; a
-    file without one is read split by split.
+    Files are read split by split.  A split's lines are numbered by Spark as they
+    are read, so a line's number is its distance from the split's first one after
+    the lines of the file's splits before; those counts are one row a split.
     """
+    raw = spark.read.text(path)
     if not skip:
-        return spark.read.text(path)
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line_no", "value")).filter(F.col("line_no") >= skip)
+        return raw
+    raw = raw.select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    splits = raw.groupBy("_path", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_path").orderBy("_block")) - F.col("_n")
+    numbered = raw.join(splits.select("_path", "_block", (before - F.col("_first")).alias("_shift")), ["_path", "_block"])
+    return numbered.select((F.col("_id") + F.col("_shift")).alias("line_no"), "value").filter(F.col("line_no") >= skip)
 
 
 def _cell(c: Column, kind: str) -> Column:

@@ -200,3 +200,36 @@ def test_power_is_that_of_a_fit():
         x = np.stack([np.sin(a), np.cos(a)], axis=1)
         fitted = x @ np.linalg.lstsq(x, z, rcond=None)[0]
         assert power[i] == pytest.approx((fitted**2).sum() / (z**2).sum(), abs=1e-9)
+
+
+@pytest.mark.parametrize("span", [30, 300, 1000, 4000])
+def test_periods_are_found_at_every_span(span):
+    """Sines of 0.2 to 1,000 days, irregularly sampled, wherever three periods fit; noise has no convincing period."""
+    rng = np.random.default_rng(span)
+    t = np.sort(rng.uniform(0, span, 250))
+    for period in (p for p in (0.2, 0.57, 1.7, 9.3, 97.0, 1000.0) if 3 * p <= span):
+        y = 15 + np.sin(2 * np.pi * t / period + 1) + rng.normal(0, 0.1, len(t))
+        got = dict(zip(periodogram.NAMES, periodogram.fit(t, y, np.full(len(t), 0.1))))
+        assert got["period_ls"] == pytest.approx(period, rel=max(1e-3, 0.2 * period / span)) and got["period_fit"] < 1e-9
+        assert got["freq1_harmonics_amplitude_0"] == pytest.approx(1, abs=0.15) and got["psi_eta"] < 0.5
+    noise = dict(zip(periodogram.NAMES, periodogram.fit(t, rng.normal(size=len(t)), np.full(len(t), 0.1))))
+    assert noise["period_fit"] > 1e-3
+
+
+def test_car_fit_finds_the_best_time_scale():
+    """The likelihood at the fitted time scale is not beaten by any of a fine grid."""
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.uniform(0, 100, 120))
+    y = np.cumsum(rng.normal(0, 0.3, len(t))) * 0.5
+    e = np.full(len(t), 0.05)
+    sigma, tau, mean = periodogram.car1(t, y, e)
+
+    def negative(tau):
+        a = np.exp(-np.diff(t) / tau)
+        z = y - y.mean()
+        gap, square = 1 - a * a, (z[1:] - a * z[:-1]) ** 2
+        total = (square / gap).mean() * gap + e[1:] ** 2
+        return 0.5 * (np.log(total) + square / total).sum()
+
+    assert negative(tau) <= min(negative(x) for x in np.geomspace(0.1, 100, 400)) + 1e-2
+    assert mean == pytest.approx(y.mean() / tau) and sigma > 0

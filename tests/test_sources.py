@@ -101,6 +101,20 @@ def test_long_light_curve_file_in_several_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_preamble_is_dropped_in_any_number_of_splits(spark, tmp_path):
+    """Only each file's own first lines go, also where the preamble itself lies in several splits."""
+    for name, n in (("a", 900), ("b", 3)):
+        put(tmp_path / f"{name}.txt", "".join(f"# preamble {i} of {name}\n" for i in range(34)) + "\n" + "".join(f"{name} {i}\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "300"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = catalogs.delimited(spark, str(tmp_path / "*.txt"), ("name", "i"), skip=34).collect()
+            assert sorted((r.name, int(r.i)) for r in got) == sorted([("a", i) for i in range(900)] + [("b", i) for i in range(3)])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_coordinates_shards_and_collections(spark, tmp_path):
     stars = put(tmp_path / "s.txt", "x\n" * 34 + "1 12 30 36 -00 30 00 14 0.5 0.1 RR 0\n")
     r = catalogs.star_coordinates(spark, stars).first()
