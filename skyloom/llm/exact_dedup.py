@@ -1,20 +1,23 @@
 """Exact deduplication by content sort.
 
-The input is scanned once: each text's normalised form, its 64-bit hash and its
-SHA-256 go to a Parquet table in the shared folder, of which later steps read the
-columns they need.  Rows are then dealt by ``repartitionByRange`` (Spark samples
-the splitters) on the first characters of the normalised text and the hash, which
-breaks ties between texts with the same beginning, so splitters stay small however
-long the texts are.  Each range is sorted by Spark's external sort with the whole
-normalised text in the key, which places equal texts side by side, and the window
-operator walks the range and compares neighbouring texts in full; the smallest
-doc_id of a run stays.
+Rows are dealt by ``repartitionByRange`` (Spark samples the splitters) on the
+first characters of the normalised text and its 64-bit hash, which breaks ties
+between texts with the same beginning, so splitters stay small however long the
+texts are.  Each range is sorted by Spark's external sort with the whole normalised
+text in the key, which places equal texts side by side, and the window operator
+walks the range and compares neighbouring texts in full; the smallest doc_id of a
+run stays.
 
 One text may make up a third of the table.  Texts with more than
 ``rows / (8 x partitions)`` copies, of which there are at most ``8 x partitions``,
 get a salt of doc_id in the range key and so spread over many ranges.  Their
 smallest doc_id and their number come from a partial aggregation of hash and
-SHA-256; it is written as a table, whose measured size tells Spark how to join.
+SHA-256 before; the repeated texts' rows of it are written as a table, whose
+measured size tells Spark how to join.
+
+The input is scanned three times: for that aggregation, for the splitters and for
+the exchange.  Nothing but the repeated texts' hashes is stored: storing the
+normalised texts would save CPU but take as much disk again as the exchange.
 
 Only DataFrame functions are used.
 
@@ -55,18 +58,18 @@ def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: l
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     carry = docs.columns if carry is None else carry
+    hashed = normalised(docs, text, "__dx_norm").withColumn("__dx_hash", F.xxhash64("__dx_norm")).withColumn("__dx_sha", F.sha2("__dx_norm", 256))
     rows = Observation()
-    hashed = normalised(docs, text, "__dx_norm").withColumn("__dx_hash", F.xxhash64("__dx_norm")).withColumn("__dx_sha", F.sha2("__dx_norm", 256)).observe(rows, F.count(F.lit(1)).alias("n"))
-    if text in carry:  # a text that is normalised as it stands is stored once
-        hashed = hashed.withColumn("__dx_norm", F.when(~F.col("__dx_norm").eqNullSafe(F.col(text)), F.col("__dx_norm")))
-    table = written(hashed.select(*[f"`{c}`" for c in carry], "__dx_norm", "__dx_hash", "__dx_sha"))
-    counted = table.groupBy("__dx_hash", "__dx_sha").agg(F.min(doc_id).alias("__dx_all_keep"), F.count(F.lit(1)).alias("__dx_all_size"))
-    heavy = written(counted.filter(F.col("__dx_all_size") > max(1, rows.get["n"] // (HEAVY * partitions))))
-    marked = table.join(heavy, ["__dx_hash", "__dx_sha"], "left")
-    if text in carry:
-        marked = marked.withColumn("__dx_norm", F.coalesce("__dx_norm", F.col(text)))
+    counted = hashed.observe(rows, F.count(F.lit(1)).alias("n")).groupBy("__dx_hash", "__dx_sha").agg(F.min(doc_id).alias("__dx_all_keep"), F.count(F.lit(1)).alias("__dx_all_size"))
+    repeated = written(counted.filter("__dx_all_size > 1"))
+    heavy = repeated.filter(F.col("__dx_all_size") > max(1, rows.get["n"] // (HEAVY * partitions)))
+    marked = hashed.join(heavy, ["__dx_hash", "__dx_sha"], "left").withColumn("__dx_prefix", F.substring("__dx_norm", 1, PREFIX))
     salt = F.when(F.col("__dx_all_size").isNotNull(), F.pmod(F.xxhash64(doc_id), F.lit(4 * partitions))).otherwise(F.lit(0)).cast("int")
-    ranged = marked.withColumn("__dx_salt", salt).withColumn("__dx_prefix", F.substring("__dx_norm", 1, PREFIX)).repartitionByRange(partitions, "__dx_prefix", "__dx_hash", "__dx_salt")
+    keys = ["__dx_prefix", "__dx_hash", "__dx_salt"]
+    own = [f"`{c}`" for c in carry] + ([] if text in carry else ["__dx_norm"])
+    ranged = marked.withColumn("__dx_salt", salt).select(*own, *keys, "__dx_sha", "__dx_all_keep", "__dx_all_size").repartitionByRange(partitions, *keys)
+    if text in carry:  # a text travels once
+        ranged = normalised(ranged, text, "__dx_norm")
     run = Window.partitionBy("__dx_prefix", "__dx_hash", "__dx_salt", "__dx_norm")
     ordered = run.orderBy(F.col(doc_id).asc_nulls_last())
     walked = (
