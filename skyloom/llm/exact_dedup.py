@@ -12,12 +12,12 @@ One text may make up a third of the table.  Texts with more than
 ``rows / (8 x partitions)`` copies, of which there are at most ``8 x partitions``,
 get a salt of doc_id in the range key and so spread over many ranges.  Their
 smallest doc_id and their number come from a partial aggregation of hash and
-SHA-256 before; the repeated texts' rows of it are written as a table, whose
-measured size tells Spark how to join.
+SHA-256 before; their rows of it are written as a table, whose measured size tells
+Spark how to join.
 
 The input is scanned three times: for that aggregation, for the splitters and for
-the exchange.  Nothing but the repeated texts' hashes is stored: storing the
-normalised texts would save CPU but take as much disk again as the exchange.
+the exchange.  Nothing but hashes and counts is stored: storing the normalised
+texts would save CPU but take as much disk again as the exchange.
 
 Only DataFrame functions are used.
 
@@ -30,7 +30,7 @@ extra columns pass through (names starting with ``__dx_`` are reserved).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.shared import written
@@ -59,10 +59,9 @@ def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: l
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     carry = docs.columns if carry is None else carry
     hashed = normalised(docs, text, "__dx_norm").withColumn("__dx_hash", F.xxhash64("__dx_norm")).withColumn("__dx_sha", F.sha2("__dx_norm", 256))
-    rows = Observation()
-    counted = hashed.observe(rows, F.count(F.lit(1)).alias("n")).groupBy("__dx_hash", "__dx_sha").agg(F.min(doc_id).alias("__dx_all_keep"), F.count(F.lit(1)).alias("__dx_all_size"))
-    repeated = written(counted.filter("__dx_all_size > 1"))
-    heavy = repeated.filter(F.col("__dx_all_size") > max(1, rows.get["n"] // (HEAVY * partitions)))
+    counted = written(hashed.groupBy("__dx_hash", "__dx_sha").agg(F.min(doc_id).alias("__dx_all_keep"), F.count(F.lit(1)).alias("__dx_all_size")))
+    rows = counted.agg(F.sum("__dx_all_size")).first()[0] or 0
+    heavy = written(counted.filter(F.col("__dx_all_size") > max(1, rows // (HEAVY * partitions))))
     marked = hashed.join(heavy, ["__dx_hash", "__dx_sha"], "left").withColumn("__dx_prefix", F.substring("__dx_norm", 1, PREFIX))
     salt = F.when(F.col("__dx_all_size").isNotNull(), F.pmod(F.xxhash64(doc_id), F.lit(4 * partitions))).otherwise(F.lit(0)).cast("int")
     keys = ["__dx_prefix", "__dx_hash", "__dx_salt"]
