@@ -35,8 +35,8 @@ DEFAULT_FOREST = {"trees": 200, "depth": 20, "split": 2}
 GRID = {"trees": (100, 200, 500), "depth": (10, 20, 30, None), "split": (2, 5, 10)}
 # The names that parameter files give to those of a forest.
 PARAMETER_NAMES = {"n_estimators": "trees", "max_depth": "depth", "min_samples_split": "split", "min_samples_leaf": "leaf"}
-#: Partitions of the perceptron's training rows at most; each sends its weights to the driver once an epoch.
-WORKERS = 32
+#: Partitions of the perceptron's training rows at most, and groups that average their weights before the driver does.
+WORKERS, GROUPS = 256, 16
 
 
 def seeds(base: int = 42) -> list[int]:
@@ -148,29 +148,33 @@ class Layers:
 
 
 def _pass(shared, weight: np.ndarray, batch: int, rate: float, dropout: float, seed: int):
-    """One pass of Adam over a partition: its rows, weights and Adam's moments."""
+    """One pass of Adam over a partition, frame by frame: its group, rows, weights and Adam's moments."""
 
     def run(frames):
-        rows = [f for f in frames if len(f)]
-        if not rows:
-            return
-        x = np.concatenate([np.array(f["v"].tolist(), dtype=float) for f in rows])
-        y = np.concatenate([f["label"].to_numpy(int) for f in rows])
         net, moments, step = pickle.loads(pickle.dumps(shared.value))
-        rng = np.random.default_rng([seed, step, TaskContext.get().partitionId()])
-        order = rng.permutation(len(y))
-        for a in range(0, len(y), batch):
-            some = order[a : a + batch]
-            step += 1
-            for p, g, (m, v) in zip(net.all(), net.gradients(x[some], y[some], weight, dropout, rng), moments):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        yield pd.DataFrame({"n": [len(y)], "state": [pickle.dumps((net, moments, step))]})
+        part, rows = TaskContext.get().partitionId(), 0
+        rng = np.random.default_rng([seed, step, part])
+        for f in frames:
+            x, y = np.array(f["v"].tolist(), dtype=float), f["label"].to_numpy(int)
+            rows += len(y)
+            order = rng.permutation(len(y))
+            for a in range(0, len(y), batch):
+                some = order[a : a + batch]
+                step += 1
+                for p, g, (m, v) in zip(net.all(), net.gradients(x[some], y[some], weight, dropout, rng), moments):
+                    m += 0.1 * (g - m)
+                    v += 0.001 * (g * g - v)
+                    p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        if rows:
+            yield pd.DataFrame({"g": [part % GROUPS], "n": [rows], "state": [pickle.dumps((net, moments, step))]})
 
     return run
 
 
+def _average_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"g": [key[0]], "n": [rows["n"].sum()], "state": [pickle.dumps(_average(list(zip(rows["n"], rows["state"]))))]})
+
+
 def _average(states: list[tuple[int, bytes]]):
     """The state of all partitions: means by rows."""
     total = sum(n for n, _ in states)
@@ -198,12 +202,14 @@ def perceptron(
     weight = np.array([counts.get(c, 0.0) if weighted else 1.0 for c in range(classes + 1)])
     rows = scratch.written(train.select("label", "v").repartition(min(WORKERS, max(1, -(-train.count() // (4 * batch))))), "perceptron")
     held = scratch.written(validation.select("label", "v"), "perceptron")
+    many = rows.rdd.getNumPartitions() > GROUPS
     net = Layers([width, *hidden, classes + 1], seed)
     state = (net, [(np.zeros_like(p), np.zeros_like(p)) for p in net.all()], 0)
     best, waited = (np.inf, net), 0
     for epoch in range(epochs):
         shared = spark.sparkContext.broadcast(state)
-        got = rows.mapInPandas(_pass(shared, weight, batch, rate, dropout, seed + epoch), "n long, state binary").collect()  # a row a partition
+        got = rows.mapInPandas(_pass(shared, weight, batch, rate, dropout, seed + epoch), "g int, n long, state binary")
+        got = got.groupBy("g").applyInPandas(_average_group, "g int, n long, state binary").collect() if many else got.collect()  # a row a group
         shared.destroy()
         state = _average([(r["n"], r["state"]) for r in got])
         model = spark.sparkContext.broadcast(state[0])
