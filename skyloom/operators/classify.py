@@ -66,7 +66,7 @@ def logistic(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:
 
 
 def forest(train: DataFrame, test: DataFrame, trees: int = 200, depth: int | None = 20, split: int = 2, leaf: int = 1, seed: int = 42) -> DataFrame:
-    model = RandomForestClassifier(numTrees=trees, maxDepth=min(depth or 30, 30), minInstancesPerNode=max(leaf, -(-split // 2)), seed=seed, featureSubsetStrategy="sqrt").fit(featured(train))
+    model = RandomForestClassifier(numTrees=trees, maxDepth=min(depth or 30, 30), minInstancesPerNode=max(leaf, -(-split // 2)), seed=seed, featureSubsetStrategy="sqrt", cacheNodeIds=True).fit(featured(train))
     return predictions(model, test)
 
 
