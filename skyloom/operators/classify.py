@@ -16,15 +16,16 @@ from __future__ import annotations
 import json
 import pickle
 import re
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import TaskContext, inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.operators import evaluate, knn
@@ -35,6 +36,8 @@ DEFAULT_FOREST = {"trees": 200, "depth": 20, "split": 2}
 GRID = {"trees": (100, 200, 500), "depth": (10, 20, 30, None), "split": (2, 5, 10)}
 # The names that parameter files give to those of a forest.
 PARAMETER_NAMES = {"n_estimators": "trees", "max_depth": "depth", "min_samples_split": "split", "min_samples_leaf": "leaf"}
+#: Fits at once in a search.
+FITS = 4
 #: Partitions of the perceptron's training rows at most, and groups that average their weights before the driver does.
 WORKERS, GROUPS = 256, 16
 
@@ -81,13 +84,21 @@ def given_parameters(text: str | None) -> dict:
     return {**DEFAULT_FOREST, **{PARAMETER_NAMES[k]: v for k, v in given.items()}}
 
 
+def together(fit, settings) -> list:
+    """``fit`` of every setting, ``FITS`` at once: each is many small jobs, which leave executors idle between them."""
+    with ThreadPoolExecutor(FITS) as pool:
+        return list(pool.map(inheritable_thread_target(SparkSession.getActiveSession())(fit), settings))
+
+
 def grid_search(train: DataFrame, validation: DataFrame, grid: dict = GRID, seed: int = 42) -> DataFrame:
     """(trees, depth, split, f1): macro F1 on the validation rows of every combination.  Each fit is distributed."""
-    out = []
-    for trees, depth, split in product(*grid.values()):
+
+    def scored(setting) -> DataFrame:
+        trees, depth, split = setting
         f1 = evaluate.report(forest(train, validation, trees, depth, split, seed=seed)).filter("row = 'macro avg'")
-        out.append(f1.select(F.lit(trees).alias("trees"), F.lit(depth or 30).alias("depth"), F.lit(split).alias("split"), "f1"))
-    return reduce(DataFrame.unionByName, out)
+        return f1.select(F.lit(trees).alias("trees"), F.lit(depth or 30).alias("depth"), F.lit(split).alias("split"), "f1")
+
+    return reduce(DataFrame.unionByName, together(scored, product(*grid.values())))
 
 
 def best_parameters(scored: DataFrame) -> DataFrame:
@@ -97,7 +108,7 @@ def best_parameters(scored: DataFrame) -> DataFrame:
 
 def several_seeds(fit, base: int = 42) -> DataFrame:
     """Predictions of ``fit(seed)`` for every seed, with a ``seed`` column."""
-    return reduce(DataFrame.unionByName, [fit(s).withColumn("seed", F.lit(s)) for s in seeds(base)])
+    return reduce(DataFrame.unionByName, together(lambda s: fit(s).withColumn("seed", F.lit(s)), seeds(base)))
 
 
 def standardised(train: DataFrame, *others: DataFrame) -> list[DataFrame]:
