@@ -23,11 +23,12 @@ What keeps it bounded:
 * beyond ``LARGE`` no bucket is paired with itself.  Every node brings its set once,
   to the first such bucket that it is in, and is compared with the bucket's
   leaders (about ``LEADERS``, the same ones in all bands), so a family of n near
-  copies sends rows in proportion to n.  After all links so far are contracted,
-  a bucket whose nodes are of one component is done; in any other, each pair
-  between different components is still looked at, with sketches alone: the nodes
-  outside the bucket's largest component against all, tile by tile, and likely
-  pairs are then joined with the full sets.  No link between components is lost;
+  copies sends rows in proportion to n.  Links are contracted, and the nodes that
+  stay outside the largest component of a bucket meet other leaders of another of
+  their buckets, in ``ROUNDS`` rounds.  In buckets that are still of several
+  components each pair between different ones is looked at: the nodes outside the
+  largest against all, tile by tile, sets at hand, until verified links connect
+  them.  No link between components is lost;
 * components come from label propagation with pointer jumping over the verified
   links, materialised in the shared folder.  Nothing is collected to the driver.
 
@@ -69,6 +70,8 @@ TILE = 256
 SMALL, LARGE = 8, 512
 #: Nodes that the others of a bucket beyond ``LARGE`` are compared with first, in expectation.
 LEADERS = 16
+#: Rounds of leaders.
+ROUNDS = 5
 #: Rows of a slice, and the bits of a shingle that are left beside a row's number.
 _ROWS = 512
 _BITS = np.uint64(55)
@@ -226,7 +229,7 @@ def _verified(node: np.ndarray, a: np.ndarray, b: np.ndarray, sets: list[np.ndar
 
 
 def _pairs(percent: int, verify: bool, first: bool = True):
-    """Likely pairs of sorted tiles; with ``verify`` a forest of those that hold on the sets brought along.
+    """Likely pairs of sorted tiles; with ``verify`` a forest, between roots, of those that hold on the sets brought along.
 
     ``first``: only pairs that have no common band before the tile's own.
     """
@@ -255,7 +258,8 @@ def _pairs(percent: int, verify: bool, first: bool = True):
                     left.append(a + s), right.append(b + s)
             if left:
                 a, b = pa.array(np.concatenate(left)), pa.array(np.concatenate(right))
-                yield pa.RecordBatch.from_arrays([batch.column("node").take(a), batch.column("node").take(b)], names=["a", "b"])
+                ends = batch.column("root" if verify else "node")
+                yield pa.RecordBatch.from_arrays([ends.take(a), ends.take(b)], names=["a", "b"])
 
     return run
 
@@ -330,28 +334,39 @@ def _every(blocks: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))
 
 
-def leader_tiles(large: DataFrame) -> DataFrame:
-    """(key, tile, side, node): of the buckets large(key, node, c), every node once, in the first of its buckets, beside that bucket's leaders."""
-    firsts = cut(large.groupBy("node").agg(F.min("key").alias("key")))  # the highest byte of a key is its band
-    tiles = firsts.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("nb"))
-    members = firsts.join(tiles, "key").select("key", _block("tile", F.col("nb")).alias("tile"), F.lit(0).alias("side"), "node")
-    leaders = large.filter(F.shiftrightunsigned(F.xxhash64("node", F.lit("leader")), 33) * F.col("c") < LEADERS * float(1 << 31))
-    copies = leaders.select("key", "node").join(tiles, "key").select("key", _every(F.col("nb")).alias("tile"), F.lit(1).alias("side"), "node")
-    return members.union(copies)
+def leader_tiles(large: DataFrame, members: DataFrame, salt: str) -> DataFrame:
+    """(key, tile, side, node, root): each of members(key, node, root) once, beside the leaders of its bucket in large(key, node, root, c)."""
+    tiles = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("nb"))
+    own = members.join(tiles, "key").select("key", _block("tile", F.col("nb")).alias("tile"), F.lit(0).alias("side"), "node", "root")
+    leaders = large.filter(F.shiftrightunsigned(F.xxhash64("node", F.lit(salt)), 33) * F.col("c") < LEADERS * float(1 << 31))
+    copies = leaders.select("key", "node", "root").join(tiles, "key").select("key", _every(F.col("nb")).alias("tile"), F.lit(1).alias("side"), "node", "root")
+    return own.union(copies)
 
 
-def residual_tiles(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, tile, side, node, root): nodes outside the largest component of their bucket (side 1) against all of it, in tiles."""
-    tagged = cut(large.join(labels.select("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+def outsiders(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of tagged(key, node, root, c): its buckets of several components (key, top, nr, nd), and the nodes outside their largest one."""
     kinds = tagged.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     blocks = lambda n: F.ceil(n / TILE).cast("int")
     mixed = kinds.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    rows = tagged.join(cut(mixed.select("key", "top", blocks(F.col("all") - F.col("most")).alias("nr"), blocks(F.col("all")).alias("nd"))), "key")
+    mixed = cut(mixed.select("key", "top", blocks(F.col("all") - F.col("most")).alias("nr"), blocks(F.col("all")).alias("nd")))
+    return mixed, tagged.join(mixed, "key").filter("root <> top").select("key", "node", "root")
+
+
+def residual_tiles(tagged: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(key, tile, side, node, root): nodes outside the largest component of their bucket (side 1) against all of it, in tiles."""
+    rows = tagged.join(mixed, "key")
     rest = rows.filter("root <> top").withColumn("i", _block("rest", F.col("nr"))).withColumn("j", _every(F.col("nd"))).withColumn("side", F.lit(1))
     whole = rows.withColumn("j", _block("all", F.col("nd"))).withColumn("i", _every(F.col("nr"))).withColumn("side", F.lit(0))
     return rest.unionByName(whole).select("key", (F.col("i").cast("long") * F.col("nd") + F.col("j")).alias("tile"), "side", "node", "root")
 
 
+def _moved(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels after the roots of ``labels``, and nodes that had no link, have got those of ``more``."""
+    to = more.select(F.col("node").alias("root"), F.col("label").alias("_label"), F.col("root").alias("_root"))
+    old = labels.join(to, "root", "left").select("node", F.when(F.col("_root").isNotNull(), F.col("_label")).otherwise(F.col("label")).alias("label"), F.coalesce("_root", "root").alias("root"))
+    return cut(old.unionByName(more.join(labels, "node", "left_anti")))
+
+
 def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, row, n_shingles, component_id, kept); ``row`` is a hash of the text."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -388,16 +403,28 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sets = sets_of(ends(pairs).union(met.filter(F.col("c") > SMALL).select("node")))
     middle = flat.filter((F.col("c") > SMALL) & (F.col("c") <= LARGE)).drop("c")
     links = verified(pairs, sets).union(tiles(middle, sets).mapInArrow(_pairs(percent, True), found))
-    large = met.filter(F.col("c") > LARGE)
-    dense = not sizes.filter(F.col("c") > LARGE).isEmpty()
-    if dense:
-        stars = leader_tiles(large).withColumn("root", F.col("node"))
-        links = cut(links.union(tiles(stars, sets).mapInArrow(_pairs(percent, True, first=False), found)))
-    labels = components(nodes, links)
-    if dense:
-        more = cut(tiles(residual_tiles(large, labels)).mapInArrow(_pairs(percent, False), found).distinct())
-        if not more.isEmpty():
-            labels = components(nodes, links.union(verified(more, sets_of(ends(more)))))
+    labels = None
+    if not sizes.filter(F.col("c") > LARGE).isEmpty():
+        large = met.filter(F.col("c") > LARGE).select("key", "node", F.col("node").alias("root"), "c")
+        firsts = cut(large.groupBy("node").agg(F.min("key").alias("key"))).withColumn("root", F.col("node"))  # the highest byte of a key is its band
+        stars = tiles(leader_tiles(large, firsts, "leader 0"), sets).mapInArrow(_pairs(percent, True, first=False), found)
+        labels = cut(components(nodes, links.union(stars)))
+        for i in range(1, ROUNDS + 1):
+            tagged = cut(large.drop("root").join(labels.select("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "c"))
+            mixed, outside = outsiders(tagged)
+            if mixed.isEmpty():
+                break
+            if i < ROUNDS:  # another bucket and other leaders for every node outside
+                one = cut(outside.groupBy("node", "root").agg(F.min_by("key", F.xxhash64("key", "node", F.lit(i))).alias("key")))
+                dealt = leader_tiles(tagged, one, f"leader {i}")
+            else:
+                dealt = residual_tiles(tagged, mixed)
+            dealt = cut(dealt)
+            more = cut(tiles(dealt, sets_of(dealt.select("node"))).mapInArrow(_pairs(percent, True, first=i == ROUNDS), found))
+            if not more.isEmpty():
+                labels = _moved(labels, components(nodes, more))
+    if labels is None:
+        labels = components(nodes, links)
     named = cut(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "first").alias("component_id")))
     component = F.coalesce("component_id", "doc_id")
     return sk.join(named, "node", "left").select("doc_id", "row", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

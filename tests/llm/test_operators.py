@@ -145,12 +145,16 @@ def test_near_dense_family_sends_rows_in_proportion(spark):
     """A family of n near copies that all share every band: rows sent grow as n, not as its square."""
     sent = {}
     for n in (2000, 8000):
-        large = spark.range(n).select(F.explode(F.sequence(F.lit(0), F.lit(31))).alias("band"), F.col("id").cast("string").cast("binary").alias("node")).select((F.col("band").cast("long") * (1 << 56)).alias("key"), "node", F.lit(n).alias("c"))
-        one = large.select("node").distinct().withColumn("root", F.lit(b"0")).filter("node <> cast('7' as binary)")
-        sent[n] = minhash.leader_tiles(large).count(), minhash.residual_tiles(large, one).count()
+        large = spark.range(n).select(F.explode(F.sequence(F.lit(0), F.lit(31))).alias("band"), F.col("id").cast("string").cast("binary").alias("node"))
+        large = large.select((F.col("band").cast("long") * (1 << 56)).alias("key"), "node", F.col("node").alias("root"), F.lit(n).alias("c"))
+        firsts = large.groupBy("node").agg(F.min("key").alias("key")).select("key", "node", F.col("node").alias("root"))
+        one = large.withColumn("root", F.when(F.col("node") == F.lit(b"7"), F.lit(b"7")).otherwise(F.lit(b"0")))  # all but one are linked
+        mixed, outside = minhash.outsiders(one)
+        assert outside.count() == 32
+        sent[n] = minhash.leader_tiles(large, firsts, "x").count(), minhash.residual_tiles(one, mixed).count()
     assert sent[8000][0] <= 4.4 * sent[2000][0] and sent[2000][0] < 2 * 2000
     assert sent[8000][1] <= 4.4 * sent[2000][1]
-    assert minhash.residual_tiles(large, large.select("node").distinct().withColumn("root", F.lit(b"0"))).count() == 0
+    assert minhash.outsiders(large.withColumn("root", F.lit(b"0")))[0].isEmpty()
 
 
 def test_near_keep_one_and_null_ids(spark):
