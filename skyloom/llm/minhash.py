@@ -25,8 +25,7 @@ What keeps it bounded:
   leaders (about ``LEADERS``, the same ones in all bands), so a family of n near
   copies sends rows in proportion to n.  Links are contracted, and the nodes that
   stay outside the largest component of a bucket meet other leaders of another of
-  their buckets, in ``ROUNDS`` rounds.  In buckets that are still of several
-  components each pair between different ones is looked at: the nodes outside the
+  their buckets.  In buckets that are still of several components each pair between different ones is looked at: the nodes outside the
   largest against all, tile by tile, sets at hand, until verified links connect
   them.  No link between components is lost;
 * components come from label propagation with pointer jumping over the verified
@@ -58,7 +57,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import textnp as tx
-from skyloom.llm.shared import cut
+from skyloom.llm.shared import cut, written
 
 ROWS, BANDS = 7, 32
 REGISTERS = ROWS * BANDS
@@ -70,8 +69,8 @@ TILE = 256
 SMALL, LARGE = 8, 512
 #: Nodes that the others of a bucket beyond ``LARGE`` are compared with first, in expectation.
 LEADERS = 16
-#: Rounds of leaders.
-ROUNDS = 5
+#: Rounds after the first one: of other leaders, and at last of all pairs that are left.
+ROUNDS = 2
 #: Rows of a slice, and the bits of a shingle that are left beside a row's number.
 _ROWS = 512
 _BITS = np.uint64(55)
@@ -400,14 +399,15 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     flat = met.select("key", F.lit(0).alias("tile"), F.lit(0).alias("side"), "node", F.col("node").alias("root"), "c")
     pairs = cut(tiles(flat.filter(F.col("c") <= SMALL).drop("c")).mapInArrow(_pairs(percent, False), found))
     ends = lambda p: p.select(F.col("a").alias("node")).union(p.select("b"))
-    sets = sets_of(ends(pairs).union(met.filter(F.col("c") > SMALL).select("node")))
     middle = flat.filter((F.col("c") > SMALL) & (F.col("c") <= LARGE)).drop("c")
+    sets = sets_of(ends(pairs).union(middle.select("node")))
     links = verified(pairs, sets).union(tiles(middle, sets).mapInArrow(_pairs(percent, True), found))
     labels = None
     if not sizes.filter(F.col("c") > LARGE).isEmpty():
         large = met.filter(F.col("c") > LARGE).select("key", "node", F.col("node").alias("root"), "c")
         firsts = cut(large.groupBy("node").agg(F.min("key").alias("key"))).withColumn("root", F.col("node"))  # the highest byte of a key is its band
-        stars = tiles(leader_tiles(large, firsts, "leader 0"), sets).mapInArrow(_pairs(percent, True, first=False), found)
+        held = written(sets_of(large.select("node")))  # every round needs them
+        stars = tiles(leader_tiles(large, firsts, "leader 0"), held).mapInArrow(_pairs(percent, True, first=False), found)
         labels = cut(components(nodes, links.union(stars)))
         for i in range(1, ROUNDS + 1):
             tagged = cut(large.drop("root").join(labels.select("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "c"))
@@ -419,8 +419,7 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 dealt = leader_tiles(tagged, one, f"leader {i}")
             else:
                 dealt = residual_tiles(tagged, mixed)
-            dealt = cut(dealt)
-            more = cut(tiles(dealt, sets_of(dealt.select("node"))).mapInArrow(_pairs(percent, True, first=i == ROUNDS), found))
+            more = cut(tiles(dealt, held).mapInArrow(_pairs(percent, True, first=i == ROUNDS), found))
             if not more.isEmpty():
                 labels = _moved(labels, components(nodes, more))
     if labels is None:
