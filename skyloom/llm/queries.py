@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, decontaminate, exact_dedup, language, minhash, pii, substring_dedup, token_files, toxicity, urls
+from skyloom.llm import bpe, decontaminate, exact_dedup, language, line_dedup, minhash, pii, prefix_trie, substring_dedup, token_files, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder() == 2).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 OP4_SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
@@ -107,10 +116,61 @@ SELECT doc_id,
 FROM d WINDOW g AS (PARTITION BY norm)
 """
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT c, list({'r': r, 'x': x} ORDER BY p) AS ts, CAST(c AS VARCHAR) AS s FROM t GROUP BY c
+), crc AS (
+  SELECT c, ts, xor(list_reduce(list_concat([4294967295::BIGINT],
+      flatten(list_transform(range(1, length(s) + 1), lambda i: [CAST(ascii(s[i]) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+      lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 9 AS h
+  FROM own
+), built AS (
+  SELECT a.c, CASE WHEN a.c % 5 = 0 THEN a.ts ELSE list_concat(coalesce(b.ts, [])[:a.h], a.ts[a.h + 1:]) END AS ts
+  FROM crc a LEFT JOIN own b ON b.c = a.c - a.c % 5
+), path AS (
+  SELECT c, len(ts) AS n, d, ts[:d] AS k, CASE WHEN d > 0 THEN ts[:d - 1] END AS pk, coalesce(strlen(ts[d].x), 0) AS b
+  FROM (SELECT c, ts, unnest(range(0, len(ts) + 1)) AS d FROM built)
+), node AS (
+  SELECT k, any_value(pk) AS pk, any_value(d) AS d, any_value(b) AS b, min(c) AS m, count(*) AS n,
+    coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '') AS ends
+  FROM path GROUP BY k
+), kids AS (
+  SELECT pk AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY pk
+), facts AS (
+  SELECT node.k, node.pk, node.d, node.m, node.n, node.ends, coalesce(kids.n, 0) AS kids, (node.n - 1) * node.b AS saved FROM node LEFT JOIN kids USING (k)
+), sums AS (
+  SELECT f.k[:a] AS k, sum(f.saved) AS saved, count(*) FILTER (f.kids = 0) AS leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM facts) f GROUP BY 1
+)
+SELECT f.m AS conv_id, CAST(f.d AS BIGINT) AS depth, p.m AS parent_conv_id, CAST(f.n AS BIGINT) AS n_convs, CAST(f.kids AS BIGINT) AS n_children,
+  CAST(sums.leaves AS BIGINT) AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM facts f JOIN sums USING (k) LEFT JOIN facts p ON p.k = f.pk
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT doc_id, p, ls[p] AS line, translate(trim(ls[p], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM d)
+), bad AS (
+  SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+), kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS t, count(*) AS n FROM l ANTI JOIN bad USING (k) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_language, op3_pii, op4_substring_dedup, op5_decontamination, op6_token_files, op7_exact_dedup, op8_url_filter, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_language, op3_pii, op4_substring_dedup, op5_decontamination, op6_token_files, op7_exact_dedup, op8_url_filter, op9_bpe, op10_toxicity, op11_prefix_trie, op13_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": urls.oracle()}
+    return {"op4_substring_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": urls.oracle(), "op11_prefix_trie": OP11_SQL, "op13_line_dedup": OP13_SQL}
