@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, decontaminate, exact_dedup, language, line_dedup, minhash, pii, prefix_trie, substring_dedup, token_files, toxicity, urls
+from skyloom.llm import bpe, decontaminate, exact_dedup, language, lexical, line_dedup, minhash, pii, prefix_trie, substring_dedup, token_files, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build(_table(spark, sf_dir, "documents"))
+    return lexical.search(index, _table(spark, sf_dir, "benchmark"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_lines(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -151,6 +156,30 @@ SELECT f.m AS conv_id, CAST(f.d AS BIGINT) AS depth, p.m AS parent_conv_id, CAST
 FROM facts f JOIN sums USING (k) LEFT JOIN facts p ON p.k = f.pk
 """
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents
+), words AS (
+  SELECT r, doc_id, regexp_extract_all(x, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM d
+), sums AS (
+  SELECT count(*) FILTER (len(ws) > 0)::BIGINT AS n, sum(len(ws))::BIGINT AS l FROM words
+), posting AS (
+  SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ws) AS t FROM words) GROUP BY r, t
+), term AS (
+  SELECT t, floor(1000 * ln((2 * n + 2) / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT t, count(*)::BIGINT AS df FROM posting GROUP BY t), sums
+), mass AS (
+  SELECT r, doc_id, 10 + (90 * len(ws) * n) // l AS m FROM words, sums WHERE len(ws) > 0
+), item AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS score
+  FROM item JOIN term USING (t) JOIN posting USING (t) JOIN mass USING (r) GROUP BY item_id, r, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10
+"""
+
 OP13_SQL = r"""
 WITH d AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
@@ -169,8 +198,8 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_language, op3_pii, op4_substring_dedup, op5_decontamination, op6_token_files, op7_exact_dedup, op8_url_filter, op9_bpe, op10_toxicity, op11_prefix_trie, op13_line_dedup)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_language, op3_pii, op4_substring_dedup, op5_decontamination, op6_token_files, op7_exact_dedup, op8_url_filter, op9_bpe, op10_toxicity, op11_prefix_trie, op12_lexical_search, op13_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": urls.oracle(), "op11_prefix_trie": OP11_SQL, "op13_line_dedup": OP13_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": urls.oracle(), "op11_prefix_trie": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_line_dedup": OP13_SQL}
