@@ -361,13 +361,8 @@ def encode_rows(auto: Automaton, buf: np.ndarray, offs: np.ndarray) -> tuple[np.
         return np.zeros(0, np.int64), np.zeros(rows, np.int64)
     start = _pieces(buf, offs)
     end = np.append(start[1:], len(buf))
-    power, inverse = tx.powers(tx.BASE, len(buf) + 1)
-    total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=total[1:])
-    key = tx.mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
-    code, _ = pd.factorize(key)
-    one = np.empty(code.max() + 1, dtype=np.int64)
-    one[code[::-1]] = np.arange(len(code) - 1, -1, -1)  # the first piece of each code
+    code = tx.same_runs(buf, start, end)
+    one = tx.first_of(code)  # the first piece of each code
     s, n = start[one], (end - start)[one]
     body = buf[tx.ragged(s, n)]
     cut, first = _words(body, n)

@@ -36,6 +36,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,7 +123,10 @@ def edited(rng: np.random.Generator, words: list[int], edits: int) -> list[int]:
 
 @lru_cache(maxsize=256)
 def repeats(shortest: int, length: int, edits: int, trials: int = 2000) -> int:
-    """Walks that find ``RECALL`` of simulated segments of ``length`` words with ``edits`` edits; 1 where none is allowed."""
+    """Walks that find ``RECALL`` of simulated segments of ``length`` words with ``edits`` edits; 1 where none is allowed.
+
+    An error where ``WALKS`` do not: a search that misses more is not made.
+    """
     if not edits:
         return 1
     rng = np.random.default_rng([shortest, length, edits])
@@ -138,7 +142,9 @@ def repeats(shortest: int, length: int, edits: int, trials: int = 2000) -> int:
 
     same = (keys([x + t for x, t in zip(items, tail)]) == keys(texts)).reshape(trials, WALKS, SAMPLES).any(axis=2)
     share = np.maximum.accumulate(same, axis=1).mean(axis=0)
-    return int(np.argmax(share >= RECALL)) + 1 if share[-1] >= RECALL else WALKS
+    if share[-1] < RECALL:
+        raise ValueError(f"{WALKS} walks find {share[-1]:.4f} of segments of {length} words with {edits} edits, not {RECALL}: ask for a higher similarity or raise WALKS")
+    return int(np.argmax(share >= RECALL)) + 1
 
 
 def words_of(column: pa.Array) -> tuple[tx.Words, np.ndarray]:
@@ -146,6 +152,15 @@ def words_of(column: pa.Array) -> tuple[tx.Words, np.ndarray]:
     return words, words.hashes(lower=True)
 
 
+def _spelt(words: tx.Words, a: int, b: int) -> list[bytes]:
+    """The words numbered a to b - 1, A-Z lower-cased."""
+    if a == b:
+        return []
+    base = words.start[a]
+    raw = tx.LOWER[words.buf[base : words.end[b - 1]]].tobytes()
+    return [raw[x:y] for x, y in zip((words.start[a:b] - base).tolist(), (words.end[a:b] - base).tolist())]
+
+
 def edit_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Least edit distance between ``item`` and any stretch of ``text``, and where the stretch ends."""
     step = np.arange(len(text) + 1)
@@ -166,6 +181,7 @@ class Index:
         words, hashes = words_of(pa.array(texts, pa.string()))
         self.ids = ids
         self.items = [hashes[a : a + n] for a, n in zip(words.first, words.count)]
+        self.words = [_spelt(words, a, a + n) for a, n in zip(words.first.tolist(), words.count.tolist())]
         self.length = words.count.astype(np.int64)
         self.edits = np.floor((1 - similarity) * self.length + 1e-9).astype(np.int64)
         parts = np.where(self.length > 0, np.maximum(1, (self.length + SEGMENT // 2) // SEGMENT), 0)
@@ -263,6 +279,9 @@ class Index:
             text, target = hashes[lo:hi], self.items[it]
             if np.isin(target, text).sum() >= n - k:
                 distance, end = edit_stretch(target, text)
+                if distance <= k:  # hashes agree: look at the words themselves
+                    code, _ = pd.factorize(np.array([*self.words[it], *_spelt(words, lo, hi)], dtype=object))
+                    distance, end = edit_stretch(code[:n], code[n:])
                 best = out.get((row, it))
                 if distance <= k and (best is None or distance < best[0]):
                     out[row, it] = (distance, lo + end - first)

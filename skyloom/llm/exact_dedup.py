@@ -8,36 +8,37 @@ text in the key, which places equal texts side by side, and the window operator
 walks the range and compares neighbouring texts in full; the smallest doc_id of a
 run stays.
 
-One text may make up a third of the table.  Texts with more than
-``rows / (8 x partitions)`` copies, of which there are at most ``8 x partitions``,
-get a salt of doc_id in the range key and so spread over many ranges.  Their
-smallest doc_id and their number come from a partial aggregation of hash and
-SHA-256 before; their rows of it are written as a table, whose measured size tells
-Spark how to join.
-
-The input is scanned three times: for that aggregation, for the splitters and for
-the exchange.  Nothing but hashes and counts is stored: storing the normalised
-texts would save CPU but take as much disk again as the exchange.
+One text may make up a third of the table.  Hashes of more than
+``rows / (HEAVY x partitions)`` rows, of which there are ``HEAVY x partitions`` at most,
+are found by counting; their rows (none in most tables) are sorted apart with a salt in
+the range key, in proportion to their number, so a text makes several runs.  The
+heads of these runs (whole text, smallest doc_id, length; two a hash and share of rows)
+are merged by their full texts, and the rows of a run take what its text has come to.
+Hashes only deal rows out: with any hash, equal rows end up in one group and
+others do not.
+
+The input is scanned three times: for the counts of hashes, for the splitters and for
+the exchange.  Of light rows nothing but hashes and counts is stored.
 
 Only DataFrame functions are used.
 
 Defined cases: null text counts as empty; empty texts are equal to each other;
 a null doc_id is larger than all others, so it stays only where a group has no
 other row; rows that repeat a doc_id and text count each, and only one of them
-has ``kept`` true in ``deduplicate``; an empty table gives an empty result;
+stays in ``deduplicate``; an empty table gives an empty result;
 extra columns pass through (names starting with ``__dx_`` are reserved).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.shared import written
 
 #: Characters of normalised text in the range key.
 PREFIX = 48
-#: A text with more than rows / (HEAVY x partitions) copies is salted.
+#: A hash with more than rows / (HEAVY x partitions) rows is salted.
 HEAVY = 8
 
 
@@ -53,48 +54,64 @@ def normalised(docs: DataFrame, text: str, name: str) -> DataFrame:
     return docs.withColumn(name, spaced).withColumn(name, one)
 
 
-def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` of ``docs`` (all of them by default) with ``__dx_keep`` (doc_id that stays), ``__dx_size``, ``__dx_first`` (this row stays) and ``__dx_sha``."""
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    carry = docs.columns if carry is None else carry
-    hashed = normalised(docs, text, "__dx_norm").withColumn("__dx_hash", F.xxhash64("__dx_norm")).withColumn("__dx_sha", F.sha2("__dx_norm", 256))
-    counted = written(hashed.groupBy("__dx_hash", "__dx_sha").agg(F.min(doc_id).alias("__dx_all_keep"), F.count(F.lit(1)).alias("__dx_all_size")))
-    rows = counted.agg(F.sum("__dx_all_size")).first()[0] or 0
-    heavy = written(counted.filter(F.col("__dx_all_size") > max(1, rows // (HEAVY * partitions))))
-    marked = hashed.join(heavy, ["__dx_hash", "__dx_sha"], "left").withColumn("__dx_prefix", F.substring("__dx_norm", 1, PREFIX))
-    salt = F.when(F.col("__dx_all_size").isNotNull(), F.pmod(F.xxhash64(doc_id), F.lit(4 * partitions))).otherwise(F.lit(0)).cast("int")
+def _hash(text: Column) -> Column:
+    """What deals rows out; any function of the text will do."""
+    return F.xxhash64(text)
+
+
+def _walked(rows: DataFrame, own: list[str], text: str, doc_id: str, salt: Column, partitions: int) -> DataFrame:
+    """``own`` of ``rows`` with ``__dx_place``, ``__dx_keep`` and ``__dx_size`` of their run, after the content sort; runs are of equal text and salt."""
     keys = ["__dx_prefix", "__dx_hash", "__dx_salt"]
-    own = [f"`{c}`" for c in carry] + ([] if text in carry else ["__dx_norm"])
-    ranged = marked.withColumn("__dx_salt", salt).select(*own, *keys, "__dx_sha", "__dx_all_keep", "__dx_all_size").repartitionByRange(partitions, *keys)
-    if text in carry:  # a text travels once
+    keyed = rows.withColumn("__dx_prefix", F.substring("__dx_norm", 1, PREFIX)).withColumn("__dx_salt", salt)
+    ranged = keyed.select(*own, *([] if f"`{text}`" in own else ["__dx_norm"]), *keys).repartitionByRange(partitions, *keys)
+    if f"`{text}`" in own:  # a text travels once
         ranged = normalised(ranged, text, "__dx_norm")
-    run = Window.partitionBy("__dx_prefix", "__dx_hash", "__dx_salt", "__dx_norm")
+    run = Window.partitionBy(*keys, "__dx_norm")
     ordered = run.orderBy(F.col(doc_id).asc_nulls_last())
-    walked = (
-        ranged.withColumn("__dx_place", F.row_number().over(ordered))
-        .withColumn("__dx_run_keep", F.first(doc_id).over(ordered))
-        .withColumn("__dx_run_size", F.count(F.lit(1)).over(run))
-    )
-    keep = F.when(F.col("__dx_all_size").isNotNull(), F.col("__dx_all_keep")).otherwise(F.col("__dx_run_keep"))
-    return (
-        walked.withColumn("__dx_keep", keep)
-        .withColumn("__dx_size", F.coalesce("__dx_all_size", "__dx_run_size"))
-        .withColumn("__dx_first", (F.col("__dx_place") == 1) & F.col("__dx_keep").eqNullSafe(F.col(doc_id)))
-    )
+    placed = ranged.withColumn("__dx_place", F.row_number().over(ordered)).withColumn("__dx_keep", F.first(doc_id).over(ordered))
+    return placed.withColumn("__dx_size", F.count(F.lit(1)).over(run))
+
+
+def _parts(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame | None, int]:
+    """Light rows and heavy ones (with ``__dx_ways``, the salts of their hash; None where there are none), both hashed, and the number of partitions."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = normalised(docs, text, "__dx_norm").withColumn("__dx_hash", _hash(F.col("__dx_norm")))
+    most = max(1, docs.count() // (HEAVY * partitions))
+    heavy = written(hashed.groupBy("__dx_hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most))
+    if heavy.isEmpty():
+        return hashed, None, partitions
+    ways = F.broadcast(heavy.select("__dx_hash", F.ceil(F.col("n") / most).alias("__dx_ways")))  # HEAVY x partitions rows at most
+    return hashed.join(ways, "__dx_hash", "left_anti"), hashed.join(ways, "__dx_hash"), partitions
+
+
+def _spread() -> Column:
+    """A salt that does not depend on doc_id, which may repeat."""
+    return F.pmod(F.monotonically_increasing_id(), F.col("__dx_ways")).cast("int")
 
 
 def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    return decide(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), carry=["doc_id"]).select(
-        "doc_id",
-        F.col("__dx_keep").alias("keep_id"),
-        F.col("__dx_size").alias("group_size"),
-        F.col("__dx_keep").eqNullSafe(F.col("doc_id")).alias("kept"),
-        F.col("__dx_sha").alias("text_sha256"),
-    )
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    light, heavy, partitions = _parts(own, "text")
+    sha = F.sha2("__dx_norm", 256)
+    out = _walked(light, ["doc_id"], "text", "doc_id", F.lit(0), partitions).select("doc_id", "__dx_keep", "__dx_size", sha.alias("__dx_sha"))
+    if heavy is not None:
+        head = F.when(F.col("__dx_place") == 1, F.col("__dx_norm"))
+        rows = written(_walked(heavy, ["doc_id"], "text", "doc_id", _spread(), partitions).select("doc_id", "__dx_keep", "__dx_size", sha.alias("__dx_sha"), "__dx_place", head.alias("__dx_head")))
+        merged = rows.filter("__dx_place = 1").groupBy("__dx_head").agg(F.min("__dx_keep").alias("__dx_keep"), F.sum("__dx_size").alias("__dx_size"))
+        known = merged.select(F.sha2("__dx_head", 256).alias("__dx_sha"), "__dx_keep", "__dx_size")
+        out = out.unionByName(rows.select("doc_id", "__dx_sha").join(known, "__dx_sha"))
+    keep = F.col("__dx_keep")
+    return out.select("doc_id", keep.alias("keep_id"), F.col("__dx_size").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.col("__dx_sha").alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns only."""
-    return decide(docs, text, doc_id).filter("__dx_first").select(*[f"`{c}`" for c in docs.columns])
+    light, heavy, partitions = _parts(docs, text)
+    own = [f"`{c}`" for c in docs.columns]
+    out = _walked(light, own, text, doc_id, F.lit(0), partitions).filter("__dx_place = 1").select(*own)
+    if heavy is not None:
+        heads = _walked(heavy, own, text, doc_id, _spread(), partitions).filter("__dx_place = 1").select(*own, "__dx_norm")
+        first = F.row_number().over(Window.partitionBy("__dx_norm").orderBy(F.col(doc_id).asc_nulls_last()))
+        out = out.unionByName(heads.withColumn("__dx_place", first).filter("__dx_place = 1").select(*own))
+    return out

@@ -170,13 +170,15 @@ class Trees:
 
 
 def learn(rows: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Trees | None:
-    """Trees from about ``sample`` rows (doc_id, text, lang) with text of every lang, and ``sample_bytes`` of text."""
+    """Trees from about ``sample`` rows (doc_id, text, lang) with text of every lang, and ``sample_bytes`` of text; of every lang at least one row, however long."""
     rows = rows.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    stock = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row a language
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 20))
+    stock = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min(place).alias("first")).collect()  # a row a language
     if not stock:
         return None
-    share = F.create_map(*[F.lit(x) for r in stock for x in (r["lang"], int(min(1.0, sample / r["n"], sample_bytes / max(r["bytes"], 1)) * (1 << 20)))])
-    picked = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 20)) < F.element_at(share, F.col("lang")))
+    least = lambda r: max(r["first"] + 1, int(min(1.0, sample / r["n"], sample_bytes / max(r["bytes"], 1)) * (1 << 20)))  # noqa: E731  the first row of a language at least
+    share = F.create_map(*[F.lit(x) for r in stock for x in (r["lang"], least(r))])
+    picked = rows.filter(place < F.element_at(share, F.col("lang")))
     counts = picked.select("text", "lang").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return Trees(counts) if len(counts) else None
 

@@ -99,8 +99,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, code = _tokens(part.column("text"))
             rows = words.rows
             key, times = np.unique(code.astype(np.int64) * rows + words.doc, return_counts=True)
-            first = np.empty(int(code.max()) + 1 if len(code) else 0, dtype=np.int64)
-            first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+            first = tx.first_of(code)
             starts = np.searchsorted(key, np.arange(len(first) + 1) * rows).astype(np.int32)
             places = (key % rows).astype("<u2")
             values = [part.column("doc_id"), words.count.astype(np.int64), _texts(words, first), starts]
@@ -174,10 +173,9 @@ class Block:
 
     def __init__(self, texts: list[str | None]):
         words, code = _tokens(pa.array(texts, pa.large_string()))
-        key = np.unique(words.doc * (int(code.max()) + 1 if len(code) else 1) + code)
-        count = int(code.max()) + 1 if len(code) else 0
-        first = np.empty(count, dtype=np.int64)
-        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+        first = tx.first_of(code)
+        count = len(first)
+        key = np.unique(words.doc * count + code)
         self.terms = _texts(words, first)
         self.item, self.term = (key // max(count, 1)).astype(np.int64), (key % max(count, 1)).astype(np.int64)  # ascending by item
         self.items = len(texts)

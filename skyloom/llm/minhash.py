@@ -149,10 +149,8 @@ def _sketches(k: int):
             for part in tx.slices(batch, "text", rows=_ROWS):
                 words = tx.Words(*tx.text_bytes(part.column("text")))
                 elements, counts = _distinct(words, k)
-                hashes = words.hashes(lower=True)
-                node = np.stack([tx.row_hashes(words, hashes, s) for s in (1, 2)], axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("row"), pa.array(counts.astype(np.int64)), tx.fixed_binary(node.view(np.uint8).reshape(-1, 16)), tx.fixed_binary(sketch(elements, counts))],
+                    [part.column("doc_id"), part.column("row"), pa.array(counts.astype(np.int64)), tx.fixed_binary(tx.row_digests(words)), tx.fixed_binary(sketch(elements, counts))],
                     names=["doc_id", "row", "n_shingles", "node", "regs"],
                 )
 
@@ -287,9 +285,7 @@ def _sets(k: int):
                 words = tx.Words(*tx.text_bytes(part.column("text")))
                 elements, counts = _distinct(words, k)
                 offs = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                hashes = words.hashes(lower=True)
-                node = np.stack([tx.row_hashes(words, hashes, s) for s in (1, 2)], axis=1)
-                yield pa.RecordBatch.from_arrays([tx.fixed_binary(node.view(np.uint8).reshape(-1, 16)), pa.ListArray.from_arrays(pa.array(offs), tx.as_long(elements))], names=["node", "set"])
+                yield pa.RecordBatch.from_arrays([tx.fixed_binary(tx.row_digests(words)), pa.ListArray.from_arrays(pa.array(offs), tx.as_long(elements))], names=["node", "set"])
 
     return run
 

@@ -33,7 +33,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -505,18 +507,31 @@ def _trimmed(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
     return (a + len(re.match(r"(?s)(?:.*\s)?", text[a : at.start()])[0]) if at else a), b
 
 
+class _Reach:
+    """Spans by start, and how far those up to each one reach, so that an overlap is found by one search."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        taken = sorted((a, b) for _, a, b in spans)
+        self.start = [a for a, _ in taken]
+        self.end = list(accumulate((b for _, b in taken), max))
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_left(self.start, b)
+        return i > 0 and self.end[i - 1] > a
+
+
 def all_spans(texts: list[str], net: Network) -> list[tuple[list, list]]:
     """Base spans and all spans of each text, by kind, then start."""
     out = []
     order = {k: i for i, k in enumerate(KINDS)}
     for text, read in zip(texts, model_spans(texts, net)):
         base = base_spans(text)
-        taken = sorted((a, b) for _, a, b in base)
+        reach = _Reach(base)
         more = []
         for kind, a, b in read:
             a, b = _trimmed(kind, text, a, b)
             whole = not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum())
-            if whole and _possible(kind, text[a:b]) and not any(a < y and x < b for x, y in taken):
+            if whole and _possible(kind, text[a:b]) and not reach.meets(a, b):
                 more.append((kind, a, b))
         key = lambda s: (order[s[0]], s[1])
         out.append((sorted(base, key=key), sorted(base + more, key=key)))

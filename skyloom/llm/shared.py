@@ -30,3 +30,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/skyloom-table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no later job reads, on whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

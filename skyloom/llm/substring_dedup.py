@@ -251,7 +251,7 @@ def _extend(parts: int):
             return _table(0, [])
         _, one, least, order, bounds = _asked(words, hashes, doc, keys, first, parts)
         one = one[order]
-        keys, other, docs = keys[one], tx.window_at(tx.other_hashes(words), first[one], WINDOW), least[order]
+        keys, other, docs = keys[one], tx.window_at(words.hashes(seed=1), first[one], WINDOW), least[order]
         return _table(key[0].as_py(), [(p, keys[a:b].tobytes(), other[a:b].tobytes(), _pack_docs(docs[a:b])) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a])
 
     return run

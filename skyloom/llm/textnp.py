@@ -8,6 +8,7 @@ which all are single bytes in UTF-8, so splitting bytes splits characters.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
@@ -22,12 +23,12 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-#: Base of the hashes of words.
-BASE = 0x9E3779B97F4A7C15
-_POWERS = np.cumprod(np.full(4096, BASE, dtype=U64))
-_OTHER_BASE = 0xA0761D6478BD642F
-#: Bytes of words that are hashed at once, so that the arrays stay in the processor's cache.
-_HASHED = 1 << 17
+_POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, dtype=U64))
+#: Start of the two chains of hashes.
+_SEEDS = (0x9E3779B97F4A7C15, 0xA0761D6478BD642F)
+#: Runs of more bytes are hashed one by one with BLAKE2b.
+_SHORT = 64
+_ALL = U64(0xFFFFFFFFFFFFFFFF)
 #: Bytes of text handled at once; arrays of some 60 bytes a byte stand beside it.
 SLICE_BYTES = 1 << 20
 
@@ -42,19 +43,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least ``n`` powers of the odd ``base`` and of its inverse modulo 2^64."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        ones = [np.full(max(n, _HASHED), x, dtype=U64) for x in (base, pow(base, -1, 1 << 64))]
-        for x in ones:
-            x[0] = 1
-        _powers[base] = tuple(np.cumprod(x, dtype=U64) for x in ones)
-    return _powers[base]
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n+1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -99,6 +87,73 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, rows: in
     release()
 
 
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number."""
+    padded = np.append(buf, np.zeros(8, np.uint8))
+    return np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def _chunks(eight: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from ``at`` on, ``left`` of them at most."""
+    return eight[at] & (_ALL >> (U64(8) * (8 - np.minimum(left, 8)).astype(U64)))
+
+
+def run_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of bytes buf[start:end].
+
+    Up to ``_SHORT`` bytes it is a chain over eight bytes at a time, in which every step is a
+    bijection of the bytes: runs of one length that differ in one step never have the same hash,
+    others have it with a chance of 2^-64, and in both chains (seeds 0 and 1) with one of 2^-128.
+    The constants are known, so who wants to can find two such runs by search; what must not
+    depend on that compares bytes (``same_runs``) or takes ``row_digests``.
+    """
+    size = end - start
+    out = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(_SEEDS[seed]))
+    eight, at, some = _eights(buf), 0, np.flatnonzero((size > 0) & (size <= _SHORT))
+    while len(some):
+        out[some] = mix(out[some] ^ _chunks(eight, start[some] + at, size[some] - at))
+        at += 8
+        some = some[size[some] > at]
+    long = np.flatnonzero(size > _SHORT)
+    if len(long):
+        raw, key = memoryview(np.ascontiguousarray(buf)), _SEEDS[seed].to_bytes(8, "little")
+        out[long] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8, key=key).digest(), "little") for a, b in zip(start[long].tolist(), end[long].tolist())]
+    return out
+
+
+def same_runs(buf: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+    """A number for each run of bytes, the same for the same bytes only: runs of one hash are compared with the first of them."""
+    code, _ = pd.factorize(run_hashes(buf, start, end) if hashes is None else hashes)
+    if not len(code):
+        return code
+    like = first_of(code)[code]
+    again = np.flatnonzero(like != np.arange(len(code)))
+    x, y, size = start[again], start[like[again]], (end - start)[again]
+    same = bool((size == (end - start)[like[again]]).all())
+    long = size > _SHORT
+    if same and long.any():
+        raw = memoryview(np.ascontiguousarray(buf))
+        same = all(raw[a : a + n] == raw[b : b + n] for a, b, n in zip(x[long].tolist(), y[long].tolist(), size[long].tolist()))
+        x, y, size = x[~long], y[~long], size[~long]
+    eight, at = _eights(buf), 0
+    while same and len(x):  # eight bytes at once
+        same = bool((_chunks(eight, x + at, size - at) == _chunks(eight, y + at, size - at)).all())
+        at += 8
+        on = size > at
+        x, y, size = x[on], y[on], size[on]
+    if same:
+        return code
+    raw = buf.tobytes()  # two runs have one hash
+    return pd.factorize(np.array([raw[a:b] for a, b in zip(start.tolist(), end.tolist())], dtype=object))[0]
+
+
+def first_of(code: np.ndarray) -> np.ndarray:
+    """Where each number 0, 1, ... stands first."""
+    first = np.empty(int(code.max()) + 1 if len(code) else 0, dtype=np.int64)
+    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    return first
+
+
 class Words:
     """Words of a slice: start, end (byte offsets), doc (row number) and counts by row.
 
@@ -137,22 +192,9 @@ class Words:
         """Words from each one to its row's end, itself included."""
         return np.repeat(self.count, self.count) - self.pos
 
-    def hashes(self, lower: bool = False, seed: int = 0, base: int = BASE) -> np.ndarray:
-        """A 64-bit hash of each word's bytes: a polynomial in ``base``, from sums over all bytes before each place."""
-        out = np.zeros(len(self.start), dtype=U64)
-        code = (LOWER if lower else np.arange(256)).astype(U64) + U64(1 + seed)
-        i = 0
-        while i < len(out):  # about _HASHED bytes at once, one word at least
-            a = self.start[i]
-            j = max(i + 1, int(np.searchsorted(self.end, a + _HASHED, side="right")))
-            b = self.end[j - 1]
-            power, inverse = powers(base, b - a)
-            total = np.zeros(b - a + 1, dtype=U64)
-            np.cumsum(code[self.buf[a:b]] * power[: b - a], out=total[1:])
-            s = self.start[i:j] - a
-            out[i:j] = (total[self.end[i:j] - a] - total[s]) * inverse[s]
-            i = j
-        return mix(out + (self.end - self.start).astype(U64))
+    def hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes (``run_hashes``)."""
+        return run_hashes(LOWER[self.buf] if lower else self.buf, self.start, self.end, seed)
 
 
 def window_at(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -185,40 +227,27 @@ def windows(words: Words, hashes: np.ndarray, k: int, short: bool = False) -> tu
     return np.concatenate((out, mix(part)))[order], at[order]
 
 
-def other_hashes(words: Words) -> np.ndarray:
-    """A hash of each word that does not depend on ``hashes``: both agree for two words with a chance of 2^-128."""
-    return words.hashes(base=_OTHER_BASE)
+def word_codes(words: Words, hashes: np.ndarray) -> np.ndarray:
+    """A number for each word, the same for the same bytes only."""
+    return same_runs(words.buf, words.start, words.end, hashes)
 
 
-def word_codes(words: Words, hashes: np.ndarray) -> np.ndarray:
-    """A number for each word, the same for the same bytes only: words of one hash are compared with the first of them."""
-    code, _ = pd.factorize(hashes)
-    if not len(code):
-        return code
-    first = np.empty(int(code.max()) + 1, dtype=np.int64)
-    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-    like = first[code]
-    again = np.flatnonzero(like != np.arange(len(code)))
-    x, y = words.start[again], words.start[like[again]]
-    size = words.end[again] - x
-    same = bool((size == words.end[like[again]] - y).all())
-    padded = np.append(words.buf, np.zeros(8, np.uint8))
-    eight = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
-    at, last = 0, U64(0xFFFFFFFFFFFFFFFF)
-    while same and len(x):  # eight bytes at once
-        rest = np.minimum(size - at, 8)
-        same = not ((eight[x + at] ^ eight[y + at]) & (last >> (U64(8) * (8 - rest).astype(U64)))).any()
-        at += 8
-        on = size > at
-        x, y, size = x[on], y[on], size[on]
-    if same:
-        return code
-    raw = words.buf.tobytes()  # two words have one hash
-    return pd.factorize(np.array([raw[a:b] for a, b in zip(words.start.tolist(), words.end.tolist())], dtype=object))[0]
+def row_digests(words: Words) -> np.ndarray:
+    """128 bits of BLAKE2b of each row's words, A-Z lower-cased and joined by one space, as 16 bytes; zeros for rows without words."""
+    out = np.zeros((words.rows, 16), dtype=np.uint8)
+    full = words.end - words.start + 1
+    body = LOWER[np.append(words.buf, np.uint8(0x20))[ragged(words.start, full)]]
+    ends = np.cumsum(full)
+    body[ends - 1] = 0x20
+    raw, ends = memoryview(body), np.concatenate(([0], ends))
+    for row in np.flatnonzero(words.count).tolist():
+        a, n = words.first[row], words.count[row]
+        out[row] = np.frombuffer(hashlib.blake2b(raw[ends[a] : ends[a + n] - 1], digest_size=16).digest(), np.uint8)
+    return out
 
 
 def row_hashes(words: Words, hashes: np.ndarray, seed: int) -> np.ndarray:
-    """A hash of each row's whole word sequence; 0 for rows without words."""
+    """A hash of each row's whole word sequence, for an order of rows; 0 for rows without words."""
     out = np.zeros(words.rows, U64)
     some = np.flatnonzero(words.count)
     if len(some):

@@ -25,10 +25,12 @@ look across white space, lower-case everything, and always cut between an ASCII
 letter and ASCII punctuation other than the apostrophe (which starts
 contractions).  Special tokens are matched in the text as it stands, before any
 lower-casing, so slices that hold one are cut at white space only and their
-pieces are remembered apart, by their unchanged bytes.
+pieces are remembered apart, by their unchanged bytes.  Pieces are told by their
+bytes, not by a hash.  Drafts are deleted when the files are written.
 
 Defined cases: null counts as empty; an empty text has the end id only; equal
-doc_ids are ordered by a hash of their text; null doc_ids come first; an empty
+doc_ids (null ones come first) are ordered by a hash of their text, which also
+splits many of them over ranges; an empty
 table gives no files and an empty result; other columns are ignored.
 """
 
@@ -41,14 +43,13 @@ from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm import textnp as tx
-from skyloom.llm.shared import shared_folder
+from skyloom.llm.shared import removed, shared_folder
 
 MAGIC = b"SKYTOK2\n"
 #: Tokens after which a file is closed.
@@ -116,16 +117,16 @@ def _tokenizer(path: str):
 
 
 class _Known:
-    """Pieces that a worker remembers: number by hash, and where each one's ids are."""
+    """Pieces that a worker remembers: number by bytes, and where each one's ids are."""
 
     def __init__(self):
-        self.number: dict[int, int] = {}
+        self.number: dict[bytes, int] = {}
         self.at = np.zeros(1 << 16, dtype=np.int64)
         self.size = np.zeros(1 << 16, dtype=np.int64)
         self.ids = np.zeros(1 << 18, dtype=np.uint32)
         self.used = 0
 
-    def add(self, keys: list[int], found: list[list[int]]) -> None:
+    def add(self, keys: list[bytes], found: list[list[int]]) -> None:
         n, first = len(keys), len(self.number)
         size = np.fromiter(map(len, found), np.int64, n)
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
@@ -140,7 +141,8 @@ class _Known:
         self.used += len(flat)
 
 
-_cache: dict[str, _Known] = {}
+#: By tokenizer, and whether the pieces come from slices with a special token.
+_cache: dict[tuple[str, bool], _Known] = {}
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 1: ASCII letter, 2: ASCII punctuation that is no apostrophe
 _KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 1
@@ -154,37 +156,35 @@ def _special(path: str) -> tuple[bytes, ...]:
     return tuple(t.content.encode() for t in _tokenizer(path).get_added_tokens_decoder().values())
 
 
-def _pieces(path: str, buf: np.ndarray, offs: np.ndarray) -> tuple[tx.Words, np.ndarray]:
-    """Pieces that are encoded apart, and a hash for each; equal hashes have equal ids."""
+def _pieces(path: str, buf: np.ndarray, offs: np.ndarray) -> tuple[tx.Words, np.ndarray, bool]:
+    """Pieces that are encoded apart, the bytes that they are told by (pieces of the same bytes have the same ids), and whether a special token is among them."""
     raw = buf.tobytes()
     if any(s in raw for s in _special(path)):
-        words = tx.Words(buf, offs)
-        return words, words.hashes(seed=1)
+        return tx.Words(buf, offs), buf, True
     kind = _KIND[buf]
     breaks = np.zeros(len(buf), dtype=bool)
     breaks[1:] = (kind[1:] ^ kind[:-1]) == 3
-    words = tx.Words(buf, offs, breaks=breaks)
-    return words, words.hashes(lower=True)
+    return tx.Words(buf, offs, breaks=breaks), tx.LOWER[buf], False
 
 
 def encode_column(path: str, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows one after another, each row closed by ``end``, and how many each row has."""
-    words, hashes = _pieces(path, *tx.text_bytes(column))
-    known = _cache.setdefault(path, _Known())
-    code, distinct = pd.factorize(hashes)
-    if len(distinct):
-        keys = distinct.tolist()
+    words, told, special = _pieces(path, *tx.text_bytes(column))
+    known = _cache.setdefault((path, special), _Known())
+    code = tx.same_runs(told, words.start, words.end)
+    if len(code):
+        first = tx.first_of(code)
+        raw, s, e = told.tobytes(), words.start[first].tolist(), words.end[first].tolist()
+        keys = [raw[x:y] for x, y in zip(s, e)]
         number = np.fromiter(map(known.number.get, keys, repeat(-1)), np.int64, len(keys))
         new = np.flatnonzero(number < 0)
         if len(known.number) + len(new) > CACHE_WORDS:
-            known = _cache[path] = _Known()
+            known = _cache[path, special] = _Known()
             new = np.arange(len(keys))
         if len(new):
-            first = np.empty(len(distinct), dtype=np.int64)
-            first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-            raw, s, e = words.buf.tobytes(), words.start[first[new]].tolist(), words.end[first[new]].tolist()
-            found = _tokenizer(path).encode_batch([raw[x:y].decode("utf-8") for x, y in zip(s, e)], add_special_tokens=False)
-            known.add(distinct[new].tolist(), [x.ids for x in found])
+            new = new.tolist()
+            found = _tokenizer(path).encode_batch([keys[i].decode("utf-8") for i in new], add_special_tokens=False)
+            known.add([keys[i] for i in new], [x.ids for x in found])
             number = np.fromiter(map(known.number.get, keys), np.int64, len(keys))
         per_word, at, table = known.size[number], known.at[number], known.ids
         size = per_word[code]
@@ -250,7 +250,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end: int = 2) -> N
     """Write ``folder``/files: (part, seq, n_tokens, file), ordered by part and seq, and ``folder``/ranks: (rank, id, n)."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(_drafts(tokenizer, end), _DRAFT).write.option("compression", "none").parquet(f"{folder}/drafts")
     drafts = spark.read.schema(_DRAFT).parquet(f"{folder}/drafts")
     counted = drafts.select(F.explode(F.arrays_zip("known", "times")).alias("x")).groupBy(F.col("x.known").alias("id")).agg(F.sum("x.times").alias("n"))
@@ -260,6 +260,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end: int = 2) -> N
     rank = np.zeros(int(ids.max()) + 1 if len(ids) else 0, dtype=np.uint32)
     rank[ids] = np.arange(len(ids), dtype=np.uint32)
     drafts.select("part", "seq", "ids", "docs", "nulls", "counts").mapInArrow(_final(spark.sparkContext.broadcast(rank)), _FILE).write.option("compression", "none").parquet(f"{folder}/files")
+    removed(spark, f"{folder}/drafts")
 
 
 def _read(ids):

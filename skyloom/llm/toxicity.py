@@ -218,15 +218,16 @@ def train(known: np.ndarray, toxic: np.ndarray, offs: np.ndarray, slots: np.ndar
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: int = SAMPLE, penalty: float = COUNTERFACTUAL) -> Model | None:
-    """A model from about ``sample`` rows of labels (doc_id, toxic) for which ``usable`` holds, and their documents; ``penalty`` 0 leaves the swaps out."""
+    """A model from about ``sample`` doc_ids of labels (doc_id, toxic) for which ``usable`` holds, and their documents (of a repeated doc_id the least text); ``penalty`` 0 leaves the swaps out."""
     rows = labels.filter("doc_id is not null and toxic is not null")
     if usable is not None:
         rows = rows.filter(usable)
     rows = rows.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     share = min(1.0, sample / max(rows.count(), 1))
-    picked = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * sample)
+    picked = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1 << 20)) < int(share * (1 << 20)))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, but costly ones
-    texts = cut(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text").repartition(partitions))
+    own = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # of a repeated doc_id one text
+    texts = cut(own.select("toxic", "text").repartition(partitions))
     n, t = texts.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n or not t or t == n:
         return None
