@@ -53,6 +53,7 @@ _NULL, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 def _read(table: pa.Table):
     """The bucket, its words, their hashes and doc_ids; its rows in an order that does not depend on how they came."""
+    tx.release()  # the arrays of the bucket before
     table = table.combine_chunks()
     doc = np.asarray(table.column("doc_id").fill_null(int(_NULL)), dtype=np.int64)
     order = np.argsort(doc, kind="stable")

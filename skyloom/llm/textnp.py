@@ -28,6 +28,8 @@ _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, dtype=U64))
 _SEEDS = (0x9E3779B97F4A7C15, 0xA0761D6478BD642F)
 #: Runs of more bytes are hashed one by one with BLAKE2b.
 _SHORT = 64
+#: Runs that are hashed at once, so that the arrays stay small.
+_HASHED = 1 << 14
 _ALL = U64(0xFFFFFFFFFFFFFFFF)
 #: Bytes of text handled at once; arrays of some 60 bytes a byte stand beside it.
 SLICE_BYTES = 1 << 20
@@ -107,13 +109,17 @@ def run_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     The constants are known, so who wants to can find two such runs by search; what must not
     depend on that compares bytes (``same_runs``) or takes ``row_digests``.
     """
-    size = end - start
-    out = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(_SEEDS[seed]))
-    eight, at, some = _eights(buf), 0, np.flatnonzero((size > 0) & (size <= _SHORT))
-    while len(some):
-        out[some] = mix(out[some] ^ _chunks(eight, start[some] + at, size[some] - at))
-        at += 8
-        some = some[size[some] > at]
+    size, eight = end - start, _eights(buf)
+    out = np.empty(len(start), dtype=U64)
+    for i in range(0, len(start), _HASHED):
+        first, n = start[i : i + _HASHED], size[i : i + _HASHED]
+        mine = mix(n.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(_SEEDS[seed]))
+        at, some = 0, np.flatnonzero((n > 0) & (n <= _SHORT))
+        while len(some):
+            mine[some] = mix(mine[some] ^ _chunks(eight, first[some] + at, n[some] - at))
+            at += 8
+            some = some[n[some] > at]
+        out[i : i + _HASHED] = mine
     long = np.flatnonzero(size > _SHORT)
     if len(long):
         raw, key = memoryview(np.ascontiguousarray(buf)), _SEEDS[seed].to_bytes(8, "little")
