@@ -1,9 +1,8 @@
 """Classifiers on (v, label), a fixed validation fold, and several seeds.
 
-Forests and regressions are Spark ML's.  Its forest takes depths up to 30 (no
-unlimited one), splits on binned values and has no least size of a node that may be
-split; ``split`` is replaced by children of at least half of it, so that no smaller
-node is ever split.
+Regressions are Spark ML's; forests are those of ``operators.forest``, of any depth and
+with an exact least size of nodes to split.  A grid search fits one forest, of the
+most trees and without limits, and reads every setting from it.
 
 The perceptron is trained in numpy: its loss is weighted by class, its hidden layers
 have dropout, its steps are Adam's, and it stops early by the validation loss.  Rows
@@ -23,12 +22,13 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext, inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.operators import evaluate, knn
+from skyloom.operators import forest as forests
 from skyloom.sources import scratch
 
 #: Parameters that are used where no search is asked for.
@@ -36,8 +36,10 @@ DEFAULT_FOREST = {"trees": 200, "depth": 20, "split": 2}
 GRID = {"trees": (100, 200, 500), "depth": (10, 20, 30, None), "split": (2, 5, 10)}
 # The names that parameter files give to those of a forest.
 PARAMETER_NAMES = {"n_estimators": "trees", "max_depth": "depth", "min_samples_split": "split", "min_samples_leaf": "leaf"}
-#: Fits at once in a search.
+#: Fits at once of several seeds.
 FITS = 4
+#: Stands for a depth without limit.
+_NO_LIMIT = 1 << 30
 #: Partitions of the perceptron's training rows at most, and groups that average their weights before the driver does.
 WORKERS, GROUPS = 256, 16
 
@@ -69,8 +71,9 @@ def logistic(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:
 
 
 def forest(train: DataFrame, test: DataFrame, trees: int = 200, depth: int | None = 20, split: int = 2, leaf: int = 1, seed: int = 42) -> DataFrame:
-    model = RandomForestClassifier(numTrees=trees, maxDepth=min(depth or 30, 30), minInstancesPerNode=max(leaf, -(-split // 2)), seed=seed, featureSubsetStrategy="sqrt", cacheNodeIds=True).fit(featured(train))
-    return predictions(model, test)
+    """(id, y_true, y_pred) of a forest; ``depth`` None has no limit."""
+    fitted = forests.fit(train, trees, seed, depth, split, leaf)
+    return forests.predict(fitted, test, [(trees, depth, split)]).select("id", "y_true", "y_pred")
 
 
 def given_parameters(text: str | None) -> dict:
@@ -91,19 +94,23 @@ def together(fit, settings) -> list:
 
 
 def grid_search(train: DataFrame, validation: DataFrame, grid: dict = GRID, seed: int = 42) -> DataFrame:
-    """(trees, depth, split, f1): macro F1 on the validation rows of every combination.  Each fit is distributed."""
-
-    def scored(setting) -> DataFrame:
-        trees, depth, split = setting
-        f1 = evaluate.report(forest(train, validation, trees, depth, split, seed=seed)).filter("row = 'macro avg'")
-        return f1.select(F.lit(trees).alias("trees"), F.lit(depth or 30).alias("depth"), F.lit(split).alias("split"), "f1")
+    """(trees, depth, split, f1): macro F1 on the validation rows of every combination; a null depth has no limit.
 
-    return reduce(DataFrame.unionByName, together(scored, product(*grid.values())))
+    Smaller forests, less deep ones and those with larger nodes to split are parts of the largest one, so there is one fit.
+    """
+    settings = list(product(*(grid[k] for k in ("trees", "depth", "split"))))
+    deepest = None if None in grid["depth"] else max(grid["depth"])
+    fitted = forests.fit(train, max(grid["trees"]), seed, deepest, min(grid["split"]))
+    by = ["trees", "depth", "split"]
+    # a null depth would not meet itself in the report's joins
+    said = forests.predict(fitted, validation, settings).withColumn("depth", F.coalesce("depth", F.lit(_NO_LIMIT)))
+    found = evaluate.report(said, by).filter("row = 'macro avg'")
+    return found.select("trees", F.expr(f"nullif(depth, {_NO_LIMIT})").alias("depth"), "split", "f1")
 
 
 def best_parameters(scored: DataFrame) -> DataFrame:
     """The combination with the largest F1; on ties the smaller forest, then the less deep one, then the larger nodes."""
-    return scored.agg(F.max_by(F.struct("trees", "depth", "split", "f1"), F.struct("f1", -F.col("trees"), -F.col("depth"), "split")).alias("b")).select("b.*")
+    return scored.agg(F.max_by(F.struct("trees", "depth", "split", "f1"), F.struct("f1", -F.col("trees"), -F.coalesce("depth", F.lit(_NO_LIMIT)), "split")).alias("b")).select("b.*")
 
 
 def several_seeds(fit, base: int = 42) -> DataFrame:

@@ -1,4 +1,18 @@
-"""Scaling, exact nearest neighbours and voting on embeddings."""
+"""Scaling, exact nearest neighbours and voting on embeddings.
+
+Up to ``BLOCK_NUMBERS`` numbers of training vectors are one block, and every pack of test
+rows meets it.  Beyond, the training rows are dealt to cells, each of the rows nearest to
+one pivot; pivots are a sample of bounded size.  A cell keeps its number of rows and its covering radius, so by the
+triangle inequality no row of a cell is nearer to a test row t than d(t, pivot) - radius.
+
+1. Every test row meets the cells nearest to it until these hold k rows.
+2. The k-th distance found bounds the search: it meets, of the other cells, only those
+   whose least possible distance is not above it.
+
+Cells of many rows are cut into hashed blocks of bounded size, so a third of all rows
+around one pivot makes many tasks.  Results are exact; how many pairs of test row and
+training row are looked at depends on the data (``pairs_met``).
+"""
 
 from __future__ import annotations
 
@@ -6,15 +20,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import vectors
+from skyloom.sources import scratch
 
 #: Numbers of the training vectors that one block holds at most: 16 MB of doubles.
 BLOCK_NUMBERS = 2_000_000
 #: Test rows that are measured against a block at once, in expectation.
 PACK = 64
+#: Pivots at most, and numbers that they hold at most: they are broadcast.
+PIVOTS, PIVOT_NUMBERS = 1024, 2_000_000
 
 
 def scaler_state(df: DataFrame, vector: str = "v") -> DataFrame:
@@ -59,6 +76,8 @@ def _nearest(k: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 tests, block = batch.column("pack")[i].values, batch.column("block")[i].values
+                if not len(block):
+                    continue
                 ids = np.asarray(block.field("train_id"))
                 x, y = (_matrix(c.field("v")) for c in (tests, block))
                 far = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)
@@ -83,34 +102,126 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
-def neighbours(test: DataFrame, train: DataFrame, k: int = 5) -> DataFrame:
+def _number(x: str, parts) -> Column:
+    return F.pmod(F.xxhash64(x), parts).cast("int")
+
+
+def _merged_best(best: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each test row among the k nearest of each block."""
+    ordered = F.array_sort(F.collect_list(F.struct("d2", "train_id", "label")))
+    near = best.groupBy("test_id").agg(F.slice(ordered, 1, k).alias("near"))  # blocks that it met x k rows of a test row
+    return near.select("test_id", F.posexplode("near").alias("p", "t")).select("test_id", "t.train_id", "t.label", "t.d2", (F.col("p") + 1).alias("place"))
+
+
+def neighbours(test: DataFrame, train: DataFrame, k: int = 5, block_numbers: int = BLOCK_NUMBERS) -> DataFrame:
     """(test_id, train_id, label, d2, place): the k nearest training rows of every test row.
 
-    ``test`` has (test_id, v), ``train`` (train_id, label, v).  Training rows are
-    cut into hashed blocks of bounded size and test rows into packs; every pack
-    meets every block, as rows of one join on the block's number (a copy of a block
-    for each of ``groups`` of packs, so that few blocks still make many tasks).
-    Each block gives every test row its k best, and only those are merged.  Ties go
-    to the smaller train_id.
+    ``test`` has (test_id, v), ``train`` (train_id, label, v), ids unique.  Ties go to the smaller train_id.
     """
-    spark = test.sparkSession
+    v = vectors.doubles(F.col("v")).alias("v")
+    test, train = scratch.written(test.select("test_id", v), "knn"), scratch.written(train.select("train_id", "label", v), "knn")
     size = train.agg(F.max(F.size("v")).alias("w"), F.count(F.lit(1)).alias("n")).first()
-    blocks = max(1, -(-(size.w or 1) * size.n // BLOCK_NUMBERS))
-    packs = max(1, -(-test.count() // PACK))
-    groups = max(1, min(packs, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
     kinds = dict(train.dtypes) | dict(test.dtypes)
     schema = f"test_id {kinds['test_id']}, train_id {kinds['train_id']}, label {kinds['label']}, d2 double, place int"
-    v = vectors.doubles(F.col("v")).alias("v")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    packed = test.select(F.pmod(F.xxhash64("test_id"), F.lit(packs)).cast("int").alias("p"), F.struct("test_id", v).alias("t")).groupBy("p").agg(F.collect_list("t").alias("pack"))
-    dealt = packed.select(F.pmod("p", F.lit(groups)).alias("g"), every(blocks).alias("b"), "pack")
-    block = train.select(F.pmod(F.xxhash64("train_id"), F.lit(blocks)).cast("int").alias("b"), F.struct("train_id", "label", v).alias("t")).groupBy("b").agg(F.collect_list("t").alias("block"))
-    best = dealt.join(block.select("b", "block", every(groups).alias("g")), ["b", "g"]).select("pack", "block").mapInArrow(_nearest(k), schema)
-    if blocks > 1:
-        ordered = F.array_sort(F.collect_list(F.struct("d2", "train_id", "label")))
-        merged_best = best.groupBy("test_id").agg(F.slice(ordered, 1, k).alias("near"))  # blocks x k rows of a test row
-        best = merged_best.select("test_id", F.posexplode("near").alias("p", "t")).select("test_id", "t.train_id", "t.label", "t.d2", (F.col("p") + 1).alias("place"))
-    return best
+    if (size.w or 1) * size.n > block_numbers:
+        return Cells(train, size.w, size.n, block_numbers).nearest(test, k, schema)[0]
+    packs = max(1, -(-test.count() // PACK))
+    pack = test.groupBy(_number("test_id", F.lit(packs)).alias("p")).agg(F.collect_list(F.struct("test_id", "v")).alias("pack"))
+    block = train.agg(F.collect_list(F.struct("train_id", "label", "v")).alias("block"))
+    return pack.crossJoin(F.broadcast(block)).select("pack", "block").mapInArrow(_nearest(k), schema)  # one row of bounded size
+
+
+class Cells:
+    """Training rows (written) by their nearest pivot: a metric index."""
+
+    def __init__(self, train: DataFrame, width: int, rows: int, block_numbers: int = BLOCK_NUMBERS):
+        self.spark = train.sparkSession
+        count = max(1, min(PIVOTS, PIVOT_NUMBERS // width, int(rows**0.5)))
+        sample = train.orderBy(F.xxhash64("train_id"), "train_id").limit(count).select("v").collect()
+        pivots = np.unique(np.array([r["v"] for r in sample]), axis=0)
+        self.pivots = self.spark.sparkContext.broadcast(pivots)
+        kinds = dict(train.dtypes)
+        rows_of = scratch.written(train.mapInArrow(self._dealt(), f"train_id {kinds['train_id']}, label {kinds['label']}, v array<double>, cell int, far double"), "knn")
+        facts = rows_of.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).collect()  # a row a pivot at most
+        self.rows, self.radius = np.zeros(len(pivots), dtype=np.int64), np.full(len(pivots), -np.inf)
+        for f in facts:
+            self.rows[f["cell"]], self.radius[f["cell"]] = f["n"], f["r"]
+        self.facts = self.spark.sparkContext.broadcast((self.rows, self.radius))
+        most = max(1, block_numbers // width)
+        parts = F.array(*[F.lit(int(-(-n // most) or 1)) for n in self.rows])
+        part = _number("train_id", F.get(parts, F.col("cell")))
+        self.blocks = rows_of.groupBy("cell", part.alias("part")).agg(F.collect_list(F.struct("train_id", "label", "v")).alias("block"))
+
+    def _dealt(self):
+        pivots = self.pivots
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    far = _apart(_matrix(batch.column("v")), pivots.value)
+                    cell = far.argmin(axis=1)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])], names=[*batch.schema.names, "cell", "far"])
+
+        return run
+
+    def _cells(self, first: bool, k: int):
+        """For every test row the cells that it meets: ``first`` those nearest to it that hold k rows, else the others that its bound ``most`` does not rule out."""
+        pivots, facts = self.pivots, self.facts
+
+        def run(batches):
+            rows, radius = facts.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                far = _apart(_matrix(batch.column("v")), pivots.value)
+                order = np.argsort(far, axis=1, kind="stable")
+                held = np.cumsum(rows[order], axis=1)
+                met = np.zeros(far.shape, dtype=bool)
+                np.put_along_axis(met, order, (held - rows[order] < k) & (rows[order] > 0), axis=1)
+                if not first:
+                    most = np.sqrt(np.asarray(batch.column("most").fill_null(np.inf)))
+                    met = ~met & (rows > 0) & (far - radius <= (most * (1 + 1e-9) + 1e-6)[:, None])
+                row, cell = np.nonzero(met)
+                offs = np.concatenate(([0], np.cumsum(met.sum(axis=1)))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("test_id"), batch.column("v"), pa.ListArray.from_arrays(pa.array(offs), pa.array(cell.astype(np.int32)))], names=["test_id", "v", "cells"])
+
+        return run
+
+    def _met(self, test: DataFrame, first: bool, k: int) -> DataFrame:
+        """(cell, test_id, v) of all meetings of a step."""
+        return test.mapInArrow(self._cells(first, k), f"test_id {dict(test.dtypes)['test_id']}, v array<double>, cells array<int>").select(F.explode("cells").alias("cell"), "test_id", "v")
+
+    def _compared(self, met: DataFrame, k: int, schema: str) -> DataFrame:
+        packs = met.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("packs"))  # a row a pivot at most
+        rows = met.join(F.broadcast(packs), "cell")
+        pack = rows.groupBy("cell", _number("test_id", F.col("packs")).alias("p")).agg(F.collect_list(F.struct("test_id", "v")).alias("pack"))
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return pack.join(self.blocks, "cell").repartition(partitions, "cell", "p", "part").select("pack", "block").mapInArrow(_nearest(k), schema)
+
+    def nearest(self, test: DataFrame, k: int, schema: str) -> tuple[DataFrame, DataFrame]:
+        """The k nearest rows of every test row (written), and (cell, n): the test rows that met each cell."""
+        met = scratch.written(self._met(test, True, k), "knn")
+        best = scratch.written(self._compared(met, k, schema), "knn")
+        bound = _merged_best(best, k).filter(F.col("place") == k).select("test_id", F.col("d2").alias("most"))
+        more = scratch.written(self._met(test.join(bound, "test_id", "left"), False, k), "knn")
+        out = _merged_best(best.unionByName(self._compared(more, k, schema)), k)
+        return out, met.unionByName(more).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of x and y."""
+    return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * (x @ y.T), 0))
+
+
+def pairs_met(test: DataFrame, train: DataFrame, k: int = 5, block_numbers: int = BLOCK_NUMBERS) -> tuple[int, int]:
+    """Pairs of test and training rows that a search over cells looks at, and all pairs."""
+    test = scratch.written(test.select("test_id", vectors.doubles(F.col("v")).alias("v")), "knn")
+    train = scratch.written(train.select("train_id", "label", vectors.doubles(F.col("v")).alias("v")), "knn")
+    size = train.agg(F.max(F.size("v")).alias("w"), F.count(F.lit(1)).alias("n")).first()
+    kinds = dict(train.dtypes) | dict(test.dtypes)
+    cells = Cells(train, size.w, size.n, block_numbers)
+    _, met = cells.nearest(test, k, f"test_id {kinds['test_id']}, train_id {kinds['train_id']}, label {kinds['label']}, d2 double, place int")
+    return sum(int(cells.rows[r["cell"]]) * r["n"] for r in met.collect()), size.n * test.count()
 
 
 def vote(near: DataFrame) -> DataFrame:

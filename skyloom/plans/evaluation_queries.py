@@ -102,7 +102,17 @@ def knn_predict(spark, sf_dir):
     return predictions(spark, sf_dir)
 
 
-@query(f"WITH {PRED} SELECT test_id, train_id, label, round(d2, 6) AS d2, place FROM near")
+NEAR = f"WITH {PRED} SELECT test_id, train_id, label, round(d2, 6) AS d2, place FROM near"
+
+
+@query(NEAR)
+def knn_indexed(spark, sf_dir):
+    """The same through the metric index, with blocks of 512 rows so that it is used at every size."""
+    near = knn.neighbours(*_test_and_train(spark, sf_dir), block_numbers=1 << 14)
+    return near.select("test_id", "train_id", "label", F.round("d2", 6).alias("d2"), F.col("place").cast("bigint").alias("place"))
+
+
+@query(NEAR)
 def knn_neighbours(spark, sf_dir):
     near = knn.neighbours(*_test_and_train(spark, sf_dir))
     return near.select("test_id", "train_id", "label", F.round("d2", 6).alias("d2"), F.col("place").cast("bigint").alias("place"))

