@@ -59,10 +59,10 @@ def _hash(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _walked(rows: DataFrame, own: list[str], text: str, doc_id: str, salt: Column, partitions: int) -> DataFrame:
+def _walked(rows: DataFrame, own: list[str], text: str, doc_id: str, salt: Column | None, partitions: int) -> DataFrame:
     """``own`` of ``rows`` with ``__dx_place``, ``__dx_keep`` and ``__dx_size`` of their run, after the content sort; runs are of equal text and salt."""
-    keys = ["__dx_prefix", "__dx_hash", "__dx_salt"]
-    keyed = rows.withColumn("__dx_prefix", F.substring("__dx_norm", 1, PREFIX)).withColumn("__dx_salt", salt)
+    keys = ["__dx_prefix", "__dx_hash", *([] if salt is None else ["__dx_salt"])]  # a constant salt would hide from Spark that ranges hold whole runs
+    keyed = rows.withColumn("__dx_prefix", F.substring("__dx_norm", 1, PREFIX)).withColumns({} if salt is None else {"__dx_salt": salt})
     ranged = keyed.select(*own, *([] if f"`{text}`" in own else ["__dx_norm"]), *keys).repartitionByRange(partitions, *keys)
     if f"`{text}`" in own:  # a text travels once
         ranged = normalised(ranged, text, "__dx_norm")
@@ -94,7 +94,7 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     light, heavy, partitions = _parts(own, "text")
     sha = F.sha2("__dx_norm", 256)
-    out = _walked(light, ["doc_id"], "text", "doc_id", F.lit(0), partitions).select("doc_id", "__dx_keep", "__dx_size", sha.alias("__dx_sha"))
+    out = _walked(light, ["doc_id"], "text", "doc_id", None, partitions).select("doc_id", "__dx_keep", "__dx_size", sha.alias("__dx_sha"))
     if heavy is not None:
         head = F.when(F.col("__dx_place") == 1, F.col("__dx_norm"))
         rows = written(_walked(heavy, ["doc_id"], "text", "doc_id", _spread(), partitions).select("doc_id", "__dx_keep", "__dx_size", sha.alias("__dx_sha"), "__dx_place", head.alias("__dx_head")))
@@ -109,7 +109,7 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """The rows of ``docs`` that stay, with their own columns only."""
     light, heavy, partitions = _parts(docs, text)
     own = [f"`{c}`" for c in docs.columns]
-    out = _walked(light, own, text, doc_id, F.lit(0), partitions).filter("__dx_place = 1").select(*own)
+    out = _walked(light, own, text, doc_id, None, partitions).filter("__dx_place = 1").select(*own)
     if heavy is not None:
         heads = _walked(heavy, own, text, doc_id, _spread(), partitions).filter("__dx_place = 1").select(*own, "__dx_norm")
         first = F.row_number().over(Window.partitionBy("__dx_norm").orderBy(F.col(doc_id).asc_nulls_last()))
