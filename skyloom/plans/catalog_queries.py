@@ -8,7 +8,7 @@ from skyloom.functions import times
 from skyloom.operators import joins, lightcurve
 from skyloom.plans.inputs import LC, observations, table
 from skyloom.plans.registry import query
-from skyloom.sources import catalogs, results
+from skyloom.sources import catalogs, results, scratch, sky
 
 
 @query("""
@@ -85,13 +85,16 @@ _OBJECTS = """o AS (SELECT c_custkey AS object_id, ((c_custkey % n + 1) * 137.50
   (((c_custkey % n + 1) * 17) % 1780) / 10.0::DOUBLE - 89 + ((c_custkey % 5) - 2) / 3600.0::DOUBLE AS odec FROM customer, (SELECT count(*) AS n FROM supplier))"""
 
 
-@query(f"""
+_CONES = f"""
 WITH {_STARS}, {_OBJECTS}, p AS (
   SELECT *, pow(sin(radians(odec - dec) / 2), 2) + cos(radians(dec)) * cos(radians(odec)) * pow(sin(radians(ora - ra) / 2), 2) AS h FROM s JOIN o ON abs(odec - dec) < 0.001
 )
 SELECT star_id, object_id, round(degrees(2 * asin(least(1.0, sqrt(h)))) * 3600, 3) AS sep FROM p WHERE degrees(2 * asin(least(1.0, sqrt(h)))) * 3600 <= 2
-""")
-def cone_match(spark, sf_dir):
+"""
+
+
+def _sky(spark, sf_dir):
+    """Stars and objects some seconds of arc from them."""
     n = table(spark, sf_dir, "supplier").count()
     ra = lambda k: F.pmod(k * F.lit(137.508), F.lit(360.0))
     dec = lambda k: F.pmod(k * 17, F.lit(1780)) / 10.0 - 89
@@ -100,10 +103,26 @@ def cone_match(spark, sf_dir):
     objects = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("object_id"), (ra(k) + (F.pmod("c_custkey", F.lit(7)) - 3) / 3600.0).alias("ora"), (dec(k) + (F.pmod("c_custkey", F.lit(5)) - 2) / 3600.0).alias("odec")
     )
+    return stars, objects
+
+
+@query(_CONES)
+def cone_match(spark, sf_dir):
+    stars, objects = _sky(spark, sf_dir)
     found = joins.cone_match(stars, objects)
     return found.select("star_id", "object_id", F.round("sep", 3).alias("sep"))
 
 
+@query(_CONES)
+def cone_match_tree(spark, sf_dir):
+    """The same against a catalogue in a tree of pixels, of which only the touched folders are read."""
+    stars, objects = _sky(spark, sf_dir)
+    path = scratch.folder(spark, "catalogue")
+    sky.write_catalog(objects, path, limit=4096)
+    found = sky.cone_search(stars, path)
+    return found.select("star_id", "object_id", F.round("sep", 3).alias("sep"))
+
+
 @query("SELECT event_id, round(event_id % 5000000 / 1000.0::DOUBLE + 49999.5::DOUBLE + 5000, 5) AS mjd FROM events")
 def hjd_normalise(spark, sf_dir):
     day = F.pmod("event_id", F.lit(5000000)) / 1000.0 + 5000  # four digits before the point, as in the files

@@ -8,7 +8,7 @@ from skyloom.functions import times
 from skyloom.operators import evaluate
 from skyloom.plans.inputs import SPLIT, embeddings, table
 from skyloom.plans.registry import query
-from skyloom.sources import scratch, sinks
+from skyloom.sources import scratch, sinks, snapshots
 from skyloom.streaming import ingest
 
 
@@ -40,6 +40,18 @@ def sink_replaced(spark, sf_dir):
     return spark.read.parquet(place)
 
 
+@query("SELECT event_id, value * 2 AS value FROM events")
+def sink_snapshots(spark, sf_dir):
+    """A dataset that is replaced from itself in place, spoilt, taken back and cleaned."""
+    path = scratch.folder(spark, "snapshots")
+    snapshots.replaced(table(spark, sf_dir, "events").select("event_id", "value"), path)
+    good = snapshots.replaced(snapshots.read(spark, path).withColumn("value", F.col("value") * 2), path)
+    snapshots.replaced(snapshots.read(spark, path).filter("event_id % 2 = 0"), path)
+    snapshots.back_to(spark, path, good)
+    snapshots.cleaned(spark, path)
+    return snapshots.read(spark, path)
+
+
 def _summary(spark, sf_dir):
     runs = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("embedding"), F.pmod("user_id", F.lit(3)).alias("seed")).agg(F.avg("value").alias("value"))
     return evaluate.summary(runs, ["embedding"])
