@@ -4,8 +4,13 @@ A series is an array column of one row, so the fit is a plain map over Arrow
 batches that needs no grouping.
 The frequency grid is fixed: ``OVERSAMPLING`` steps a peak's width up to
 ``MAX_FREQUENCY`` cycles a day, however long the series is.  Its steps are equal,
-so the sums over the points for all frequencies are products of two tables, of
-the first frequency of each block and of the steps in a block.
+so the sums over the points for all frequencies are one Fourier transform of the
+points spread over a grid (``spread_waves``); for few points they are products of two
+tables, of the first frequency of each block and of the steps in a block
+(``direct_waves``).  Both give the same sums within 1e-9 of the sum of |y|.
+
+``best_periods`` splits one series' frequencies over rows, so that a long span is no
+single task's work.
 """
 
 from __future__ import annotations
@@ -13,10 +18,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 OVERSAMPLING, MAX_FREQUENCY = 5, 10.0
 #: Frequencies of a block, and blocks and points that are multiplied at once.
 BLOCK, BLOCKS, POINTS = 512, 512, 2048
+#: Cells of the grid that a point is spread over, cells a frequency, and points that are spread at once.
+WIDTH, FINER, SPREAD = 13, 2, 1 << 17
+#: Frequencies of a row of ``best_periods``.
+SLICE = 1 << 19
 HARMONICS = 4
 FREQUENCIES = 3
 
@@ -34,7 +44,14 @@ def grid(t: np.ndarray) -> np.ndarray:
 
 
 def waves(t: np.ndarray, y: np.ndarray, freqs: np.ndarray) -> np.ndarray:
-    """Sum of y exp(2 pi i f t) over the points for each of ``freqs``, which have equal steps."""
+    """Sum of y exp(2 pi i f t) over the points for each of ``freqs``, which have equal steps; the cheaper of two ways."""
+    direct = len(t) * len(freqs)
+    spread = 60 * WIDTH * len(t) + 12 * FINER * len(freqs) * np.log2(len(freqs) + 2)
+    return direct_waves(t, y, freqs) if direct < spread else spread_waves(t, y, freqs)
+
+
+def direct_waves(t: np.ndarray, y: np.ndarray, freqs: np.ndarray) -> np.ndarray:
+    """Every point by every frequency."""
     step = freqs[1] - freqs[0] if len(freqs) > 1 else 0.0
     head = freqs[::BLOCK]
     out = np.zeros((len(head), BLOCK), dtype=complex)
@@ -46,6 +63,34 @@ def waves(t: np.ndarray, y: np.ndarray, freqs: np.ndarray) -> np.ndarray:
     return out.ravel()[: len(freqs)]
 
 
+def spread_waves(t: np.ndarray, y: np.ndarray, freqs: np.ndarray) -> np.ndarray:
+    """The same by a non-uniform Fourier transform.
+
+    Points are turned by the middle frequency, spread over a grid of one cycle with a
+    Kaiser-Bessel window, transformed at once, and divided by the window's transform.
+    """
+    m = len(freqs)
+    step = (freqs[-1] - freqs[0]) / (m - 1) if m > 1 else 1.0  # a difference of neighbours has too few digits
+    middle = m // 2
+    size = 1 << int(np.ceil(np.log2(max(FINER * m, 2 * WIDTH))))
+    beta = np.pi * WIDTH * (1 - 0.5 / FINER)
+    reach = np.arange(WIDTH)
+    real, imaginary = np.zeros(size), np.zeros(size)
+    for p in range(0, len(t), SPREAD):
+        now = t[p : p + SPREAD]
+        value = y[p : p + SPREAD] * np.exp(2j * np.pi * freqs[middle] * now)
+        place = np.mod(now * step, 1.0) * size
+        first = np.ceil(place - WIDTH / 2)
+        off = (first - place)[:, None] + reach
+        window = np.i0(beta * np.sqrt(np.maximum(1 - (2 * off / WIDTH) ** 2, 0)))
+        cell = np.mod(first.astype(np.int64)[:, None] + reach, size).ravel()
+        real += np.bincount(cell, (value.real[:, None] * window).ravel(), size)
+        imaginary += np.bincount(cell, (value.imag[:, None] * window).ravel(), size)
+    mode = np.arange(m) - middle
+    root = np.sqrt(beta**2 - (np.pi * WIDTH * mode / size) ** 2)
+    return np.fft.ifft(real + 1j * imaginary)[mode] * (size / WIDTH) * root / np.sinh(root)
+
+
 def lomb_scargle(t: np.ndarray, y: np.ndarray, freqs: np.ndarray, twice: np.ndarray | None = None) -> np.ndarray:
     """Standard normalised power (0 to 1) at each of ``freqs``, which have equal steps; ``twice`` is ``waves`` of ones at the doubled frequencies."""
     y = y - y.mean()
@@ -163,3 +208,51 @@ def periodic(nested: DataFrame) -> DataFrame:
     src = nested.select("sourceid", "band", "series").repartition(partitions, "sourceid", "band")
     kinds = dict(src.dtypes)
     return src.mapInArrow(run, f"sourceid {kinds['sourceid']}, band {kinds['band']}, " + ", ".join(f"{n} double" for n in NAMES))
+
+
+def _peak(t: np.ndarray, y: np.ndarray, first: int, count: int) -> tuple[float, float, int]:
+    """The largest power, its frequency, and the number of frequencies, of ``count`` frequencies from the ``first``-th on."""
+    if len(t) < 5 or t[-1] <= t[0] or y.std() == 0:
+        return float("nan"), float("nan"), 0
+    step = 1 / (OVERSAMPLING * (t[-1] - t[0]))
+    last = max(2, int(MAX_FREQUENCY / step))
+    freqs = step * np.arange(first + 1, min(first + count, last) + 1)
+    if not len(freqs):
+        return float("nan"), float("nan"), 0
+    power = lomb_scargle(t, y, freqs)
+    return power.max(), freqs[power.argmax()], len(freqs)
+
+
+def best_periods(nested: DataFrame, size: int = SLICE) -> DataFrame:
+    """(sourceid, band, frequencies, period_ls, period_fit) of ``nested``, a row for every ``size`` frequencies on the way.
+
+    A series travels once for each of its slices, which is once for spans up to
+    ``size`` / 50 days.  Of equal powers the smaller frequency stays.  Series of fewer than 5
+    points or without spread have no frequencies, and nulls.
+    """
+
+    def run(batches):
+        for batch in batches:
+            s = batch.column("series")
+            found = [
+                _peak(np.asarray(t.values, dtype=float), np.asarray(y.values, dtype=float), i * size, size) if t.is_valid and y.is_valid else (float("nan"), float("nan"), 0)
+                for t, y, i in zip(s.field("mjd"), s.field("target"), batch.column("_slice").to_pylist())
+            ]
+            power, freq, count = np.array(found, dtype=float).reshape(-1, 3).T
+            length = [len(y) if y.is_valid else 0 for y in s.field("target")]
+            none = ~np.isfinite(power)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("sourceid"), batch.column("band"), pa.array(length, pa.int64()), pa.array(count.astype(np.int64)), pa.array(power, mask=none), pa.array(freq, mask=none)],
+                names=["sourceid", "band", "n", "m", "power", "freq"],
+            )
+
+    # the last time and the first one give a span, hence the number of frequencies, before any fit
+    span = F.expr("array_max(series.mjd) - array_min(series.mjd)")
+    last = F.floor(F.when((span > 0) & (span < 1e12), F.lit(OVERSAMPLING * MAX_FREQUENCY) * span / size).otherwise(0.0))
+    partitions = int(nested.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    src = nested.select("sourceid", "band", "series", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("_slice")).repartition(partitions, "sourceid", "band", "_slice")
+    kinds = dict(src.dtypes)
+    peaks = src.mapInArrow(run, f"sourceid {kinds['sourceid']}, band {kinds['band']}, n long, m long, power double, freq double")
+    out = peaks.groupBy("sourceid", "band").agg(F.max("n").alias("n"), F.sum("m").alias("frequencies"), F.max(F.struct("power", (-F.col("freq")).alias("minus"))).alias("b"))
+    single = F.when(F.col("n") > 3, F.pow(1 - F.least(F.col("b.power"), F.lit(1.0)), (F.col("n") - 3) / 2)).otherwise(1.0)
+    return out.select("sourceid", "band", "frequencies", (-1 / F.col("b.minus")).alias("period_ls"), F.when(F.col("frequencies") > 0, 1 - F.pow(1 - single, F.floor(F.col("frequencies") / OVERSAMPLING))).alias("period_fit"))

@@ -283,3 +283,9 @@ def lc_all_statistical(spark, sf_dir):
 @query()
 def periodic_features(spark, sf_dir):
     return periodogram.periodic(lightcurve.nest(observations(spark, sf_dir)))
+
+
+@query()
+def period_search(spark, sf_dir):
+    """Best period of every series, with its frequencies dealt over rows."""
+    return periodogram.best_periods(lightcurve.nest(observations(spark, sf_dir)))
