@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyloom.functions import times
-from skyloom.operators import features, lightcurve, periodogram
+from skyloom.operators import features, lightcurve, long_series, periodogram
 from skyloom.plans.inputs import LC, PREPARED, observations, rounded, table
 from skyloom.plans.registry import query, sql_of
 
@@ -275,11 +275,29 @@ _FAMILIES = ("lc_basic_features", "lc_moments", "lc_weighted_features", "lc_line
 @query("SELECT * FROM (%s) AS f0 %s WHERE n > 4" % (sql_of(_FAMILIES[0]), " ".join(f"LEFT JOIN ({sql_of(name)}) AS f{i} USING (sourceid, band)" for i, name in enumerate(_FAMILIES[1:], 1))))
 def lc_all_statistical(spark, sf_dir):
     """All families with one exchange of the observations."""
-    out = features.all_statistical(observations(spark, sf_dir))
+    return _shortened(features.all_statistical(observations(spark, sf_dir)))
+
+
+def _shortened(out):
     digits = lambda c: 2 if c == "fit_chi2" else 4 if c.startswith(("fit_", "trend_", "otsu_std")) else 6
     return out.select(*KEY, *[F.round(c, digits(c)).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes[2:]])
 
 
+@query(sql_of("lc_all_statistical"))
+def lc_long_features(spark, sf_dir):
+    """All families with the series cut into pieces of some 4,096 rows."""
+    return _shortened(long_series.statistical(observations(spark, sf_dir), 1 << 12))
+
+
+@query(f"""
+WITH {LC}
+SELECT sourceid, band, obs_id, round(mjd - coalesce(lag(mjd) OVER t, 0), 6) AS dt FROM lc WINDOW t AS (PARTITION BY sourceid, band ORDER BY mjd, obs_id)
+""")
+def lc_long_time_steps(spark, sf_dir):
+    """Time steps with the series cut into pieces of some 4,096 rows."""
+    return long_series.time_steps(observations(spark, sf_dir), 1 << 12).select(*KEY, "obs_id", F.round("dt", 6).alias("dt"))
+
+
 @query()
 def periodic_features(spark, sf_dir):
     return periodogram.periodic(lightcurve.nest(observations(spark, sf_dir)))
