@@ -8,6 +8,7 @@ The perceptron is trained in numpy: its loss is weighted by class, its hidden la
 have dropout, its steps are Adam's, and it stops early by the validation loss.  Rows
 are dealt to at most ``WORKERS`` partitions; in every epoch each takes one pass over
 its rows in batches from the common weights, and the weights are averaged by rows.
+With a folder for its ``state``, every epoch is stored there, and a run that finds one goes on after it.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from skyloom.operators import evaluate, knn
 from skyloom.operators import forest as forests
-from skyloom.sources import scratch
+from skyloom.sources import scratch, training
 
 #: Parameters that are used where no search is asked for.
 DEFAULT_FOREST = {"trees": 200, "depth": 20, "split": 2}
@@ -210,27 +211,60 @@ def _average(states: list[tuple[int, bytes]]):
     return net, moments, step
 
 
+def _begun(settings: dict):
+    net = Layers(settings["widths"], settings["seed"])
+    return net, [(np.zeros_like(p), np.zeros_like(p)) for p in net.all()], 0
+
+
+def _arrays(now, best: Layers) -> dict[str, np.ndarray]:
+    """Weights, both moments and the best weights by name."""
+    net, moments, _ = now
+    kinds = {"weights": net.all(), "first": [m for m, _ in moments], "second": [v for _, v in moments], "best": best.all()}
+    return {f"{kind}-{i:03d}": a for kind, arrays in kinds.items() for i, a in enumerate(arrays)}
+
+
+def _taken_up(settings: dict, epoch: int, arrays: dict[str, np.ndarray], note: dict):
+    """The next epoch, the state, the best loss with its weights, and the epochs since it, of a stored epoch."""
+    if note["settings"] != settings:
+        raise ValueError(f"the folder has a training with other settings: {note['settings']}, asked for {settings}")
+    (net, moments, _), best = _begun(settings), Layers(settings["widths"], settings["seed"])
+    for i, (p, (m, v), b) in enumerate(zip(net.all(), moments, best.all())):
+        p[:], m[:], v[:], b[:] = (arrays[f"{kind}-{i:03d}"] for kind in ("weights", "first", "second", "best"))
+    return epoch + 1, (net, moments, note["step"]), (np.inf if note["best"] is None else note["best"], best), note["waited"]
+
+
 def perceptron(
-    train: DataFrame, validation: DataFrame, test: DataFrame, hidden=(1024, 512, 256), dropout: float = 0.0, rate: float = 1e-3, batch: int = 1024, epochs: int = 100, patience: int = 3, weighted: bool = True, seed: int = 42
+    train: DataFrame, validation: DataFrame, test: DataFrame, hidden=(1024, 512, 256), dropout: float = 0.0, rate: float = 1e-3, batch: int = 1024, epochs: int = 100, patience: int = 3, weighted: bool = True, seed: int = 42, state: str | None = None
 ) -> DataFrame:
-    """Predictions of the perceptron that has the least validation loss; training ends ``patience`` epochs after it."""
+    """Predictions of the perceptron that has the least validation loss; training ends ``patience`` epochs after it.
+
+    ``state`` names a folder that all executors share.  The rows as they were dealt are kept there too, so a run that
+    is taken up has the weights of one that was never broken off.  Other settings than the stored ones, or other
+    widths and classes, are an error.
+    """
     spark = train.sparkSession
     width, classes = train.agg(F.max(F.size("v")), F.max("label").cast("int")).first()
     counts = {r["label"]: r["balanced_weight"] for r in evaluate.class_weights(train, "label").collect()}
     weight = np.array([counts.get(c, 0.0) if weighted else 1.0 for c in range(classes + 1)])
-    rows = scratch.written(train.select("label", "v").repartition(min(WORKERS, max(1, -(-train.count() // (4 * batch))))), "perceptron")
-    held = scratch.written(validation.select("label", "v"), "perceptron")
+    dealt = train.select("label", "v").repartition(min(WORKERS, max(1, -(-train.count() // (4 * batch)))))
+    kept = validation.select("label", "v")
+    rows = training.once(dealt, f"{state}/rows") if state else scratch.written(dealt, "perceptron")
+    held = training.once(kept, f"{state}/held") if state else scratch.written(kept, "perceptron")
     many = rows.rdd.getNumPartitions() > GROUPS
-    net = Layers([width, *hidden, classes + 1], seed)
-    state = (net, [(np.zeros_like(p), np.zeros_like(p)) for p in net.all()], 0)
-    best, waited = (np.inf, net), 0
-    for epoch in range(epochs):
-        shared = spark.sparkContext.broadcast(state)
+    settings = {"widths": [width, *hidden, classes + 1], "dropout": dropout, "rate": rate, "batch": batch, "weighted": weighted, "seed": seed}
+    now, waited, start = _begun(settings), 0, 0
+    best = (np.inf, now[0])
+    if state and (found := training.latest(spark, state)):
+        start, now, best, waited = _taken_up(settings, *found)
+    for epoch in range(start, epochs):
+        if waited >= patience:
+            break
+        shared = spark.sparkContext.broadcast(now)
         got = rows.mapInPandas(_pass(shared, weight, batch, rate, dropout, seed + epoch), "g int, n long, state binary")
         got = got.groupBy("g").applyInPandas(_average_group, "g int, n long, state binary").collect() if many else got.collect()  # a row a group
         shared.destroy()
-        state = _average([(r["n"], r["state"]) for r in got])
-        model = spark.sparkContext.broadcast(state[0])
+        now = _average([(r["n"], r["state"]) for r in got])
+        model = spark.sparkContext.broadcast(now[0])
 
         def losses(frames, model=model):
             for f in frames:
@@ -240,11 +274,11 @@ def perceptron(
 
         loss = held.mapInPandas(losses, "loss double, weight double").agg(F.sum("loss") / F.sum("weight")).first()[0]
         if loss is None or loss < best[0]:
-            best, waited = (np.inf if loss is None else loss, state[0]), 0
+            best, waited = (np.inf if loss is None else loss, now[0]), 0
         else:
             waited += 1
-            if waited >= patience:
-                break
+        if state:
+            training.store(spark, state, epoch, _arrays(now, best[1]), {"settings": settings, "step": now[2], "best": None if best[0] == np.inf else best[0], "waited": waited})
     model = spark.sparkContext.broadcast(best[1])
 
     def predict(frames):
