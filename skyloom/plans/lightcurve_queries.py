@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyloom.functions import times
-from skyloom.operators import features, lightcurve, long_series, periodogram
+from skyloom.operators import encoder, features, lightcurve, long_series, periodogram
 from skyloom.plans.inputs import LC, PREPARED, observations, rounded, table
 from skyloom.plans.registry import query, sql_of
+from skyloom.sources import scratch, training
 
 KEY = ["sourceid", "band"]
 
@@ -307,3 +308,13 @@ def periodic_features(spark, sf_dir):
 def period_search(spark, sf_dir):
     """Best period of every series, with its frequencies dealt over rows."""
     return periodogram.best_periods(lightcurve.nest(observations(spark, sf_dir)))
+
+
+@query()
+def emb_encoder(spark, sf_dir):
+    """Self-attention over the last 200 points of every series, with weights stored as a table and read from it."""
+    path = scratch.folder(spark, "encoder")
+    training.store(spark, path, 0, encoder.initial(), {})
+    last = lambda c: F.slice(c, F.greatest(F.size(c) - 199, F.lit(1)), 200)
+    windows = lightcurve.nest(observations(spark, sf_dir)).select(*KEY, last(F.col("series.mjd")).alias("mjd"), last(F.col("series.target")).alias("mag"))
+    return encoder.embedded(windows, training.latest(spark, path)[1])
