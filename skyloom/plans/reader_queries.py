@@ -100,7 +100,9 @@ def read_fixed_width(spark, sf_dir):
     def line(fields, values) -> Column:
         edges = [a for a, _ in fields] + [max(b for _, b in fields)]
         cells = [F.rpad(v.cast("string"), b - a, " ") for v, a, b in zip(values, edges[:-1], edges[1:])]
-        return F.concat(*cells)
+        # a name is padded, never cut: a longer one moves the rest of its line
+        gap = fields[1][0] - fields[0][1]
+        return F.concat(F.rpad(values[0], F.greatest(F.length(values[0]) + gap, F.lit(edges[1])), " "), *cells[1:])
 
     blank = F.lit("")
     fields = catalogs.shifted(catalogs.DSCT_FIELDS, -2)

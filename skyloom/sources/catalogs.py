@@ -133,10 +133,20 @@ def shifted(fields, shift: int):
 
 
 def fixed_width(spark: SparkSession, path: str, fields, names, kinds=None) -> DataFrame:
-    """Columns at character positions."""
+    """Columns at character positions.
+
+    A first field that is longer than its place (writers pad names but do not cut them) is read to its end,
+    and the rest of its line is moved by as much; that needs a blank between the first two fields of the layout.
+    """
     kinds = kinds or ["string"] * len(names)
     rows = spark.read.text(path).filter(F.trim("value") != "")
-    return rows.select(*[_cell(F.substring("value", a + 1, b - a), k).alias(n) for (a, b), n, k in zip(fields, names, kinds)])
+    over = F.lit(0)
+    if len(fields) > 1 and fields[1][0] > fields[0][1]:
+        run = F.regexp_extract(F.substring("value", fields[0][1], 1 << 30), r"^\S+", 0)  # from the field's last place on
+        over = F.greatest(F.length(run) - 1, F.lit(0))
+    rows = rows.withColumn("_over", over)
+    at = lambda i, a, b: F.substring(F.col("value"), F.lit(a + 1) + F.col("_over"), F.lit(b - a)) if i else F.substring(F.col("value"), F.lit(a + 1), F.lit(b - a) + F.col("_over"))
+    return rows.select(*[_cell(at(i, a, b), k).alias(n) for i, ((a, b), n, k) in enumerate(zip(fields, names, kinds))])
 
 
 def photometry_csv(spark: SparkSession, path: str) -> DataFrame:

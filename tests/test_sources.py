@@ -62,6 +62,22 @@ def test_fixed_width_with_shift(spark, tmp_path):
     assert (full.class_str, full.ra, full.OGLE_IV_id, full.OGLE_III_id, full.other_id) == ("dsct_SINGLE", "01:02:03.4", "IV1", "", "other name")
 
 
+def test_fixed_width_with_names_longer_than_their_field(spark, tmp_path):
+    """Padded names are not cut, in the catalogue and in the identification table, and stay different stars."""
+
+    def padded(fields, values):
+        name, rest = values[0], line(fields, ["", *values[1:]])
+        return name + rest[min(len(name), fields[0][1]) :] + "\n"
+
+    names = [f"OGLE-GD-DSCT-{i}" for i in ("0001", "10000", "10001", "1234567")]
+    fields, ident_fields = catalogs.shifted(catalogs.DSCT_FIELDS, -2), catalogs.shifted(catalogs.IDENT_FIELDS["dsct"], -2)
+    put(tmp_path / "dsct.dat", "".join(padded(fields, [n, f"1{i}.123", "16.2", "0.0512"]) for i, n in enumerate(names)))
+    ident = put(tmp_path / "ident.dat", "".join(padded(ident_fields, [n, "SINGLE", "01:02:03.4", "-05:06:07", f"IV{i}"]) for i, n in enumerate(names)))
+    full = catalogs.with_ident(catalogs.ogle_catalog(spark, str(tmp_path), "gd", "dsct", "dsct"), catalogs.ogle_ident(spark, ident, "gd", "dsct"), "dsct").collect()
+    got = sorted((r.sourceid, r.avg_mag_I, r.avg_mag_V, r.period, r.ra, r.OGLE_IV_id) for r in full)
+    assert got == sorted((n, float(f"1{i}.123"), 16.2, 0.0512, "01:02:03.4", f"IV{i}") for i, n in enumerate(names))
+
+
 def test_hb_coordinates_and_ecl(spark, tmp_path):
     ident = put(tmp_path / "hb.dat", line(catalogs.IDENT_FIELDS["hb"], ["OGLE-BLG-HB-0001", "HB", "1 2 3.45", "-5 6 7.8"]) + "\n")
     r = catalogs.ogle_ident(spark, ident, "blg", "hb").first()
