@@ -39,19 +39,20 @@ def clustering_logs(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, names, cells) of every line after a file's own header; a file is one row of one task, as its header holds for all of it.
+    """(path, names, cells) of every line after a file's own header.
 
-    Cells may be quoted, but not hold line breaks; empty cells are null.
+    Files are read split by split; a header is the first line of its file's first block, and headers are
+    broadcast, a row a file.  Cells may be quoted, but not hold line breaks; empty cells are null.
     """
-    lines = F.split(F.regexp_replace("value", r"(\r?\n)+$", ""), r"\r?\n")
 
     def cells(line: Column) -> Column:
         bare = lambda c: F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"')
         return F.transform(F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.nullif(bare(c), F.lit("")))
 
-    files = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), lines.alias("lines"))
-    records = files.select("path", cells(F.col("lines")[0]).alias("names"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
-    return records.filter("line <> ''").select("path", "names", cells(F.col("line")).alias("cells"))
+    lines = spark.read.text(glob).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    heads = lines.groupBy("path").agg(F.min_by(F.struct("value", "id"), F.struct("block", "id")).alias("head"))
+    heads = heads.select("path", cells(F.col("head.value")).alias("names"), F.col("head.id").alias("first"))
+    return lines.join(F.broadcast(heads), "path").filter((F.col("id") != F.col("first")) & (F.col("value") != "")).select("path", "names", cells(F.col("value")).alias("cells"))
 
 
 def reports(spark: SparkSession, glob: str) -> DataFrame:
@@ -77,6 +78,6 @@ def parameters(text: Column, schema: str) -> Column:
 def training_log(spark: SparkSession, glob: str) -> DataFrame:
     """Training logs with a row each step: epoch and metrics by each file's own header, null where a step or file does not report one."""
     raw = _records(spark, glob)
-    names = sorted(r.n for r in raw.select(F.explode("names").alias("n")).filter("n is not null").distinct().collect())  # a few metrics
+    names = sorted(r.n for r in raw.select("names").distinct().select(F.explode("names").alias("n")).filter("n is not null").distinct().collect())  # a few metrics
     cell = lambda c: F.get("cells", (F.array_position("names", c) - 1).cast("int"))
     return raw.select(*[cell(c).try_cast("bigint" if c in ("epoch", "step") else "double").alias(c) for c in names])

@@ -179,6 +179,22 @@ def test_training_log_and_model(spark, tmp_path):
     assert LogisticRegressionModel.load(str(tmp_path / "m")).numClasses == 2
 
 
+def test_logs_are_read_split_by_split(spark, tmp_path):
+    """A file's header holds for splits that other tasks read; no task has a whole file."""
+    put(tmp_path / "a.csv", "epoch,train_loss\n" + "".join(f"{i},{i / 2}\n" for i in range(3000)))
+    put(tmp_path / "b.csv", '"val_loss",epoch\n' + "".join(f"{i / 4},{i}\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = results.training_log(spark, str(tmp_path / "*.csv"))
+        assert got.rdd.getNumPartitions() > 4
+        rows = sorted((r.epoch, r.train_loss, r.val_loss) for r in got.collect() if r.train_loss is not None)
+        assert rows == [(i, i / 2, None) for i in range(3000)]
+        assert got.filter("val_loss = epoch / 4").count() == 3000 and got.count() == 6000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "train"), (2, "test"), (3, "test")], "id long, split string")
     sinks.dataset(df, str(tmp_path / "d"))
