@@ -361,6 +361,8 @@ def _cut(tops: Broadcast, limits: list[tuple[int | None, int]], classes: int):
                         goes = x[rows, f] <= b
                         todo += [(child(node, False), depth + 1, rows[goes]), (child(node, True), depth + 1, rows[~goes])]
                 at = np.flatnonzero(met)
+                if not len(at):  # as in a top that ends above the limits
+                    continue
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(np.full(len(at), tree)), pa.array(list(out[at].reshape(len(at), -1)), pa.list_(pa.float64()))], names=["id", "tree", "shares"])
 
     return run

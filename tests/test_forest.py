@@ -115,3 +115,14 @@ def test_odd_rows(spark):
         forest.fit(df.filter("false"), 2)
     with pytest.raises(ValueError):
         forest.predict(fitted, df, [(4, None, 2)])
+
+
+def test_limit_of_depth_that_no_top_reaches(spark):
+    """Tops of a level or two under a limit of 20: no row's share comes from a top."""
+    x, y = noisy(9, 200)
+    df = framed(spark, x, y)
+    fitted = forest.fit(df, 2, seed=3, depth=20, small=80)
+    assert any(fitted.tops.value)
+    want = forest.predict(forest.fit(df, 2, seed=3, depth=20), df, [(2, 20, 2)])
+    got = forest.predict(fitted, df, [(2, 20, 2)])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 200
