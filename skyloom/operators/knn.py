@@ -9,9 +9,12 @@ triangle inequality no row of a cell is nearer to a test row t than d(t, pivot)
 2. The k-th distance found bounds the search: it meets, of the other cells, only those
    whose least possible distance is not above it.
 
-Cells of many rows are cut into hashed blocks of bounded size, so a third of all rows
-around one pivot makes many tasks.  Results are exact; how many pairs of test row and
-training row are looked at depends on the data (``pairs_met``).
+Cells lie one after another in blocks of bounded size: small cells share a block, and one of
+many rows is dealt over several by hash, so a third of all rows around one pivot makes many
+tasks.  Test rows are dealt to packs, and a task has a pack and a block; a test row travels
+once to every block that has a cell which it meets, a training row once to every pack.
+Results are exact; how many pairs of test row and training row are looked at depends on the
+data (``pairs_met``), what is shuffled at most on the numbers of packs and blocks.
 """
 
 from __future__ import annotations
@@ -30,6 +33,10 @@ from skyloom.sources import scratch
 BLOCK_NUMBERS = 2_000_000
 #: Test rows that are measured against a block at once, in expectation.
 PACK = 64
+#: Packs of test rows over cells, and blocks, at least: a block has up to ``BLOCK_NUMBERS`` numbers, and so has a pack.
+GRID = 8
+#: Numbers of a table of distances at most: 32 MB.
+TABLE = 4_000_000
 #: Pivots at most, and numbers that they hold at most: they are broadcast.
 PIVOTS, PIVOT_NUMBERS = 1024, 2_000_000
 
@@ -124,7 +131,7 @@ def neighbours(test: DataFrame, train: DataFrame, k: int = 5, block_numbers: int
     kinds = dict(train.dtypes) | dict(test.dtypes)
     schema = f"test_id {kinds['test_id']}, train_id {kinds['train_id']}, label {kinds['label']}, d2 double, place int"
     if (size.w or 1) * size.n > block_numbers:
-        return Cells(train, size.w, size.n, block_numbers).nearest(test, k, schema)[0]
+        return Cells(train, size.w, size.n, block_numbers).nearest(test, k, schema)
     packs = max(1, -(-test.count() // PACK))
     pack = test.groupBy(_number("test_id", F.lit(packs)).alias("p")).agg(F.collect_list(F.struct("test_id", "v")).alias("pack"))
     block = train.agg(F.collect_list(F.struct("train_id", "label", "v")).alias("block"))
@@ -136,7 +143,8 @@ class Cells:
 
     def __init__(self, train: DataFrame, width: int, rows: int, block_numbers: int = BLOCK_NUMBERS):
         self.spark = train.sparkSession
-        count = max(1, min(PIVOTS, PIVOT_NUMBERS // width, int(rows**0.5)))
+        self.width = max(width or 1, 1)
+        count = max(1, min(PIVOTS, PIVOT_NUMBERS // self.width, int(rows**0.5)))
         sample = train.orderBy(F.xxhash64("train_id"), "train_id").limit(count).select("v").collect()
         pivots = np.unique(np.array([r["v"] for r in sample]), axis=0)
         self.pivots = self.spark.sparkContext.broadcast(pivots)
@@ -146,11 +154,12 @@ class Cells:
         self.rows, self.radius = np.zeros(len(pivots), dtype=np.int64), np.full(len(pivots), -np.inf)
         for f in facts:
             self.rows[f["cell"]], self.radius[f["cell"]] = f["n"], f["r"]
+        most = max(1, max(block_numbers, BLOCK_NUMBERS) // self.width)
+        self.each = max(1, min(most, -(-rows // GRID)))
         self.facts = self.spark.sparkContext.broadcast((self.rows, self.radius))
-        most = max(1, block_numbers // width)
-        parts = F.array(*[F.lit(int(-(-n // most) or 1)) for n in self.rows])
-        part = _number("train_id", F.get(parts, F.col("cell")))
-        self.blocks = rows_of.groupBy("cell", part.alias("part")).agg(F.collect_list(F.struct("train_id", "label", "v")).alias("block"))
+        before, size = (F.array(*[F.lit(int(n)) for n in x]) for x in (np.cumsum(self.rows) - self.rows, self.rows))
+        place = F.get(before, F.col("cell")) + F.pmod(F.xxhash64("train_id"), F.get(size, F.col("cell")))
+        self.dealt = rows_of.select("train_id", "label", "v", "cell", F.floor(place / self.each).cast("int").alias("block"))
 
     def _dealt(self):
         pivots = self.pivots
@@ -164,48 +173,131 @@ class Cells:
 
         return run
 
-    def _cells(self, first: bool, k: int):
-        """For every test row the cells that it meets: ``first`` those nearest to it that hold k rows, else the others that its bound ``most`` does not rule out."""
-        pivots, facts = self.pivots, self.facts
+    def _cells(self, first: bool, k: int, counted: bool):
+        """For every test row the cells that it meets: ``first`` those nearest to it that hold k rows, else the others that its bound ``most`` does not rule out.
 
-        def run(batches):
+        A row for each block that has some of them; or, ``counted``, (cell, n) of all meetings.
+        """
+        pivots, facts, each = self.pivots, self.facts, self.each
+
+        def met_by(batch) -> np.ndarray:
             rows, radius = facts.value
+            far = _apart(_matrix(batch.column("v")), pivots.value)
+            order = np.argsort(far, axis=1, kind="stable")
+            held = np.cumsum(rows[order], axis=1)
+            met = np.zeros(far.shape, dtype=bool)
+            np.put_along_axis(met, order, (held - rows[order] < k) & (rows[order] > 0), axis=1)
+            if first:
+                return met
+            most = np.sqrt(np.asarray(batch.column("most").fill_null(np.inf)))
+            return ~met & (rows > 0) & (far - radius <= (most * (1 + 1e-9) + 1e-6)[:, None])
+
+        def run(batches):
+            rows, _ = facts.value
+            start = (np.cumsum(rows) - rows) // each
+            end = np.where(rows > 0, (np.cumsum(rows) - 1) // each, -1)
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                far = _apart(_matrix(batch.column("v")), pivots.value)
-                order = np.argsort(far, axis=1, kind="stable")
-                held = np.cumsum(rows[order], axis=1)
-                met = np.zeros(far.shape, dtype=bool)
-                np.put_along_axis(met, order, (held - rows[order] < k) & (rows[order] > 0), axis=1)
-                if not first:
-                    most = np.sqrt(np.asarray(batch.column("most").fill_null(np.inf)))
-                    met = ~met & (rows > 0) & (far - radius <= (most * (1 + 1e-9) + 1e-6)[:, None])
-                row, cell = np.nonzero(met)
-                offs = np.concatenate(([0], np.cumsum(met.sum(axis=1)))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("test_id"), batch.column("v"), pa.ListArray.from_arrays(pa.array(offs), pa.array(cell.astype(np.int32)))], names=["test_id", "v", "cells"])
+                met = met_by(batch)
+                if counted:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(met.shape[1], dtype=np.int32)), pa.array(met.sum(axis=0, dtype=np.int64))], names=["cell", "n"])
+                    continue
+                for block in range(int(end.max()) + 1):
+                    mine = met & (start <= block) & (end >= block)
+                    at = np.flatnonzero(mine.any(axis=1))
+                    if len(at):
+                        _, cell = np.nonzero(mine[at])
+                        offs = np.concatenate(([0], np.cumsum(mine[at].sum(axis=1)))).astype(np.int32)
+                        cells = pa.ListArray.from_arrays(pa.array(offs), pa.array(cell.astype(np.int32)))
+                        to = pa.array(at)
+                        columns = [batch.column(c).take(to) for c in ("test_id", "v", "most")]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block, np.int32)), *columns, cells], names=["block", "test_id", "v", "most", "cells"])
 
         return run
 
     def _met(self, test: DataFrame, first: bool, k: int) -> DataFrame:
-        """(cell, test_id, v) of all meetings of a step."""
-        return test.mapInArrow(self._cells(first, k), f"test_id {dict(test.dtypes)['test_id']}, v array<double>, cells array<int>").select(F.explode("cells").alias("cell"), "test_id", "v")
-
-    def _compared(self, met: DataFrame, k: int, schema: str) -> DataFrame:
-        packs = met.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("packs"))  # a row a pivot at most
-        rows = met.join(F.broadcast(packs), "cell")
-        pack = rows.groupBy("cell", _number("test_id", F.col("packs")).alias("p")).agg(F.collect_list(F.struct("test_id", "v")).alias("pack"))
-        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return pack.join(self.blocks, "cell").repartition(partitions, "cell", "p", "part").select("pack", "block").mapInArrow(_nearest(k), schema)
-
-    def nearest(self, test: DataFrame, k: int, schema: str) -> tuple[DataFrame, DataFrame]:
-        """The k nearest rows of every test row (written), and (cell, n): the test rows that met each cell."""
-        met = scratch.written(self._met(test, True, k), "knn")
-        best = scratch.written(self._compared(met, k, schema), "knn")
+        """(block, test_id, v, most, cells) of all meetings of a step."""
+        return test.mapInArrow(self._cells(first, k, False), f"block int, test_id {dict(test.dtypes)['test_id']}, v array<double>, most double, cells array<int>")
+
+    def _compared(self, met: DataFrame, rows: int, k: int, schema: str) -> DataFrame:
+        """The k nearest of each test row in each block, of the cells that it meets and within its bound; ``rows`` is the number of test rows."""
+        packs = max(GRID, -(-rows * self.width // BLOCK_NUMBERS))
+        tests = met.withColumn("pack", _number("test_id", F.lit(packs)))
+        trains = self.dealt.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+        return tests.groupBy("block", "pack").cogroup(trains.groupBy("block", "pack")).applyInArrow(_nearest_in_cells(k), schema)
+
+    def nearest(self, test: DataFrame, k: int, schema: str) -> DataFrame:
+        """The k nearest rows of every test row (written)."""
+        rows = test.count()
+        best = scratch.written(self._compared(self._met(self._bounded(test, None, k), True, k), rows, k, schema), "knn")
+        more = self._met(self._bounded(test, best, k), False, k)
+        return _merged_best(best.unionByName(self._compared(more, rows, k, schema)), k)
+
+    def _bounded(self, test: DataFrame, best: DataFrame | None, k: int) -> DataFrame:
+        """Test rows with ``most``, the k-th distance found; null where there is none."""
+        if best is None:
+            return test.select("test_id", "v", F.lit(None).cast("double").alias("most"))
         bound = _merged_best(best, k).filter(F.col("place") == k).select("test_id", F.col("d2").alias("most"))
-        more = scratch.written(self._met(test.join(bound, "test_id", "left"), False, k), "knn")
-        out = _merged_best(best.unionByName(self._compared(more, k, schema)), k)
-        return out, met.unionByName(more).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        return test.join(bound, "test_id", "left").select("test_id", "v", "most")
+
+    def met(self, test: DataFrame, k: int, schema: str) -> DataFrame:
+        """(cell, n): the test rows that meet each cell in a search."""
+        bare = self._bounded(test, None, k)
+        best = scratch.written(self._compared(self._met(bare, True, k), test.count(), k, schema), "knn")
+        steps = [rows.mapInArrow(self._cells(first, k, True), "cell int, n long") for rows, first in ((bare, True), (self._bounded(test, best, k), False))]
+        return reduce(DataFrame.unionByName, steps).groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def _nearest_in_cells(k: int):
+    """Cogroup of a pack of test rows and a block of training rows: the block's k nearest of each test row among the cells that it meets."""
+    names = ["test_id", "train_id", "label", "d2", "place"]
+
+    def run(key: tuple[pa.Scalar, ...], tests: pa.Table, block: pa.Table) -> pa.Table:
+        own = (tests.column("test_id").combine_chunks(), block.column("train_id").combine_chunks(), block.column("label").combine_chunks())
+        row = near = np.zeros(0, dtype=np.int64)
+        d = np.zeros(0)
+        if tests.num_rows and block.num_rows:
+            x, y = (_matrix(t.column("v").combine_chunks()) for t in (tests, block))
+            xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+            bound = np.asarray(tests.column("most").fill_null(np.inf), dtype=float).copy()
+            lists = tests.column("cells").combine_chunks()
+            meets = np.repeat(np.arange(len(x)), np.asarray(lists.value_lengths()))
+            cells, home = np.asarray(lists.flatten()), np.asarray(block.column("cell"))
+            by, at = np.argsort(cells, kind="stable"), np.argsort(home, kind="stable")
+            found = []
+            for c in np.unique(home):
+                some = at[slice(*np.searchsorted(home[at], [c, c + 1]))]
+                here = meets[by[slice(*np.searchsorted(cells[by], [c, c + 1]))]]
+                step = max(1, TABLE // len(some))
+                for a in range(0, len(here), step):
+                    t = here[a : a + step]
+                    far = xx[t][:, None] + yy[some]
+                    rough = far - 2 * (x[t] @ y[some].T)
+                    slack = 1e-9 + 1e-12 * far.max()
+                    if len(some) >= k:  # the k-th of any cell bounds the others
+                        bound[t] = np.minimum(bound[t], np.partition(rough, k - 1, axis=1)[:, k - 1] + slack)
+                    i, j = np.nonzero(rough <= bound[t][:, None] + slack)
+                    i, j = t[i], some[j]
+                    found.append((i, j, _exact(x, y, i, j)))
+            if found:
+                row, near, d = (np.concatenate(f) for f in zip(*found))
+                kept = d <= bound[row] + 1e-9 + 1e-12 * (xx.max() + yy.max())
+                row, near, d = row[kept], near[kept], d[kept]
+                order = np.lexsort((np.asarray(own[1])[near], d, row))
+                row, near, d = row[order], near[order], d[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row) + 1
+        some = place <= k
+        to, at = pa.array(row[some]), pa.array(near[some])
+        return pa.table([own[0].take(to), own[1].take(at), own[2].take(at), pa.array(d[some]), pa.array(place[some].astype(np.int32))], names=names)
+
+    return run
+
+
+def _exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs, some at once."""
+    step = max(1, TABLE // x.shape[1])
+    return np.concatenate([((y[j[a : a + step]] - x[i[a : a + step]]) ** 2).sum(axis=1).round(9) for a in range(0, max(len(i), 1), step)])
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -220,7 +312,7 @@ def pairs_met(test: DataFrame, train: DataFrame, k: int = 5, block_numbers: int
     size = train.agg(F.max(F.size("v")).alias("w"), F.count(F.lit(1)).alias("n")).first()
     kinds = dict(train.dtypes) | dict(test.dtypes)
     cells = Cells(train, size.w, size.n, block_numbers)
-    _, met = cells.nearest(test, k, f"test_id {kinds['test_id']}, train_id {kinds['train_id']}, label {kinds['label']}, d2 double, place int")
+    met = cells.met(test, k, f"test_id {kinds['test_id']}, train_id {kinds['train_id']}, label {kinds['label']}, d2 double, place int")
     return sum(int(cells.rows[r["cell"]]) * r["n"] for r in met.collect()), size.n * test.count()
 
 

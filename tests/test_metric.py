@@ -46,6 +46,16 @@ def test_index_drops_pairs_of_clustered_rows(spark):
     assert every == 600 * 600 and met < every / 3
 
 
+def test_rows_travel_once_a_block_not_once_a_cell(spark):
+    """Vectors without clusters meet nearly all cells; what is shuffled is bounded by the blocks."""
+    test, train = sides(framed(spark, np.random.default_rng(4).normal(0, 1, (400, 8))))
+    cells = knn.Cells(train, 8, 400, 64)
+    met = cells._met(test.withColumn("most", F.lit(None).cast("double")), False, 5)
+    assert 400 <= met.count() <= 8 * 400
+    meetings = knn.pairs_met(test, train, 5, 64)
+    assert meetings[0] > 0.8 * meetings[1]
+
+
 def test_index_of_few_rows(spark):
     test, train = sides(framed(spark, blobs(1, 2, 3)))
     assert knn.neighbours(test, train, 9, 1).count() == 36  # fewer rows than neighbours
