@@ -41,8 +41,10 @@ PARAMETER_NAMES = {"n_estimators": "trees", "max_depth": "depth", "min_samples_s
 FITS = 4
 #: Stands for a depth without limit.
 _NO_LIMIT = 1 << 30
-#: Partitions of the perceptron's training rows at most, and groups that average their weights before the driver does.
+#: Partitions of the perceptron's training rows at most, and groups that average their weights first.
 WORKERS, GROUPS = 256, 16
+#: Groups whose weights are averaged at once, until one is left for the driver.
+FEW = 4
 
 
 def seeds(base: int = 42) -> list[int]:
@@ -191,7 +193,17 @@ def _pass(shared, weight: np.ndarray, batch: int, rate: float, dropout: float, s
 
 
 def _average_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"g": [key[0]], "n": [rows["n"].sum()], "state": [pickle.dumps(_average(list(zip(rows["n"], rows["state"]))))]})
+    return pd.DataFrame({"g": [key[0]], "n": [rows["n"].sum()], "state": [pickle.dumps(_average(sorted(zip(rows["n"], rows["state"]))))]})  # in one order, whichever came first
+
+
+def _averaged(states: DataFrame, groups: int) -> DataFrame:
+    """One row of all partitions' states (g, n, state): averaged by group, then ``FEW`` groups at a time."""
+    schema = "g int, n long, state binary"
+    states = states.groupBy("g").applyInPandas(_average_group, schema)
+    while groups > 1:
+        states = states.withColumn("g", F.floor(F.col("g") / FEW).cast("int")).groupBy("g").applyInPandas(_average_group, schema)
+        groups = -(-groups // FEW)
+    return states
 
 
 def _average(states: list[tuple[int, bytes]]):
@@ -246,11 +258,13 @@ def perceptron(
     width, classes = train.agg(F.max(F.size("v")), F.max("label").cast("int")).first()
     counts = {r["label"]: r["balanced_weight"] for r in evaluate.class_weights(train, "label").collect()}
     weight = np.array([counts.get(c, 0.0) if weighted else 1.0 for c in range(classes + 1)])
-    dealt = train.select("label", "v").repartition(min(WORKERS, max(1, -(-train.count() // (4 * batch)))))
+    # by id and in its order, so that the same rows are dealt the same way in every run
+    by = ["id"] if "id" in train.columns else ["label", "v"]
+    dealt = train.repartition(min(WORKERS, max(1, -(-train.count() // (4 * batch)))), *by).sortWithinPartitions(*by).select("label", "v")
     kept = validation.select("label", "v")
     rows = training.once(dealt, f"{state}/rows") if state else scratch.written(dealt, "perceptron")
     held = training.once(kept, f"{state}/held") if state else scratch.written(kept, "perceptron")
-    many = rows.rdd.getNumPartitions() > GROUPS
+    parts = rows.rdd.getNumPartitions()
     settings = {"widths": [width, *hidden, classes + 1], "dropout": dropout, "rate": rate, "batch": batch, "weighted": weighted, "seed": seed}
     now, waited, start = _begun(settings), 0, 0
     best = (np.inf, now[0])
@@ -261,7 +275,7 @@ def perceptron(
             break
         shared = spark.sparkContext.broadcast(now)
         got = rows.mapInPandas(_pass(shared, weight, batch, rate, dropout, seed + epoch), "g int, n long, state binary")
-        got = got.groupBy("g").applyInPandas(_average_group, "g int, n long, state binary").collect() if many else got.collect()  # a row a group
+        got = _averaged(got, min(parts, GROUPS)).collect()  # one row: the model's size, whatever the number of rows
         shared.destroy()
         now = _average([(r["n"], r["state"]) for r in got])
         model = spark.sparkContext.broadcast(now[0])

@@ -49,3 +49,18 @@ def test_taken_up_training_equals_an_unbroken_one(spark, tmp_path, monkeypatch):
     assert fit(tmp_path / "whole", 5) == whole
     with pytest.raises(ValueError, match="other settings"):
         fit(tmp_path / "whole", 5, seed=7)
+
+
+def test_one_row_of_averaged_weights_reaches_the_driver(spark):
+    """However many partitions trained, the driver gets one state: their mean by rows."""
+    import pickle
+
+    states = []
+    for i in range(16):
+        net = classify.Layers([3, 2], i)
+        states += [(i % classify.GROUPS, i + 1, bytearray(pickle.dumps((net, [(p * 0, p * 0) for p in net.all()], i))))]
+    got = classify._averaged(spark.createDataFrame(states, "g int, n long, state binary"), 16).collect()
+    assert len(got) == 1 and got[0]["n"] == 136
+    net, _, step = pickle.loads(got[0]["state"])
+    want = sum(classify.Layers([3, 2], i).w[0] * (i + 1) for i in range(16)) / 136
+    assert step == 15 and abs(net.w[0] - want).max() < 1e-12
