@@ -12,7 +12,8 @@
   wider beyond.  So the grid is bounded whatever the number of rows, and with it what
   passes through the driver and is broadcast.
 
-An iteration costs the pairs, the rows and the bounded grid; the neighbours are the search
+An iteration costs the pairs, the rows and the bounded grid, in two jobs: one moves the rows
+and spreads their new charges, the other sums the charges; the neighbours are the search
 of ``knn``.  Positions are written in every iteration, so no lineage grows, and the table
 before is deleted; nothing of the rows passes through the driver.
 
@@ -23,6 +24,8 @@ table of few rows takes all others as neighbours.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,6 +40,8 @@ CELLS, NODES = 256, 3
 FINE, WIDEST = 50, 0.5
 #: Factor of the affinities in the first iterations.
 EXAGGERATION = 12.0
+#: Pairs of a stored part, some 24 MB.
+PART = 1 << 20
 
 
 def _bisected(d2: np.ndarray, perplexity: float) -> np.ndarray:
@@ -89,8 +94,24 @@ def charges(x: np.ndarray, y: np.ndarray, width: float) -> pd.DataFrame:
     a = np.repeat(ax[:, None, None] + np.arange(NODES)[None, :, None], NODES, axis=2).ravel()
     b = np.repeat(ay[:, None, None] + np.arange(NODES)[None, None, :], NODES, axis=1).ravel()
     w = (wx[:, :, None] * wy[:, None, :]).ravel()
-    own = np.repeat(np.arange(len(x)), NODES * NODES)
-    return pd.DataFrame({"a": a, "b": b, "q": w, "qx": w * x[own], "qy": w * y[own]}).groupby(["a", "b"], as_index=False).sum()
+    span = int(b.max()) - int(b.min()) + 1
+    nodes, own = np.unique((a - a.min()) * span + (b - b.min()), return_inverse=True)
+    sums = [np.bincount(own, w * q, len(nodes)) for q in (1.0, np.repeat(x, NODES * NODES), np.repeat(y, NODES * NODES))]
+    return pd.DataFrame({"a": nodes // span + a.min(), "b": nodes % span + b.min()} | dict(zip(("q", "qx", "qy"), sums)))
+
+
+def _size(n: int) -> int:
+    """The least number from 2 * n on that has no factor but 2, 3 and 5 and is divisible by 2."""
+    found = [2 ** (i + 1) * 3**j * 5**k for i in range(12) for j in range(5) for k in range(4)]
+    return min(f for f in found if f >= 2 * n)
+
+
+@lru_cache(maxsize=2)
+def _kernels(full: tuple[int, int], step: float) -> tuple[np.ndarray, np.ndarray]:
+    """Transforms of the two kernels on a grid with nodes ``step`` apart: 1 / (1 + d2), and its square."""
+    steps = [np.minimum(np.arange(n), n - np.arange(n)) * step for n in full]
+    near = 1 / (1 + steps[0][:, None] ** 2 + steps[1][None, :] ** 2)
+    return np.fft.rfft2(near), np.fft.rfft2(near**2)
 
 
 class Field:
@@ -102,13 +123,14 @@ class Field:
         shape = (int(summed["a"].max()) - self.a + 1, int(summed["b"].max()) - self.b + 1)
         q = np.zeros((3, *shape))
         q[:, summed["a"] - self.a, summed["b"] - self.b] = summed[["q", "qx", "qy"]].to_numpy().T
-        full = tuple(1 << int(np.ceil(np.log2(2 * n))) for n in shape)
-        steps = [np.minimum(np.arange(n), n - np.arange(n)) * width / NODES for n in full]
-        near = 1 / (1 + steps[0][:, None] ** 2 + steps[1][None, :] ** 2)
+        full = tuple(_size(n) for n in shape)
+        once, twice = _kernels(full, width / NODES)
         spectrum = np.fft.rfft2(q, full)
-        self.square = np.fft.irfft2(spectrum * np.fft.rfft2(near**2), full)[:, : shape[0], : shape[1]]
-        once = np.fft.irfft2(spectrum[0] * np.fft.rfft2(near), full)[: shape[0], : shape[1]]
-        self.z = max(float((q[0] * once).sum()) - rows, 1e-12)  # without the rows' own terms
+        self.square = np.fft.irfft2(spectrum * twice, full)[:, : shape[0], : shape[1]]
+        # the sum of the charges times their potentials, by the spectrum; all but its first and last column stand for two
+        power = (spectrum[0].real ** 2 + spectrum[0].imag ** 2) * once.real
+        total = (2 * power.sum() - power[:, 0].sum() - power[:, -1].sum()) / (full[0] * full[1])
+        self.z = max(float(total) - rows, 1e-12)  # without the rows' own terms
 
     def repulsion(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         (ax, wx), (ay, wy) = _weights(x, self.width), _weights(y, self.width)
@@ -118,35 +140,60 @@ class Field:
         return (x * s - sx) / self.z, (y * s - sy) / self.z
 
 
-def _summed(state: DataFrame, width: float) -> pd.DataFrame:
-    """Charges by node; at most the nodes of the grid."""
+NODE = {"a": "bigint", "b": "bigint", "q": "double", "qx": "double", "qy": "double"}
+NODES_SCHEMA = ", ".join(f"n{c} array<{kind}>" for c, kind in NODE.items())
+
+
+class _Charges:
+    """Charges of a task's rows, summed by node frame by frame."""
+
+    def __init__(self, width: float):
+        self.width, self.held = width, None
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        mine = charges(x, y, self.width)
+        self.held = mine if self.held is None else pd.concat([self.held, mine]).groupby(["a", "b"], as_index=False).sum()
+
+    def cells(self) -> dict[str, np.ndarray]:
+        """The columns of ``NODES_SCHEMA`` for one row."""
+        return {f"n{c}": self.held[c].to_numpy() for c in NODE}
+
+
+def _spread(state: DataFrame, width: float) -> DataFrame:
+    """``NODES_SCHEMA``: the charges of ``state`` in cells of ``width``, a row a task."""
 
     def run(frames):
-        held = None
+        held = _Charges(width)
         for f in frames:
             if len(f):
-                mine = charges(f["x"].to_numpy(), f["y"].to_numpy(), width)
-                held = mine if held is None else pd.concat([held, mine]).groupby(["a", "b"], as_index=False).sum()
-        if held is not None:
-            yield held
+                held.add(f["x"].to_numpy(), f["y"].to_numpy())
+        if held.held is not None:
+            yield pd.DataFrame({c: [v] for c, v in held.cells().items()})
+
+    return state.select("x", "y").mapInPandas(run, NODES_SCHEMA)
 
-    found = state.select("x", "y").mapInPandas(run, "a long, b long, q double, qx double, qy double")
-    return found.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("q", "qx", "qy")]).toPandas()
+
+def _summed(nodes: DataFrame) -> pd.DataFrame:
+    """Charges by node of all tasks; at most the nodes of the grid."""
+    each = nodes.filter("na is not null").select(F.inline(F.arrays_zip(*[F.col(f"n{c}").alias(c) for c in NODE])))
+    return each.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("q", "qx", "qy")]).toArrow().to_pandas()
 
 
 def attraction(state: DataFrame, pairs: DataFrame) -> DataFrame:
     """``state`` with the attractive part (fx, fy) of each row's gradient."""
-    own = state.columns
     there = state.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"))
     met = pairs.join(state.withColumnRenamed("id", "i"), "i").join(there, "j")
     dx, dy = F.col("x") - F.col("xj"), F.col("y") - F.col("yj")
     k = F.col("p") / (1 + dx * dx + dy * dy)
-    keys = [F.col("i").alias("id"), *[c for c in own if c != "id"]]
-    return met.groupBy(*keys).agg(F.sum(k * dx).alias("fx"), F.sum(k * dy).alias("fy"))
+    own = [F.first(c).alias(c) for c in state.columns if c != "id"]  # the same in all rows of i
+    return met.groupBy(F.col("i").alias("id")).agg(*own, F.sum(k * dx).alias("fx"), F.sum(k * dy).alias("fy"))
+
 
+def _moved(field, rate: float, momentum: float, factor: float, width: float):
+    """Map: one step of all rows; the last row of a task has its rows' charges in cells of ``width``."""
 
-def _moved(field, rate: float, momentum: float, factor: float):
     def run(frames):
+        held, last = _Charges(width), None
         for f in frames:
             if not len(f):
                 continue
@@ -158,7 +205,14 @@ def _moved(field, rate: float, momentum: float, factor: float):
                 gain = np.maximum(np.where((grad > 0) != (u > 0), gain + 0.2, gain * 0.8), 0.01)
                 u = momentum * u - rate * gain * grad
                 out |= {c: f[c].to_numpy() + u, f"u{c}": u, f"g{c}": gain}
-            yield pd.DataFrame(out)
+            held.add(out["x"], out["y"])
+            if last is not None:
+                yield last
+            last = pd.DataFrame(out).assign(**{f"n{c}": None for c in NODE})
+        if last is not None:
+            for c, v in held.cells().items():
+                last.at[len(last) - 1, c] = v
+            yield last
 
     return run
 
@@ -177,7 +231,10 @@ def embedded(df: DataFrame, perplexity: float = 30.0, iterations: int = 250, ear
     k = min(int(3 * perplexity), n - 1)
     near = knn.neighbours(rows.select(F.col("id").alias("test_id"), "v"), rows.select(F.col("id").alias("train_id"), F.lit(0).alias("label"), "v"), k + 1)
     near = near.filter("test_id <> train_id").filter(F.col("place") <= k + 1)
-    pairs = scratch.written(affinities(near, perplexity).withColumn("p", F.col("p") / (2 * n)), "tsne")
+    sums = affinities(near, perplexity).withColumn("p", F.col("p") / (2 * n))
+    # as many parts as there are cores, so that every iteration's scan is dealt out
+    parts = max(spark.sparkContext.defaultParallelism, -(-2 * k * n // PART))
+    pairs = scratch.written(sums.repartition(parts, "i").sortWithinPartitions("i"), "tsne")
     start = cluster.projected(rows, 2).select("id", F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))
     spread = start.agg(F.stddev("x")).first()[0] or 1.0
     at = [(F.col(c) / spread * 1e-4).alias(c) for c in ("x", "y")]
@@ -185,17 +242,20 @@ def embedded(df: DataFrame, perplexity: float = 30.0, iterations: int = 250, ear
     rate = rate or max(n / EXAGGERATION / 4, 50.0)
     least, most = (state.agg(f("x"), f("y")).first() for f in (F.min, F.max))
     side = max(most[0] - least[0], most[1] - least[1])
-    schema = f"id {kind}, x double, y double, ux double, uy double, gx double, gy double"
+    schema = f"id {kind}, x double, y double, ux double, uy double, gx double, gy double, {NODES_SCHEMA}"
+    width = min(WIDEST, side / FINE) or WIDEST
+    nodes = _spread(state, width)
     for step in range(iterations):
-        width = min(WIDEST, side / FINE) or WIDEST
-        summed = _summed(state, width)
+        summed = _summed(nodes)
         while max(summed[c].max() - summed[c].min() for c in ("a", "b")) >= CELLS * NODES:
             width *= 2
-            summed = _summed(state, width)
+            summed = _summed(_spread(state, width))
         side = max(summed[c].max() - summed[c].min() + 1 for c in ("a", "b")) * width / NODES
         field = spark.sparkContext.broadcast(Field(summed, width, n))
-        moved = attraction(state, pairs).mapInPandas(_moved(field, rate, 0.5 if step < early else 0.8, EXAGGERATION if step < early else 1.0), schema)
-        before, state = state, scratch.written(moved, "tsne")
+        width = min(WIDEST, side / FINE) or WIDEST
+        moved = attraction(state, pairs).mapInPandas(_moved(field, rate, 0.5 if step < early else 0.8, EXAGGERATION if step < early else 1.0, width), schema)
+        before, table = state, scratch.written(moved, "tsne")
+        state, nodes = table.select(*state.columns), table.select(*[f"n{c}" for c in NODE])
         scratch.removed(before)
         field.destroy()
     return state.select("id", "x", "y")

@@ -105,3 +105,20 @@ def test_map_keeps_neighbourhoods_better_than_principal_components(spark):
     share = lambda m: tsne.preserved(df, m, 8).agg(F.avg("share")).first()[0]
     assert share(mapped) > share(pca) + 0.05
     assert tsne.embedded(df.limit(1)).first()[1:] == (0.0, 0.0) and tsne.embedded(df.filter("false")).count() == 0
+
+
+def test_a_step_carries_the_charges_of_its_new_places():
+    """The job that moves the rows spreads their charges too, so no other one reads the rows for them."""
+    import types
+
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(0, 2, (2, 400))
+    field = tsne.Field(tsne.charges(x, y, 0.2), 0.2, 400)
+    f = pd.DataFrame({"id": np.arange(400), "x": x, "y": y, "fx": 0.0, "fy": 0.0, "ux": 0.0, "uy": 0.0, "gx": 1.0, "gy": 1.0})
+    moved = pd.concat(tsne._moved(types.SimpleNamespace(value=field), 50.0, 0.5, 1.0, 0.25)([f[:150], f[150:]]))
+    assert len(moved) == 400 and moved["na"].notna().sum() == 1
+    got = pd.DataFrame({c: moved[f"n{c}"].dropna().iloc[0] for c in tsne.NODE})
+    pd.testing.assert_frame_equal(got, tsne.charges(moved["x"].to_numpy(), moved["y"].to_numpy(), 0.25), check_dtype=False)
+    assert all(2 * n <= tsne._size(n) <= 2.5 * n for n in range(16, tsne.CELLS * tsne.NODES + 1))  # not the next power of two
