@@ -131,7 +131,7 @@ def read_light_curves(spark, sf_dir):
     time = F.concat(day, F.when(F.col("k") > 1, F.lit(".5")).when(full, F.lit(".12340")).otherwise(F.lit(".1234")))
     lines = e.select(F.when(F.pmod("user_id", F.lit(2)) == 0, "I").otherwise("V").alias("band"), F.col("user_id").alias("star"), "k", F.concat(time, F.lit("  "), F.col("value").cast("string"), F.lit(" 0.25")).alias("value"))
     path = _files(lines, "curves", ["band", "star"], ["k"])
-    out = catalogs.ogle_light_curves(spark, f"{path}/*/*/*", layout=r"band=([^/]+)/star=([^/]+)/")
+    out = catalogs.ogle_light_curves(spark, path, layout=r"band=([^/]+)/star=([^/]+)/")
     return out.select("sourceid", "band", F.round("mjd", 4).alias("mjd"), "mag", "err")
 
 

@@ -82,6 +82,8 @@ IDENT_SHIFT = {
 IDENT_NAMES = ("sourceid", "type", "ra", "dec", "OGLE_IV_id", "OGLE_III_id", "OGLE_II_id", "other_id")
 #: Families whose class is completed by the type of the identification table.
 TYPED = ("dsct", "t2cep", "acep", "hb", "ecl")
+#: Tasks that list folders of light curves.
+LISTERS = 64
 
 
 def period_columns(n: int) -> list[str]:
@@ -276,15 +278,29 @@ def with_remarks(catalog: DataFrame, remarks: DataFrame) -> DataFrame:
     return catalog.join(told, "sourceid", "left").withColumn("remarks", both).drop("_more")
 
 
+def _found(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of all text files below a folder, or of a glob's.
+
+    Folders are listed by ``LISTERS`` tasks; Spark's own number is one task a folder, and a glob that names files is walked on the driver alone.
+    """
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), LISTERS)))
+    try:
+        return spark.read.option("recursiveFileLookup", "true").text(path)  # listed here
+    finally:
+        spark.conf.set(key, before)
+
+
 def ogle_light_curves(spark: SparkSession, glob: str, layout: str = r"([^/]+)/([^/]+)\.[^./]+$") -> DataFrame:
-    """Observations of all files ``.../<band>/<id>.dat``: sourceid, band, mjd, mag, err, obs_id; ``layout`` finds band and id in a path.
+    """Observations of all files ``.../<band>/<id>.dat`` below a folder or of a glob: sourceid, band, mjd, mag, err, obs_id; ``layout`` finds band and id in a path.
 
     The length of a file's first time tells how all its times are written.  The
     first line is the one of the first block that its task reads first, so files
     are read split by split and none is opened alone.
     """
     parts = F.split(F.trim("value"), r"\s+")
-    raw = spark.read.text(glob).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")).filter(F.trim("value") != "")
+    raw = _found(spark, glob).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")).filter(F.trim("value") != "")
     rows = raw.select("path", F.get(parts, F.lit(0)).alias("time"), F.get(parts, F.lit(1)).cast("double").alias("mag"), F.get(parts, F.lit(2)).cast("double").alias("err"))
     ordered = raw.select("path", F.get(parts, F.lit(0)).alias("time"), F.struct("block", F.monotonically_increasing_id()).alias("place"))
     first = ordered.groupBy("path").agg(F.min_by("time", "place").alias("first"))

@@ -117,6 +117,24 @@ def test_long_light_curve_file_in_several_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_folders_of_stars_are_listed_by_few_tasks(spark, tmp_path):
+    """A folder for each star: below the folder that holds them all, some tasks list many each."""
+    for i in range(catalogs.LISTERS + 40):
+        put(tmp_path / f"band={'IV'[i % 2]}" / f"star={i}" / "part-0.txt", f"5000.1234 {i} 0.02\n")
+    sc, key = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    sc.setJobGroup("stars", "listing")
+    try:
+        lc = catalogs.ogle_light_curves(spark, str(tmp_path), layout=r"band=([^/]+)/star=([^/]+)/")
+        tracker = sc.statusTracker()
+        stages = [k for job in tracker.getJobIdsForGroup("stars") for k in tracker.getJobInfo(job).stageIds]
+        assert 0 < sum(tracker.getStageInfo(k).numTasks for k in stages) <= 2 * catalogs.LISTERS
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.conf.get(key) == before
+    assert {(r.sourceid, r.band) for r in lc.collect()} == {(str(i), "IV"[i % 2]) for i in range(catalogs.LISTERS + 40)}
+
+
 def test_preamble_is_dropped_in_any_number_of_splits(spark, tmp_path):
     """Only each file's own first lines go, also where the preamble itself lies in several splits."""
     for name, n in (("a", 900), ("b", 3)):
