@@ -43,11 +43,14 @@ def grid(t: np.ndarray) -> np.ndarray:
     return step * np.arange(1, max(2, int(MAX_FREQUENCY / step)) + 1)
 
 
+def _direct(points: int, freqs: int) -> bool:
+    """Whether every point by every frequency is cheaper than a transform."""
+    return points * freqs < 60 * WIDTH * points + 12 * FINER * freqs * np.log2(freqs + 2)
+
+
 def waves(t: np.ndarray, y: np.ndarray, freqs: np.ndarray) -> np.ndarray:
     """Sum of y exp(2 pi i f t) over the points for each of ``freqs``, which have equal steps; the cheaper of two ways."""
-    direct = len(t) * len(freqs)
-    spread = 60 * WIDTH * len(t) + 12 * FINER * len(freqs) * np.log2(len(freqs) + 2)
-    return direct_waves(t, y, freqs) if direct < spread else spread_waves(t, y, freqs)
+    return direct_waves(t, y, freqs) if _direct(len(t), len(freqs)) else spread_waves(t, y, freqs)
 
 
 def direct_waves(t: np.ndarray, y: np.ndarray, freqs: np.ndarray) -> np.ndarray:
@@ -91,19 +94,45 @@ def spread_waves(t: np.ndarray, y: np.ndarray, freqs: np.ndarray) -> np.ndarray:
     return np.fft.ifft(real + 1j * imaginary)[mode] * (size / WIDTH) * root / np.sinh(root)
 
 
-def lomb_scargle(t: np.ndarray, y: np.ndarray, freqs: np.ndarray, twice: np.ndarray | None = None) -> np.ndarray:
-    """Standard normalised power (0 to 1) at each of ``freqs``, which have equal steps; ``twice`` is ``waves`` of ones at the doubled frequencies."""
-    y = y - y.mean()
-    total = (y * y).sum()
-    if total == 0:
-        return np.zeros(len(freqs))
-    t = t - t.min()
-    if twice is None:
-        twice = waves(t, np.ones(len(t)), 2 * freqs)
-    # turned by the phase of ``twice``, the sums of squares are these and sine and cosine are orthogonal
-    cc, ss = (len(t) + abs(twice)) / 2, (len(t) - abs(twice)) / 2
-    turned = waves(t, y, freqs) * np.exp(-0.5j * np.angle(twice))
-    return (turned.real**2 / cc + turned.imag**2 / np.where(ss > 1e-12 * len(t), ss, np.inf)) / total
+class Spectrum:
+    """What all powers at ``freqs``, which have equal steps, of values at ``t`` share: it is made once for a series.
+
+    Of few points the tables of ``direct_waves`` are kept; those of doubled frequencies are their squares.
+    """
+
+    def __init__(self, t: np.ndarray, freqs: np.ndarray):
+        self.t, self.freqs, self.tables = t - t.min(), freqs, None
+        if len(t) <= POINTS and len(freqs) <= BLOCK * BLOCKS and _direct(len(t), len(freqs)):
+            step = freqs[1] - freqs[0] if len(freqs) > 1 else 0.0
+            angle = 2j * np.pi * self.t
+            self.tables = np.exp(np.outer(freqs[::BLOCK], angle)), np.exp(np.outer(angle, step * np.arange(min(BLOCK, len(freqs)))))
+            head, within = self.tables
+            twice = ((head * head) @ (within * within)).ravel()[: len(freqs)]
+        else:
+            twice = waves(self.t, np.ones(len(t)), 2 * freqs)
+        # turned by half the phase of ``twice``, the sums of squares are these and sine and cosine are orthogonal
+        size = abs(twice)
+        cc, ss = (len(t) + size) / 2, (len(t) - size) / 2
+        self.cc, self.ss = 1 / cc, 1 / np.where(ss > 1e-12 * len(t), ss, np.inf)
+        self.turn = np.exp(-0.5j * np.angle(twice))
+
+    def power(self, y: np.ndarray) -> np.ndarray:
+        """Standard normalised power (0 to 1) of ``y``."""
+        y = y - y.mean()
+        total = (y * y).sum()
+        if total == 0:
+            return np.zeros(len(self.freqs))
+        if self.tables:
+            found = ((self.tables[0] * y) @ self.tables[1]).ravel()[: len(self.freqs)]
+        else:
+            found = waves(self.t, y, self.freqs)
+        turned = found * self.turn
+        return (turned.real**2 * self.cc + turned.imag**2 * self.ss) / total
+
+
+def lomb_scargle(t: np.ndarray, y: np.ndarray, freqs: np.ndarray) -> np.ndarray:
+    """Standard normalised power (0 to 1) at each of ``freqs``, which have equal steps."""
+    return Spectrum(t, freqs).power(y)
 
 
 def false_alarm(power: float, n: int, m: int) -> float:
@@ -112,14 +141,15 @@ def false_alarm(power: float, n: int, m: int) -> float:
     return float(1 - (1 - one) ** m)
 
 
-def harmonics(t: np.ndarray, y: np.ndarray, freqs: np.ndarray, twice: np.ndarray, power: np.ndarray) -> tuple[list[float], list[float]]:
+def harmonics(t: np.ndarray, y: np.ndarray, spectrum: Spectrum, power: np.ndarray) -> tuple[list[float], list[float]]:
     """Amplitudes and relative phases of the harmonics of successively removed frequencies; ``power`` is that of ``y``."""
     rest = y - y.mean()
     amplitude, phase = [], []
     for i in range(FREQUENCIES):
-        f = freqs[(lomb_scargle(t, rest, freqs, twice) if i else power).argmax()]
-        angles = [2 * np.pi * f * j * t for j in range(1, HARMONICS + 1)]
-        x = np.stack([np.ones_like(t), *[g(a) for a in angles for g in (np.sin, np.cos)]], axis=1)
+        f = spectrum.freqs[(spectrum.power(rest) if i else power).argmax()]
+        angles = np.multiply.outer(t, 2 * np.pi * f * np.arange(1, HARMONICS + 1))
+        x = np.ones((len(t), 1 + 2 * HARMONICS))
+        x[:, 1::2], x[:, 2::2] = np.sin(angles), np.cos(angles)
         coef = np.linalg.lstsq(x, rest, rcond=None)[0]
         s, c = coef[1::2], coef[2::2]
         phases = np.arctan2(c, s)
@@ -142,6 +172,10 @@ def autocorrelation_length(y: np.ndarray) -> float:
     return float(len(z))
 
 
+def _geometric(first: float, last: float, n: int) -> np.ndarray:
+    return first * (last / first) ** (np.arange(n) / (n - 1))
+
+
 def car1(t: np.ndarray, y: np.ndarray, e: np.ndarray) -> tuple[float, float, float]:
     """sigma, tau and mean of a continuous first-order autoregression, by likelihood over a grid of tau that is refined twice."""
     m = y.mean()
@@ -156,13 +190,13 @@ def car1(t: np.ndarray, y: np.ndarray, e: np.ndarray) -> tuple[float, float, flo
         total = var[:, None] * gap + noise
         return 0.5 * (np.log(total) + square / total).sum(axis=1), var
 
-    taus = np.geomspace(max(dt.min(), 1e-3) / 2, max(t[-1] - t[0], 1e-2), 40)
+    taus = _geometric(max(dt.min(), 1e-3) / 2, max(t[-1] - t[0], 1e-2), 40)
     some = max(1, POINTS * BLOCK // max(len(dt), 1))  # so many at once
     for _ in range(3):
         values, var = (np.concatenate(x) for x in zip(*(negative(taus[i : i + some]) for i in range(0, len(taus), some))))
         best = int(values.argmin())
         tau, spread = taus[best], var[best]
-        taus = np.geomspace(taus[max(best - 1, 0)], taus[min(best + 1, len(taus) - 1)], 20)
+        taus = _geometric(taus[max(best - 1, 0)], taus[min(best + 1, len(taus) - 1)], 20)
     return float(np.sqrt(2 * spread / tau)), float(tau), float(m / tau)
 
 
@@ -171,13 +205,13 @@ def fit(t: np.ndarray, y: np.ndarray, e: np.ndarray) -> list[float]:
     if len(t) < 5 or t[-1] <= t[0] or y.std() == 0:
         return [float("nan")] * len(NAMES)
     freqs = grid(t)
-    twice = waves(t - t.min(), np.ones(len(t)), 2 * freqs)
-    power = lomb_scargle(t, y, freqs, twice)
+    spectrum = Spectrum(t, freqs)
+    power = spectrum.power(y)
     period = 1 / freqs[power.argmax()]
     folded = y[np.argsort(np.mod(t, 2 * period), kind="stable")]
     n, s = len(y), y.std(ddof=1)
     walk = np.cumsum(folded - folded.mean()) / (n * s)
-    amplitude, phase = harmonics(t, y, freqs, twice, power)
+    amplitude, phase = harmonics(t, y, spectrum, power)
     return [
         period,
         false_alarm(power.max(), n, len(freqs) // OVERSAMPLING),

@@ -36,6 +36,25 @@ def test_powers_equal_least_squares():
         assert power[i] == pytest.approx(1 - (rest**2).sum() / (y**2).sum(), abs=1e-6)
 
 
+def test_tables_of_a_short_series_are_made_once(monkeypatch):
+    """All four sums of a fit take the same tables, also where frequencies fill several blocks."""
+    for n, span in ((13, 29), (6, 0.2)):
+        t, y = series(n, span)
+        freqs = periodogram.grid(t)
+        direct = lambda values, some: np.array([(values * np.exp(2j * np.pi * f * (t - t.min()))).sum() for f in some])  # noqa: B023, E731
+        with monkeypatch.context() as m:
+            m.setattr(periodogram, "waves", None)  # nothing goes over the points by itself
+            spectrum = periodogram.Spectrum(t, freqs)
+            got = [spectrum.power(values) for values in (y, y**2)]
+            assert len(periodogram.fit(t, y, np.full(n, 0.1))) == len(periodogram.NAMES)
+        twice = direct(np.ones(n), 2 * freqs)
+        cc, ss = (n + abs(twice)) / 2, (n - abs(twice)) / 2
+        for values, power in zip((y, y**2), got):
+            turned = direct(values - values.mean(), freqs) * np.exp(-0.5j * np.angle(twice))
+            want = (turned.real**2 / cc + turned.imag**2 / np.where(ss > 1e-12 * n, ss, np.inf)) / ((values - values.mean()) ** 2).sum()
+            assert np.allclose(power, want, rtol=1e-7, atol=1e-9)
+
+
 def test_best_periods_over_slices(spark):
     rows = []
     for name, (n, span, period) in {"a": (300, 400, 3.3), "b": (60, 30, 0.7), "c": (3, 5, 1.0), "d": (9, 3, 0.5)}.items():
