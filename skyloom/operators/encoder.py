@@ -9,7 +9,8 @@ to its input.
 Windows of an Arrow batch are dealt into length classes (powers of two) and padded
 only up to their class; padding has no weight in the attention and is cut off again.
 Scores are made for so many windows and queries at once that they stay under ``SCORES`` numbers,
-so memory does not grow with the square of a window's length.
+so memory does not grow with the square of a window's length.  A task encodes so many windows of a
+batch at once that they have at most ``STEPS`` padded steps, or one window, and pools them before the next ones.
 
 A null or empty window, and one with a null or a number that is not finite, has null results.
 Weights are not trained here: ``initial`` gives seeded ones, ``sources.training`` stores and reads any.
@@ -22,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SHORTEST, SLOWEST = 8, 10_000.0
-#: Attention scores in memory at once.
-SCORES = 1 << 23
+#: Attention scores in memory at once: 4 MB.
+SCORES = 1 << 19
+#: Padded steps of the windows that are encoded at once.
+STEPS = 1 << 13
 
 
 def initial(width: int = 32, heads: int = 4, layers: int = 2, inner: int = 64, seed: int = 42) -> dict[str, np.ndarray]:
@@ -87,7 +90,7 @@ def encode_windows(times: list[np.ndarray], values: list[np.ndarray], w: dict[st
     out: list = [None] * len(values)
     for size in np.unique(padded):
         members = np.flatnonzero(padded == size)
-        at_once = max(1, SCORES // (int(w["heads"][0]) * int(size) * int(size)))
+        at_once = max(1, min(SCORES // (int(w["heads"][0]) * int(size) * int(size)), STEPS // int(size)))
         for a in range(0, len(members), at_once):
             some = members[a : a + at_once]
             t, y = np.zeros((2, len(some), size))
@@ -98,6 +101,17 @@ def encode_windows(times: list[np.ndarray], values: list[np.ndarray], w: dict[st
     return out
 
 
+def runs(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of neighbouring windows with at most ``STEPS`` padded steps together, or one window."""
+    out, start, steps = [], 0, 0
+    for i, size in enumerate(classes(lengths).tolist()):
+        if i > start and steps + size > STEPS:
+            out.append((start, i))
+            start, steps = i, 0
+        steps += size
+    return [*out, (start, len(lengths))] if len(lengths) else out
+
+
 def _finite(t: pa.Scalar, y: pa.Scalar) -> bool:
     if not (t.is_valid and y.is_valid) or len(t.values) != len(y.values) or not len(y.values) or t.values.null_count or y.values.null_count:
         return False
@@ -110,14 +124,19 @@ def embedded(windows: DataFrame, w: dict[str, np.ndarray], keys: tuple[str, ...]
 
     def run(batches):
         for batch in batches:
-            mjd, mag = batch.column("mjd"), batch.column("mag")
-            good = [i for i, (t, y) in enumerate(zip(mjd, mag)) if _finite(t, y)]
-            lists = [[np.asarray(c[i].values, dtype=float) for i in good] for c in (mjd, mag)]
-            out: list = [None] * batch.num_rows
-            for i, e in zip(good, encode_windows(*lists, shared.value)):
-                out[i] = (e.mean(axis=0) if pooled else e).astype(np.float32).tolist()
-            kind = pa.list_(pa.float32()) if pooled else pa.list_(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(out, kind)], names=[*keys, "embedding"])
+            lengths = np.asarray(batch.column("mag").value_lengths().fill_null(0))
+            for a, b in runs(lengths):
+                yield encoded(batch.slice(a, b - a))
+
+    def encoded(some: pa.RecordBatch) -> pa.RecordBatch:
+        mjd, mag = some.column("mjd"), some.column("mag")
+        good = [i for i, (t, y) in enumerate(zip(mjd, mag)) if _finite(t, y)]
+        lists = [[np.asarray(c[i].values, dtype=float) for i in good] for c in (mjd, mag)]
+        out: list = [None] * some.num_rows
+        for i, e in zip(good, encode_windows(*lists, shared.value)):
+            out[i] = (e.mean(axis=0) if pooled else e).astype(np.float32).tolist()
+        kind = pa.list_(pa.float32()) if pooled else pa.list_(pa.list_(pa.float32()))
+        return pa.RecordBatch.from_arrays([*(some.column(k) for k in keys), pa.array(out, kind)], names=[*keys, "embedding"])
 
     kinds = dict(windows.dtypes)
     return windows.select(*keys, "mjd", "mag").mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + (", embedding array<float>" if pooled else ", embedding array<array<float>>"))

@@ -75,3 +75,21 @@ def test_encoder_over_a_frame_with_stored_weights(spark, tmp_path):
         want = plain(t, y, w)
         assert np.allclose(got[f"s{i}"], want.mean(axis=0), atol=1e-5) and np.allclose(steps[f"s{i}"], want, atol=1e-5)
     assert encoder.embedded(df.limit(0), w).count() == 0
+
+
+def test_windows_of_a_batch_are_encoded_some_at_a_time(spark, monkeypatch):
+    """Memory follows ``STEPS`` and the longest window, not the rows of a batch."""
+    assert encoder.runs(np.array([], dtype=int)) == []
+    lengths = np.array([3, 9, 200, 0, 40, 7, 8] * 50)
+    for steps in (8, 300, encoder.STEPS):
+        monkeypatch.setattr(encoder, "STEPS", steps)
+        cuts = encoder.runs(lengths)
+        assert [a for a, _ in cuts] == [0, *[b for _, b in cuts[:-1]]] and cuts[-1][1] == len(lengths)
+        assert all(b - a == 1 or encoder.classes(lengths[a:b]).sum() <= steps for a, b in cuts)
+
+    peak = []
+    encode = encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda t, *more: peak.append(t.size) or encode(t, *more))
+    times, values = windows([12] * 2000)
+    w = encoder.initial(width=8, heads=2, layers=1, inner=6)
+    assert len(encoder.encode_windows(times, values, w)) == 2000 and max(peak) <= encoder.STEPS == 1 << 13
