@@ -1,7 +1,8 @@
 """Statistical features of series of any length, cut into pieces that are tasks of their own.
 
-``features.compute`` takes a whole (sourceid, band) into one window task.  Here all
-observations are sorted over ranges, by series and time and once more by series and
+``features.compute`` takes a whole (sourceid, band) into one window task.  That stays so for
+series that have no more rows than a piece, which need one exchange for it.  The observations of longer
+ones are sorted over ranges, by series and time and once more by series and
 magnitude, and written with the number of their range, ``_p``: a series fills as many
 ranges as it needs.  Windows run within a piece (series, range).  What a piece
 needs from the ones before it comes from a small table with a row a piece:
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.operators import features
-from skyloom.operators.lightcurve import KEY
+from skyloom.operators.lightcurve import KEY, with_time_step
 from skyloom.sources import scratch
 
 #: Rows of a range, about 50 MB.
@@ -128,7 +129,12 @@ def in_order_of_time(by_time: DataFrame, each: DataFrame) -> DataFrame:
 
 def time_steps(lc: DataFrame, rows: int = PIECE) -> DataFrame:
     """``lightcurve.with_time_step`` for series of any length: (sourceid, band, obs_id, mjd, dt); the first row's dt is its own mjd."""
-    lc = _input(lc)
+    short, long = by_length(_input(lc), rows)
+    out = with_time_step(short).select(*KEY, "obs_id", "mjd", "dt")
+    return out if long is None else out.unionByName(_time_steps(long, rows))
+
+
+def _time_steps(lc: DataFrame, rows: int) -> DataFrame:
     by_time = cut(lc, ("mjd", "obs_id"), _pieces(lc, rows))
     stepped = in_order_of_time(by_time, constants(by_time))
     return stepped.select(*KEY, "obs_id", "mjd", F.coalesce("_dt", "mjd").alias("dt"))
@@ -158,6 +164,15 @@ def _pieces(lc: DataFrame, rows: int) -> int:
     return max(1, -(-lc.count() // rows))
 
 
+def by_length(lc: DataFrame, rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """``lc`` of the series with at most so many rows, and of those with more; None where there are none of these."""
+    counts = lc.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_c"))
+    over = scratch.written(counts.filter(F.col("_c") > rows).select(*KEY), "long")  # one key for every ``rows`` rows at most
+    if over.isEmpty():
+        return lc, None
+    return _same(lc, over, KEY, "left_anti"), _same(lc, over, KEY, "left_semi")
+
+
 def _results(found: DataFrame, families: tuple[features.Family, ...]) -> list[Column]:
     every = {name: r for f in families for name, r in f.results.items()}
     return [(F.expr(r) if isinstance(r, str) else r).alias(name) for name, r in every.items()]
@@ -165,7 +180,12 @@ def _results(found: DataFrame, families: tuple[features.Family, ...]) -> list[Co
 
 def statistical(lc: DataFrame, rows: int = PIECE) -> DataFrame:
     """``features.all_statistical`` for series of any length: the same columns, of series with more than ``features.SHORT`` points."""
-    lc = _input(lc)
+    short, long = by_length(_input(lc), rows)
+    out = features.all_statistical(short)
+    return out if long is None else out.unionByName(_statistical(long, rows))
+
+
+def _statistical(lc: DataFrame, rows: int) -> DataFrame:
     pieces = _pieces(lc, rows)
     by_time = cut(lc, ("mjd", "obs_id"), pieces)
     each = constants(by_time).filter(F.col("_n") > features.SHORT)

@@ -55,3 +55,17 @@ def test_time_steps_and_empty_tables(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert long_series.time_steps(lc.limit(0)).count() == 0
     assert long_series.statistical(lc.limit(0)).count() == 0
+
+
+def test_only_long_series_are_cut(spark, monkeypatch):
+    """Series of at most a piece's rows take one exchange; nothing of them is sorted over ranges or written."""
+    lc, seen = observations(spark), []
+    cut = long_series.cut
+    monkeypatch.setattr(long_series, "cut", lambda rows, *more: seen.append({(r.sourceid, r.band) for r in rows.select("sourceid", "band").distinct().collect()}) or cut(rows, *more))
+    assert long_series.statistical(lc, 3000).count() == long_series.statistical(lc, 2999).count() == 7
+    assert seen == [{("hot", "g")}] * 3
+    del seen[:]
+    assert long_series.time_steps(lc, 90).count() == long_series.time_steps(lc, 3000).count() == 3237
+    assert seen == [{("hot", "g")}]
+    long_series.time_steps(lc, 89)
+    assert seen[1:] == [{("hot", "g"), (None, "g")}]
