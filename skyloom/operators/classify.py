@@ -18,11 +18,12 @@ import pickle
 import re
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-from itertools import product
+from itertools import groupby, product
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,6 +40,8 @@ GRID = {"trees": (100, 200, 500), "depth": (10, 20, 30, None), "split": (2, 5, 1
 PARAMETER_NAMES = {"n_estimators": "trees", "max_depth": "depth", "min_samples_split": "split", "min_samples_leaf": "leaf"}
 #: Fits at once of several seeds.
 FITS = 4
+#: Rows of a part that the perceptron holds and shuffles at once.
+CHUNK = 10_000
 #: Stands for a depth without limit.
 _NO_LIMIT = 1 << 30
 #: Partitions of the perceptron's training rows at most, and groups that average their weights first.
@@ -168,25 +171,41 @@ class Layers:
         return gw[::-1] + gb[::-1]
 
 
+def _chunks(frames, rows: int):
+    """(part, frame) of the frames' rows: so many of a part each time, wherever frames end and whichever files a task reads."""
+    part, held = None, None
+    for f in frames:
+        for p, some in f.groupby("part", sort=False):
+            if held is not None and len(held) and p != part:
+                yield part, held
+                held = None
+            part, held = p, some if held is None else pd.concat([held, some])
+            while len(held) >= rows:
+                yield part, held[:rows]
+                held = held[rows:]
+    if held is not None and len(held):
+        yield part, held
+
+
 def _pass(shared, weight: np.ndarray, batch: int, rate: float, dropout: float, seed: int):
-    """One pass of Adam over a partition, frame by frame: its group, rows, weights and Adam's moments."""
+    """One pass of Adam over each part of a task, chunk by chunk: its group, rows, weights and Adam's moments."""
 
     def run(frames):
-        net, moments, step = pickle.loads(pickle.dumps(shared.value))
-        part, rows = TaskContext.get().partitionId(), 0
-        rng = np.random.default_rng([seed, step, part])
-        for f in frames:
-            x, y = np.array(f["v"].tolist(), dtype=float), f["label"].to_numpy(int)
-            rows += len(y)
-            order = rng.permutation(len(y))
-            for a in range(0, len(y), batch):
-                some = order[a : a + batch]
-                step += 1
-                for p, g, (m, v) in zip(net.all(), net.gradients(x[some], y[some], weight, dropout, rng), moments):
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        if rows:
+        for part, chunks in groupby(_chunks(frames, max(CHUNK, batch)), itemgetter(0)):
+            net, moments, step = pickle.loads(pickle.dumps(shared.value))
+            rows = 0
+            rng = np.random.default_rng([seed, step, part])
+            for _, f in chunks:
+                x, y = np.array(f["v"].tolist(), dtype=float), f["label"].to_numpy(int)
+                rows += len(y)
+                order = rng.permutation(len(y))
+                for a in range(0, len(y), batch):
+                    some = order[a : a + batch]
+                    step += 1
+                    for p, g, (m, v) in zip(net.all(), net.gradients(x[some], y[some], weight, dropout, rng), moments):
+                        m += 0.1 * (g - m)
+                        v += 0.001 * (g * g - v)
+                        p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             yield pd.DataFrame({"g": [part % GROUPS], "n": [rows], "state": [pickle.dumps((net, moments, step))]})
 
     return run
@@ -260,11 +279,12 @@ def perceptron(
     weight = np.array([counts.get(c, 0.0) if weighted else 1.0 for c in range(classes + 1)])
     # by id and in its order, so that the same rows are dealt the same way in every run
     by = ["id"] if "id" in train.columns else ["label", "v"]
-    dealt = train.repartition(min(WORKERS, max(1, -(-train.count() // (4 * batch)))), *by).sortWithinPartitions(*by).select("label", "v")
+    # rows keep the number of their part: which files a task reads follows their sizes and the order of a folder's listing
+    parts = min(WORKERS, max(1, -(-train.count() // (4 * batch))))
+    dealt = train.repartition(parts, *by).sortWithinPartitions(*by).select("label", "v", F.spark_partition_id().alias("part"))
     kept = validation.select("label", "v")
-    rows = training.once(dealt, f"{state}/rows") if state else scratch.written(dealt, "perceptron")
+    rows = training.once(dealt, f"{state}/parts") if state else scratch.written(dealt, "perceptron")
     held = training.once(kept, f"{state}/held") if state else scratch.written(kept, "perceptron")
-    parts = rows.rdd.getNumPartitions()
     settings = {"widths": [width, *hidden, classes + 1], "dropout": dropout, "rate": rate, "batch": batch, "weighted": weighted, "seed": seed}
     now, waited, start = _begun(settings), 0, 0
     best = (np.inf, now[0])

@@ -51,6 +51,25 @@ def test_taken_up_training_equals_an_unbroken_one(spark, tmp_path, monkeypatch):
         fit(tmp_path / "whole", 5, seed=7)
 
 
+def test_a_pass_follows_parts_not_files_and_frames():
+    """A task that reads the files of several parts, in any order and frames, gives the states of tasks with one each."""
+    import pickle
+    import types
+
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    rows = [pd.DataFrame({"label": rng.integers(0, 2, 40), "v": list(rng.normal(size=(40, 3))), "part": p}) for p in range(3)]
+    state = classify._begun({"widths": [3, 4, 2], "seed": 1})
+    run = classify._pass(types.SimpleNamespace(value=state), np.ones(2), 8, 0.01, 0.1, 5)
+    states = lambda frames: {pickle.loads(r.state)[0].w[0].tobytes(): r.n for f in run(iter(frames)) for r in f.itertuples()}
+    want = {k: n for one in rows for k, n in states([one]).items()}
+    assert len(want) == 3 and set(want.values()) == {40}
+    for order in ([0, 1, 2], [2, 0, 1]):
+        several = pd.concat([rows[i] for i in order], ignore_index=True)
+        assert states([several]) == states([several[:25], several[25:90], several[90:]]) == want
+
+
 def test_one_row_of_averaged_weights_reaches_the_driver(spark):
     """However many partitions trained, the driver gets one state: their mean by rows."""
     import pickle
