@@ -87,6 +87,8 @@ def best_split(counts: np.ndarray, rows: np.ndarray, leaf: int) -> tuple[float,
     with np.errstate(divide="ignore", invalid="ignore"):
         impurity = wl - (left * left).sum(axis=2) / wl + wr - (right * right).sum(axis=2) / wr
     impurity[~((n >= leaf) & (every - n >= leaf) & (wl > 0) & (wr > 0))] = np.inf
+    if not impurity.size:  # one bin: these features are constant here
+        return None
     at = int(np.argmin(impurity))
     f, b = divmod(at, impurity.shape[1])
     return (float(impurity[f, b]), f, b) if np.isfinite(impurity[f, b]) else None

@@ -126,3 +126,15 @@ def test_limit_of_depth_that_no_top_reaches(spark):
     want = forest.predict(forest.fit(df, 2, seed=3, depth=20), df, [(2, 20, 2)])
     got = forest.predict(fitted, df, [(2, 20, 2)])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 200
+
+
+def test_nodes_whose_drawn_features_have_one_bin():
+    """A node looks on where all features of its first look lie in the lowest bin; without any other it is a leaf."""
+    grower = forest.Grower(1, 4, 2, 1, None, 2)
+    first = forest.drawn(0, forest.ROOT, 1, 4)[:2]
+    x, y = np.zeros((6, 4), dtype=np.uint8), np.arange(6) % 2
+    assert grower.choose(0, forest.ROOT, x, y, np.ones(6)) is None
+    assert grower.tree(0, forest.ROOT, 0, x, y, np.ones(6))["left"] == [-1]
+    other = next(f for f in range(4) if f not in first)
+    x[:, other] = y
+    assert grower.choose(0, forest.ROOT, x, y, np.ones(6)) == (other, 0)
