@@ -6,7 +6,7 @@ one pivot; pivots are a sample of bounded size.  A cell keeps its number of rows
 triangle inequality no row of a cell is nearer to a test row t than d(t, pivot) - radius.
 
 1. Every test row meets the cells nearest to it until these hold k rows.
-2. The k-th distance found bounds the search: it meets, of the other cells, only those
+2. The k-th distance found bounds the search, and so does the k-th over the cells of a block: it meets, of the other cells, only those
    whose least possible distance is not above it.
 
 Cells lie one after another in blocks of bounded size: small cells share a block, and one of
@@ -265,25 +265,25 @@ def _nearest_in_cells(k: int):
             meets = np.repeat(np.arange(len(x)), np.asarray(lists.value_lengths()))
             cells, home = np.asarray(lists.flatten()), np.asarray(block.column("cell"))
             by, at = np.argsort(cells, kind="stable"), np.argsort(home, kind="stable")
-            found = []
+            found, best = [], np.full((len(x), k), np.inf)  # the k least so far: the k-th of all cells before bounds the next ones
+            slack = 1e-9 + 1e-12 * (xx.max() + yy.max())
             for c in np.unique(home):
                 some = at[slice(*np.searchsorted(home[at], [c, c + 1]))]
                 here = meets[by[slice(*np.searchsorted(cells[by], [c, c + 1]))]]
                 step = max(1, TABLE // len(some))
                 for a in range(0, len(here), step):
                     t = here[a : a + step]
-                    far = xx[t][:, None] + yy[some]
-                    rough = far - 2 * (x[t] @ y[some].T)
-                    slack = 1e-9 + 1e-12 * far.max()
-                    if len(some) >= k:  # the k-th of any cell bounds the others
-                        bound[t] = np.minimum(bound[t], np.partition(rough, k - 1, axis=1)[:, k - 1] + slack)
+                    rough = xx[t][:, None] + yy[some] - 2 * (x[t] @ y[some].T)
+                    least = np.partition(rough, k - 1, axis=1)[:, :k] if len(some) > k else rough
+                    best[t] = np.partition(np.concatenate((best[t], least), axis=1), k - 1, axis=1)[:, :k]
+                    bound[t] = np.minimum(bound[t], best[t].max(axis=1) + slack)
                     i, j = np.nonzero(rough <= bound[t][:, None] + slack)
-                    i, j = t[i], some[j]
-                    found.append((i, j, _exact(x, y, i, j)))
+                    found.append((t[i], some[j], rough[i, j]))
             if found:
                 row, near, d = (np.concatenate(f) for f in zip(*found))
-                kept = d <= bound[row] + 1e-9 + 1e-12 * (xx.max() + yy.max())
-                row, near, d = row[kept], near[kept], d[kept]
+                kept = d <= bound[row] + slack
+                row, near = row[kept], near[kept]
+                d = _exact(x, y, row, near)
                 order = np.lexsort((np.asarray(own[1])[near], d, row))
                 row, near, d = row[order], near[order], d[order]
         place = np.arange(len(row)) - np.searchsorted(row, row) + 1

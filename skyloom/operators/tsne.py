@@ -2,8 +2,10 @@
 
 * Affinities are sparse: each row's ``3 x perplexity`` exact nearest neighbours, with the
   width of its kernel found by bisection, made symmetric by one aggregation.
-* Attraction is a join of those pairs with the positions and a sum by row; Spark plans it
-  by the size of the positions (broadcast while they are small, sorted beyond).
+* Rows are numbered and dealt to blocks, and pairs to cells of two blocks, packed as arrays.
+  Attraction joins the cells with the broadcast positions of their two blocks (16 bytes a
+  row) and adds up by block.  Beyond ``SHARED`` rows it is a join of single pairs with the
+  positions and a sum by row.
 * Repulsion is interpolated on a regular grid.  Every row spreads its charges (1, x, y)
   over the 3 x 3 nodes of its cell, charges are summed by node, and the potentials of
   all nodes follow from one convolution with the two kernels (FFT); each row reads them
@@ -15,7 +17,7 @@
 An iteration costs the pairs, the rows and the bounded grid, in two jobs: one moves the rows
 and spreads their new charges, the other sums the charges; the neighbours are the search
 of ``knn``.  Positions are written in every iteration, so no lineage grows, and the table
-before is deleted; nothing of the rows passes through the driver.
+before is deleted; the driver sees sums by node, and Spark's broadcast of the positions.
 
 Defined cases: rows of equal vectors attract each other at distance 0 and part by their
 start positions; ids must be unique; an empty table gives none, one row lies at 0, 0; a
@@ -24,10 +26,12 @@ table of few rows takes all others as neighbours.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +46,8 @@ FINE, WIDEST = 50, 0.5
 EXAGGERATION = 12.0
 #: Pairs of a stored part, some 24 MB.
 PART = 1 << 20
+#: Rows of a block at most (its places take 16 bits), and rows up to which blocks' positions are broadcast.
+BLOCK, SHARED = 1 << 16, 1 << 23
 
 
 def _bisected(d2: np.ndarray, perplexity: float) -> np.ndarray:
@@ -71,7 +77,8 @@ def affinities(near: DataFrame, perplexity: float) -> DataFrame:
                 yield pd.DataFrame({"i": some["i"], "j": some["j"], "p": list(p)})
 
     one = lists.mapInPandas(run, f"i {kind}, j array<{kind}>, p array<double>").select("i", F.explode(F.arrays_zip("j", "p")).alias("x")).select("i", F.col("x.j").alias("j"), F.col("x.p").alias("p"))
-    both = one.unionByName(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "p"))
+    # both directions of a row at once, so that nothing before is run twice
+    both = one.select(F.explode(F.array(F.struct("i", "j", "p"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "p"))).alias("x")).select("x.*")
     return both.groupBy("i", "j").agg(F.sum("p").alias("p"))
 
 
@@ -140,6 +147,9 @@ class Field:
         return (x * s - sx) / self.z, (y * s - sy) / self.z
 
 
+#: Columns of a row's state, or of a block's, packed: positions, speeds, gains.
+STATE = ("x", "y", "ux", "uy", "gx", "gy")
+PACKED = "b int, " + ", ".join(f"{c} binary" for c in STATE)
 NODE = {"a": "bigint", "b": "bigint", "q": "double", "qx": "double", "qy": "double"}
 NODES_SCHEMA = ", ".join(f"n{c} array<{kind}>" for c, kind in NODE.items())
 
@@ -189,6 +199,18 @@ def attraction(state: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.groupBy(F.col("i").alias("id")).agg(*own, F.sum(k * dx).alias("fx"), F.sum(k * dy).alias("fy"))
 
 
+def _stepped(at: dict[str, np.ndarray], field: Field, rate: float, momentum: float, factor: float) -> dict[str, np.ndarray]:
+    """Positions, speeds and gains of rows after one step; ``at`` has the same and fx, fy."""
+    out = {}
+    for c, r in zip(("x", "y"), field.repulsion(at["x"], at["y"])):
+        grad = 4 * (factor * at[f"f{c}"] - r)
+        u, gain = at[f"u{c}"], at[f"g{c}"]
+        gain = np.maximum(np.where((grad > 0) != (u > 0), gain + 0.2, gain * 0.8), 0.01)
+        u = momentum * u - rate * gain * grad
+        out |= {c: at[c] + u, f"u{c}": u, f"g{c}": gain}
+    return out
+
+
 def _moved(field, rate: float, momentum: float, factor: float, width: float):
     """Map: one step of all rows; the last row of a task has its rows' charges in cells of ``width``."""
 
@@ -197,14 +219,8 @@ def _moved(field, rate: float, momentum: float, factor: float, width: float):
         for f in frames:
             if not len(f):
                 continue
-            rx, ry = field.value.repulsion(f["x"].to_numpy(), f["y"].to_numpy())
-            out = {"id": f["id"]}
-            for c, r in (("x", rx), ("y", ry)):
-                grad = 4 * (factor * f[f"f{c}"].to_numpy() - r)
-                u, gain = f[f"u{c}"].to_numpy(), f[f"g{c}"].to_numpy()
-                gain = np.maximum(np.where((grad > 0) != (u > 0), gain + 0.2, gain * 0.8), 0.01)
-                u = momentum * u - rate * gain * grad
-                out |= {c: f[c].to_numpy() + u, f"u{c}": u, f"g{c}": gain}
+            at = {c: f[c].to_numpy() for c in (*STATE, "fx", "fy")}
+            out = {"id": f["id"]} | _stepped(at, field.value, rate, momentum, factor)
             held.add(out["x"], out["y"])
             if last is not None:
                 yield last
@@ -217,48 +233,144 @@ def _moved(field, rate: float, momentum: float, factor: float, width: float):
     return run
 
 
+def _pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The pairs of a cell (ib, jb) as arrays: places in the two blocks and affinities, sorted by row."""
+    at, to, p = (np.asarray(table.column(c)) for c in ("at", "to", "p"))
+    order = np.lexsort((to, at))
+    packed = at[order].astype(np.uint16), to[order].astype(np.uint16), p[order]
+    return pa.table({**{c: pa.array([x.as_py()], pa.int32()) for c, x in zip(("ib", "jb"), key)}, **{c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("at", "to", "p"), packed)}})
+
+
+def packed_pairs(pairs: DataFrame, block: int) -> DataFrame:
+    """(ib, jb, at, to, p): pairs(i, j, p) of numbered rows by cell of two blocks of ``block`` rows."""
+    i, j = (F.col(c) for c in ("i", "j"))
+    placed = pairs.select(F.floor(i / block).cast("int").alias("ib"), F.floor(j / block).cast("int").alias("jb"), (i % block).cast("int").alias("at"), (j % block).cast("int").alias("to"), "p")
+    return placed.groupBy("ib", "jb").applyInArrow(_pack, "ib int, jb int, at binary, to binary, p binary")
+
+
+def _pulled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map: the attractive part of the gradient by block, summed over the cells of a batch of rows."""
+    for batch in batches:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for row in range(batch.num_rows):
+            xi, yi, xj, yj, p = (np.frombuffer(batch.column(c)[row].as_buffer()) for c in ("xi", "yi", "xj", "yj", "p"))
+            at, to = (np.frombuffer(batch.column(c)[row].as_buffer(), np.uint16) for c in ("at", "to"))
+            dx, dy = xi[at] - xj[to], yi[at] - yj[to]
+            k = p / (1 + dx * dx + dy * dy)
+            sums = held.setdefault(batch.column("ib")[row].as_py(), (np.zeros(len(xi)), np.zeros(len(xi))))
+            for to_, d in zip(sums, (dx, dy)):
+                to_ += np.bincount(at, k * d, len(xi))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), *[pa.array([v[c].tobytes() for v in held.values()], pa.binary()) for c in (0, 1)]], names=["b", "fx", "fy"])
+
+
+def pulled(state: DataFrame, cells: DataFrame) -> DataFrame:
+    """(b, fx, fy): the attractive part of the gradient by block of the packed ``state``; a block may have several rows, which add up."""
+    positions, met = F.broadcast(state.select("b", "x", "y")), cells
+    for side in ("i", "j"):
+        met = met.join(positions.select(F.col("b").alias(f"{side}b"), F.col("x").alias(f"x{side}"), F.col("y").alias(f"y{side}")), f"{side}b")
+    return met.select("ib", "at", "to", "p", "xi", "yi", "xj", "yj").mapInArrow(_pulled, "b int, fx binary, fy binary")
+
+
+def _moved_block(field, rate: float, momentum: float, factor: float, width: float):
+    """Group of a block's state and the parts of its attraction: one step, and the new positions' charges in cells of ``width``."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        own = int(np.flatnonzero(np.asarray(table.column("x").is_valid()))[0])
+        at = {c: np.frombuffer(table.column(c)[own].as_buffer()) for c in STATE}
+        for c in ("fx", "fy"):
+            at[c] = sum((np.frombuffer(f.as_buffer()) for f in table.column(c).drop_null()), np.zeros(len(at["x"])))
+        out = _stepped(at, field.value, rate, momentum, factor)
+        nodes = charges(out["x"], out["y"], width)
+        arrays = {f"n{c}": pa.array([nodes[c].to_numpy()], pa.list_(pa.int64() if kind == "bigint" else pa.float64())) for c, kind in NODE.items()}
+        return pa.table({"b": pa.array([key[0].as_py()], pa.int32()), **{c: pa.array([out[c].tobytes()], pa.binary()) for c in STATE}, **arrays})
+
+    return run
+
+
+def moved_blocks(state: DataFrame, cells: DataFrame, step) -> DataFrame:
+    """The packed state and its charges after ``step`` (of ``_moved_block``)."""
+    own = state.select("b", *STATE, *[F.lit(None).cast("binary").alias(c) for c in ("fx", "fy")])
+    parts = pulled(state, cells).select("b", *[F.lit(None).cast("binary").alias(c) for c in STATE], "fx", "fy")
+    return own.unionByName(parts).groupBy("b").applyInArrow(step, f"{PACKED}, {NODES_SCHEMA}")
+
+
+def packed_state(start: DataFrame, block: int) -> DataFrame:
+    """The packed state of start(i, x, y), rows at rest, a row a block; rows lie in the order of their numbers, without gaps."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        order = np.argsort(np.asarray(table.column("i")))
+        at = [np.asarray(table.column(c), dtype=float)[order] for c in ("x", "y")]
+        still, ones = np.zeros(len(order)), np.ones(len(order))
+        return pa.table({"b": pa.array([key[0].as_py()], pa.int32()), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in zip(STATE, (*at, still, still, ones, ones))}})
+
+    return start.groupBy(F.floor(F.col("i") / block).cast("int").alias("b")).applyInArrow(run, PACKED)
+
+
+def unpacked(state: DataFrame, block: int) -> DataFrame:
+    """(i, x, y) of the packed state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[row].as_buffer()) for c in ("x", "y"))
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column("b")[row].as_py() * block + np.arange(len(x))), pa.array(x), pa.array(y)], names=["i", "x", "y"])
+
+    return state.select("b", "x", "y").mapInArrow(run, "i long, x double, y double")
+
+
 def embedded(df: DataFrame, perplexity: float = 30.0, iterations: int = 250, early: int = 100, rate: float | None = None) -> DataFrame:
     """(id, x, y) of df(id, v): a map of the rows that keeps their neighbourhoods.
 
     The first ``early`` iterations exaggerate the affinities; ``rate`` is rows / (4 x exaggeration), 50 at least, where none is given.
     The map starts from the principal components.
     """
-    spark, kind = df.sparkSession, dict(df.dtypes)["id"]
-    rows = scratch.written(df.select("id", "v"), "tsne")
+    spark = df.sparkSession
+    rows = cluster.numbered(df.select("id", "v"), ["id"], "i")
     n = rows.count()
     if n < 2:
         return rows.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     k = min(int(3 * perplexity), n - 1)
-    near = knn.neighbours(rows.select(F.col("id").alias("test_id"), "v"), rows.select(F.col("id").alias("train_id"), F.lit(0).alias("label"), "v"), k + 1)
-    near = near.filter("test_id <> train_id").filter(F.col("place") <= k + 1)
+    near = knn.neighbours(rows.select(F.col("i").alias("test_id"), "v"), rows.select(F.col("i").alias("train_id"), F.lit(0).alias("label"), "v"), k + 1)
+    near = scratch.written(near.filter("test_id <> train_id").filter(F.col("place") <= k + 1), "tsne")
     sums = affinities(near, perplexity).withColumn("p", F.col("p") / (2 * n))
-    # as many parts as there are cores, so that every iteration's scan is dealt out
-    parts = max(spark.sparkContext.defaultParallelism, -(-2 * k * n // PART))
-    pairs = scratch.written(sums.repartition(parts, "i").sortWithinPartitions("i"), "tsne")
-    start = cluster.projected(rows, 2).select("id", F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))
+    start = cluster.projected(rows, 2).select("i", F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))
     spread = start.agg(F.stddev("x")).first()[0] or 1.0
-    at = [(F.col(c) / spread * 1e-4).alias(c) for c in ("x", "y")]
-    state = scratch.written(start.select("id", *at, *[F.lit(v).alias(c) for c, v in (("ux", 0.0), ("uy", 0.0), ("gx", 1.0), ("gy", 1.0))]), "tsne")
+    start = start.select("i", *[(F.col(c) / spread * 1e-4).alias(c) for c in ("x", "y")])
+    cores = spark.sparkContext.defaultParallelism  # as many parts as there are cores at least, so that every iteration is dealt out
+    packed, block = n <= SHARED, min(BLOCK, -(-n // cores))
+    if packed:
+        pairs = scratch.written(packed_pairs(sums, block).repartition(-(-n // block), "ib"), "tsne")
+        state = scratch.written(packed_state(start, block), "tsne")
+    else:
+        pairs = scratch.written(sums.repartition(max(cores, -(-2 * k * n // PART)), "i").sortWithinPartitions("i"), "tsne")
+        state = scratch.written(start.select(F.col("i").alias("id"), "x", "y", *[F.lit(v).alias(c) for c, v in zip(STATE[2:], (0.0, 0.0, 1.0, 1.0))]), "tsne")
+
+    def placed(state: DataFrame) -> DataFrame:
+        return unpacked(state, block) if packed else state.select(F.col("id").alias("i"), "x", "y")
+
+    def after(state: DataFrame, *step) -> DataFrame:
+        if packed:
+            return moved_blocks(state, pairs, _moved_block(*step))
+        return attraction(state, pairs).mapInPandas(_moved(*step), f"id long, {', '.join(f'{c} double' for c in STATE)}, {NODES_SCHEMA}")
+
     rate = rate or max(n / EXAGGERATION / 4, 50.0)
-    least, most = (state.agg(f("x"), f("y")).first() for f in (F.min, F.max))
+    least, most = (placed(state).agg(f("x"), f("y")).first() for f in (F.min, F.max))
     side = max(most[0] - least[0], most[1] - least[1])
-    schema = f"id {kind}, x double, y double, ux double, uy double, gx double, gy double, {NODES_SCHEMA}"
     width = min(WIDEST, side / FINE) or WIDEST
-    nodes = _spread(state, width)
+    nodes = _spread(placed(state), width)
     for step in range(iterations):
         summed = _summed(nodes)
         while max(summed[c].max() - summed[c].min() for c in ("a", "b")) >= CELLS * NODES:
             width *= 2
-            summed = _summed(_spread(state, width))
+            summed = _summed(_spread(placed(state), width))
         side = max(summed[c].max() - summed[c].min() + 1 for c in ("a", "b")) * width / NODES
         field = spark.sparkContext.broadcast(Field(summed, width, n))
         width = min(WIDEST, side / FINE) or WIDEST
-        moved = attraction(state, pairs).mapInPandas(_moved(field, rate, 0.5 if step < early else 0.8, EXAGGERATION if step < early else 1.0, width), schema)
-        before, table = state, scratch.written(moved, "tsne")
-        state, nodes = table.select(*state.columns), table.select(*[f"n{c}" for c in NODE])
+        before, table = state, scratch.written(after(state, field, rate, 0.5 if step < early else 0.8, EXAGGERATION if step < early else 1.0, width), "tsne")
+        state, nodes = table.select(*before.columns), table.select(*[f"n{c}" for c in NODE])
         scratch.removed(before)
         field.destroy()
-    return state.select("id", "x", "y")
+    return rows.select("id", "i").join(placed(state), "i").select("id", "x", "y")
 
 
 def preserved(df: DataFrame, mapped: DataFrame, k: int = 10) -> DataFrame:

@@ -122,3 +122,28 @@ def test_a_step_carries_the_charges_of_its_new_places():
     got = pd.DataFrame({c: moved[f"n{c}"].dropna().iloc[0] for c in tsne.NODE})
     pd.testing.assert_frame_equal(got, tsne.charges(moved["x"].to_numpy(), moved["y"].to_numpy(), 0.25), check_dtype=False)
     assert all(2 * n <= tsne._size(n) <= 2.5 * n for n in range(16, tsne.CELLS * tsne.NODES + 1))  # not the next power of two
+
+
+def test_blocks_of_packed_rows_move_as_single_rows_do(spark, monkeypatch):
+    """A step over cells of two blocks gives what a join of single pairs gives; a map is the same by both."""
+    rng = np.random.default_rng(3)
+    n, block = 70, 16
+    x, y = rng.normal(0, 1, (2, n))
+    pairs = spark.createDataFrame([(int(i), int(j), float(rng.random())) for i, j in {tuple(map(int, r)) for r in rng.integers(0, n, (600, 2))}], "i long, j long, p double")
+    start = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "i long, x double, y double")
+    state = tsne.packed_state(start, block)
+    cells = tsne.packed_pairs(pairs, block)
+    assert cells.count() == 25 and [(r.i, r.x, r.y) for r in tsne.unpacked(state, block).orderBy("i").collect()] == list(zip(range(n), x, y))
+    want = {r.id: (r.fx, r.fy) for r in tsne.attraction(start.withColumnRenamed("i", "id"), pairs).collect()}
+    got = np.zeros((2, n))
+    for r in tsne.pulled(state, cells).collect():
+        for c, f in enumerate((r.fx, r.fy)):
+            part = np.frombuffer(bytes(f))
+            got[c, r.b * block : r.b * block + len(part)] += part
+    assert all(np.allclose(got[:, i], want.get(i, (0, 0))) for i in range(n))
+    monkeypatch.setattr(tsne, "BLOCK", 16)
+    df = spark.createDataFrame([(7 * i + 3, rng.normal(5 * (i % 3), 1, 4).tolist()) for i in range(n)], "id long, v array<double>").repartition(3)
+    packed = {r.id: (r.x, r.y) for r in tsne.embedded(df, perplexity=6, iterations=4).collect()}
+    monkeypatch.setattr(tsne, "SHARED", 0)
+    single = {r.id: (r.x, r.y) for r in tsne.embedded(df, perplexity=6, iterations=4).collect()}
+    assert sorted(packed) == [7 * i + 3 for i in range(n)] and all(np.allclose(packed[i], single[i], rtol=1e-6) for i in packed)
