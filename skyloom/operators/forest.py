@@ -10,7 +10,8 @@ least weighted Gini impurity.
    tasks count (feature, bin, class) of such nodes over their rows, Spark adds the counts,
    and the best split of each node comes from its sums.  ``small`` is at least
    rows / ``TOP``, so these tops have some 2 x ``TOP`` nodes a tree, and are broadcast.
-2. The rows of every smaller node are gathered and its subtree is grown in one task.
+2. The rows of every smaller node are gathered and its subtree is grown in one task, level
+   by level: nodes of few rows are split together, by sorted rows instead of histograms.
 
 Every node keeps its class weights, rows and depth, and neither its features nor its split
 depend on limits.  So a forest without limits holds all forests with fewer trees, with a
@@ -45,6 +46,8 @@ from skyloom.sources import scratch
 BINS, ACCURACY = 128, 10_000
 #: Rows of a node that is finished in one task, at least, and nodes of a tree's top, about half of them at most.
 SMALL, TOP = 8192, 512
+#: In a task, nodes of fewer rows are split together, so many rows times features at once.
+FEW, TOGETHER = 128, 1 << 19
 ROOT = 1
 _NODE = "feature array<int>, bin array<int>, left array<int>, depth array<int>, rows array<long>, shares array<double>"
 
@@ -68,14 +71,24 @@ def bootstrap(ids: np.ndarray, tree, seed: int) -> np.ndarray:
     return np.searchsorted(steps, u, side="right").astype(np.int64)
 
 
+def children(nodes: np.ndarray, right: bool) -> np.ndarray:
+    """The names of nodes' children: 64 bits that stand for the path."""
+    return _mixed(nodes, int(right) + 1).astype(np.int64)
+
+
 def child(node: int, right: bool) -> int:
-    """The name of a node's child: 64 bits that stand for the path."""
-    return int(_mixed(np.int64(node), int(right) + 1).astype(np.int64))
+    """The name of a node's child."""
+    return int(children(np.int64(node), right))
+
+
+def draws(tree: int, nodes: np.ndarray, seed: int, features: int) -> np.ndarray:
+    """All features in the order in which each node looks at them, a row a node."""
+    return np.argsort(_mixed(seed, tree, nodes[:, None], np.arange(features)), axis=1, kind="stable")
 
 
 def drawn(tree: int, node: int, seed: int, features: int) -> np.ndarray:
     """All features in the order in which a node looks at them."""
-    return np.random.default_rng([seed & 0x7FFFFFFF, tree, node & 0x7FFFFFFFFFFFFFFF]).permutation(features)
+    return draws(tree, np.array([node], dtype=np.int64), seed, features)[0]
 
 
 def best_split(counts: np.ndarray, rows: np.ndarray, leaf: int) -> tuple[float, int, int] | None:
@@ -120,20 +133,91 @@ class Grower:
                 return int(some[found[1]]), found[2]
         return None
 
+    def together(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the feature, bin) of the best split of each node, place -1 if there is none, as ``best_split`` finds it.
+
+        Rows of a node are ``sizes`` neighbours in x (rows x features that their node looks at), y and w.
+        """
+        width, nodes = x.shape[1], len(sizes)
+        # a segment is a feature of a node; its rows by bin
+        segment = (np.repeat(np.arange(nodes), sizes)[:, None] * width + np.arange(width)).ravel()
+        key = segment * 256 + x.ravel()
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        own = np.zeros((len(order), self.classes))
+        own[np.arange(len(order)), np.repeat(y, width)[order]] = np.repeat(w, width)[order]
+        sums = np.cumsum(own, axis=0)
+        size = np.repeat(sizes, width)
+        end = np.cumsum(size) - 1
+        before = np.concatenate((np.zeros((1, self.classes)), sums[end[:-1]]))
+        total = sums[end] - before
+        at = np.flatnonzero(key[1:] != key[:-1])  # the last rows of bins
+        seg = key[at] // 256
+        at, seg = (v[at != end[seg]] for v in (at, seg))
+        n = at - (end - size)[seg]
+        at, seg = (v[(n >= self.leaf) & (size[seg] - n >= self.leaf)] for v in (at, seg))
+        place, bins = np.full(nodes, -1), np.zeros(nodes, dtype=np.int64)
+        if len(at):
+            left = sums[at] - before[seg]
+            right = total[seg] - left
+            wl, wr = left.sum(axis=1), right.sum(axis=1)
+            impurity = wl - (left * left).sum(axis=1) / wl + wr - (right * right).sum(axis=1) / wr
+            node = seg // width
+            first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            best = np.repeat(np.minimum.reduceat(impurity, first), np.diff(np.append(first, len(node))))
+            hit = np.flatnonzero(impurity == best)
+            some, one = np.unique(node[hit], return_index=True)  # the first of each node
+            place[some], bins[some] = seg[hit[one]] % width, key[at[hit[one]]] % 256
+        return place, bins
+
+    def chosen(self, tree: int, names: np.ndarray, rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(feature, bin) of the split of each node, feature -1 if there is none; a node's rows are ``sizes`` of ``rows`` from ``starts`` on."""
+        feature, bins = np.full(len(names), -1), np.zeros(len(names), dtype=np.int64)
+        for i in np.flatnonzero(sizes >= FEW):
+            mine = rows[starts[i] : starts[i] + sizes[i]]
+            found = self.choose(tree, int(names[i]), x[mine], y[mine], w[mine])
+            if found:
+                feature[i], bins[i] = found
+        few = np.flatnonzero(sizes < FEW)
+        lots = np.cumsum(sizes[few] * self.look) // TOGETHER
+        for some in np.split(few, np.flatnonzero(np.diff(lots)) + 1) if len(few) else ():
+            order = draws(tree, names[some], self.seed, self.features)
+            left = np.arange(len(some))  # nodes without a split so far
+            for a in range(0, self.features, self.look):
+                size = sizes[some[left]]
+                mine = rows[np.repeat(starts[some[left]] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                looked = order[left, a : a + self.look]
+                place, at = self.together(x[mine[:, None], np.repeat(looked, size, axis=0)], y[mine], w[mine], size)
+                hit = place >= 0
+                feature[some[left[hit]]], bins[some[left[hit]]] = looked[hit, place[hit]], at[hit]
+                left = left[~hit]
+                if not len(left):
+                    break
+        return feature, bins
+
     def tree(self, tree: int, node: int, depth: int, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict[str, list]:
         """Nodes from ``node`` on as columns; ``left`` is a node's left child, the right one stands after it, -1 marks a leaf."""
         out: dict[str, list] = {k: [] for k in ("feature", "bin", "left", "depth", "rows", "shares")}
-        todo = [(node, depth, np.arange(len(y)))]
-        for name, level, mine in todo:  # grows while it is walked
-            weights = np.bincount(y[mine], weights=w[mine], minlength=self.classes)
-            stop = len(mine) < max(self.split, 2) or (weights > 0).sum() < 2 or (self.depth is not None and level >= self.depth)
-            found = None if stop else self.choose(tree, name, x[mine], y[mine], w[mine])
-            for k, v in (("feature", found[0] if found else -1), ("bin", found[1] if found else 0), ("left", len(todo) if found else -1), ("depth", level), ("rows", len(mine))):
-                out[k].append(v)
-            out["shares"] += (weights / weights.sum()).tolist()
-            if found:
-                goes = x[mine, found[0]] <= found[1]
-                todo += [(child(name, False), level + 1, mine[goes]), (child(name, True), level + 1, mine[~goes])]
+        names, rows, sizes, done = np.array([node], dtype=np.int64), np.arange(len(y)), np.array([len(y)]), 0
+        while len(names):
+            own = np.repeat(np.arange(len(names)), sizes)
+            weights = np.bincount(own * self.classes + y[rows], weights=w[rows], minlength=len(names) * self.classes).reshape(-1, self.classes)
+            feature, bins = np.full(len(names), -1), np.zeros(len(names), dtype=np.int64)
+            if self.depth is None or depth < self.depth:
+                some = np.flatnonzero((sizes >= max(self.split, 2)) & ((weights > 0).sum(axis=1) > 1))
+                if len(some):
+                    feature[some], bins[some] = self.chosen(tree, names[some], rows, (np.cumsum(sizes) - sizes)[some], sizes[some], x, y, w)
+            split = feature >= 0
+            rank, done = np.cumsum(split) - 1, done + len(names)
+            for k, v in (("feature", feature), ("bin", bins), ("left", np.where(split, done + 2 * rank, -1)), ("depth", np.full(len(names), depth)), ("rows", sizes)):
+                out[k] += v.tolist()
+            out["shares"] += (weights / weights.sum(axis=1, keepdims=True)).ravel().tolist()
+            on = split[own]
+            rows, own = rows[on], own[on]
+            side = 2 * rank[own] + (x[rows, feature[own]] > bins[own])
+            rows, sizes = rows[np.argsort(side, kind="stable")], np.bincount(side, minlength=2 * int(split.sum()))
+            names = np.stack([children(names[split], right) for right in (False, True)], axis=1).ravel()
+            depth += 1
         return out
 
 
